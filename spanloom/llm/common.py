@@ -123,11 +123,14 @@ def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(len(sums))[1][:n])
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all rows, and the word offsets of the rows."""
+def word_spans(data: np.ndarray, offs: np.ndarray, parts: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows, and the word offsets of the rows.
+
+    parts says for each of the 256 bytes whether it parts words.
+    """
     n = len(data)
     gap = np.ones(n + 1, bool)
-    gap[:n] = _IS_SPACE[data]
+    gap[:n] = parts[data]
     before = np.empty(n, bool)
     before[1:] = gap[: n - 1]
     edge = offs[(offs < n)]

@@ -37,10 +37,15 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def window_keys(values: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Key of each window of the sequence: its smallest gram hash."""
+def window_keys(values: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each window of the sequence, its smallest gram hash, and the gram's leftmost position."""
     grams = gram_hash(values, gram)
-    return sliding_min(grams, window - gram + 1).view(np.int64) if len(grams) >= window - gram + 1 else np.zeros(0, np.int64)
+    if len(grams) < window - gram + 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = np.uint64(len(grams).bit_length())
+    packed = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
+    at = (sliding_min(packed, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    return grams[at].view(np.int64), at
 
 
 def segments(values: np.ndarray, offs: np.ndarray, window: int, grams: tuple[int, ...], hot: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -50,18 +55,17 @@ def segments(values: np.ndarray, offs: np.ndarray, window: int, grams: tuple[int
     if n <= 0:
         return (np.zeros(0, np.int64),) * 4
     valid = np.flatnonzero(row[:n] == row[window - 1 :])
-    keys = window_keys(values, window, grams[0])[valid]
+    keys, place = (x[valid] for x in window_keys(values, window, grams[0]))
     for level, known in enumerate(hot, 1):
-        if not len(known) or not len(keys):
-            break
-        again = np.flatnonzero(np.isin(keys, known))
+        again = np.flatnonzero(np.isin(keys, known)) if len(known) else known
         if not len(again):
             break
-        keys[again] = window_keys(values, window, grams[level])[valid[again]] ^ np.int64(level)
+        longer, at = window_keys(values, window, grams[level])
+        keys[again], place[again] = longer[valid[again]] ^ np.int64(level), at[valid[again]]
     if not len(valid):
         return (np.zeros(0, np.int64),) * 4
     cut = np.ones(len(valid), bool)
-    cut[1:] = (np.diff(valid) != 1) | (np.diff(keys) != 0) | (np.diff(row[valid]) != 0)
+    cut[1:] = (np.diff(valid) != 1) | (np.diff(keys) != 0) | (np.diff(place) != 0) | (np.diff(row[valid]) != 0)
     at = np.flatnonzero(cut)
     return keys[at], row[valid[at]], valid[at] - offs[row[valid[at]]], np.diff(np.append(at, len(valid)))
 
