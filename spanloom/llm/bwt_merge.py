@@ -110,7 +110,7 @@ def repeated_bytes(docs: DataFrame, staged: Staged, window: int = 200, gram: int
     rows = _row_id(docs)
     grams = (gram, (gram + window) // 2, window)
     found = staged.write(repeated_segments(rows, staged, _byte_symbols, window, grams, 1 << 18), "repeated")
-    bodies = staged.write(with_symbols(rows, found, _byte_symbols, lambda values, batch, offs: utf8(batch.column("text"))[0], window, 1 << 20), "bodies")
+    bodies = staged.write(with_symbols(rows, found, _byte_symbols, lambda values, batch, offs: utf8(batch.column("text"))[0], window, grams, 1 << 20), "bodies")
     size = bodies.agg(F.sum(F.col("n") + window)).first()[0] or 0
     bins = max(4 * partitions(docs.sparkSession), int(size) // bin_bytes + 1)
     distinct = bodies.groupBy("key", "digest", "content").agg(F.count("*").alias("copies"))

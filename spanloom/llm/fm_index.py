@@ -169,7 +169,7 @@ def repeated_words(docs: DataFrame, staged: Staged, window: int = 50, gram: int
     rows = _row_id(docs)
     grams = (gram, (gram + window) // 2, window)
     found = staged.write(repeated_segments(rows, staged, words, window, grams, 1 << 20), "repeated")
-    bodies = staged.write(with_symbols(rows, found, words, lambda values, batch, offs: values, window, 1 << 20), "bodies")
+    bodies = staged.write(with_symbols(rows, found, words, lambda values, batch, offs: values, window, grams, 1 << 20), "bodies")
     size = bodies.agg(F.sum(F.col("n") + window)).first()[0] or 0
     shards = max(4 * partitions(docs.sparkSession), int(size) // shard_words + 1)
     distinct = bodies.groupBy("key", "digest", "content").agg(F.min("doc_id").alias("owner"))

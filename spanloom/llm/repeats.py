@@ -7,7 +7,9 @@ key occurs more than once can hold a repeated window; their symbols go to the sh
 
 A key that is hot (a passage that many documents share) would put all their different
 surroundings in one shard. Its windows are keyed again by longer grams, and those that are still
-hot by the whole window, which leaves one row per distinct window. The lists of hot keys are
+hot by the whole window, which drops the windows that reach into surroundings of their own. What
+is left of a passage is joined again to runs keyed by the longer gram; these are the same in all
+documents and become one row when contents are made distinct. The lists of hot keys are
 bounded: a key is hot beyond a fixed share of all rows, so there are at most ``HOT_KEYS`` of them.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import Staged, chunks, gram_hash, partitions, ranges, utf8
 
 HOT_KEYS = 4096
-SEGMENT = "key long, rid long, start long, n long"
+SEGMENT = "key long, rid long, start long, n long, level int"
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -49,25 +51,27 @@ def window_keys(values: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
 
 
 def segments(values: np.ndarray, offs: np.ndarray, window: int, grams: tuple[int, ...], hot: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Segments of all rows: key, row, start in the row and number of windows."""
+    """Segments of all rows: key, row, start in the row, number of windows, level of the key."""
     n = len(values) - window + 1
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     valid = np.flatnonzero(row[:n] == row[window - 1 :])
     keys, place = (x[valid] for x in window_keys(values, window, grams[0]))
+    depth = np.zeros(len(keys), np.int64)
     for level, known in enumerate(hot, 1):
         again = np.flatnonzero(np.isin(keys, known)) if len(known) else known
         if not len(again):
             break
         longer, at = window_keys(values, window, grams[level])
         keys[again], place[again] = longer[valid[again]] ^ np.int64(level), at[valid[again]]
+        depth[again] = level
     if not len(valid):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     cut = np.ones(len(valid), bool)
     cut[1:] = (np.diff(valid) != 1) | (np.diff(keys) != 0) | (np.diff(place) != 0) | (np.diff(row[valid]) != 0)
     at = np.flatnonzero(cut)
-    return keys[at], row[valid[at]], valid[at] - offs[row[valid[at]]], np.diff(np.append(at, len(valid)))
+    return keys[at], row[valid[at]], valid[at] - offs[row[valid[at]]], np.diff(np.append(at, len(valid))), depth[at]
 
 
 def route(docs: DataFrame, symbols: Symbols, window: int, grams: tuple[int, ...], hot: list[np.ndarray], limit: int) -> DataFrame:
@@ -77,8 +81,8 @@ def route(docs: DataFrame, symbols: Symbols, window: int, grams: tuple[int, ...]
         for whole in batches:
             for batch in chunks(whole, "text", limit):
                 rid = batch.column("rid").to_numpy()
-                keys, row, start, n = segments(*symbols(*utf8(batch.column("text"))), window, grams, hot)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys, rid[row], start, n)], ["key", "rid", "start", "n"])
+                keys, row, start, n, level = segments(*symbols(*utf8(batch.column("text"))), window, grams, hot)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (keys, rid[row], start, n)), pa.array(level.astype(np.int32))], ["key", "rid", "start", "n", "level"])
 
     return docs.select("rid", "text").mapInArrow(run, SEGMENT)
 
@@ -105,9 +109,25 @@ def repeated_segments(docs: DataFrame, staged: Staged, symbols: Symbols, window:
         return rows.join(counts.select("key"), "key", "left_semi")
 
 
-def with_symbols(docs: DataFrame, found: DataFrame, symbols: Symbols, packed: Callable, window: int, limit: int) -> DataFrame:
+def rejoined(key: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, single: np.ndarray, values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Joins neighbouring windows that were keyed one by one to runs keyed by their smallest longer gram."""
+    one = np.flatnonzero(single)
+    if not len(one):
+        return key, row, start, n
+    one = one[np.lexsort((start[one], row[one]))]
+    at = offs[row[one]] + start[one]
+    longer, place = (x[at] for x in window_keys(values, window, gram))
+    new = np.ones(len(one), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(row[one]) != 0) | (np.diff(place) != 0)
+    first = np.flatnonzero(new)
+    rest = ~single
+    runs = (longer[first] ^ np.int64(1), row[one][first], start[one][first], np.diff(np.append(first, len(one))))
+    return tuple(np.concatenate((x[rest], y)) for x, y in zip((key, row, start, n), runs, strict=True))
+
+
+def with_symbols(docs: DataFrame, found: DataFrame, symbols: Symbols, packed: Callable, window: int, grams: tuple[int, ...], limit: int) -> DataFrame:
     """Adds the symbols of each segment: (key, rid, doc_id, start, n, content, digest)."""
-    per_doc = found.groupBy("rid").agg(F.collect_set(F.struct("key", "start", "n")).alias("segments"))
+    per_doc = found.groupBy("rid").agg(F.collect_set(F.struct("key", "start", "n", "level")).alias("segments"))
     joined = docs.join(per_doc, "rid").select("rid", "doc_id", "text", "segments")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +137,9 @@ def with_symbols(docs: DataFrame, found: DataFrame, symbols: Symbols, packed: Ca
                 parts = lists.flatten()
                 count = np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(len(batch)), count)
-                key, start, n = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                key, start, n, level = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 values, offs = symbols(*utf8(batch.column("text")))
+                key, row, start, n = rejoined(key, row, start, n, level == len(grams) - 1, values, offs, window, grams[1])
                 at, length = offs[row] + start, n + window - 1
                 for low in range(0, len(at), 20_000):  # bounds the size of one output batch
                     part = slice(low, low + 20_000)
