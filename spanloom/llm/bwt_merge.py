@@ -101,8 +101,8 @@ def _byte_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return byte_values(data), offs
 
 
-def _row_id(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+def _row_id(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def repeated_bytes(docs: DataFrame, staged: Staged, window: int = 200, gram: int = 24, bin_bytes: int = 400_000, shard_bytes: int = 65_536) -> DataFrame:
@@ -125,49 +125,56 @@ def repeated_bytes(docs: DataFrame, staged: Staged, window: int = 200, gram: int
     return removal(bodies.select("key", "rid", "doc_id", "start", "digest"), staged.write(spans, "spans"), window).select("rid", "start", "end")
 
 
-def cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes the byte ranges from each document."""
-    for whole in batches:
-        for batch in chunks(whole, "text"):
-            data, offs = utf8(batch.column("text"))
-            spans = batch.column("spans").to_pylist()
-            n, removed, runs, digests, kept = [], [], [], [], []
-            for i in range(len(batch)):
-                own = data[offs[i] : offs[i + 1]]
-                at, pieces, gone, count = 0, [], 0, 0
-                end = -1
-                for x in sorted((x["start"], x["end"]) for x in spans[i] or ()):
-                    if x[0] > end:
-                        if end >= 0:
-                            count += 1
-                        pieces.append(own[at : x[0]])
-                    end = max(end, x[1])
-                    at = end
-                count += end >= 0
-                pieces.append(own[at:])
-                left = b"".join(p.tobytes() for p in pieces)
-                gone = len(own) - len(left)
-                n.append(len(own))
-                removed.append(gone)
-                runs.append(count)
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def suffix_dedup(docs: DataFrame, window: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Removes bytes covered by a ``window``-byte string that also starts anywhere else in the table.
+def cut(spans: list[tuple[int, int]], own: np.ndarray) -> tuple[bytes, int]:
+    """What is left of a text without the byte ranges, and the number of maximal ranges."""
+    at, pieces, runs, end = 0, [], 0, -1
+    for start, stop in sorted(spans):
+        if start > end:
+            runs += 1
+            pieces.append(own[at:start])
+        end = max(end, stop)
+        at = end
+    pieces.append(own[at:])
+    return b"".join(p.tobytes() for p in pieces), runs
+
+
+def cut_rows(docs: DataFrame, window: int = 200, as_text: bool = False) -> DataFrame:
+    """suffix_dedup for whole rows: (row, n_bytes, n_removed, n_spans, kept_sha256, kept), row a struct of all columns.
 
-    Returns (doc_id, *keep, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of
-    docs; kept is binary, as a cut may split a character. Null texts are empty; repeated rows hold
-    each other's strings and so lose them; matches never cross rows. Other columns are ignored,
-    those named in ``keep`` pass through. Empty tables give no rows.
+    as_text: kept is a string; a character that a cut splits goes as a whole.
     """
     staged = Staged(docs.sparkSession)
     spans = repeated_bytes(docs, staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    row = F.struct("doc_id", *keep).alias("row")
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), row, F.coalesce("text", F.lit("")).alias("text"))
-    joined = rows.join(spans, "rid", "left").select("row", "text", "spans")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = rows.withColumn("row", F.col("row").dropFields("text")) if len(docs.columns) > 1 else rows
+    joined = slim.join(spans, "rid", "left").select("row", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                data, offs = utf8(batch.column("text"))
+                spans = batch.column("spans").to_pylist()
+                n, runs, digests, kept, removed = [], [], [], [], []
+                for i in range(len(batch)):
+                    own = data[offs[i] : offs[i + 1]]
+                    left, count = cut([(x["start"], x["end"]) for x in spans[i] or ()], own)
+                    n.append(len(own))
+                    removed.append(len(own) - len(left))
+                    runs.append(count)
+                    digests.append(hashlib.sha256(left).hexdigest())
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string() if as_text else pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
     kind = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(cut_bytes, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}")
+
+
+def suffix_dedup(docs: DataFrame, window: int = 200) -> DataFrame:
+    """Removes bytes covered by a ``window``-byte string that also starts anywhere else in the table.
+
+    Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of docs;
+    kept is binary, as a cut may split a character. Null texts are empty; repeated rows hold each
+    other's strings and so lose them; matches never cross rows. Other columns are ignored. Empty
+    tables give no rows.
+    """
+    return cut_rows(docs.select("doc_id", "text"), window).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, keep: tuple[st
     """
     spark = docs.sparkSession
     staged = Staged(spark)
-    rows = docs.select("doc_id", "source", *keep, words().alias("size"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", *dict.fromkeys(["source", *keep]), words().alias("size"), F.xxhash64("text").alias("tie"))
     quality = F.lit(1.0)
     if labels is not None:
         graded = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))

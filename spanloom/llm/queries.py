@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bwt_merge, chat, embeddings, fm_index, mixing, simhash, toxicity, url_rules
+from spanloom.llm import bwt_merge, chat, decontaminate, embeddings, fm_index, licenses, mixing, simhash, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(turns).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, sf_dir, "pages"), url_rules.default_rules(spark))
 
@@ -46,14 +50,27 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_merge.suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
+    "op6_decontamination": op6_decontamination,
     "op7_url_rules": op7_url_rules,
     "op8_embeddings": op8_embeddings,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_licenses": op10_licenses,
+    "pipeline": pipeline,
 }
 ORACLES = {"op4_mixing": mixing.ORACLE, "op7_url_rules": url_rules.ORACLE}
