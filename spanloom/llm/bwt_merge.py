@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import Staged, byte_values, chunks, partitions, utf8
 from spanloom.llm.fm_index import NO_OWNER, spans_of
-from spanloom.llm.repeats import removal, repeated_segments, with_symbols
+from spanloom.llm.repeats import lone, marked, removal, repeated_segments, with_symbols
 
 
 def rotation_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -101,28 +101,35 @@ def _byte_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return byte_values(data), offs
 
 
-def _row_id(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def repeated_bytes(docs: DataFrame, staged: Staged, window: int = 200, gram: int = 24, bin_bytes: int = 400_000, shard_bytes: int = 65_536) -> DataFrame:
-    """Byte ranges (rid, start, end) of windows that occur anywhere else too."""
-    rows = _row_id(docs)
+def repeated_bytes(rows: DataFrame, staged: Staged, window: int = 200, gram: int = 24, bin_bytes: int = 400_000, shard_bytes: int = 65_536) -> DataFrame:
+    """Byte ranges (rid, start, end) of windows of rows (rid, doc_id, text) that occur anywhere else too."""
     grams = (gram, (gram + window) // 2, window)
-    found = staged.write(repeated_segments(rows, staged, _byte_symbols, window, grams, 1 << 18), "repeated")
+    found = repeated_segments(rows, staged, _byte_symbols, window, grams, 1 << 18)
     bodies = staged.write(with_symbols(rows, found, _byte_symbols, lambda values, batch, offs: utf8(batch.column("text"))[0], window, grams, 1 << 20), "bodies")
+    staged.drop("repeated")
     size = bodies.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    bins = max(4 * partitions(docs.sparkSession), int(size) // bin_bytes + 1)
+    bins = max(4 * partitions(rows.sparkSession), int(size) // bin_bytes + 1)
     distinct = bodies.groupBy("key", "digest", "content").agg(F.count("*").alias("copies"))
 
     def merge(table: pa.Table) -> pa.Table:
         contents = table.column("content").to_pylist()
-        hit, lengths = repeated_windows(contents, table.column("copies").to_numpy(), window, shard_bytes)
-        row, first, last, owner = spans_of(np.where(hit, 0, NO_OWNER), lengths)
-        return pa.table({"key": table.column("key").take(pa.array(row)), "digest": table.column("digest").take(pa.array(row)), "first": pa.array(first), "last": pa.array(last), "owner": pa.array(owner)})
+        key, digest, copies = (table.column(c).to_numpy() for c in ("key", "digest", "copies"))
+        alone = lone(key)  # windows of a lone content occur as often as it does
+        own = np.flatnonzero(alone & (copies > 1))
+        out = [(own, np.zeros(len(own), np.int64), np.array([len(contents[i]) - window for i in own], np.int64))]
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            hit, lengths = repeated_windows([contents[i] for i in rest], copies[rest], window, shard_bytes)
+            row, first, last, _ = spans_of(np.where(hit, 0, NO_OWNER), lengths)
+            out.append((rest[row], first, last))
+        row, first, last = (np.concatenate([x[k] for x in out]) for k in range(3))
+        return pa.table({"key": pa.array(key[row]), "digest": pa.array(digest[row]), "first": pa.array(first), "last": pa.array(last), "owner": pa.array(np.zeros(len(row), np.int64))})
 
     spans = distinct.withColumn("bin", F.expr(f"pmod(xxhash64(key), {bins})")).groupBy("bin").applyInArrow(merge, "key long, digest long, first long, last long, owner long")
-    return removal(bodies.select("key", "rid", "doc_id", "start", "digest"), staged.write(spans, "spans"), window).select("rid", "start", "end")
+    spans = staged.write(spans, "spans")
+    places = staged.write(bodies.select("key", "rid", "doc_id", "start", "digest"), "places")
+    staged.drop("bodies")
+    return removal(places, spans, window).select("rid", "start", "end")
 
 
 def cut(spans: list[tuple[int, int]], own: np.ndarray) -> tuple[bytes, int]:
@@ -139,25 +146,27 @@ def cut(spans: list[tuple[int, int]], own: np.ndarray) -> tuple[bytes, int]:
 
 
 def cut_rows(docs: DataFrame, window: int = 200, as_text: bool = False) -> DataFrame:
-    """suffix_dedup for whole rows: (row, n_bytes, n_removed, n_spans, kept_sha256, kept), row a struct of all columns.
+    """suffix_dedup for whole rows: (row, n_bytes, n_removed, n_spans, kept_sha256, kept), row a struct of the other columns.
 
     as_text: kept is a string; a character that a cut splits goes as a whole.
     """
     staged = Staged(docs.sparkSession)
-    spans = repeated_bytes(docs, staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    slim = rows.withColumn("row", F.col("row").dropFields("text")) if len(docs.columns) > 1 else rows
-    joined = slim.join(spans, "rid", "left").select("row", "text", "spans")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    rows = marked(rows)
+    # of a hot text one row is routed, the smallest; all copies lose all of it
+    routed = rows.where("first_id is null or first_id <=> doc_id").select("rid", "doc_id", "text")
+    spans = repeated_bytes(routed, staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(spans, "rid", "left").select("row", "text", F.col("first_id").isNotNull().alias("copy"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text"):
                 data, offs = utf8(batch.column("text"))
-                spans = batch.column("spans").to_pylist()
+                spans, copies = batch.column("spans").to_pylist(), batch.column("copy").to_pylist()
                 n, runs, digests, kept, removed = [], [], [], [], []
                 for i in range(len(batch)):
                     own = data[offs[i] : offs[i + 1]]
-                    left, count = cut([(x["start"], x["end"]) for x in spans[i] or ()], own)
+                    left, count = cut([(0, len(own))] if copies[i] and len(own) >= window else [(x["start"], x["end"]) for x in spans[i] or ()], own)
                     n.append(len(own))
                     removed.append(len(own) - len(left))
                     runs.append(count)

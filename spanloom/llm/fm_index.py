@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import Staged, chunks, partitions, prefix_sums, byte_values, span_hash, utf8, word_spans
-from spanloom.llm.repeats import removal, repeated_segments, with_symbols
+from spanloom.llm.repeats import lone, marked, removal, repeated_segments, with_symbols
 
 NO_OWNER = np.int64(np.iinfo(np.int64).max)
 
@@ -164,43 +164,56 @@ def _row_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def repeated_words(docs: DataFrame, staged: Staged, window: int = 50, gram: int = 12, shard_words: int = 200_000) -> DataFrame:
-    """Word ranges (rid, doc_id, start, end) of windows that a document with a smaller id holds."""
-    rows = _row_id(docs)
+def repeated_words(rows: DataFrame, staged: Staged, window: int = 50, gram: int = 12, shard_words: int = 200_000) -> DataFrame:
+    """Word ranges (rid, start, end) of windows of rows (rid, doc_id, text) that a document with a smaller id holds."""
     grams = (gram, (gram + window) // 2, window)
-    found = staged.write(repeated_segments(rows, staged, words, window, grams, 1 << 20), "repeated")
+    found = repeated_segments(rows, staged, words, window, grams, 1 << 20)
     bodies = staged.write(with_symbols(rows, found, words, lambda values, batch, offs: values, window, grams, 1 << 20), "bodies")
+    staged.drop("repeated")
     size = bodies.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    shards = max(4 * partitions(docs.sparkSession), int(size) // shard_words + 1)
+    shards = max(4 * partitions(rows.sparkSession), int(size) // shard_words + 1)
     distinct = bodies.groupBy("key", "digest", "content").agg(F.min("doc_id").alias("owner"))
 
     def search(table: pa.Table) -> pa.Table:
         contents = [np.frombuffer(x, np.uint64) for x in table.column("content").to_pylist()]
         owners = np.array([NO_OWNER if x is None else x for x in table.column("owner").to_pylist()], np.int64)
-        index, alphabet = index_of(contents, owners, window)
-        lengths = np.array([len(x) for x in contents])
-        queries = np.searchsorted(alphabet, np.concatenate(contents)) + 1
-        row, first, last, owner = spans_of(index.windows(queries, np.concatenate(([0], np.cumsum(lengths)))), lengths)
-        return pa.table({"key": table.column("key").take(pa.array(row)), "digest": table.column("digest").take(pa.array(row)), "first": pa.array(first), "last": pa.array(last), "owner": pa.array(owner)})
+        key, digest = table.column("key").to_numpy(), table.column("digest").to_numpy()
+        alone = lone(key)  # all windows of a lone content have its owner
+        n = np.array([len(x) - window for x in contents])
+        own = np.flatnonzero(alone & (owners != NO_OWNER))
+        out = [(own, np.zeros(len(own), np.int64), n[own], owners[own])]
+        rest = np.flatnonzero(~alone)
+        if len(rest):
+            some = [contents[i] for i in rest]
+            index, alphabet = index_of(some, owners[rest], window)
+            lengths = np.array([len(x) for x in some])
+            queries = np.searchsorted(alphabet, np.concatenate(some)) + 1
+            row, first, last, owner = spans_of(index.windows(queries, np.concatenate(([0], np.cumsum(lengths)))), lengths)
+            out.append((rest[row], first, last, owner))
+        row, first, last, owner = (np.concatenate([x[k] for x in out]) for k in range(4))
+        return pa.table({"key": pa.array(key[row]), "digest": pa.array(digest[row]), "first": pa.array(first), "last": pa.array(last), "owner": pa.array(owner)})
 
     spans = distinct.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards})")).groupBy("shard").applyInArrow(search, "key long, digest long, first long, last long, owner long")
     # only spans that someone else may lose matter; the smallest document of a window keeps it
     spans = staged.write(spans, "spans")
-    places = bodies.select("key", "rid", "doc_id", "start", "digest")
+    places = staged.write(bodies.select("key", "rid", "doc_id", "start", "digest"), "places")
+    staged.drop("bodies")
     return removal(places, spans, window).where("owner < doc_id").select("rid", "start", "end")
 
 
-def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes the word ranges from each document and digests what is left."""
+def cut_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Removes the word ranges from each document, all words from a copy, and digests what is left."""
     for whole in batches:
         for batch in chunks(whole, "text"):
             data, offs = utf8(batch.column("text"))
             starts, ends, rows = word_spans(data, offs)
-            raw, spans = data.tobytes(), batch.column("spans").to_pylist()
+            raw, spans, copies = data.tobytes(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist()
             n, removed, digests, kept = [], [], [], []
             for i in range(len(batch)):
                 low, high = int(rows[i]), int(rows[i + 1])
                 gone = np.zeros(high - low + 1, np.int32)
+                if copies[i] and high - low >= window:
+                    gone[0] = 1
                 for x in spans[i] or ():
                     gone[x["start"]] += 1
                     gone[x["end"]] -= 1
@@ -222,6 +235,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     columns other than doc_id and text are ignored.
     """
     staged = Staged(docs.sparkSession)
-    spans = repeated_words(docs, staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = _row_id(docs).join(spans, "rid", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut_words, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    rows = marked(_row_id(docs)).withColumn("copy", F.coalesce(F.expr("first_id < doc_id"), F.lit(False)))
+    spans = repeated_words(rows.where("not copy"), staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "copy", "spans")
+    return joined.mapInArrow(lambda batches: cut_words(batches, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import Staged, chunks, gram_hash, partitions, ranges, utf8
 
 HOT_KEYS = 4096
+HOT_TEXTS = 1000
 SEGMENT = "key long, rid long, start long, n long, level int"
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -74,6 +75,25 @@ def segments(values: np.ndarray, offs: np.ndarray, window: int, grams: tuple[int
     return keys[at], row[valid[at]], valid[at] - offs[row[valid[at]]], np.diff(np.append(at, len(valid))), depth[at]
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """Adds first_id: for a text that is hot, the smallest doc_id of its copies, else null.
+
+    A text is hot if it makes up more than a HOT_TEXTS-th of the rows, so the list that is broadcast
+    has fewer than HOT_TEXTS rows. Exact copies of a hot text need no search: they are routed once.
+    """
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    counts = keyed.groupBy("text_key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first_id"))
+    total = docs.count()
+    hot = counts.where(F.col("c") > max(50, total // HOT_TEXTS)).select("text_key", "first_id")
+    return keyed.join(F.broadcast(hot), "text_key", "left").drop("text_key")
+
+
+def lone(key: np.ndarray) -> np.ndarray:
+    """Whether a content is the only one of its key, whose windows then occur nowhere else."""
+    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[inverse] == 1
+
+
 def route(docs: DataFrame, symbols: Symbols, window: int, grams: tuple[int, ...], hot: list[np.ndarray], limit: int) -> DataFrame:
     """Segments of documents (rid, text)."""
 
@@ -106,7 +126,10 @@ def repeated_segments(docs: DataFrame, staged: Staged, symbols: Symbols, window:
                 staged.drop(f"segments{level}")
                 staged.drop(f"counts{level}")
                 continue
-        return rows.join(counts.select("key"), "key", "left_semi")
+        found = staged.write(rows.join(counts.select("key"), "key", "left_semi"), "repeated")
+        staged.drop(f"segments{level}")
+        staged.drop(f"counts{level}")
+        return found
 
 
 def rejoined(key: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, single: np.ndarray, values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
