@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import WORD, Staged
 
-BIN_ROWS = 50
+BIN_ROWS = 500
 WEIGHTS = (5, 2, 1)
 CAP = 3
 
