@@ -1,0 +1,29 @@
+"""Fuzzy text similarity in Arrow batches, for what no built-in function computes."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+@F.pandas_udf(DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of matching blocks, 2M / T, which is not an edit distance."""
+    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def fragment_ratio(fragment: pd.Series, whole: pd.Series) -> pd.Series:
+    """Best matching ratio of a fragment with any part of the same length of the whole."""
+
+    def best(x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        if x in y:
+            return 1.0
+        return max(SequenceMatcher(None, x, y[k : k + len(x)], autojunk=False).ratio() for k in range(max(1, len(y) - len(x) + 1)))
+
+    return pd.Series([best(x or "", y or "") for x, y in zip(fragment, whole, strict=True)])
