@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import boxes, intervals, metrics, queues
+from spanloom.operators import boxes, evaluation, folds, intervals, metrics, policies, queues, review
 from spanloom.operators.graph import connected
 from spanloom.sources.tables import samples, table
+from spanloom.streaming.sessions import session_stream
 
 HOUR, DAY = 3600.0, 86400.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,15 +183,50 @@ def probabilistic_union(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("source").agg(F.round(1 - rest, 6).alias("any_probability"))
 
 
-@query(f"""WITH s AS ({S}), p AS (SELECT source, max(score) FILTER (label = 'error') / 500 AS high, max(score) FILTER (label = 'click') / 500 AS low, count(DISTINCT label) FILTER (score >= 100) AS together FROM s GROUP BY source)
-SELECT source, CASE WHEN high >= 0.6 THEN 'high' WHEN low >= 0.3 AND together >= 3 THEN 'context' WHEN low >= 0.3 THEN 'low' ELSE 'none' END AS policy, together FROM p""")
+TAGS = f"""WITH s AS ({S}), p AS (SELECT source, label, least(1.0, max(score) / 1200) AS p FROM s WHERE sample_id % 3 = 0 GROUP BY ALL),
+g AS (SELECT source, 1 - product(1 - p) FILTER (label IN ('error', 'click')) AS score, 1 - product(1 - p) FILTER (label IN ('view', 'signup')) AS context, count(*) FILTER (label IN ('error', 'click') AND p >= 0.3) AS n,
+1 - product(1 - p) AS every, count(*) FILTER (p >= 0.3) AS together FROM p GROUP BY source),
+r AS (SELECT source, coalesce(score, 0) AS score, coalesce(context, 0) AS context, n, every, together FROM g)"""
+
+
+def _tags(spark, sf_dir) -> DataFrame:
+    per_label = samples(spark, sf_dir).where("sample_id % 3 = 0").groupBy("source", "label").agg(F.least(F.lit(1.0), F.max("score") / 1200).alias("p"))
+    return per_label.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("label", "p"))).alias("tags"))
+
+
+@query(TAGS + """ SELECT source, score_reason <> 'below_policy' AS accepted, round(score, 6) AS score, round(context, 6) AS context, score_reason AS reason FROM
+(SELECT *, CASE WHEN score >= 0.6 THEN 'high_score' WHEN score >= 0.2 AND (context >= 0.5 OR n >= 2) THEN 'context_confirmed' ELSE 'below_policy' END AS score_reason FROM r)""")
 def tag_policy(spark, sf_dir):
-    per_label = samples(spark, sf_dir).groupBy("source", "label").agg(F.max("score").alias("m"))
-    tags = per_label.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("label", "m"))).alias("tags"))
-    together = F.size(F.filter(F.map_values("tags"), lambda x: x >= 100)).cast("long")
-    high, low = F.try_element_at("tags", F.lit("error")) / 500, F.try_element_at("tags", F.lit("click")) / 500
-    policy = F.when(high >= 0.6, "high").when((low >= 0.3) & (together >= 3), "context").when(low >= 0.3, "low").otherwise("none")
-    return tags.select("source", policy.alias("policy"), together.alias("together"))
+    d = policies.context_policy(F.col("tags"), ["error", "click"], ["view", "signup"], high=0.6, low=0.2, around=0.5, together=0.3)
+    return _tags(spark, sf_dir).select("source", d.alias("d")).select("source", "d.accepted", F.round("d.score", 6).alias("score"), F.round("d.context", 6).alias("context"), "d.reason")
+
+
+@query(TAGS + " SELECT source, every >= 0.5 AND together >= 3 AS accepted, round(every, 6) AS score, together AS cooccurring FROM r")
+def explicit_policy(spark, sf_dir):
+    d = policies.explicit_policy(F.col("tags"), ["click", "error", "purchase", "signup", "view"], threshold=0.5, together=0.3, least=3)
+    return _tags(spark, sf_dir).select("source", d.alias("d")).select("source", "d.accepted", F.round("d.score", 6).alias("score"), "d.cooccurring")
+
+
+TRACKS = """t AS (SELECT doc_id, regexp_matches(text, 'licen[cs]ed', 'i') AS hit, (doc_id % 97) / 96.0 AS ad, (doc_id % 89) / 88.0 AS subtitle, (doc_id % 83) / 82.0 AS credits, (doc_id % 79) / 78.0 AS scene,
+(doc_id % 101) / 100.0 AS progress, ['subtitle', 'top-left', 'middle-center', 'bottom-right'][(doc_id % 4)::INT + 1] AS zone, n_chars / 100.0 AS seconds, (doc_id % 7) / 10.0 AS wide, (doc_id % 5) / 10.0 AS tall,
+doc_id % 3 = 0 AS persistent, n_chars AS length, length(regexp_replace(lower(text), '[^0-9a-z]+', '', 'g')) AS compact FROM documents),
+o AS (SELECT *, persistent AND (zone IN ('top-left', 'bottom-right') OR wide >= 0.3) AS overlay FROM t)"""
+
+
+@query(f"""WITH {TRACKS}, r AS (SELECT doc_id, ad, overlay, CASE WHEN hit THEN 'REVIEW_POLICY_OVERRIDE' WHEN progress >= 0.9 AND length >= 3 AND NOT (ad >= 0.85 AND overlay) THEN 'LIKELY_CREDITS'
+WHEN progress < 0.9 AND ad < 0.2 AND greatest(credits, scene) >= 0.65 AND (NOT persistent OR wide < 0.3 OR compact <= 4) THEN 'LIKELY_SCENE_TEXT'
+WHEN ad >= 0.45 AND ad >= greatest(subtitle, credits, scene) - 0.03 THEN 'REVIEW_AD_LIKELY' WHEN zone = 'subtitle' AND seconds <= 12 AND tall <= 0.18 AND subtitle >= 0.52 AND subtitle >= ad + 0.12 THEN 'LIKELY_SUBTITLE'
+WHEN progress >= 0.85 AND credits >= 0.52 AND credits >= ad + 0.12 THEN 'LIKELY_CREDITS' WHEN NOT overlay AND scene >= 0.55 AND scene >= ad + 0.15 THEN 'LIKELY_SCENE_TEXT' WHEN NOT overlay AND ad < 0.2 THEN 'LOW_AD_UNCERTAIN'
+WHEN overlay THEN 'REVIEW_UNCERTAIN_OVERLAY' ELSE 'REVIEW_UNCERTAIN' END AS routing FROM o)
+SELECT doc_id, routing, CASE WHEN routing = 'REVIEW_POLICY_OVERRIDE' THEN 'high' WHEN routing = 'REVIEW_AD_LIKELY' THEN CASE WHEN ad >= 0.62 OR overlay THEN 'high' ELSE 'medium' END WHEN routing = 'REVIEW_UNCERTAIN_OVERLAY' THEN 'medium' ELSE 'low' END AS priority,
+starts_with(routing, 'REVIEW') AS candidate FROM r""")
+def route_text_tracks(spark, sf_dir):
+    i = F.col("doc_id")
+    zone = F.element_at(F.array(*map(F.lit, ("subtitle", "top-left", "middle-center", "bottom-right"))), (i % 4 + 1).cast("int"))
+    shares = [(i % n) / F.lit(float(n - 1)) for n in (97, 89, 83, 79, 101)]
+    compact = F.length(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", ""))
+    route = policies.track_route(F.col("text").rlike("(?i)licen[cs]ed"), *shares, zone, F.col("n_chars") / 100.0, (i % 7) / 10.0, (i % 5) / 10.0, i % 3 == 0, F.col("n_chars"), compact)
+    return table(spark, sf_dir, "documents").select("doc_id", route.alias("r")).select("doc_id", "r.routing", "r.priority", "r.candidate")
 
 
 @query(r"""SELECT doc_id, CASE WHEN n_chars < 40 THEN 'too_short' WHEN regexp_matches(lower(text), '([a-z0-9-]+\.)+(com|net|org)\b') THEN 'address' WHEN lang <> 'en' AND n_chars < 500 THEN 'subtitle'
@@ -408,3 +444,208 @@ def json_payloads(spark, sf_dir):
 def names_by_group(spark, sf_dir):
     joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region").where("r_name in ('ASIA', 'EUROPE')"), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+GOLDEN = f"""WITH s AS ({S}), labels AS (SELECT sample_id AS label_id, source, CASE WHEN label = 'error' THEN 'safety' ELSE 'advertising' END AS grp, CASE WHEN source % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split,
+t AS "start", t + 1800 + 60 * score AS "end", ['KEEP', 'BLUR', 'CUT', 'BLUR', 'KEEP'][(sample_id % 5)::INT + 1] AS action, sample_id % 10 = 4 AS present, CASE WHEN sample_id % 3 = 0 THEN 'must_catch' ELSE 'optional' END AS severity, sample_id % 11 = 0 AS ambiguous,
+CASE WHEN sample_id % 4 > 0 THEN sample_id % 50 END AS x1, CASE WHEN sample_id % 4 > 0 THEN sample_id % 30 END AS y1, CASE WHEN sample_id % 4 > 0 THEN sample_id % 50 + 40 END AS x2, CASE WHEN sample_id % 4 > 0 THEN sample_id % 30 + 20 END AS y2 FROM s WHERE label IN ('error', 'purchase')),
+items AS (SELECT sample_id AS item_id, source, CASE WHEN sample_id % 2 = 0 THEN 'safety' ELSE 'advertising' END AS grp, t - 3600 AS "start", t + 14400 AS "end", sample_id % 7 = 0 AS advisory, ['frame', 'region', 'region', 'region', 'unknown'][(sample_id % 5)::INT + 1] AS kind,
+['BLUR', 'CUT', 'KEEP'][(sample_id % 3)::INT + 1] AS decision, sample_id % 60 AS x1, sample_id % 40 AS y1, sample_id % 60 + 60 AS x2, sample_id % 40 + 45 AS y2 FROM s WHERE label IN ('click', 'view')),
+met AS (SELECT l.*, i.item_id, i.advisory, i.decision, i."end" - i."start" AS extent, greatest(l."start", i."start") AS a, least(l."end", i."end") AS b FROM labels l JOIN items i ON l.source = i.source AND l.grp = i.grp AND l."start" < i."end" AND i."start" < l."end"
+WHERE CASE WHEN kind = 'unknown' THEN false WHEN l.x1 IS NULL THEN kind = 'frame' OR (i.x2 - i.x1) * (i.y2 - i.y1) >= 0.5 * 4800 WHEN kind = 'frame' THEN l.grp = 'safety'
+ELSE greatest(0, least(i.x2, l.x2) - greatest(i.x1, l.x1)) * greatest(0, least(i.y2, l.y2) - greatest(i.y1, l.y1)) >= 0.3 * least((i.x2 - i.x1) * (i.y2 - i.y1), (l.x2 - l.x1) * (l.y2 - l.y1)) END),"""
+
+
+def _covered(name: str, key: str, where: str) -> str:
+    return f"""{name}_o AS (SELECT {key} AS k, a, b, coalesce((a > max(b) OVER (PARTITION BY {key} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS opens FROM met WHERE {where}),
+{name}_g AS (SELECT *, sum(opens) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM {name}_o), {name} AS (SELECT k, sum(e - s) AS seconds FROM (SELECT k, min(a) AS s, max(b) AS e FROM {name}_g GROUP BY k, grp) GROUP BY k)"""
+
+
+SCORED = GOLDEN + _covered("every", "label_id", "true") + ", " + _covered("main", "label_id", "NOT advisory") + """, best AS (SELECT label_id, arg_max(item_id, (NOT advisory, b - a, -abs(extent - ("end" - "start")), -item_id)) AS best_item, arg_max(decision, (NOT advisory, b - a, -abs(extent - ("end" - "start")), -item_id)) AS best_decision,
+count(*) FILTER (decision IN ('BLUR', 'CUT')) AS edits FROM met GROUP BY label_id),
+c AS (SELECT l.*, best_item, best_decision, coalesce(edits, 0) AS edits, coalesce(e.seconds, 0) / ("end" - "start") AS coverage, coalesce(m.seconds, 0) / ("end" - "start") AS main_coverage FROM labels l LEFT JOIN best USING (label_id) LEFT JOIN every e ON e.k = l.label_id LEFT JOIN main m ON m.k = l.label_id),
+st AS (SELECT *, CASE WHEN NOT (action IN ('BLUR', 'CUT') OR present) THEN CASE WHEN edits > 0 THEN 'trap_hit' ELSE 'trap_ok' END WHEN ambiguous THEN 'ambiguous' WHEN main_coverage >= 0.8 THEN 'caught' WHEN coverage >= 0.8 THEN 'advisory_only' WHEN coverage > 0 THEN 'partial' ELSE 'missed' END AS status FROM c),
+scored AS (SELECT label_id, grp, split, severity, status, round(coverage, 4) AS coverage, round(main_coverage, 4) AS main_coverage, best_item, CASE WHEN status IN ('caught', 'advisory_only') THEN best_decision = action END AS agrees FROM st)"""
+
+
+def _golden(spark, sf_dir):
+    """Labelled events and review items made from the samples."""
+    rows, i, s = samples(spark, sf_dir), F.col("sample_id"), F.col("score")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))
+    boxed = {"x1": i % 50, "y1": i % 30, "x2": i % 50 + 40, "y2": i % 30 + 20}
+    labels = rows.where("label in ('error', 'purchase')").select(
+        i.alias("label_id"), "source", F.when(F.col("label") == "error", "safety").otherwise("advertising").alias("grp"), F.when(F.col("source") % 2 == 0, "dev").otherwise("holdout").alias("split"),
+        F.col("t").alias("start"), (F.col("t") + 1800 + 60 * s).alias("end"), pick(5, "KEEP", "BLUR", "CUT", "BLUR", "KEEP").alias("action"), (i % 10 == 4).alias("present"),
+        F.when(i % 3 == 0, "must_catch").otherwise("optional").alias("severity"), (i % 11 == 0).alias("ambiguous"), *[F.when(i % 4 > 0, c).alias(n) for n, c in boxed.items()],
+    )
+    items = rows.where("label in ('click', 'view')").select(
+        i.alias("item_id"), "source", F.when(i % 2 == 0, "safety").otherwise("advertising").alias("grp"), (F.col("t") - 3600).alias("start"), (F.col("t") + 14400).alias("end"), (i % 7 == 0).alias("advisory"),
+        pick(5, "frame", "region", "region", "region", "unknown").alias("kind"), pick(3, "BLUR", "CUT", "KEEP").alias("decision"), (i % 60).alias("x1"), (i % 40).alias("y1"), (i % 60 + 60).alias("x2"), (i % 40 + 45).alias("y2"),
+    )
+    return labels, items, 6 * HOUR, 4800.0, ("safety",)
+
+
+@query(SCORED + " SELECT * FROM scored")
+def golden_labels(spark, sf_dir):
+    return evaluation.score_labels(*_golden(spark, sf_dir))
+
+
+@query(GOLDEN.replace("FROM labels l JOIN items", "FROM (SELECT * FROM labels WHERE action IN ('BLUR', 'CUT') OR present) l JOIN items") + _covered("sure", "item_id", "NOT ambiguous") + ", " + _covered("unsure", "item_id", "ambiguous") + """
+SELECT item_id, grp, advisory, round(coalesce(s.seconds, 0) / ("end" - "start"), 4) AS share, CASE WHEN coalesce(s.seconds, 0) / ("end" - "start") >= 0.5 THEN 'useful' WHEN s.seconds IS NULL AND u.seconds > 0 THEN 'ambiguous_only' ELSE 'false_positive' END AS verdict
+FROM items LEFT JOIN sure s ON s.k = item_id LEFT JOIN unsure u ON u.k = item_id""")
+def golden_items(spark, sf_dir):
+    return evaluation.score_items(*_golden(spark, sf_dir))
+
+
+@query(SCORED + """, m AS (SELECT grp, CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(*) FILTER (status IN ('caught', 'advisory_only', 'partial', 'missed')) AS labels, count(*) FILTER (status IN ('caught', 'advisory_only')) AS caught, count(*) FILTER (status = 'missed') AS missed,
+count(*) FILTER (status IN ('caught', 'advisory_only', 'partial', 'missed') AND severity = 'must_catch') AS must_catch, count(*) FILTER (status IN ('caught', 'advisory_only') AND severity = 'must_catch') AS must_caught, count(*) FILTER (status = 'trap_hit') AS trap_hits, count(*) FILTER (agrees) AS agree
+FROM scored GROUP BY GROUPING SETS ((grp, split), (grp))) SELECT *, round(caught / nullif(labels, 0), 4) AS recall_all, round(must_caught / nullif(must_catch, 0), 4) AS recall_must FROM m""")
+def golden_metrics(spark, sf_dir):
+    return evaluation.label_metrics(evaluation.score_labels(*_golden(spark, sf_dir)))
+
+
+@query(f"""WITH {SESSIONS}, x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "start") AS n FROM sessions), y AS (SELECT source, source * 100000 + n AS span_id, "start", "end" FROM x)
+SELECT y.source, y.span_id, least(y."start", coalesce(min(s.t), y."start")) AS "start", greatest(y."end", coalesce(max(s.t), y."end")) AS "end" FROM y
+LEFT JOIN s ON s.source = y.source AND s.score >= 60 AND s.t < y."end" + 14400 AND s.t + 1e-6 > y."start" - 14400 GROUP BY y.source, y.span_id, y."start", y."end" """)
+def sequence_context(spark, sf_dir):
+    n = F.row_number().over(W.partitionBy("source").orderBy("start"))
+    spans = sessions(spark, sf_dir).select("source", (F.col("source") * 100000 + n).alias("span_id"), "start", "end")
+    return review.with_context(spans, samples(spark, sf_dir), "source", 4 * HOUR, 60.0)
+
+
+GUARDS = f"""WITH s AS ({S}), i AS (SELECT source, sample_id AS item_id, t AS a, t + 7200 AS b, sample_id % 60 AS x1, sample_id % 40 AS y1, sample_id % 60 + 60 AS x2, sample_id % 40 + 45 AS y2 FROM s WHERE label = 'view'),
+r AS (SELECT source, sample_id AS ref_id, t - 3600 AS a, t + 10800 AS b, sample_id % 50 AS x1, sample_id % 30 AS y1, sample_id % 50 + 50 AS x2, sample_id % 30 + 40 AS y2 FROM s WHERE label = 'signup'),
+p AS (SELECT i.item_id, r.ref_id, greatest(0, least(i.x2, r.x2) - greatest(i.x1, r.x1)) * greatest(0, least(i.y2, r.y2) - greatest(i.y1, r.y1)) AS c, 60 * 45 + 50 * 40 AS u FROM i JOIN r ON i.source = r.source AND i.a < r.b AND r.a < i.b)"""
+
+
+@query(GUARDS + " SELECT i.item_id, min(p.ref_id) AS guard FROM i LEFT JOIN p ON p.item_id = i.item_id AND c / (u - c) >= 0.5 GROUP BY 1")
+def guard_title_overlays(spark, sf_dir):
+    i, t = F.col("sample_id"), F.col("t")
+    rows = samples(spark, sf_dir)
+    items = rows.where("label = 'view'").select("source", i.alias("item_id"), t.alias("start"), (t + 7200).alias("end"), (i % 60).alias("x1"), (i % 40).alias("y1"), (i % 60 + 60).alias("x2"), (i % 40 + 45).alias("y2"))
+    refs = rows.where("label = 'signup'").select("source", i.alias("ref_id"), (t - 3600).alias("start"), (t + 10800).alias("end"), (i % 50).alias("x1"), (i % 30).alias("y1"), (i % 50 + 50).alias("x2"), (i % 30 + 40).alias("y2"))
+    return review.guarded(items, refs, "source", 6 * HOUR, 0.5)
+
+
+CARDS = f"""WITH s AS ({S}), c AS (SELECT source, sample_id AS card_id, CASE WHEN sample_id % 2 = 0 THEN 'a' ELSE 'b' END AS category, t AS a, t + 20000 AS b, sample_id % 20 AS x1, sample_id % 10 AS y1, sample_id % 20 + 100 AS x2, sample_id % 10 + 100 AS y2, ['KEEP', 'CUT', 'BLUR'][(sample_id % 3)::INT + 1] AS decision, label FROM s),
+o AS (SELECT * FROM c WHERE label IN ('click', 'error') OR card_id % 5 = 0), n AS (SELECT * FROM c WHERE label IN ('view', 'purchase') OR card_id % 5 = 0),
+v AS (SELECT n.card_id, count(DISTINCT o.decision) AS k, min(o.decision) AS d FROM n JOIN o ON n.source = o.source AND n.category = o.category AND n.a < o.b AND o.a < n.b AND least(n.b, o.b) - greatest(n.a, o.a) >= 0.8 * least(n.b - n.a, o.b - o.a)
+AND greatest(0, least(n.x2, o.x2) - greatest(n.x1, o.x1)) * greatest(0, least(n.y2, o.y2) - greatest(n.y1, o.y1)) / least((n.x2 - n.x1) * (n.y2 - n.y1), (o.x2 - o.x1) * (o.y2 - o.y1)) >= 0.75 WHERE n.card_id NOT IN (SELECT card_id FROM o) GROUP BY 1)"""
+
+
+@query(CARDS + """ SELECT n.card_id, coalesce(o.decision, CASE WHEN k = 1 THEN d END) AS decision, CASE WHEN o.card_id IS NOT NULL THEN 'same' WHEN k = 1 THEN 'alike' WHEN k > 1 THEN 'conflict' ELSE 'open' END AS how
+FROM n LEFT JOIN o USING (card_id) LEFT JOIN v ON v.card_id = n.card_id""")
+def carry_decisions(spark, sf_dir):
+    i, t = F.col("sample_id"), F.col("t")
+    cards = samples(spark, sf_dir).select("source", i.alias("card_id"), F.when(i % 2 == 0, "a").otherwise("b").alias("category"), t.alias("start"), (t + 20000).alias("end"), (i % 20).alias("x1"), (i % 10).alias("y1"), (i % 20 + 100).alias("x2"), (i % 10 + 100).alias("y2"), F.element_at(F.array(*map(F.lit, ("KEEP", "CUT", "BLUR"))), (i % 3 + 1).cast("int")).alias("decision"), "label")
+    old, new = (cards.where(F.col("label").isin(*names) | (F.col("card_id") % 5 == 0)).drop("label") for names in (("click", "error"), ("view", "purchase")))
+    return review.carry_decisions(old, new, "source", 6 * HOUR)
+
+
+@query(f"""WITH s AS ({S}), e AS (SELECT source, sample_id, score, CASE WHEN sample_id % 40 > 0 THEN label END AS tag FROM s)
+SELECT source, CASE WHEN bool_and(tag IS NOT NULL) THEN max(score) END AS score_max, CASE WHEN bool_and(tag IS NOT NULL) THEN arg_max(tag, (score, -sample_id)) END AS strongest, count(*) AS n FROM e GROUP BY source""")
+def interval_evidence(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("tag", F.when(F.col("sample_id") % 40 > 0, F.col("label")))
+    return review.complete_evidence(rows, "source", "score", "tag")
+
+
+@query(f"""WITH {SESSIONS}, b AS (SELECT *, coalesce((lag("start") OVER w - "end" > 21600)::INT, 0) AS brk FROM sessions WINDOW w AS (PARTITION BY source ORDER BY "start" DESC, "end" DESC)),
+c AS (SELECT *, sum(brk) OVER (PARTITION BY source ORDER BY "start" DESC, "end" DESC ROWS UNBOUNDED PRECEDING) AS chain FROM b)
+SELECT source, min("start") AS "start", max("end") AS "end", count(*) AS n FROM c WHERE chain = 0 GROUP BY source""")
+def end_card_chain(spark, sf_dir):
+    return review.last_chain(sessions(spark, sf_dir).select("source", "start", "end"), "source", 6 * HOUR)
+
+
+@query(f"""WITH s AS ({S}), d AS (SELECT source, sample_id, t, abs(score - lag(score) OVER (PARTITION BY source ORDER BY t)) AS change FROM s),
+o AS (SELECT *, (sum(change) OVER w - change) / nullif(count(change) OVER w - 1, 0) AS others FROM d WHERE change IS NOT NULL WINDOW w AS (PARTITION BY source ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+SELECT source, sample_id, round(change, 6) AS change, round(others, 6) AS others FROM o WHERE change >= 20 AND change >= 3 * coalesce(others, 0)""")
+def detect_steps(spark, sf_dir):
+    change = F.abs(F.col("score") - F.lag("score").over(W.partitionBy("source").orderBy("t")))
+    rows = samples(spark, sf_dir).withColumn("change", change).where("change is not null")
+    return review.steps_above(rows, "source", "t", "change", 5, 3.0, 20.0).select("source", "sample_id", F.round("change", 6).alias("change"), F.round("others", 6).alias("others"))
+
+
+@query(f"WITH s AS ({S}) SELECT source, arg_max(sample_id, (score, -t)) AS strongest, arg_max(sample_id, t) AS latest FROM s GROUP BY source")
+def window_evidence(spark, sf_dir):
+    return review.ends_of(samples(spark, sf_dir), "source", "score", "t")
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand, p_name FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_name) AS k FROM d)
+SELECT p_brand, string_agg(p_name, ' | ' ORDER BY k) AS texts FROM r WHERE k <= 5 GROUP BY 1""")
+def representative_texts(spark, sf_dir):
+    return review.longest_texts(table(spark, sf_dir, "part"), "p_brand", "p_name", 5)
+
+
+@query("""WITH r AS (SELECT l_suppkey AS machine, year(l_shipdate) AS run, l_returnflag AS option, round(sum(l_quantity), 2) AS seconds FROM lineitem GROUP BY ALL),
+b AS (SELECT machine, run, arg_min(option, (seconds, option)) AS option, min(seconds) AS first, list_sort(list(seconds))[2] AS second FROM r GROUP BY ALL),
+l AS (SELECT *, coalesce(second - first >= 5 AND first <= 0.9 * second, false) AS clear, row_number() OVER (PARTITION BY machine ORDER BY run DESC) AS k FROM b)
+SELECT machine, CASE WHEN count(*) = 2 AND bool_and(clear) AND min(option) = max(option) THEN min(option) END AS choice FROM l WHERE k <= 2 GROUP BY machine""")
+def hysteresis_choice(spark, sf_dir):
+    runs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("machine"), F.year("l_shipdate").alias("run"), F.col("l_returnflag").alias("option")).agg(F.round(F.sum("l_quantity"), 2).alias("seconds"))
+    return review.steady_choice(runs, "machine", 0.1, 5.0)
+
+
+@query("""WITH f AS (SELECT o_orderkey AS pts, o_orderstatus AS h FROM orders), c AS (SELECT l_orderkey + CASE WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END AS pts, max(l_linestatus) AS h FROM lineitem GROUP BY 1)
+SELECT CASE WHEN f.pts IS NULL THEN 'extra' WHEN c.pts IS NULL THEN 'missing' WHEN f.h = 'P' THEN 'unknown' WHEN f.h = c.h THEN 'same' ELSE 'mismatched' END AS status, count(*) AS n, min(coalesce(f.pts, c.pts)) AS first_pts FROM f FULL JOIN c ON f.pts = c.pts GROUP BY 1""")
+def compare_frames(spark, sf_dir):
+    film = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pts"), F.col("o_orderstatus").alias("h"), F.lit(1).alias("in_film"))
+    clip = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + F.when(F.col("l_orderkey") % 17 == 0, 1).otherwise(0)).alias("pts")).agg(F.max("l_linestatus").alias("ch"), F.lit(1).alias("in_clip"))
+    both = film.join(clip, "pts", "full_outer")
+    status = F.when(F.col("in_film").isNull(), "extra").when(F.col("in_clip").isNull(), "missing").when(F.col("h") == "P", "unknown").when(F.col("h") == F.col("ch"), "same").otherwise("mismatched")
+    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min("pts").alias("first_pts"))
+
+
+@query(f"""WITH s AS ({S}), w AS (SELECT floor(t / 300)::BIGINT AS bucket, count(*) AS windows, count(*) FILTER (score >= 50) AS selected FROM s GROUP BY 1)
+SELECT bucket // 288 AS day, count(*) AS buckets, count(*) FILTER (selected > 0) AS covered, sum(windows)::BIGINT AS windows, sum(windows - selected)::BIGINT AS omitted, count(*) FILTER (selected = 0) AS uncovered FROM w GROUP BY 1""")
+def candidate_coverage(spark, sf_dir):
+    w = samples(spark, sf_dir).groupBy(F.floor(F.col("t") / 300).cast("long").alias("bucket")).agg(F.count("*").alias("windows"), F.count_if(F.col("score") >= 50).alias("selected"))
+    return w.groupBy(F.expr("bucket div 288").alias("day")).agg(F.count("*").alias("buckets"), F.count_if(F.col("selected") > 0).alias("covered"), F.sum("windows").alias("windows"), F.sum(F.col("windows") - F.col("selected")).alias("omitted"), F.count_if(F.col("selected") == 0).alias("uncovered"))
+
+
+@query("""WITH u AS (SELECT page_id, url, count(*) OVER (PARTITION BY url) AS n FROM pages) SELECT page_id, CASE WHEN url IS NULL OR url NOT LIKE 'http%://%' THEN 'bad_link' WHEN n > 1 THEN 'duplicate' WHEN length(url) > 60 THEN 'too_long' ELSE 'ok' END AS result FROM u""")
+def validate_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    twice = pages.groupBy("url").agg(F.count("*").alias("n"))
+    bad = F.col("url").isNull() | ~F.col("url").like("http%://%")
+    return pages.join(twice, "url", "left").select("page_id", F.when(bad, "bad_link").when(F.col("n") > 1, "duplicate").when(F.length("url") > 60, "too_long").otherwise("ok").alias("result"))
+
+
+@query(f"""WITH {BOXES} SELECT kind, count(*) AS n, quantile_cont(x1, 0.5) AS core_x1, quantile_cont(y1, 0.5) AS core_y1, quantile_cont(x2, 0.5) AS core_x2, quantile_cont(y2, 0.5) AS core_y2,
+CASE WHEN count(*) >= 10 THEN list_sort(list(x1))[floor(0.1 * count(*))::INT + 1] ELSE min(x1) END AS low_x1, CASE WHEN count(*) >= 10 THEN list_reverse_sort(list(x2))[floor(0.1 * count(*))::INT + 1] ELSE max(x2) END AS high_x2 FROM b GROUP BY kind""")
+def consensus_boxes(spark, sf_dir):
+    k = F.col("p_partkey")
+    x1, y1 = (k % 97).cast("int"), (k % 89).cast("int")
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("kind"), x1.alias("x1"), y1.alias("y1"), (x1 + 5 + (k % 11).cast("int")).alias("x2"), (y1 + 5 + (k % 7).cast("int")).alias("y2"))
+    # coordinates are pixels, so a key's counts per value stay small however many boxes it has
+    ranked = {"low_x1": ("x1", "asc"), "high_x2": ("x2", "desc")}
+    out = rows.groupBy("kind").agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(0.5)).alias(f"core_{c}") for c in ("x1", "y1", "x2", "y2")], F.min("x1").alias("least"), F.max("x2").alias("most"))
+    for name, (c, way) in ranked.items():
+        order = W.partitionBy("kind").orderBy(F.col(c).asc() if way == "asc" else F.col(c).desc())
+        counted = rows.groupBy("kind", c).agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        edge = counted.join(out.select("kind", "n"), "kind").where(F.col("upto") > F.floor(F.col("n") * 0.1)).groupBy("kind").agg((F.min(c) if way == "asc" else F.max(c)).alias(name))
+        out = out.join(edge, "kind")
+    return out.withColumn("low_x1", F.when(F.col("n") >= 10, F.col("low_x1")).otherwise(F.col("least"))).withColumn("high_x2", F.when(F.col("n") >= 10, F.col("high_x2")).otherwise(F.col("most"))).drop("least", "most")
+
+
+@query(None)
+def bounded_sessions(spark, sf_dir):
+    t = F.col("t")
+    rows = samples(spark, sf_dir).select("source", F.col("label").alias("category"), t.alias("start"), (t + 600).alias("end"), F.when(F.col("sample_id") % 3 == 0, "BLUR").when(F.col("sample_id") % 7 == 0, "CUT").alias("suggestion"))
+    return folds.bounded_sessions(rows, 12 * HOUR, 36 * HOUR)
+
+
+@query(None)
+def box_tracks(spark, sf_dir):
+    i = F.col("sample_id")
+    x = (i % 5).cast("double") * 10
+    rows = samples(spark, sf_dir).select("source", (F.floor(F.col("t") / HOUR) * HOUR).alias("t"), (F.col("score") / 500).alias("confidence"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 25).alias("x2"), F.lit(20.0).alias("y2"))
+    return folds.tracks(rows, 12 * HOUR, 0.3)
+
+
+@query("""WITH b AS (SELECT user_id AS source, ts, value, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000)::INT, 1) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY ts) AS run FROM b) SELECT source, epoch_us(min(ts)) AS "first", epoch_us(max(ts)) AS "last", max(value) AS max_score, count(*) AS sample_count FROM r GROUP BY source, run""")
+def session_windows(spark, sf_dir):
+    """The streaming plan on a table."""
+    hits = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("score"))
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{c}` as timestamp_ntz))")
+    return session_stream(hits.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", "1 day").withColumns({"first": micros("first"), "last": micros("last")})
