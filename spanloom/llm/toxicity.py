@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import byte_values, chunks, mix, prefix_sums, span_hash, utf8, word_spans
+from spanloom.llm.common import byte_values, chunks, lowest, mix, prefix_sums, span_hash, utf8, word_spans
 
 STEMS = (4, 5, 6)
 _PARTS = np.ones(256, bool)
@@ -110,7 +110,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int, negative
     """
     usable = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
     n = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k, most in ((1, positives), (0, negatives))]
+    parts = [lowest(usable.where(F.col("toxic") == k), "doc_id", most, n.get(k, 0)) for k, most in ((1, positives), (0, negatives))]
     ids = parts[0].unionByName(parts[1])
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), n.get(1, 0) / max(1, n.get(0, 0))
 
