@@ -68,7 +68,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, alpha: float, be
     return w, bias
 
 
-def train(sample: DataFrame, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, epochs: int = 4, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def train(sample: DataFrame, alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0, epochs: int = 8, least: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits the model to a bounded sample (text, toxic): feature hashes in order, weights, bias."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
