@@ -61,8 +61,8 @@ def union_length(spark, sf_dir):
     return intervals.union_length(sessions(spark, sf_dir), "source").withColumn("union_seconds", F.round("union_seconds", 3))
 
 
-@query(ISLANDS + """, d AS (SELECT source, unnest(range(floor(min(a) / 86400)::BIGINT, floor(max(b) / 86400)::BIGINT + 1)) * 86400.0 AS t_start FROM islands GROUP BY source)
-SELECT d.source, t_start, t_start + 86400.0 AS t_end, round(coalesce(sum(least(b, t_start + 86400.0) - greatest(a, t_start)) FILTER (a IS NOT NULL), 0) / 86400.0, 6) AS covered
+@query(ISLANDS + """, d AS (SELECT source, unnest(range(floor(min(a) / 86400)::BIGINT, floor(max(b) / 86400)::BIGINT + 1)) * 86400.0::DOUBLE AS t_start FROM islands GROUP BY source)
+SELECT d.source, t_start, t_start + 86400.0::DOUBLE AS t_end, round(coalesce(sum(least(b, t_start + 86400.0) - greatest(a, t_start)) FILTER (a IS NOT NULL), 0) / 86400.0, 6) AS covered
 FROM d LEFT JOIN islands i ON d.source = i.source AND a < t_start + 86400.0 AND b > t_start GROUP BY 1, 2""")
 def coverage_daily(spark, sf_dir):
     spans = sessions(spark, sf_dir).select("source", "start", "end")
@@ -434,7 +434,7 @@ def job_keys(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.slug_key(F.col("s_name"), F.sha2("s_name", 256)).alias("job_key"), text.clock(F.col("s_acctbal") + 1000).alias("clock"))
 
 
-@query("""WITH j AS (SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events) SELECT event_type, count(*) AS n, sum(k) AS total, min(k) AS lowest, max(k) AS highest FROM j GROUP BY 1""")
+@query("""WITH j AS (SELECT event_id, event_type, (props->>'k')::BIGINT AS k FROM events) SELECT event_type, count(*) AS n, sum(k)::BIGINT AS total, min(k) AS lowest, max(k) AS highest FROM j GROUP BY 1""")
 def json_payloads(spark, sf_dir):
     k = F.from_json("props", "k long", {"mode": "PERMISSIVE"})["k"]
     return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.min("k").alias("lowest"), F.max("k").alias("highest"))
