@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import scores, text
-from spanloom.operators import boxes, evaluation, folds, intervals, metrics, policies, queues, review
+from spanloom.operators import boxes, cards, evaluation, folds, intervals, metrics, policies, queues, review
 from spanloom.operators.graph import connected
 from spanloom.sources.tables import samples, table
 from spanloom.streaming.sessions import session_stream
@@ -649,3 +649,103 @@ def session_windows(spark, sf_dir):
     hits = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("score"))
     micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{c}` as timestamp_ntz))")
     return session_stream(hits.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", "1 day").withColumns({"first": micros("first"), "last": micros("last")})
+
+
+@query(r"""WITH z AS (SELECT p_partkey, p_name, (p_partkey % 101) / 100.0::DOUBLE AS x, (p_partkey % 97) / 96.0::DOUBLE AS y, (p_partkey % 50) / 49.0::DOUBLE AS conf, p_size * 3 AS h FROM part),
+q AS (SELECT *, CASE WHEN y >= 0.72 AND x BETWEEN 0.18 AND 0.82 THEN 'subtitle' ELSE (CASE WHEN y < 0.28 THEN 'top' WHEN y > 0.72 THEN 'bottom' ELSE 'middle' END) || '-' || (CASE WHEN x < 0.3 THEN 'left' WHEN x > 0.7 THEN 'right' ELSE 'center' END) END AS zone,
+length(regexp_replace(p_name, '[^0-9A-Za-zÀ-ỹĐđ]+', '', 'g')) AS n, least(8, greatest(2, round(h * 0.1)::INT)) AS trim FROM z)
+SELECT p_partkey, zone, n >= 2 AND (conf >= 0.5 OR (conf >= 0.3 AND starts_with(zone, 'top-') AND n >= 12)) AS accepted, CASE WHEN h >= 24 AND h - trim >= 12 THEN h - trim ELSE h END AS height FROM q""")
+def accepted_reads(spark, sf_dir):
+    k = F.col("p_partkey")
+    where = cards.zone((k % 101) / F.lit(100.0), (k % 97) / F.lit(96.0))
+    return table(spark, sf_dir, "part").select("p_partkey", where.alias("zone"), cards.accepted(F.col("p_name"), (k % 50) / F.lit(49.0), where, 0.5, 0.3).alias("accepted"), cards.trimmed_height(F.col("p_size") * 3).alias("height"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN lower(split_part(o_orderpriority, '-', 2)) IN ('high', 'medium', 'low', 'context') THEN lower(split_part(o_orderpriority, '-', 2)) WHEN o_orderkey % 4 = 0 THEN 'high' ELSE 'context' END AS priority FROM orders""")
+def card_priorities(spark, sf_dir):
+    reason = F.when(F.col("o_orderkey") % 4 == 0, "Very HIGH score").otherwise("plain")
+    return table(spark, sf_dir, "orders").select("o_orderkey", cards.priority(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)), reason).alias("priority"))
+
+
+@query(GUARDS + " SELECT i.item_id AS card_id, count(p.ref_id) AS confirmations FROM i LEFT JOIN p ON p.item_id = i.item_id AND c / least(60 * 45, 50 * 40) >= 0.6 GROUP BY 1")
+def corroborated_cards(spark, sf_dir):
+    i, t = F.col("sample_id"), F.col("t")
+    rows = samples(spark, sf_dir)
+    own = rows.where("label = 'view'").select("source", i.alias("card_id"), t.alias("start"), (t + 7200).alias("end"), (i % 60).alias("x1"), (i % 40).alias("y1"), (i % 60 + 60).alias("x2"), (i % 40 + 45).alias("y2"))
+    marks = rows.where("label = 'signup'").select("source", (t - 3600).alias("start"), (t + 10800).alias("end"), (i % 50).alias("x1"), (i % 30).alias("y1"), (i % 50 + 50).alias("x2"), (i % 30 + 40).alias("y2"))
+    return cards.corroborated(own, marks, "source", 6 * HOUR, 0.6)
+
+
+@query(f"""WITH s AS ({S}), w AS (SELECT source, sample_id AS window_id, t AS a, t + 18000 AS b FROM s WHERE label = 'purchase'), r AS (SELECT source, t AS a, t + 60 AS b, CASE WHEN sample_id % 3 > 0 THEN label END AS token FROM s),
+c AS (SELECT source, floor(t / 86400) * 86400 AS a, floor(t / 86400) * 86400 + 86400.0 AS b FROM s WHERE label = 'view' AND sample_id % 2 = 0)
+SELECT w.source, w.window_id, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.source = w.source AND c.a <= w.a AND c.b >= w.b) THEN coalesce((SELECT string_agg(DISTINCT token, ',' ORDER BY token) FROM r WHERE r.source = w.source AND r.a < w.b AND w.a < r.b), '') END AS tokens FROM w""")
+def window_evidence_tokens(spark, sf_dir):
+    t, day = F.col("t"), F.floor(F.col("t") / DAY) * DAY
+    rows = samples(spark, sf_dir)
+    windows = rows.where("label = 'purchase'").select("source", F.col("sample_id").alias("window_id"), t.alias("start"), (t + 18000).alias("end"))
+    reads = rows.select("source", t.alias("start"), (t + 60).alias("end"), F.when(F.col("sample_id") % 3 > 0, F.col("label")).alias("token"))
+    scans = rows.where("label = 'view' and sample_id % 2 = 0").select("source", day.alias("start"), (day + DAY).alias("end")).distinct()
+    found = cards.window_evidence_tokens(windows, reads, scans, "source", 12 * HOUR)
+    return found.select("source", "window_id", F.array_join("tokens", ",").alias("tokens"))
+
+
+@query(f"""WITH s AS ({S}), c AS (SELECT source, sample_id AS card_id, t AS a, t + 9000 AS b FROM s WHERE label = 'view'), o AS (SELECT source, sample_id AS owner_id, t - 1800 AS a, t + 7200 AS b FROM s WHERE label = 'click'),
+p AS (SELECT c.card_id, o.owner_id, (least(c.b, o.b) - greatest(c.a, o.a)) / (c.b - c.a) AS share FROM c JOIN o ON c.source = o.source AND c.a < o.b AND o.a < c.b),
+b AS (SELECT card_id, arg_max(owner_id, (share, -owner_id)) AS owner_id, max(share) AS share FROM p GROUP BY 1 HAVING max(share) >= 0.5)
+SELECT c.card_id, b.owner_id, round(b.share, 6) AS share FROM c LEFT JOIN b USING (card_id)""")
+def linked_cards(spark, sf_dir):
+    t, i = F.col("t"), F.col("sample_id")
+    rows = samples(spark, sf_dir)
+    own = rows.where("label = 'view'").select("source", i.alias("card_id"), t.alias("start"), (t + 9000).alias("end"))
+    owners = rows.where("label = 'click'").select("source", i.alias("owner_id"), (t - 1800).alias("start"), (t + 7200).alias("end"))
+    return cards.best_owner(own, owners, "source", 6 * HOUR, 0.5)
+
+
+@query("""WITH e AS (SELECT md5(left(d.text, 40)) AS image, d.lang, d.doc_id, l.quality = 1 AS expected FROM documents d JOIN labels l USING (doc_id)),
+f AS (SELECT image, arg_min(expected, (lang, doc_id)) AS expected, min((lang, doc_id)) AS k FROM e GROUP BY image),
+r AS (SELECT image, expected, k[1] AS lang, k[2] AS doc_id, row_number() OVER (PARTITION BY expected ORDER BY k, image) AS n FROM f) SELECT image, lang, doc_id, expected FROM r WHERE n <= 24""")
+def balanced_manifest(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.md5(F.left("text", F.lit(40))).alias("image"), "lang", "doc_id", (F.col("quality") == 1).alias("expected"))
+    return cards.balanced(rows, "image", "expected", ["lang", "doc_id"], 24)
+
+
+@query("""WITH m AS (SELECT l_orderkey, CASE l_linenumber % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'held' ELSE 'given' END AS status, CASE WHEN l_quantity > 40 THEN NULL WHEN l_quantity > 30 THEN 'active' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'paused' END AS state,
+CASE WHEN l_discount > 0.05 THEN 'failed' WHEN l_discount > 0.02 THEN 'active' END AS last FROM lineitem),
+b AS (SELECT *, CASE WHEN status <> 'given' THEN status WHEN coalesce(state, last) IS NULL THEN 'removed' WHEN coalesce(state, last) = 'active' THEN CASE WHEN state IS NULL THEN 'removed' ELSE 'running' END
+WHEN coalesce(state, last) IN ('completed', 'failed', 'expired') THEN coalesce(state, last) WHEN state IS NULL THEN 'removed' ELSE 'attention' END AS bucket FROM m)
+SELECT l_orderkey, count(*) AS total, count(*) FILTER (bucket = 'pending') AS pending, count(*) FILTER (bucket = 'held') AS held, count(*) FILTER (bucket = 'running') AS running, count(*) FILTER (bucket = 'completed') AS completed,
+count(*) FILTER (bucket = 'failed') AS failed, count(*) FILTER (bucket = 'attention') AS attention, count(*) FILTER (bucket = 'removed') AS removed FROM b GROUP BY 1""")
+def group_buckets(spark, sf_dir):
+    n, q = F.col("l_linenumber") % 5, F.col("l_quantity")
+    status = F.when(n == 0, "pending").when(n == 1, "held").otherwise("given")
+    state = F.when(q > 40, None).when(q > 30, "active").when(F.col("l_linestatus") == "F", "completed").otherwise("paused")
+    last = F.when(F.col("l_discount") > 0.05, "failed").when(F.col("l_discount") > 0.02, "active")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", cards.bucket_of(status, state, last).alias("b"))
+    names = ["pending", "held", "running", "completed", "failed", "attention", "removed"]
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("total"), *[F.count_if(F.col("b") == b).alias(b) for b in names])
+
+
+@query(f"""WITH s AS ({S}), g AS (SELECT floor(t / 18000)::BIGINT AS bucket, count(*) FILTER (label = 'click') AS regional, count(*) FILTER (label = 'click' AND score < 40) AS regional_omitted, count(*) FILTER (label <> 'click') AS full_frame,
+count(*) FILTER (label <> 'click' AND score >= 40) AS full_frame_selected FROM s GROUP BY 1) SELECT *, greatest(0, least(2, full_frame) - full_frame_selected) AS missing, regional_omitted = 0 AND greatest(0, least(2, full_frame) - full_frame_selected) = 0 AS complete FROM g""")
+def representative_coverage(spark, sf_dir):
+    kind = F.when(F.col("label") == "click", "regional").otherwise("full_frame")
+    rows = samples(spark, sf_dir).select(F.floor(F.col("t") / 18000).cast("long").alias("bucket"), kind.alias("kind"), (F.col("score") >= 40).alias("chosen"))
+    return cards.representatives(rows, "bucket", "kind", "chosen")
+
+
+@query("""SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'purchase') AS last_purchase, arg_max(value, event_id) FILTER (event_type = 'error') AS last_error, max(event_id) AS event_id FROM events GROUP BY user_id""")
+def last_write_wins(spark, sf_dir):
+    value = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", value("purchase").alias("last_purchase"), value("error").alias("last_error"))
+    return cards.adopted(rows, "user_id", "event_id")
+
+
+@query("""SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1""")
+def shared_sources(spark, sf_dir):
+    return cards.shared_keys(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey"), "part", ["l_suppkey"])
+
+
+@query(f"""WITH s AS ({S}), b AS (SELECT source, sample_id, t AS "start", max(t + 3600) OVER (PARTITION BY source ORDER BY t, t + 3600 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS "before" FROM s) SELECT * FROM b WHERE "start" < "before" """)
+def overlapping_segments(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("source", "sample_id", F.col("t").alias("start"), (F.col("t") + 3600).alias("end"))
+    return cards.disjoint(rows, "source").drop("end")
