@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.shipping import ship
+
 Template = Callable[[list[tuple[str, str]]], str]
 # Control strings of the chat markup.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -90,6 +92,7 @@ def format_chats(conversations: DataFrame, template: Template = chatml, parse: C
     history. A conversation is formatted as one text, so its turns meet in one task; no other
     group does. Empty tables give no rows; other columns are ignored.
     """
+    ship(conversations.sparkSession)
     turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("null")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 

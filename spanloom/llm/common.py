@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.shipping import ship
+
 # The word rule of all contracts, words are runs of other bytes than these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -42,6 +44,7 @@ class Staged:
     """Tables written to the shared folder to cut lineage; a lost executor only costs its own tasks."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -25,16 +25,9 @@ from spanloom.llm.common import Staged, chunks, components, mix, partitions, utf
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all word shingles, repeats included; 0 for no words."""
-    words = text.lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
-    starts = [0, *(e + 1 for e in ends)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64)
     return int(majority(hashes[:, None])[0])
 
 
@@ -47,16 +40,21 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > len(octets), bitorder="little").view(np.uint64)
 
 
-def wide_fingerprint(text: bytes, shingle: int, width: int, seed: int = 42) -> np.ndarray:
-    """As fingerprint, of ``width`` words: each shingle's hash is mixed into that many."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, of the whole text if it has fewer, none without words."""
     words = text.lower().split()
     if not words:
-        return np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64)
+
+
+def wide_fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
+    """As fingerprint, of ``width`` words: each shingle's hash is mixed into that many."""
+    hashes = shingle_hashes(text, shingle)
     steps = np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     total = np.zeros(width * 64, np.int64)
     for low in range(0, len(hashes), 4080):  # bounds the words of a long document
@@ -182,33 +180,44 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFra
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def leaders(node: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links each place to the first of its node that it is near, without comparing all pairs of a node.
+LEADERS = 8
+
 
-    In each round the first place of every node that is left leads: those within ``most`` bits of
-    it are linked to it and leave with it.
+def candidates(node: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of one node to be verified, a few for each place however large the node is.
+
+    node is sorted, its places in random order. In a node of up to LEADERS places all pairs within
+    ``most`` bits are candidates; in a larger one each place is paired with the nearest of the first
+    LEADERS places, which are others in the node of another table.
     """
-    left, out = np.arange(len(node)), []
-    while len(left) > 1:
-        first = np.ones(len(left), bool)
-        first[1:] = node[left[1:]] != node[left[:-1]]
-        lead = left[first][np.cumsum(first) - 1]
-        near = np.bitwise_count(value[left] ^ value[lead]) <= most
-        linked = near & ~first
-        out.append((left[linked], lead[linked]))
-        left = left[~near]
+    n = len(node)
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, n))
+    start, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+    out = []
+    small = np.flatnonzero((size > 1) & (size <= LEADERS))
+    for k in range(1, LEADERS):
+        a = small[small + k < start[small] + size[small]]
+        near = np.bitwise_count(value[a] ^ value[a + k]) <= most
+        out.append((a[near], a[near] + k))
+    big = np.flatnonzero(size > LEADERS)
+    if len(big):
+        lead = start[big][:, None] + np.arange(LEADERS)[None, :]
+        far = np.where(lead == big[:, None], 255, np.bitwise_count(value[big][:, None] ^ value[lead]))
+        best = far.argmin(axis=1)
+        near = far[np.arange(len(big)), best] <= most
+        out.append((big[near], lead[np.arange(len(big)), best][near]))
     return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, width: int = 8, share: float = 0.16, tables: int = 64) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, width: int = 8, tables: int = 64) -> DataFrame:
     """One document of each group of copies and near copies: the rows of docs that stay.
 
-    A wide SimHash of 64 * ``width`` bits tells a similarity of word shingles: 0.16 of the bits
-    differ at about 0.8 (Jaccard). Fingerprints meet at trie nodes given by ``tables`` samples of
-    their bits, deep enough for the number of documents; in a node each is compared with the
-    node's leaders, and links are verified on all bits. The row of smallest (doc_id, text) of a
-    component stays; of rows that are the same in all columns one does. Documents without words
-    are copies of each other.
+    Near copies share at least ``least`` of their distinct word shingles (Jaccard). A wide SimHash of
+    64 * ``width`` bits proposes them: fingerprints meet at trie nodes given by ``tables`` samples of
+    their bits, deep enough for the number of documents, and the nearest of a node are compared on
+    their shingles. The row of smallest (doc_id, text) of a component stays; of rows that are the
+    same in all columns one does. Documents without words are copies of each other.
     """
     spark = docs.sparkSession
     staged = Staged(spark)
@@ -246,15 +255,29 @@ def near_copies(docs: DataFrame, shingle: int = 5, width: int = 8, share: float
 
     def join(table: pa.Table) -> pa.Table:
         node, fp, value = (table.column(c).to_numpy() for c in ("node", "fp", "value"))
-        order = np.lexsort((fp, node))
-        a, b = leaders(node[order], value[order], 16)
+        order = np.lexsort((mix(fp.view(np.uint64) ^ node.view(np.uint64)), node))
+        a, b = candidates(node[order], value[order], 20)
         return pa.table({"a": pa.array(fp[order][a]), "b": pa.array(fp[order][b])})
 
     pairs = nodes.withColumn("bin", F.expr(f"pmod(xxhash64(node), {bins})")).groupBy("bin").applyInArrow(join, "a long, b long").distinct()
     pairs = staged.write(pairs, "pairs")
-    left, right = (values.select(F.col("fp").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-    differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = pairs.join(left, "a").join(right, "b").where(differing <= int(64 * width * share)).select("a", "b")
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text", 1 << 22):
+                data, offs = utf8(batch.column("text"))
+                raw = data.tobytes()
+                sets = [np.unique(shingle_hashes(raw[a:b], shingle)).view(np.int64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["fp", "own"])
+
+    texts = prints.join(values.select("fp", "least"), "fp").where(order == F.col("least")).join(asked, "fp", "left_semi").select("fp", F.col("row.text").alias("text"))
+    sets = staged.write(texts.mapInArrow(shingles, "fp long, own array<long>").dropDuplicates(["fp"]), "sets")
+    left, right = (sets.select(F.col("fp").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    share = both / F.greatest(F.lit(1), F.size("own_a") + F.size("own_b") - both)
+    links = pairs.join(left, "a").join(right, "b").where(share >= least).select("a", "b")
     linked = components(spark, links, staged)
     grouped = values.join(linked, values.fp == linked.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     best = grouped.groupBy("component").agg(F.min_by("fp", "least").alias("fp"), F.min("least").alias("least"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import byte_values, chunks, lowest, mix, prefix_sums, span_hash, utf8, word_spans
+from spanloom.sources.shipping import ship
 
 STEMS = (4, 5, 6)
 _PARTS = np.ones(256, bool)
@@ -150,6 +151,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positiv
     document, null labels and labels other than 0 and 1 are ignored, as are other columns; of
     several labels of one id the highest counts.
     """
+    ship(docs.sparkSession)
     sample, odds = training_sample(docs, labels, positives, negatives)
     hashes, weights, bias = train(sample)
     scored = scores(docs, (hashes, weights, bias), keep)
