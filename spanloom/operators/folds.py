@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.sources.shipping import ship
+
 
 def runs(rows: DataFrame, key: str, start: str, end: str, gap: float) -> DataFrame:
     """Numbers runs of rows that a pause of more than ``gap`` separates."""
+    ship(rows.sparkSession)
     before = W.partitionBy(key).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)
     opens = F.coalesce((F.col(start) - F.max(end).over(before) > gap).cast("int"), F.lit(1))
     marked = rows.withColumn("opens", opens)

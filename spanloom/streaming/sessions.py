@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanloom.sources.shipping import ship
+
 
 def session_stream(hits: DataFrame, gap: str, late: str) -> DataFrame:
     """Sessions of (source, ts, score), equal gaps merge; the end is the last hit, without the gap.
@@ -51,6 +53,7 @@ def settled(observations: DataFrame, stable_seconds: int) -> DataFrame:
         state.update((size, mtime, since, told))
         yield pd.DataFrame(out, columns=["path", "size", "mtime"])
 
+    ship(observations.sparkSession)
     # `size` is also a DataFrame attribute, so the columns of a batch are renamed on the way in
     rows = observations.select("path", F.col("size").alias("n_bytes"), "mtime", "ts")
 
