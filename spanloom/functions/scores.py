@@ -38,3 +38,16 @@ def retry_delay(attempt: Column, backoff: list[float], jitter: float, unit: Colu
     steps = F.array(*map(F.lit, backoff))
     wait = F.get(steps, attempt) * (1 - jitter + 2 * jitter * unit)
     return F.when(attempt < len(backoff), F.greatest(wait, F.coalesce(retry_after, F.lit(0.0))))
+
+
+def candidate_budget(seconds: Column, requested: Column, boundary: Column) -> Column:
+    """Windows to confirm: 18 for each five minutes beside the boundary ones, 40 at least, at most as requested."""
+    return F.least(requested, F.greatest(F.lit(40), boundary + 18 * F.greatest(F.lit(1), F.ceil(seconds / 300.0))))
+
+
+def on_grid(micros: Column, periods_micros: list[int]) -> Column:
+    """Whether a time in whole microseconds is a multiple of every period."""
+    out = F.lit(True)
+    for p in periods_micros:
+        out = out & (micros % p == 0)
+    return out

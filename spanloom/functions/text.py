@@ -40,3 +40,38 @@ def slug_key(name: Column, digest: Column) -> Column:
 def clock(seconds: Column) -> Column:
     s = F.floor(seconds).cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+# Shapes of addresses, phone numbers and handles in read text.
+AD_PATTERNS = [
+    r"(?i)\b(?:https?|www)\b",
+    r"(?i)\b[a-z0-9][a-z0-9-]*\s?[.,]\s?(?:com|net|org|tv|io|info|site|online|app)\b",
+    r"(?<!\d)(?:\+?\d[\s.\-]?){8,}(?!\d)",
+    r"(?i)(?<![\w.])@[a-z0-9_.]{3,}",
+]
+
+
+def ad_tokens(text: Column) -> Column:
+    """Distinct tokens of advertising in a text, by pattern and place."""
+    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.trim(x)) for p in AD_PATTERNS]
+    return F.array_distinct(F.filter(F.concat(*found), lambda x: x != ""))
+
+
+def memory_key(token: Column, least: int = 6) -> Column:
+    """Folded letters and digits of an address without scheme or www; null if too short to be remembered."""
+    key = fold_alnum(F.regexp_replace(F.lower(token), r"^\s*(?:https?:/*)?(?:www\.)?", ""))
+    return F.when(F.length(key) >= least, key)
+
+
+def latin_candidates(text: Column) -> Column:
+    """Words, chunks without punctuation and neighbouring word pairs of a folded text, each once."""
+    tokens = F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+    chunks = F.transform(F.split(text, r"\s+"), lambda c: F.regexp_replace(c, "[^a-z0-9]", ""))
+    pairs = F.transform(F.arrays_zip(tokens.alias("a"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("b")), lambda p: F.concat(p["a"], p["b"]))
+    return F.array_distinct(F.filter(F.concat(tokens, chunks, pairs), lambda x: x.isNotNull() & (x != "")))
+
+
+def spread(values: Column, count: int) -> Column:
+    """``count`` evenly spaced values, the first and the last among them."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.size(values) - 1) / F.lit(float(count - 1))).cast("int") + 1)
+    return F.when(F.size(values) <= count, values).otherwise(F.transform(places, lambda p: F.element_at(values, p)))

@@ -749,3 +749,57 @@ def shared_sources(spark, sf_dir):
 def overlapping_segments(spark, sf_dir):
     rows = samples(spark, sf_dir).select("source", "sample_id", F.col("t").alias("start"), (F.col("t") + 3600).alias("end"))
     return cards.disjoint(rows, "source").drop("end")
+
+
+@query(r"""SELECT page_id, md5(array_to_string(list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(url, '(?i)\b(?:https?|www)\b'), list_transform(regexp_extract_all(url, '(?i)\b[a-z0-9][a-z0-9-]*\s?[.,]\s?(?:com|net|org|tv|io|info|site|online|app)\b'), lambda x: trim(x))), []::VARCHAR[]), lambda x: x <> '')).list_sort(), ',')) AS tokens_md5,
+CASE WHEN length(regexp_replace(regexp_replace(lower(url), '^\s*(?:https?:/*)?(?:www\.)?', ''), '[^0-9a-z]', '', 'g')) >= 24 THEN regexp_replace(regexp_replace(lower(url), '^\s*(?:https?:/*)?(?:www\.)?', ''), '[^0-9a-z]', '', 'g') END AS memory_key FROM pages""")
+def ad_text_tokens(spark, sf_dir):
+    # urls hold no phone numbers or handles, whose patterns look behind and so have no SQL twin
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", text.ad_tokens(F.regexp_replace("url", r"[\d@]{8,}", "")).alias("t"))
+    return pages.select("page_id", F.md5(F.array_join(F.array_sort("t"), ",")).alias("tokens_md5"), text.memory_key(F.col("url"), 24).alias("memory_key"))
+
+
+@query("""WITH names(name) AS (VALUES ('bluework'), ('redsteel'), ('almond'), ('lavender'), ('brand12'), ('economy')), t AS (SELECT p_partkey, lower(p_name || ' ' || p_brand) AS s FROM part),
+k AS (SELECT p_partkey, regexp_extract_all(s, '[a-z0-9]+') AS w, list_transform(string_split_regex(s, '\\s+'), lambda c: regexp_replace(c, '[^a-z0-9]', '', 'g')) AS chunks FROM t),
+c AS (SELECT DISTINCT p_partkey, unnest(list_concat(list_concat(w, chunks), list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || w[i + 1]))) AS cand FROM k)
+SELECT p_partkey, name, min(levenshtein(cand, name)) AS edits FROM c JOIN names ON abs(length(cand) - length(name)) <= 1 AND levenshtein(cand, name) <= 1 GROUP BY 1, 2""")
+def platform_names(spark, sf_dir):
+    # a stated list of six names, broadcast
+    names = spark.createDataFrame([(n,) for n in ("bluework", "redsteel", "almond", "lavender", "brand12", "economy")], "name string")
+    found = table(spark, sf_dir, "part").select("p_partkey", F.explode(text.latin_candidates(F.lower(F.concat_ws(" ", "p_name", "p_brand")))).alias("cand"))
+    edits = F.levenshtein("cand", "name")
+    near = found.join(F.broadcast(names), (F.abs(F.length("cand") - F.length("name")) <= 1) & (edits <= 1))
+    return near.groupBy("p_partkey", "name").agg(F.min(edits).cast("long").alias("edits"))
+
+
+@query("""WITH o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY 1)
+SELECT o_custkey, array_to_string(CASE WHEN len(v) <= 4 THEN v ELSE list_transform(range(0, 4), lambda i: v[round_even(i * (len(v) - 1) / 3.0, 0)::INT + 1]) END, ',') AS spread, len(v) AS n FROM o""")
+def spread_picks(spark, sf_dir):
+    v = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
+    return v.select("o_custkey", F.array_join(text.spread(F.col("v"), 4).cast("array<string>"), ",").alias("spread"), F.size("v").cast("long").alias("n"))
+
+
+@query("""SELECT o_orderkey, least(200, greatest(40, o_orderkey % 30 + 18 * greatest(1, ceil(o_totalprice / 100 / 300.0)::BIGINT)))::BIGINT AS budget, (o_orderkey * 40000) % 1000000 = 0 AND (o_orderkey * 40000) % 120000 = 0 AS on_grid FROM orders""")
+def candidate_budgets(spark, sf_dir):
+    k = F.col("o_orderkey")
+    budget = scores.candidate_budget(F.col("o_totalprice") / 100, F.lit(200), k % 30)
+    return table(spark, sf_dir, "orders").select("o_orderkey", budget.cast("long").alias("budget"), scores.on_grid(k * 40000, [1_000_000, 120_000]).alias("on_grid"))
+
+
+@query(None)
+def merged_cards(spark, sf_dir):
+    i, t = F.col("sample_id"), F.col("t")
+    boxed = {"x1": i % 40, "y1": i % 30, "x2": i % 40 + 80, "y2": i % 30 + 60}
+    rows = samples(spark, sf_dir).select(
+        "source", F.col("label").alias("category"), t.alias("start"), (t + 1800).alias("end"), F.col("score").alias("max_score"), F.when(i % 9 == 0, "high").otherwise("context").alias("priority"), F.when(i % 2 == 0, "logo").otherwise("overlay").alias("kind"),
+        F.when(i % 5 == 0, "BLUR").when(i % 7 == 0, "CUT").alias("suggestion"), F.array(i.cast("string")).alias("refs"), *[F.when(i % 4 > 0, c.cast("double")).alias(n) for n, c in boxed.items()],
+    )
+    return folds.merge_cards(rows, 24 * HOUR)
+
+
+@query(None)
+def merged_suggestions(spark, sf_dir):
+    i, t = F.col("sample_id"), F.col("t")
+    decision = F.element_at(F.array(*map(F.lit, ("KEEP", "CUT", "BLUR"))), (i % 3 + 1).cast("int"))
+    rows = samples(spark, sf_dir).select(F.col("source").alias("segment"), F.when(i % 2 == 0, "dense").otherwise("review").alias("tier"), t.alias("start"), (t + 7200 + 30 * F.col("score")).alias("end"), decision.alias("decision"), i.cast("double").alias("decided_at"))
+    return folds.merge_suggestions(rows)
