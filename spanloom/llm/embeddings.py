@@ -22,7 +22,8 @@ from spanloom.llm.common import Staged, components
 from spanloom.llm.simhash import stars
 
 SLACK = 1e-9
-CELL_ROWS = 3000
+CELL_ROWS = 16_000
+CELL_BITS = 12
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -38,12 +39,22 @@ def unit_rows(vectors: pa.Array, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def cells_of(point: np.ndarray, width: float, reach: float) -> list[tuple[int, ...]]:
-    """Cells of the grid that the ball of radius ``reach`` around the point touches, its own first."""
-    home = np.floor(point / width).astype(int)
-    below, above = point - home * width, (home + 1) * width - point
-    steps = [[(0, 0.0), *([(-1, b * b)] if b <= reach else []), *([(1, a * a)] if a <= reach else [])] for b, a in zip(below, above, strict=True)]
-    return [tuple(h + s for h, (s, _) in zip(home, way, strict=True)) for way in product(*steps) if sum(d for _, d in way) <= reach * reach]
+def cells_of(points: np.ndarray, width: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of the grid that the balls of radius ``reach`` around the points touch: point, cell number, whether it is home."""
+    home = np.floor(points / width).astype(np.int64)
+    below, above = points - home * width, (home + 1) * width - points
+    who, cells, own = [], [], []
+    for step in product((-1, 0, 1), repeat=points.shape[1]):
+        d = np.array(step)
+        cost = (np.where(d < 0, below, np.where(d > 0, above, 0.0)) ** 2).sum(axis=1)
+        at = np.flatnonzero(cost <= reach * reach)
+        number = np.zeros(len(at), np.int64)
+        for k in range(points.shape[1]):
+            number = (number << CELL_BITS) | (home[at, k] + d[k] + (1 << (CELL_BITS - 1)))
+        who.append(at)
+        cells.append(number)
+        own.append(np.full(len(at), not any(step)))
+    return np.concatenate(who), np.concatenate(cells), np.concatenate(own)
 
 
 def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, grid_dims: int = 2) -> DataFrame:
@@ -52,11 +63,12 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
     Returns (vec_id, n_links, component_id, kept), a row for each row of vectors. Null and zero
     vectors, and those with null or non-finite components, link with nothing; vectors of different
     lengths don't link with each other. Repeated rows link with each other. A null vec_id is
-    counted for others and has no component. Labels and other columns are ignored.
+    counted for others and has no component. Labels and other columns are ignored. ``grid_dims``,
+    4 at most, is the number of coordinates of a block that make its grid.
     """
     spark = vectors.sparkSession
     staged = Staged(spark)
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select("vec_id", F.col("embedding").alias("v"))
     usable = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     rows = staged.write(rows.select("vec_id", F.when(F.expr(usable), F.col("v")).alias("v")), "vectors")
     good = rows.where("v is not null").select("vec_id", "v", F.monotonically_increasing_id().alias("row"))
@@ -72,31 +84,26 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
                 turned = x @ rotation(int(dims))
                 n_blocks = min(blocks, int(dims))
                 edges = [round(int(dims) * k / n_blocks) for k in range(n_blocks + 1)]
-                take, cells, home = [], [], []
                 for b in range(n_blocks):
                     low, high = edges[b], edges[b + 1]
                     reach = float(np.sqrt(reach_all * (high - low) / dims) + SLACK)
-                    for i, point in enumerate(turned[:, low : low + min(grid_dims, high - low)]):
-                        own = np.floor(point / (2 * reach)).astype(int)
-                        for cell in cells_of(point, 2 * reach, reach):
-                            take.append(i)
-                            cells.append(f"{dims} {b} {cell}")
-                            home.append(bool((own == cell).all()))
-                    if len(take) > 50_000 or b == n_blocks - 1:
-                        at = pa.array(take, pa.int64())
-                        yield pa.RecordBatch.from_arrays([part.column("row").take(at), pa.array(cells), pa.array(home), part.column("v").take(at)], ["row", "cell", "home", "v"])
-                        take, cells, home = [], [], []
-
-    asked = staged.write(good.select("row", "v").mapInArrow(place, "row long, cell string, home boolean, v array<double>"), "asked")
+                    points = turned[:, low : low + min(grid_dims, 4, high - low)]
+                    who, cell, home = cells_of(points, max(2 * reach, 1e-3), reach)
+                    at = pa.array(who)
+                    cell |= b << 48
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(at), pa.array(np.full(len(at), dims, np.int32)), pa.array(cell), pa.array(home), part.column("v").take(at)], ["row", "dims", "cell", "home", "v"])
+
+    vector = good.schema["v"].dataType.simpleString()
+    asked = staged.write(good.select("row", "v").mapInArrow(place, f"row long, dims int, cell long, home boolean, v {vector}"), "asked")
     # a full cell is dealt to several tasks: those who ask in parts, those at home to every part
-    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-    dealt = asked.join(staged.write(parts, "parts"), "cell")
+    parts = asked.groupBy("dims", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    dealt = asked.join(staged.write(parts, "parts"), ["dims", "cell"])
     one = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    asking = dealt.select("row", "cell", "v", F.lit(False).alias("home"), one.alias("part"))
-    living = dealt.where("home").select("row", "cell", "v", F.lit(True).alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asking = dealt.select("row", "dims", "cell", "v", F.lit(False).alias("home"), one.alias("part"))
+    living = dealt.where("home").select("row", "dims", "cell", "v", F.lit(True).alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def join(table: pa.Table) -> pa.Table:
-        dims, block = (int(x) for x in table.column("cell")[0].as_py().split(" ")[:2])
+        dims, block = table.column("dims")[0].as_py(), table.column("cell")[0].as_py() >> 48
         row, home = table.column("row").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
         x = unit_rows(table.column("v").combine_chunks(), dims)
         turned = x @ rotation(dims)
@@ -132,7 +139,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
         out, some = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(links)
         return pa.table({"row": pa.array(np.concatenate((row[asks[some]], nodes[out]))), "links": pa.array(np.concatenate((links[some], np.zeros(len(out), np.int64)))), "to": pa.array(np.concatenate((row[asks[some]], nodes[label[out]])))})
 
-    found = staged.write(asking.unionByName(living).groupBy("cell", "part").applyInArrow(join, "row long, links long, to long"), "found")
+    found = staged.write(asking.unionByName(living).groupBy("dims", "cell", "part").applyInArrow(join, "row long, links long, to long"), "found")
     linked = components(spark, found.where("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b")), staged)
     count = found.groupBy("row").agg(F.sum("links").alias("n_links"))
     members = good.select("row", "vec_id").join(linked, F.col("row") == F.col("id"), "left").select("row", "vec_id", F.coalesce("component", "row").alias("component"))
