@@ -113,11 +113,13 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
         here, asks = np.flatnonzero(home), np.flatnonzero(~home)
         links, ends_a, ends_b = np.zeros(len(asks), np.int64), [], []
         own = slice(edges[block], edges[block + 1])
-        square = (turned[:, own] ** 2).sum(axis=1)
-        for low in range(0, len(asks), 512):  # bounds the table of distances
-            some = asks[low : low + 512]
-            far = square[some][:, None] + square[here][None, :] - 2 * turned[some, own] @ turned[here, own].T
-            i, j = np.nonzero(far <= budget[block] + SLACK)
+        square = (turned[:, own] ** 2).sum(axis=1, keepdims=True)
+        # one product gives |x|^2 + |y|^2 - 2xy; single precision only proposes, with room for its error
+        left = np.concatenate((turned[:, own], square, np.ones_like(square)), axis=1)[asks].astype(np.float32)
+        right = np.concatenate((-2 * turned[:, own], np.ones_like(square), square), axis=1)[here].astype(np.float32).T.copy()
+        for low in range(0, len(asks), 256):  # bounds the table of distances
+            some = asks[low : low + 256]
+            i, j = np.divmod(np.flatnonzero((left[low : low + 256] @ right <= budget[block] + 1e-4).ravel()), len(here))
             a, b = some[i], here[j]
             keep = row[a] != row[b]
             a, b, i = a[keep], b[keep], i[keep]
@@ -125,9 +127,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
             for at in range(0, len(a), 20_000):
                 p, q = a[at : at + 20_000], b[at : at + 20_000]
                 near = (x[p] * x[q]).sum(axis=1) >= cosine
-                for k in range(block):  # an earlier block has counted it
+                for k in range(block + 1):  # this block selects it, and no earlier one, which would have counted it
                     gap = ((turned[p, edges[k] : edges[k + 1]] - turned[q, edges[k] : edges[k + 1]]) ** 2).sum(axis=1)
-                    near &= gap > budget[k]
+                    near &= (gap <= budget[k]) if k == block else (gap > budget[k])
                 true[at : at + 20_000] = near
             links += np.bincount(low + i[true], minlength=len(asks))
             # the same vector stands at home and asks: one place for both
