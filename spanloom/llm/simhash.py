@@ -180,30 +180,31 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFra
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LEADERS = 8
+LEADERS, ALL_PAIRS = 8, 4
 
 
 def candidates(node: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places of one node to be verified, a few for each place however large the node is.
 
-    node is sorted, its places in random order. In a node of up to LEADERS places all pairs within
-    ``most`` bits are candidates; in a larger one each place is paired with the nearest of the first
-    LEADERS places, which are others in the node of another table.
+    node is sorted, its places in random order. In a node of up to ALL_PAIRS places all pairs
+    within ``most`` bits are candidates; in a larger one each place is paired with the nearest of the
+    first LEADERS places, which are others in the node of another table.
     """
     n = len(node)
     first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, n))
     start, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
     out = []
-    small = np.flatnonzero((size > 1) & (size <= LEADERS))
-    for k in range(1, LEADERS):
+    small = np.flatnonzero((size > 1) & (size <= ALL_PAIRS))
+    for k in range(1, ALL_PAIRS):
         a = small[small + k < start[small] + size[small]]
         near = np.bitwise_count(value[a] ^ value[a + k]) <= most
         out.append((a[near], a[near] + k))
-    big = np.flatnonzero(size > LEADERS)
+    big = np.flatnonzero(size > ALL_PAIRS)
     if len(big):
         lead = start[big][:, None] + np.arange(LEADERS)[None, :]
-        far = np.where(lead == big[:, None], 255, np.bitwise_count(value[big][:, None] ^ value[lead]))
+        none = (lead == big[:, None]) | (lead >= (start + size)[big][:, None])
+        far = np.where(none, 255, np.bitwise_count(value[big][:, None] ^ value[np.minimum(lead, n - 1)]))
         best = far.argmin(axis=1)
         near = far[np.arange(len(big)), best] <= most
         out.append((big[near], lead[np.arange(len(big)), best][near]))
