@@ -96,7 +96,9 @@ def train(sample: DataFrame, alpha: float = 2.0, beta: float = 1.0, l1: float =
         feature = np.append(known[kept].view(np.int64), 0)
         yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(np.append(w[kept], bias))], ["feature", "weight"])
 
-    got = sample.select("text", "toxic").repartition(1).mapInArrow(fit, MODEL).toPandas()
+    # rows arrive in any order and the updates depend on it, so they are put in one order first
+    order = sample.select("text", "toxic").repartition(1).sortWithinPartitions(F.xxhash64("text"), "toxic", "text")
+    got = order.mapInArrow(fit, MODEL).toPandas()
     bias = float(got.weight.iloc[-1]) if len(got) else -35.0
     hashes = got.feature.to_numpy(np.int64)[:-1].view(np.uint64) if len(got) else np.zeros(0, np.uint64)
     order = np.argsort(hashes)

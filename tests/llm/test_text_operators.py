@@ -27,6 +27,15 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert all(r.predicted == 0 for r in none.collect())
 
 
+def test_toxicity_model_is_the_same_for_any_order_of_rows(spark):
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(20)), rng.randrange(2)) for _ in range(300)]
+    rows += rows[:5]
+    models = [toxicity.train(spark.createDataFrame(given, "text string, toxic int").repartition(n), l1=0.1) for given, n in ((rows, 3), (rows[::-1], 5))]
+    assert len(models[0][0]) > 50 and models[0][2] == models[1][2]
+    assert all((a == b).all() for a, b in zip(models[0][:2], models[1][:2], strict=True))
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(2)
     rows = [(i, "a " * rng.randint(0, 40), s) for i, s in enumerate(["b"] * 30 + ["a"] * 400 + [None] * 50 + ["z"] * 3)]
