@@ -52,18 +52,6 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)], np.uint64)
 
 
-def wide_fingerprint(text: bytes, shingle: int, width: int) -> np.ndarray:
-    """As fingerprint, of ``width`` words: each shingle's hash is mixed into that many."""
-    hashes = shingle_hashes(text, shingle)
-    steps = np.arange(width, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    total = np.zeros(width * 64, np.int64)
-    for low in range(0, len(hashes), 4080):  # bounds the words of a long document
-        octets = mix(hashes[low : low + 4080, None] + steps[None, :]).view(np.uint8)
-        for at in range(0, len(octets), 255):
-            total += np.add.reduce(np.unpackbits(octets[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)
-
-
 def fingerprints(docs: DataFrame, shingle: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., fp): the fingerprint as a signed long."""
 
@@ -180,108 +168,157 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFra
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LEADERS, ALL_PAIRS = 8, 4
+def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text."""
+    data, offs = utf8(column)
+    raw = data.tobytes()
+    return [np.unique(shingle_hashes(raw[a:b], shingle)) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+
+
+HEAD = np.dtype([("id", "<i8"), ("n", "<u4"), ("own", "<u4")])
+SHARED = np.dtype([("id", "<i8"), ("n", "<u4"), ("df", "<u4"), ("low", "<u4")])
+BIN_SHINGLES = 1_500_000
+
 
+def packed(table: pa.Table, column: str, kind: np.dtype | type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
-def candidates(node: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places of one node to be verified, a few for each place however large the node is.
 
-    node is sorted, its places in random order. In a node of up to ALL_PAIRS places all pairs
-    within ``most`` bits are candidates; in a larger one each place is paired with the nearest of the
-    first LEADERS places, which are others in the node of another table.
+def prefixes(firsts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(key, id, n, p, short): the shingles of firsts (id, n, text) by which near copies must meet.
+
+    The n shingles of a text are ordered by the number of texts that have them, rarest first, and p is
+    a shingle's place. Two sets of a Jaccard similarity of ``least`` share one within the first
+    n - ceil(least * n) + 1 of the larger set and, of the smaller, within the shorter prefix that
+    ``short`` marks. Shingles of one text take up places but meet nobody, and are left out. A key is
+    a bin and 32 bits of the hash; keys that are equal by chance only cost candidates.
     """
-    n = len(node)
-    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if n else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(first, n))
-    start, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
-    out = []
-    small = np.flatnonzero((size > 1) & (size <= ALL_PAIRS))
-    for k in range(1, ALL_PAIRS):
-        a = small[small + k < start[small] + size[small]]
-        near = np.bitwise_count(value[a] ^ value[a + k]) <= most
-        out.append((a[near], a[near] + k))
-    big = np.flatnonzero(size > ALL_PAIRS)
-    if len(big):
-        lead = start[big][:, None] + np.arange(LEADERS)[None, :]
-        none = (lead == big[:, None]) | (lead >= (start + size)[big][:, None])
-        far = np.where(none, 255, np.bitwise_count(value[big][:, None] ^ value[np.minimum(lead, n - 1)]))
-        best = far.argmin(axis=1)
-        near = far[np.arange(len(big)), best] <= most
-        out.append((big[near], lead[np.arange(len(big)), best][near]))
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, width: int = 8, tables: int = 64) -> DataFrame:
+    spark = firsts.sparkSession
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    bins = max(2 * partitions(spark), int(total) // BIN_SHINGLES + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text", 1 << 22):
+                ids, sets = batch.column("id").to_numpy(), shingle_sets(batch.column("text"), shingle)
+                sizes = np.array([len(x) for x in sets])
+                flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                home = ((flat >> np.uint64(32)) % np.uint64(bins)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                low, cell = (flat[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), home[order] * len(sets) + doc[order]
+                cells, start, own = np.unique(cell, return_index=True, return_counts=True)
+                heads = np.zeros(len(cells), HEAD)
+                who = cells % max(1, len(sets))
+                heads["id"], heads["n"], heads["own"] = ids[who], sizes[who], own
+                at = cells // max(1, len(sets))
+                used, first = np.unique(at, return_index=True)
+                ends = [*first[1:].tolist(), len(at)]
+                edge = np.append(start, len(low))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used.astype(np.int32)),
+                        pa.array([heads[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()),
+                        pa.array([low[edge[a] : edge[b]].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()),
+                    ],
+                    ["bin", "heads", "lows"],
+                )
+
+    def count(table: pa.Table) -> pa.Table:
+        heads, low = packed(table, "heads", HEAD), packed(table, "lows", "<u4")
+        _, back, df = np.unique(low, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(df[back] > 1)
+        doc = np.repeat(np.arange(len(heads)), heads["own"])[some]
+        out = np.zeros(len(some), SHARED)
+        out["id"], out["n"], out["df"], out["low"] = heads["id"][doc], heads["n"][doc], df[back[some]], low[some]
+        to = (mix(np.ascontiguousarray(out["id"]).view(np.uint64)) % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        used, first = np.unique(to[order], return_index=True)
+        ends = [*first[1:].tolist(), len(order)]
+        out = out[order]
+        return pa.table({"to": pa.array(used.astype(np.int32)), "bin": pa.array(np.full(len(used), table.column("bin")[0].as_py(), np.int32)), "shared": pa.array([out[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())})
+
+    def places(table: pa.Table) -> pa.Table:
+        x = packed(table, "shared", SHARED)
+        sizes = np.array([len(b) // SHARED.itemsize for b in table.column("shared").to_pylist()])
+        key = (np.repeat(table.column("bin").to_numpy().astype(np.int64), sizes) << 32) | x["low"].astype(np.int64)
+        order = np.lexsort((key, x["df"], x["id"]))
+        x, key = x[order], key[order]
+        first = np.flatnonzero(np.append(True, x["id"][1:] != x["id"][:-1]))
+        own = np.diff(np.append(first, len(x)))
+        n = x["n"].astype(np.int64)
+        p = n - np.repeat(own, own) + np.arange(len(x)) - np.repeat(first, own)
+        longer, shorter = (n - np.ceil(f * n - 1e-9).astype(np.int64) + 1 for f in (least, 2 * least / (1 + least)))
+        stay = np.flatnonzero(p < longer)
+        return pa.table({"key": pa.array(key[stay]), "id": pa.array(x["id"][stay]), "n": pa.array(n[stay]), "p": pa.array(p[stay]), "short": pa.array((p < shorter)[stay])})
+
+    dealt = firsts.select("id", "text").mapInArrow(deal, "bin int, heads binary, lows binary")
+    shared = dealt.groupBy("bin").applyInArrow(count, "to int, bin int, shared binary")
+    return shared.groupBy("to").applyInArrow(places, "key long, id long, n long, p long, short boolean")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each group of copies and near copies: the rows of docs that stay.
 
-    Near copies share at least ``least`` of their distinct word shingles (Jaccard). A wide SimHash of
-    64 * ``width`` bits proposes them: fingerprints meet at trie nodes given by ``tables`` samples of
-    their bits, deep enough for the number of documents, and the nearest of a node are compared on
-    their shingles. The row of smallest (doc_id, text) of a component stays; of rows that are the
-    same in all columns one does. Documents without words are copies of each other.
+    Near copies share at least ``least`` of their distinct word shingles (Jaccard); all pairs of them
+    are found. Texts with the same distinct shingles are one set. Sets are joined on the rarest of
+    their shingles (``prefixes``), filtered by size and place, and verified on all of them: first each
+    with one set of a shingle, so that a large group becomes one component, then all pairs of
+    different components. The row of smallest (doc_id, text) of a component stays; of rows that are
+    the same in all columns one does. Documents without words are copies of each other.
     """
     spark = docs.sparkSession
     staged = Staged(spark)
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("row"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", 1 << 22):
-                data, offs = utf8(batch.column("text"))
-                raw = data.tobytes()
-                words = [wide_fingerprint(raw[a:b], shingle, width) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                flat = pa.array(np.concatenate(words).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), flat)], ["row", "words"])
+                sets = shingle_sets(batch.column("text"), shingle)
+                ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids.view(np.int64)), pa.array([len(x) for x in sets], pa.int64())], ["row", "id", "n"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    prints = staged.write(rows.mapInArrow(run, f"row {kind}, words array<long>").withColumn("fp", F.xxhash64("words")), "prints")
+    prints = rows.mapInArrow(digest, f"row {kind}, id long, n long")
     order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("t"))
-    values = staged.write(prints.groupBy("fp", "words").agg(F.min(order).alias("least")), "values")
-    bits = max(16, int(values.count()).bit_length())
-    pick = np.random.default_rng(5).permuted(np.tile(np.arange(64 * width), (tables, 1)), axis=1)[:, :bits]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 2000):
-                part = batch.slice(low, 2000)
-                words = part.column("words").flatten().to_numpy().view(np.uint64).reshape(-1, width)
-                unpacked = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                for t in range(tables):
-                    node = (unpacked[:, pick[t]].astype(np.int64) << np.arange(bits)).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array((node * tables + t)), part.column("fp"), pa.array(words[:, 0].view(np.int64))], ["node", "fp", "value"])
-
-    nodes = values.select("fp", "words").mapInArrow(place, "node long, fp long, value long")
-    bins = max(8 * partitions(spark), values.count() * tables // 200_000 + 1)
-
-    def join(table: pa.Table) -> pa.Table:
-        node, fp, value = (table.column(c).to_numpy() for c in ("node", "fp", "value"))
-        order = np.lexsort((mix(fp.view(np.uint64) ^ node.view(np.uint64)), node))
-        a, b = candidates(node[order], value[order], 20)
-        return pa.table({"a": pa.array(fp[order][a]), "b": pa.array(fp[order][b])})
+    firsts = staged.write(prints.groupBy("id").agg(F.first("n").alias("n"), F.min_by("row", order).alias("row")), "firsts")
+    texts = firsts.select("id", "n", F.col("row.text").alias("text"))
+    entries = staged.write(prefixes(texts, shingle, least), "entries")
 
-    pairs = nodes.withColumn("bin", F.expr(f"pmod(xxhash64(node), {bins})")).groupBy("bin").applyInArrow(join, "a long, b long").distinct()
-    pairs = staged.write(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", 1 << 22):
-                data, offs = utf8(batch.column("text"))
-                raw = data.tobytes()
-                sets = [np.unique(shingle_hashes(raw[a:b], shingle)).view(np.int64) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                sets = shingle_sets(batch.column("text"), shingle)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["fp", "own"])
-
-    texts = prints.join(values.select("fp", "least"), "fp").where(order == F.col("least")).join(asked, "fp", "left_semi").select("fp", F.col("row.text").alias("text"))
-    sets = staged.write(texts.mapInArrow(shingles, "fp long, own array<long>").dropDuplicates(["fp"]), "sets")
-    left, right = (sets.select(F.col("fp").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("own_a", "own_b"))
-    share = both / F.greatest(F.lit(1), F.size("own_a") + F.size("own_b") - both)
-    links = pairs.join(left, "a").join(right, "b").where(share >= least).select("a", "b")
-    linked = components(spark, links, staged)
-    grouped = values.join(linked, values.fp == linked.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    best = grouped.groupBy("component").agg(F.min_by("fp", "least").alias("fp"), F.min("least").alias("least"))
-    best = staged.write(best.select(F.col("fp").alias("keep"), "least"), "best")
-    kept = prints.join(best, (prints.fp == best.keep) & (order == best.least)).select("row", "fp")
-    return kept.groupBy("fp").agg(F.first("row").alias("row")).select("row.*")
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "own"])
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = staged.write(pairs.distinct(), f"{name}-pairs")
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = staged.write(texts.join(asked, "id", "left_semi").select("id", "text").mapInArrow(own, "id long, own array<long>"), f"{name}-sets")
+        left, right = (sets.select(F.col("id").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+        both = F.size(F.array_intersect("own_a", "own_b"))
+        share = both / (F.size("own_a") + F.size("own_b") - both)
+        links = staged.write(pairs.join(left, "a").join(right, "b").where(share >= least).select("a", "b"), f"{name}-links")
+        staged.drop(f"{name}-sets")
+        return links
+
+    def may(x: str, y: str) -> str:
+        """Size and place filters: the overlap that the similarity needs is still to be had."""
+        need = f"{least / (1 + least)!r} * ({x}.n + {y}.n) - 1e-6"
+        return f"least({x}.n, {y}.n) >= {least!r} * greatest({x}.n, {y}.n) - 1e-6 and {x}.n - {x}.p >= {need} and {y}.n - {y}.p >= {need}"
+
+    first = entries.groupBy("key").agg(F.min(F.struct("id", "n", "p")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    near = entries.alias("y").join(first, "key").where(f"x.id <> y.id and {may('x', 'y')}")
+    links = verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "first")
+    linked = staged.write(components(spark, links, staged), "linked")
+    placed = entries.join(linked, "id", "left").select("key", "id", "n", "p", "short", F.coalesce("component", "id").alias("component"))
+    placed = staged.write(placed, "placed")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("some")).where("lo < hi and some").select("key")
+    placed = staged.write(placed.join(open_keys, "key", "left_semi"), "open")
+    across = placed.where("short").alias("x").join(placed.alias("y"), F.expr(f"x.key = y.key and x.component <> y.component and x.n <= y.n and {may('x', 'y')}"))
+    more = verified(across.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")), "across")
+    linked = components(spark, links.union(more), staged)
+    leasts = firsts.select("id", order.alias("least")).join(linked, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
+    keep = staged.write(leasts.groupBy("component").agg(F.min_by("id", "least").alias("id")).select("id"), "keep")
+    return firsts.join(keep, "id", "left_semi").select("row.*")

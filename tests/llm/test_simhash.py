@@ -60,3 +60,40 @@ def test_near_copies_keep_one_of_each_group(spark):
     kept = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string, row long")).collect()
     assert sorted(r.doc_id for r in kept) == [5, 10, *range(100, 130)]
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def jaccard(a, b, shingle=5):
+    sets = [{tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_in_a_crowd_on_one_template_are_all_found(spark):
+    rng = random.Random(4)
+    boiler = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(1200):  # alike by about 0.6, so that all crowd the same nodes and none links
+        words = [*boiler[:100], *(f"x{i}-{k}" for k in range(45)), *boiler[100:]]
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:  # a near copy a little above or below the bound
+            for k in rng.sample(range(len(words)), 5 if i % 2 else 7):
+                words[k] = f"y{i}-{k}"
+            rows.append((10_000 + i, " ".join(words)))
+    assert 0.5 < jaccard(rows[0][1], rows[2][1]) < 0.75
+    texts = dict(rows)
+    near = {i for i in texts if i >= 10_000 and jaccard(texts[i], texts[i - 10_000]) >= 0.8}
+    assert 100 < len(near) < 400
+    kept = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == texts.keys() - near
+
+
+def test_a_dominating_run_or_a_repeated_passage_does_not_decide(spark):
+    rng = random.Random(5)
+    run = " ha" * 400
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(60)) + run) for i in range(4)]  # one shingle is over half of each text
+    passage = " ".join(f"p{rng.random()}" for _ in range(50))
+    for i in range(10, 14):  # the same distinct shingles but for the seams
+        other = " ".join(f"q{i}-{k}" for k in range(200))
+        rows += [(i, f"{passage} {other} {passage}"), (i + 100, f"{passage} {other}{f' {passage}' * 40}")]
+    assert all(jaccard(rows[k][1], rows[k + 1][1]) > 0.95 for k in range(4, 12, 2)) and jaccard(rows[0][1], rows[1][1]) < 0.05
+    kept = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 1, 2, 3, 10, 11, 12, 13}
