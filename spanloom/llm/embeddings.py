@@ -6,7 +6,8 @@ block's part of all dimensions, in one block at least. Each block is joined by r
 at home in one cell of a grid over the block's first coordinates and asks in every cell that its
 range touches. In a cell the block's distance, on all its coordinates, selects the candidates; those
 that no earlier block selects are held against the cosine in double precision, so each link counts
-once. A cell returns counts and a star of each linked set, never its pairs.
+once. Equal vectors are one row with its number of copies, and a full cell is dealt to blocks of
+bounded size. A block returns counts and a star of each linked set, never its pairs.
 """
 
 from __future__ import annotations
@@ -57,6 +58,21 @@ def cells_of(points: np.ndarray, width: float, reach: float) -> tuple[np.ndarray
     return np.concatenate(who), np.concatenate(cells), np.concatenate(own)
 
 
+def dealt(asked: DataFrame, staged: Staged, most: int) -> DataFrame:
+    """Those who ask in a cell (home false) and those at home there, dealt to blocks (part, door).
+
+    A block has about ``most`` of either: each part of those who ask meets each part of those at home.
+    """
+    ceiling = lambda n: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    parts = asked.groupBy("dims", "cell").agg(ceiling(F.count("*")).alias("parts"), ceiling(F.count_if("home")).alias("doors"))
+    rows = asked.join(staged.write(parts, "parts"), ["dims", "cell"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    asking = rows.select("row", "dims", "cell", "copies", "v", F.lit(False).alias("home"), one("parts").alias("part"), every("doors").alias("door"))
+    living = rows.where("home").select("row", "dims", "cell", "copies", "v", F.lit(True).alias("home"), every("parts").alias("part"), one("doors").alias("door"))
+    return asking.unionByName(living)
+
+
 def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, grid_dims: int = 2) -> DataFrame:
     """Links of vectors with a cosine of at least ``cosine`` and their components.
 
@@ -71,8 +87,8 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
     rows = vectors.select("vec_id", F.col("embedding").alias("v"))
     usable = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     rows = staged.write(rows.select("vec_id", F.when(F.expr(usable), F.col("v")).alias("v")), "vectors")
-    good = rows.where("v is not null").select("vec_id", "v", F.monotonically_increasing_id().alias("row"))
-    good = staged.write(good, "good")
+    good = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    good = staged.write(good.withColumn("row", F.monotonically_increasing_id()), "good")
     reach_all = 2 - 2 * cosine
 
     def place(batches):
@@ -91,17 +107,10 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
                     who, cell, home = cells_of(points, max(2 * reach, 1e-3), reach)
                     at = pa.array(who)
                     cell |= b << 48
-                    yield pa.RecordBatch.from_arrays([part.column("row").take(at), pa.array(np.full(len(at), dims, np.int32)), pa.array(cell), pa.array(home), part.column("v").take(at)], ["row", "dims", "cell", "home", "v"])
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(at), pa.array(np.full(len(at), dims, np.int32)), pa.array(cell), pa.array(home), part.column("copies").take(at), part.column("v").take(at)], ["row", "dims", "cell", "home", "copies", "v"])
 
     vector = good.schema["v"].dataType.simpleString()
-    asked = staged.write(good.select("row", "v").mapInArrow(place, f"row long, dims int, cell long, home boolean, v {vector}"), "asked")
-    # a full cell is dealt to several tasks: those who ask in parts, those at home to every part
-    parts = asked.groupBy("dims", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-    dealt = asked.join(staged.write(parts, "parts"), ["dims", "cell"])
-    one = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    asking = dealt.select("row", "dims", "cell", "v", F.lit(False).alias("home"), one.alias("part"))
-    living = dealt.where("home").select("row", "dims", "cell", "v", F.lit(True).alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
+    asked = staged.write(good.select("row", "copies", "v").mapInArrow(place, f"row long, dims int, cell long, home boolean, copies long, v {vector}"), "asked")
     def join(table: pa.Table) -> pa.Table:
         dims, block = table.column("dims")[0].as_py(), table.column("cell")[0].as_py() >> 48
         row, home = table.column("row").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
@@ -111,7 +120,11 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
         edges = [round(dims * k / n_blocks) for k in range(n_blocks + 1)]
         budget = [reach_all * (edges[k + 1] - edges[k]) / dims + SLACK for k in range(n_blocks)]
         here, asks = np.flatnonzero(home), np.flatnonzero(~home)
-        links, ends_a, ends_b = np.zeros(len(asks), np.int64), [], []
+        copies = table.column("copies").to_numpy()
+        links = np.zeros(len(asks), np.int64)
+        # the same vector stands at home and asks: one place for both
+        nodes, place_of = np.unique(row, return_inverse=True)
+        label = np.arange(len(nodes))
         own = slice(edges[block], edges[block + 1])
         square = (turned[:, own] ** 2).sum(axis=1, keepdims=True)
         # one product gives |x|^2 + |y|^2 - 2xy; single precision only proposes, with room for its error
@@ -131,22 +144,20 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
                     gap = ((turned[p, edges[k] : edges[k + 1]] - turned[q, edges[k] : edges[k + 1]]) ** 2).sum(axis=1)
                     near &= (gap <= budget[k]) if k == block else (gap > budget[k])
                 true[at : at + 20_000] = near
-            links += np.bincount(low + i[true], minlength=len(asks))
-            # the same vector stands at home and asks: one place for both
-            ends_a.append(row[a[true]])
-            ends_b.append(row[b[true]])
-        a, b = np.concatenate([*ends_a, row[:0]]), np.concatenate([*ends_b, row[:0]])
-        nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
-        label = stars(len(nodes), where[: len(a)], where[len(a) :])
+            np.add.at(links, low + i[true], copies[b[true]])
+            if true.any():  # folded at once, so that no pair outlives its rows of the table
+                label = stars(len(nodes), label[place_of[a[true]]], label[place_of[b[true]]])[label]
         out, some = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(links)
         return pa.table({"row": pa.array(np.concatenate((row[asks[some]], nodes[out]))), "links": pa.array(np.concatenate((links[some], np.zeros(len(out), np.int64)))), "to": pa.array(np.concatenate((row[asks[some]], nodes[label[out]])))})
 
-    found = staged.write(asking.unionByName(living).groupBy("dims", "cell", "part").applyInArrow(join, "row long, links long, to long"), "found")
+    found = staged.write(dealt(asked, staged, CELL_ROWS).groupBy("dims", "cell", "part", "door").applyInArrow(join, "row long, links long, to long"), "found")
     linked = components(spark, found.where("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b")), staged)
     count = found.groupBy("row").agg(F.sum("links").alias("n_links"))
-    members = good.select("row", "vec_id").join(linked, F.col("row") == F.col("id"), "left").select("row", "vec_id", F.coalesce("component", "row").alias("component"))
+    members = good.join(linked, F.col("row") == F.col("id"), "left").select("row", "v", "copies", "first", F.coalesce("component", "row").alias("component"))
     members = staged.write(members.join(count, "row", "left"), "members")
-    least = staged.write(members.groupBy("component").agg(F.min("vec_id").alias("component_id")), "least")
-    out = members.join(least, "component").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
+    least = staged.write(members.groupBy("component").agg(F.min("first").alias("component_id")), "least")
+    # copies link with each other too
+    members = members.join(least, "component").select("v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.where("v is not null").join(members, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))

@@ -1,6 +1,9 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import embeddings
+from spanloom.llm.common import Staged
 
 
 def test_links_against_brute_force(spark):
@@ -24,3 +27,23 @@ def test_links_against_brute_force(spark):
     assert got[9011] == (1, 9011, True) and got[9013] == (1, 9011, False)
     assert all(got[k] == (0, k, True) for k in (9001, 9003, 9005, 9007, 9009, 9015))
     assert embeddings.near_embeddings(df.limit(0)).count() == 0
+
+
+def test_many_copies_and_a_cluster_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 40)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    x = base + rng.normal(size=(150, 64)) * 0.1
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    many = spark.range(1000, 41_000).select(F.col("id").alias("vec_id"), F.lit(0).alias("k")).join(few.limit(1).select("embedding"))
+    got = {r.vec_id: r for r in embeddings.near_embeddings(few.unionByName(many.select("vec_id", "embedding"))).collect()}
+    assert len(got) == 40_150 and all(r.component_id == 0 and r.n_links == 40_149 for r in got.values())
+
+
+def test_blocks_of_a_full_cell_are_bounded_on_both_sides(spark):
+    asked = spark.range(2000).selectExpr("id as row", "2 as dims", "7L as cell", "id % 2 = 0 as home", "1L as copies", "array(1f, 2f) as v")
+    dealt = embeddings.dealt(asked, Staged(spark), 100)
+    assert dealt.groupBy("part", "door", "home").count().agg(F.max("count")).first()[0] < 200
+    asks, lives = dealt.where("not home").select("row", "part", "door"), dealt.where("home").select(F.col("row").alias("other"), "part", "door")
+    met = asks.join(lives, ["part", "door"]).groupBy("row", "other").count()
+    assert met.count() == 2000 * 1000 and met.where("count > 1").count() == 0
