@@ -96,6 +96,18 @@ def test_reparameterised_questions_are_found(spark):
     assert decontaminate.contaminated(df.limit(0), got.select("item_id").withColumn("text", got.item_id.cast("string"))).count() == 0
 
 
+def test_short_quoted_and_partly_copied_items_are_found(spark):
+    long = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    items = [(1, "Who wrote Hamlet?"), (2, "12 + 7 * 3 = ?"), (3, "What is the capital of France and why?"), (4, " ".join(long)), (5, "Zürich?")]
+    docs = [
+        (1, "He asked her WHO WROTE HAMLET and went."), (2, "So 12 + 7 * 3 = 33."), (3, "Question: What is the capital of France and why? Answer."), (4, "Question: What is the capital of Spain and why? Answer."),
+        (5, "before it " + " ".join(long[200:300]) + " after it"), (6, "Who wrote, asked Hamlet. 12 and 7 and 3. What is the capital?"), (7, "ten words of it " + " ".join(long[200:210])), (8, "in ZÜRICH"),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.kind for r in got} == {(1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (4, 3): "reparameterised", (5, 4): "exact", (8, 5): "exact"}
+    assert len(got) == 6
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.org/es/1", "https://EXAMPLE.org/en/12?x", "http://example.org/en/2", "http://x.com/fr/a#b", "http://com/de/", "http://notexample.org/es/", "http://a.org", "no url", None, "", "http://", "x://h.net/fr/", "http://org/" + "a/" * 3000]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string").selectExpr("*", "'h' as host", "1 as rule")
