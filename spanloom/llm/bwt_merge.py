@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Staged, byte_values, chunks, partitions, utf8
+from spanloom.llm.common import Staged, chunks, partitions, utf8
 from spanloom.llm.fm_index import NO_OWNER, spans_of
-from spanloom.llm.repeats import lone, marked, removal, repeated_segments, with_symbols
+from spanloom.llm.repeats import BYTES, SPAN, identified, lone, marked, repeats
 
 
 def rotation_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -97,19 +97,8 @@ def repeated_windows(contents: list[bytes], copies: np.ndarray, window: int, sha
     return hit[spot], lengths
 
 
-def _byte_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return byte_values(data), offs
-
-
 def repeated_bytes(rows: DataFrame, staged: Staged, window: int = 200, gram: int = 24, bin_bytes: int = 400_000, shard_bytes: int = 65_536) -> DataFrame:
-    """Byte ranges (rid, start, end) of windows of rows (rid, doc_id, text) that occur anywhere else too."""
-    grams = (gram, (gram + window) // 2, window)
-    found = repeated_segments(rows, staged, _byte_symbols, window, grams, 1 << 18)
-    bodies = staged.write(with_symbols(rows, found, _byte_symbols, lambda values, batch, offs: utf8(batch.column("text"))[0], window, grams, 1 << 20), "bodies")
-    staged.drop("repeated")
-    size = bodies.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    bins = max(4 * partitions(rows.sparkSession), int(size) // bin_bytes + 1)
-    distinct = bodies.groupBy("key", "digest", "content").agg(F.count("*").alias("copies"))
+    """Byte ranges (id, rid, start, end) of windows of rows (id, rid, doc_id, text) that occur anywhere else too."""
 
     def merge(table: pa.Table) -> pa.Table:
         contents = table.column("content").to_pylist()
@@ -125,11 +114,11 @@ def repeated_bytes(rows: DataFrame, staged: Staged, window: int = 200, gram: int
         row, first, last = (np.concatenate([x[k] for x in out]) for k in range(3))
         return pa.table({"key": pa.array(key[row]), "digest": pa.array(digest[row]), "first": pa.array(first), "last": pa.array(last), "owner": pa.array(np.zeros(len(row), np.int64))})
 
-    spans = distinct.withColumn("bin", F.expr(f"pmod(xxhash64(key), {bins})")).groupBy("bin").applyInArrow(merge, "key long, digest long, first long, last long, owner long")
-    spans = staged.write(spans, "spans")
-    places = staged.write(bodies.select("key", "rid", "doc_id", "start", "digest"), "places")
-    staged.drop("bodies")
-    return removal(places, spans, window).select("rid", "start", "end")
+    def solve(contents: DataFrame, size: int) -> DataFrame:
+        bins = max(4 * partitions(rows.sparkSession), size // bin_bytes + 1)
+        return contents.withColumn("bin", F.expr(f"pmod(xxhash64(key), {bins})")).groupBy("bin").applyInArrow(merge, SPAN)
+
+    return repeats(rows, staged, BYTES, window, gram, 2 * bin_bytes, solve).select("id", "rid", "start", "end")
 
 
 def cut(spans: list[tuple[int, int]], own: np.ndarray) -> tuple[bytes, int]:
@@ -145,18 +134,18 @@ def cut(spans: list[tuple[int, int]], own: np.ndarray) -> tuple[bytes, int]:
     return b"".join(p.tobytes() for p in pieces), runs
 
 
-def cut_rows(docs: DataFrame, window: int = 200, as_text: bool = False) -> DataFrame:
+def cut_rows(docs: DataFrame, window: int = 200, as_text: bool = False, bin_bytes: int = 400_000) -> DataFrame:
     """suffix_dedup for whole rows: (row, n_bytes, n_removed, n_spans, kept_sha256, kept), row a struct of the other columns.
 
-    as_text: kept is a string; a character that a cut splits goes as a whole.
+    as_text: kept is a string; a character that a cut splits goes as a whole. bin_bytes: about what
+    one task merges; a key may hold twice that before it is refined.
     """
     staged = Staged(docs.sparkSession)
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
-    rows = marked(rows)
+    rows = marked(identified(docs, F.struct(*[c for c in docs.columns if c != "text"]).alias("row")))
     # of a hot text one row is routed, the smallest; all copies lose all of it
-    routed = rows.where("first_id is null or first_id <=> doc_id").select("rid", "doc_id", "text")
-    spans = repeated_bytes(routed, staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(spans, "rid", "left").select("row", "text", F.col("first_id").isNotNull().alias("copy"), "spans")
+    routed = rows.where("first_id is null or first_id <=> doc_id").select("id", "rid", "doc_id", "text")
+    spans = repeated_bytes(routed, staged, window, bin_bytes=bin_bytes).groupBy("id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(spans, ["id", "rid"], "left").select("row", "text", F.col("first_id").isNotNull().alias("copy"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,12 +167,13 @@ def cut_rows(docs: DataFrame, window: int = 200, as_text: bool = False) -> DataF
     return joined.mapInArrow(run, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}")
 
 
-def suffix_dedup(docs: DataFrame, window: int = 200) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 200, bin_bytes: int = 400_000) -> DataFrame:
     """Removes bytes covered by a ``window``-byte string that also starts anywhere else in the table.
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of docs;
     kept is binary, as a cut may split a character. Null texts are empty; repeated rows hold each
-    other's strings and so lose them; matches never cross rows. Other columns are ignored. Empty
-    tables give no rows.
+    other's strings and so lose them; matches never cross rows. Texts of any length are searched
+    whole, in pieces of some ``window`` bytes; a document itself is cut in one task. Other columns
+    are ignored, whatever their names. Empty tables give no rows.
     """
-    return cut_rows(docs.select("doc_id", "text"), window).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    return cut_rows(docs.select("doc_id", "text"), window, bin_bytes=bin_bytes).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

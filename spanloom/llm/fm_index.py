@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Staged, chunks, partitions, prefix_sums, byte_values, span_hash, utf8, word_spans
-from spanloom.llm.repeats import lone, marked, removal, repeated_segments, with_symbols
+from spanloom.llm.common import Staged, chunks, partitions, ranges, utf8, word_spans
+from spanloom.llm.repeats import SPAN, WORDS, binary, identified, lone, marked, repeats
 
 NO_OWNER = np.int64(np.iinfo(np.int64).max)
 
@@ -155,36 +155,26 @@ def spans_of(owner: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], at[first], at[last], owner[first]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_numbers(contents: pa.Array) -> list[np.ndarray]:
+    """Words of each content as numbers from 1, told apart by their bytes."""
+    data, offs = utf8(contents)
     starts, ends, rows = word_spans(data, offs)
-    return span_hash(prefix_sums(byte_values(data)), starts, ends), rows
+    words = binary(data[ranges(starts, ends - starts)], np.cumsum(ends - starts))
+    return np.split(words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1, rows[1:-1])
 
 
-def _row_id(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def repeated_words(rows: DataFrame, staged: Staged, window: int = 50, gram: int = 12, shard_words: int = 200_000) -> DataFrame:
-    """Word ranges (rid, start, end) of windows of rows (rid, doc_id, text) that a document with a smaller id holds."""
-    grams = (gram, (gram + window) // 2, window)
-    found = repeated_segments(rows, staged, words, window, grams, 1 << 20)
-    bodies = staged.write(with_symbols(rows, found, words, lambda values, batch, offs: values, window, grams, 1 << 20), "bodies")
-    staged.drop("repeated")
-    size = bodies.agg(F.sum(F.col("n") + window)).first()[0] or 0
-    shards = max(4 * partitions(rows.sparkSession), int(size) // shard_words + 1)
-    distinct = bodies.groupBy("key", "digest", "content").agg(F.min("doc_id").alias("owner"))
+def repeated_words(rows: DataFrame, staged: Staged, window: int = 50, gram: int = 12, shard_bytes: int = 1_400_000) -> DataFrame:
+    """Word ranges (id, rid, start, end) of windows of rows (id, rid, doc_id, text) that a document with a smaller id holds."""
 
     def search(table: pa.Table) -> pa.Table:
-        contents = [np.frombuffer(x, np.uint64) for x in table.column("content").to_pylist()]
-        owners = np.array([NO_OWNER if x is None else x for x in table.column("owner").to_pylist()], np.int64)
-        key, digest = table.column("key").to_numpy(), table.column("digest").to_numpy()
+        owners, key, digest = (table.column(c).to_numpy() for c in ("owner", "key", "digest"))
+        words = word_numbers(table.column("content").combine_chunks())
         alone = lone(key)  # all windows of a lone content have its owner
-        n = np.array([len(x) - window for x in contents])
-        own = np.flatnonzero(alone & (owners != NO_OWNER))
-        out = [(own, np.zeros(len(own), np.int64), n[own], owners[own])]
+        own = np.flatnonzero(alone)
+        out = [(own, np.zeros(len(own), np.int64), np.array([len(words[i]) - window for i in own], np.int64), owners[own])]
         rest = np.flatnonzero(~alone)
         if len(rest):
-            some = [contents[i] for i in rest]
+            some = [words[i] for i in rest]
             index, alphabet = index_of(some, owners[rest], window)
             lengths = np.array([len(x) for x in some])
             queries = np.searchsorted(alphabet, np.concatenate(some)) + 1
@@ -193,12 +183,12 @@ def repeated_words(rows: DataFrame, staged: Staged, window: int = 50, gram: int
         row, first, last, owner = (np.concatenate([x[k] for x in out]) for k in range(4))
         return pa.table({"key": pa.array(key[row]), "digest": pa.array(digest[row]), "first": pa.array(first), "last": pa.array(last), "owner": pa.array(owner)})
 
-    spans = distinct.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards})")).groupBy("shard").applyInArrow(search, "key long, digest long, first long, last long, owner long")
+    def solve(contents: DataFrame, size: int) -> DataFrame:
+        shards = max(4 * partitions(rows.sparkSession), size // shard_bytes + 1)
+        return contents.withColumn("shard", F.expr(f"pmod(xxhash64(key), {shards})")).groupBy("shard").applyInArrow(search, SPAN)
+
     # only spans that someone else may lose matter; the smallest document of a window keeps it
-    spans = staged.write(spans, "spans")
-    places = staged.write(bodies.select("key", "rid", "doc_id", "start", "digest"), "places")
-    staged.drop("bodies")
-    return removal(places, spans, window).where("owner < doc_id").select("rid", "start", "end")
+    return repeats(rows, staged, WORDS, window, gram, shard_bytes, solve).where("owner < id").select("id", "rid", "start", "end")
 
 
 def cut_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -226,16 +216,19 @@ def cut_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, shard_bytes: int = 1_400_000) -> DataFrame:
     """Removes words covered by a window of ``window`` words that a document with a smaller doc_id holds.
 
     Returns (doc_id, n_words, n_removed, kept_sha256, kept), a row for each row of docs.
     A null text has no words. A null doc_id is no smaller one and loses nothing. Rows that repeat
-    a doc_id are kept as they are, since none has the smaller id. Empty tables give no rows;
-    columns other than doc_id and text are ignored.
+    a doc_id are kept as they are, since none has the smaller id. Words are compared by their bytes.
+    Texts of any length are searched whole, in pieces of some ``window`` words; a document itself is
+    cut in one task. Empty tables give no rows; columns other than doc_id and text are ignored,
+    whatever their names. shard_bytes: about what one index holds, and the most that a key may hold
+    before it is refined.
     """
     staged = Staged(docs.sparkSession)
-    rows = marked(_row_id(docs)).withColumn("copy", F.coalesce(F.expr("first_id < doc_id"), F.lit(False)))
-    spans = repeated_words(rows.where("not copy"), staged, window).groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(spans, "rid", "left").select("doc_id", "text", "copy", "spans")
+    rows = marked(identified(docs)).withColumn("copy", F.coalesce(F.expr("first_id < doc_id"), F.lit(False)))
+    spans = repeated_words(rows.where("doc_id is not null and not copy"), staged, window, shard_bytes=shard_bytes).groupBy("id", "rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = rows.join(spans, ["id", "rid"], "left").select("doc_id", "text", "copy", F.expr("if(doc_id is null, null, spans)").alias("spans"))
     return joined.mapInArrow(lambda batches: cut_words(batches, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

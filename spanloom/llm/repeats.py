@@ -2,32 +2,72 @@
 
 A window is T consecutive symbols (words or bytes) of one document. Each window is keyed by the
 smallest hash among its k-symbol grams, so equal windows always carry equal keys, and a run of
-neighbouring windows with one key forms a segment of some T + T/2 symbols. Only segments whose
-key occurs more than once can hold a repeated window; their symbols go to the shard of the key.
-
-A key that is hot (a passage that many documents share) would put all their different
-surroundings in one shard. Its windows are keyed again by longer grams, and those that are still
-hot by the whole window, which drops the windows that reach into surroundings of their own. What
-is left of a passage is joined again to runs keyed by the longer gram; these are the same in all
-documents and become one row when contents are made distinct. The lists of hot keys are
-bounded: a key is hot beyond a fixed share of all rows, so there are at most ``HOT_KEYS`` of them.
+neighbouring windows with one key and one gram forms a segment of some T + T/2 symbols. Only
+segments whose key occurs more than once can hold a repeated window; their symbols go to the shard
+of the key. Equal contents become one row first, so a passage that many documents share is routed
+once for each surrounding that differs.
+
+Different contents of one key can still be too many for a task (a common line in surroundings of
+their own). A key with more than ``key_bytes`` of them is refined: its segments are aligned at the
+gram, and equal windows stand at equal places beside it, so the windows are split into halves by
+that place, and each half is keyed anew by all symbols that its windows have in common. Halves that
+occur once are dropped, the others are split again while they are too many. The bound is an amount
+of data, whatever the size of the table; each content has at most two halves a round, and there are
+at most log2(T) + 1 rounds. The spans found in halves are carried back to the contents they are of.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Staged, chunks, gram_hash, partitions, ranges, utf8
+from spanloom.llm.common import Staged, byte_values, chunks, gram_hash, mix, prefix_sums, ranges, span_hash, utf8, word_spans
 
-HOT_KEYS = 4096
 HOT_TEXTS = 1000
-SEGMENT = "key long, rid long, start long, n long, level int"
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+SEGMENT = "key long, id long, rid long, start long, n long, place long"
+SPAN = "key long, digest long, first long, last long, owner long"
+CONTENT = ["key", "digest", "content", "place", "owner", "copies"]
+
+
+@dataclass(frozen=True)
+class Units:
+    """What windows count. values: (bytes, offsets) of texts to symbol hashes and the symbol offsets of the rows.
+
+    packed: (bytes, offsets) to bytes and the place of each symbol in them; symbols a to b are the
+    bytes from place[a] to place[b] without the last ``gap``.
+    """
+
+    values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    packed: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    gap: int
+    limit: int
+
+
+def _word_values(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, rows = word_spans(data, offs)
+    return span_hash(prefix_sums(byte_values(data)), starts, ends), rows
+
+
+def _words_packed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, each with one space after it."""
+    starts, ends, rows = word_spans(data, offs)
+    place = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+    raw = np.append(data, np.uint8(32))[ranges(starts, ends - starts + 1)]
+    raw[place[1:] - 1] = 32
+    return raw, place, rows
+
+
+def _bytes_packed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return data, np.arange(len(data) + 1), offs
+
+
+WORDS = Units(_word_values, _words_packed, 1, 1 << 20)
+BYTES = Units(lambda data, offs: (byte_values(data), offs), _bytes_packed, 0, 1 << 18)
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -51,28 +91,18 @@ def window_keys(values: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return grams[at].view(np.int64), at
 
 
-def segments(values: np.ndarray, offs: np.ndarray, window: int, grams: tuple[int, ...], hot: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Segments of all rows: key, row, start in the row, number of windows, level of the key."""
+def segments(values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments of all rows: key, row, start in the row, number of windows, place of the gram in the segment."""
     n = len(values) - window + 1
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 5
-    valid = np.flatnonzero(row[:n] == row[window - 1 :])
-    keys, place = (x[valid] for x in window_keys(values, window, grams[0]))
-    depth = np.zeros(len(keys), np.int64)
-    for level, known in enumerate(hot, 1):
-        again = np.flatnonzero(np.isin(keys, known)) if len(known) else known
-        if not len(again):
-            break
-        longer, at = window_keys(values, window, grams[level])
-        keys[again], place[again] = longer[valid[again]] ^ np.int64(level), at[valid[again]]
-        depth[again] = level
+    valid = np.flatnonzero(row[:n] == row[window - 1 :]) if n > 0 else row[:0]
     if not len(valid):
         return (np.zeros(0, np.int64),) * 5
+    keys, place = (x[valid] for x in window_keys(values, window, gram))
     cut = np.ones(len(valid), bool)
-    cut[1:] = (np.diff(valid) != 1) | (np.diff(keys) != 0) | (np.diff(place) != 0) | (np.diff(row[valid]) != 0)
+    cut[1:] = (np.diff(valid) != 1) | (np.diff(place) != 0) | (np.diff(row[valid]) != 0)
     at = np.flatnonzero(cut)
-    return keys[at], row[valid[at]], valid[at] - offs[row[valid[at]]], np.diff(np.append(at, len(valid))), depth[at]
+    return keys[at], row[valid[at]], valid[at] - offs[row[valid[at]]], np.diff(np.append(at, len(valid))), place[at] - valid[at]
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -81,11 +111,11 @@ def marked(docs: DataFrame) -> DataFrame:
     A text is hot if it makes up more than a HOT_TEXTS-th of the rows, so the list that is broadcast
     has fewer than HOT_TEXTS rows. Exact copies of a hot text need no search: they are routed once.
     """
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    counts = keyed.groupBy("text_key").agg(F.count("*").alias("c"), F.min("doc_id").alias("first_id"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("text_key2", F.xxhash64(F.lit(1), "text"))
+    counts = keyed.groupBy("text_key", "text_key2").agg(F.count("*").alias("c"), F.min("doc_id").alias("first_id"))
     total = docs.count()
-    hot = counts.where(F.col("c") > max(50, total // HOT_TEXTS)).select("text_key", "first_id")
-    return keyed.join(F.broadcast(hot), "text_key", "left").drop("text_key")
+    hot = counts.where(F.col("c") > max(50, total // HOT_TEXTS)).drop("c")
+    return keyed.join(F.broadcast(hot), ["text_key", "text_key2"], "left").drop("text_key", "text_key2")
 
 
 def lone(key: np.ndarray) -> np.ndarray:
@@ -94,93 +124,144 @@ def lone(key: np.ndarray) -> np.ndarray:
     return count[inverse] == 1
 
 
-def route(docs: DataFrame, symbols: Symbols, window: int, grams: tuple[int, ...], hot: list[np.ndarray], limit: int) -> DataFrame:
-    """Segments of documents (rid, text)."""
+def route(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
+    """Segments of documents (id, rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", limit):
-                rid = batch.column("rid").to_numpy()
-                keys, row, start, n, level = segments(*symbols(*utf8(batch.column("text"))), window, grams, hot)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (keys, rid[row], start, n)), pa.array(level.astype(np.int32))], ["key", "rid", "start", "n", "level"])
+            for batch in chunks(whole, "text", units.limit):
+                key, row, start, n, place = segments(*units.values(*utf8(batch.column("text"))), window, gram)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(rows), batch.column("rid").take(rows), *(pa.array(x.astype(np.int64)) for x in (start, n, place))], ["key", "id", "rid", "start", "n", "place"])
 
-    return docs.select("rid", "text").mapInArrow(run, SEGMENT)
+    return docs.select("id", "rid", "text").mapInArrow(run, SEGMENT)
 
 
-def repeated_segments(docs: DataFrame, staged: Staged, symbols: Symbols, window: int, grams: tuple[int, ...], limit: int) -> DataFrame:
-    """Segments whose key occurs more than once, hot keys refined (see above)."""
-    spark = docs.sparkSession
-    share = min(HOT_KEYS, 2 * partitions(spark))
-    hot: list[np.ndarray] = []
-    while True:
-        level = len(hot)
-        rows = staged.write(route(docs, symbols, window, grams, hot, limit), f"segments{level}")
-        counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        counts = staged.write(counts, f"counts{level}")
-        if level + 1 < len(grams):
-            total = counts.agg(F.sum("c")).first()[0] or 0
-            # at most `share` keys can each hold more than total / share rows
-            keys = [r.key for r in counts.where(F.col("c") > max(64, total // share)).select("key").collect()]
-            if keys:
-                hot.append(np.sort(np.array(keys, np.int64)))
-                staged.drop(f"segments{level}")
-                staged.drop(f"counts{level}")
-                continue
-        found = staged.write(rows.join(counts.select("key"), "key", "left_semi"), "repeated")
-        staged.drop(f"segments{level}")
-        staged.drop(f"counts{level}")
-        return found
-
-
-def rejoined(key: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, single: np.ndarray, values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Joins neighbouring windows that were keyed one by one to runs keyed by their smallest longer gram."""
-    one = np.flatnonzero(single)
-    if not len(one):
-        return key, row, start, n
-    one = one[np.lexsort((start[one], row[one]))]
-    at = offs[row[one]] + start[one]
-    longer, place = (x[at] for x in window_keys(values, window, gram))
-    new = np.ones(len(one), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(row[one]) != 0) | (np.diff(place) != 0)
-    first = np.flatnonzero(new)
-    rest = ~single
-    runs = (longer[first] ^ np.int64(1), row[one][first], start[one][first], np.diff(np.append(first, len(one))))
-    return tuple(np.concatenate((x[rest], y)) for x, y in zip((key, row, start, n), runs, strict=True))
-
-
-def with_symbols(docs: DataFrame, found: DataFrame, symbols: Symbols, packed: Callable, window: int, grams: tuple[int, ...], limit: int) -> DataFrame:
-    """Adds the symbols of each segment: (key, rid, doc_id, start, n, content, digest)."""
-    per_doc = found.groupBy("rid").agg(F.collect_set(F.struct("key", "start", "n", "level")).alias("segments"))
-    joined = docs.join(per_doc, "rid").select("rid", "doc_id", "text", "segments")
+def repeated_segments(docs: DataFrame, staged: Staged, units: Units, window: int, gram: int) -> DataFrame:
+    """Segments whose key occurs more than once."""
+    rows = staged.write(route(docs, units, window, gram), "segments")
+    counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    found = staged.write(rows.join(counts.select("key"), "key", "left_semi"), "repeated")
+    staged.drop("segments")
+    return found
+
+
+def binary(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that stand one after another in raw."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+def slices(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    return binary(raw[ranges(low, high - low)], np.cumsum(high - low))
+
+
+def with_symbols(docs: DataFrame, found: DataFrame, units: Units, window: int) -> DataFrame:
+    """Adds the symbols of each segment: (key, digest, id, rid, start, place, content, bytes)."""
+    per_doc = found.groupBy("id", "rid").agg(F.collect_set(F.struct("key", "start", "n", "place")).alias("segments"))
+    joined = docs.join(per_doc, ["id", "rid"]).select("id", "rid", "text", "segments")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text", limit):
+            for batch in chunks(whole, "text", units.limit):
                 lists = batch.column("segments")
-                parts = lists.flatten()
-                count = np.diff(lists.offsets.to_numpy())
+                parts, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(len(batch)), count)
-                key, start, n, level = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                values, offs = symbols(*utf8(batch.column("text")))
-                key, row, start, n = rejoined(key, row, start, n, level == len(grams) - 1, values, offs, window, grams[1])
-                at, length = offs[row] + start, n + window - 1
+                key, start, n, place = (parts.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                raw, spots, offs = units.packed(*utf8(batch.column("text")))
+                at = offs[row] + start
                 for low in range(0, len(at), 20_000):  # bounds the size of one output batch
                     part = slice(low, low + 20_000)
-                    body = packed(values, batch, offs)[ranges(at[part], length[part])]
-                    width = body.dtype.itemsize
-                    ends = np.concatenate(([0], np.cumsum(length[part]))) * width
-                    content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(body.tobytes())]).cast(pa.binary())
-                    r = row[part]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[part]), batch.column("rid").take(pa.array(r)), batch.column("doc_id").take(pa.array(r)), pa.array(start[part]), pa.array(n[part]), content],
-                        ["key", "rid", "doc_id", "start", "n", "content"],
-                    )
-
-    out = joined.mapInArrow(run, "key long, rid long, doc_id long, start long, n long, content binary")
-    return out.withColumn("digest", F.xxhash64("key", "content"))
-
-
-def removal(found: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """Joins the spans found for each content back to the documents that hold it: (rid, start, end, owner)."""
-    placed = found.join(spans, ["key", "digest"])
-    return placed.select("rid", "doc_id", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + window).alias("end"), "owner")
+                    content = slices(raw, spots[at[part]], spots[at[part] + n[part] + window - 1] - units.gap)
+                    r = pa.array(row[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), batch.column("id").take(r), batch.column("rid").take(r), pa.array(start[part]), pa.array(place[part]), content], ["key", "id", "rid", "start", "place", "content"])
+
+    out = joined.mapInArrow(run, "key long, id long, rid long, start long, place long, content binary")
+    return out.withColumn("digest", F.xxhash64("key", "content")).withColumn("bytes", F.length("content"))
+
+
+def halves(contents: DataFrame, units: Units, window: int, gram: int, level: int) -> DataFrame:
+    """Splits the windows of contents (see CONTENT) by their distance to the gram into ranges half as wide as the level before.
+
+    Returns (parent, parent_digest, shift, key, digest, content, bytes, place, owner, copies).
+    """
+    most = window - gram
+    wide = max(1, 1 << (max(0, most.bit_length() - level)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "content", units.limit):
+                data, offs = utf8(batch.column("content"))
+                values, rows = units.values(data, offs)
+                raw, spots, _ = units.packed(data, offs)
+                place = batch.column("place").to_numpy()
+                n = np.diff(rows) - window + 1
+                low, high = (place - n + 1) // wide, place // wide
+                row = np.repeat(np.arange(len(batch)), high - low + 1)
+                part = ranges(low, high - low + 1)
+                nearest, farthest = part * wide, np.minimum((part + 1) * wide - 1, most)
+                a, b = np.maximum(nearest, (place - n + 1)[row]), np.minimum(farthest, place[row])
+                shift, base = place[row] - b, rows[:-1][row]
+                core = span_hash(prefix_sums(values), base + place[row] - nearest, base + place[row] - farthest + window)
+                key = mix(core ^ mix((part * 64 + level).astype(np.uint64))).view(np.int64)
+                content = slices(raw, spots[base + shift], spots[base + shift + (b - a) + window] - units.gap)
+                r = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(r), batch.column("digest").take(r), pa.array(shift), pa.array(key), content, pa.array(b), batch.column("owner").take(r), batch.column("copies").take(r)],
+                    ["parent", "parent_digest", "shift", "key", "content", "place", "owner", "copies"],
+                )
+
+    out = contents.select(*CONTENT).mapInArrow(run, "parent long, parent_digest long, shift long, key long, content binary, place long, owner long, copies long")
+    return out.withColumn("digest", F.xxhash64("key", "content")).withColumn("bytes", F.length("content"))
+
+
+def solved(bodies: DataFrame, staged: Staged, units: Units, window: int, gram: int, key_bytes: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Spans (see SPAN) of the contents of bodies, where ``solve`` finds those of keys that fit in a task."""
+    now = bodies.groupBy("key", "digest", "content").agg(F.min("place").alias("place"), F.min("owner").alias("owner"), F.sum("copies").alias("copies"))
+    sizes, found, split = bodies, [], []
+    while True:
+        level = len(found)
+        wide = sizes.groupBy("key", "digest").agg(F.max("bytes").alias("bytes")).groupBy("key").agg(F.sum("bytes").alias("bytes"))
+        hot = staged.write(wide.where(F.col("bytes") > key_bytes).select("key"), f"hot{level}")
+        last = level >= (window - gram).bit_length() or hot.isEmpty()
+        cold = now if last else now.join(hot, "key", "left_anti")
+        found.append(staged.write(solve(cold), f"spans{level}"))
+        if last:
+            break
+        many = now.join(hot, "key", "left_semi")
+        children = staged.write(halves(many, units, window, gram, level + 1), f"halves{level + 1}")
+        split.append(children)
+        merged = children.groupBy("key", "digest", "content").agg(F.min("place").alias("place"), F.min("owner").alias("owner"), F.sum("copies").alias("copies"))
+        again = children.groupBy("key").agg(F.sum("copies").alias("c")).where("c > 1").select("key")
+        now, sizes = staged.write(merged.join(again, "key", "left_semi"), f"contents{level + 1}"), children
+        if level:
+            staged.drop(f"contents{level}")
+    spans = found.pop()
+    while split:
+        up = spans.join(split.pop().select("parent", "parent_digest", "shift", "key", "digest"), ["key", "digest"])
+        up = up.select(F.col("parent").alias("key"), F.col("parent_digest").alias("digest"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"), "owner")
+        spans = found.pop().unionByName(up)
+    return spans
+
+
+def repeats(docs: DataFrame, staged: Staged, units: Units, window: int, gram: int, key_bytes: int, solve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Ranges (id, rid, start, end, owner) of documents (id, rid, doc_id, text) that hold repeated windows.
+
+    solve: finds the spans (see SPAN) of contents (see CONTENT); it is also told about how many
+    bytes of contents there are. owner is the smallest doc_id of those that hold a content.
+    """
+    found = repeated_segments(docs, staged, units, window, gram)
+    bodies = staged.write(with_symbols(docs, found, units, window), "bodies")
+    staged.drop("repeated")
+    size = bodies.agg(F.sum("bytes")).first()[0] or 0
+    counted = bodies.select("key", "digest", "content", "bytes", "place", F.col("id").alias("owner"), F.lit(1).cast("long").alias("copies"))
+    spans = solved(counted, staged, units, window, gram, key_bytes, lambda contents: solve(contents, int(size)))
+    placed = staged.write(bodies.select("key", "digest", "id", "rid", "start"), "places")
+    staged.drop("bodies")
+    return placed.join(spans, ["key", "digest"]).select("id", "rid", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + window).alias("end"), "owner")
+
+
+def identified(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """(id, rid, doc_id, text, more...): id is the doc_id or, where it is null, a hash; with rid, another hash, it tells rows apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(7), text)).alias("id"), F.xxhash64(text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from spanloom.llm import bwt_merge, fm_index, repeats
+from spanloom.llm.common import Staged
 
 DOCS = "doc_id long, text string, extra string"
 
@@ -75,19 +76,60 @@ def test_bytes_against_brute_force(spark, seed):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
 
 
-def test_hot_keys_are_refined_without_loss(spark, monkeypatch):
-    """A share of two keys makes nearly every key hot, so all levels are in use."""
-    monkeypatch.setattr(repeats, "HOT_KEYS", 2)
-    rng = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_full_keys_are_refined_without_loss(spark, seed):
+    """A bound of some hundred bytes makes nearly every key too large, so all levels are in use."""
+    rng = random.Random(seed)
     passage = [f"p{k}" for k in range(70)]
     rows = [(i, " ".join([f"w{rng.random()}" for _ in range(30)] + passage[: rng.randint(40, 70)] + [f"w{rng.random()}" for _ in range(30)]), "") for i in range(300)]
+    rows += make(seed)[:40]
     df = spark.createDataFrame(rows, DOCS)
-    got = fm_index.substring_dedup(df).collect()
+    got = fm_index.substring_dedup(df, shard_bytes=500).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows)
-    got = bwt_merge.suffix_dedup(df).collect()
+    got = bwt_merge.suffix_dedup(df, bin_bytes=500).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
 
 
+def test_a_shared_passage_is_routed_by_pieces_not_by_windows(spark):
+    """1,000 documents share 2,000 bytes: some 1,800 windows of each go in at most 60 segments."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    rows = [(i, "".join(rng.choice("ijklmnop ") for _ in range(150)) + passage + "".join(rng.choice("ijklmnop ") for _ in range(150)), "") for i in range(1000)]
+    staged = Staged(spark)
+    found = repeats.repeated_segments(repeats.identified(spark.createDataFrame(rows, DOCS)), staged, repeats.BYTES, 200, 24)
+    assert 1000 * 10 <= found.count() <= 1000 * 60
+    bodies = staged.write(repeats.with_symbols(repeats.identified(spark.createDataFrame(rows, DOCS)), found, repeats.BYTES, 200), "bodies")
+    assert bodies.groupBy("key", "digest").count().count() <= 1000 * 12  # what lies inside the passage counts once
+
+
+def test_words_with_one_hash_are_told_apart(spark):
+    """A Thue-Morse word and its complement collide in any polynomial hash modulo 2^64."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    values = [repeats.WORDS.values(np.frombuffer(x.encode(), np.uint8), np.array([0, 1024]))[0] for x in (morse, other)]
+    assert values[0] == values[1]
+    for first, second in ((morse, other), (other, morse)):
+        rows = [(1, " ".join([first] + ["x%d" % k for k in range(49)]), ""), (2, " ".join([second] + ["x%d" % k for k in range(49)]), "")]
+        rows += [(3, " ".join([first] * 50), ""), (4, " ".join([second] * 50), ""), (5, " ".join([first] * 50), "")]
+        got = fm_index.substring_dedup(spark.createDataFrame(rows, DOCS)).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows)
+        got = bwt_merge.suffix_dedup(spark.createDataFrame(rows, DOCS)).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(30_000)]
+    rows = [(1, " ".join(words), "r", 1), (2, "x " + " ".join(words[200:300]) + " y", "r", 2), (3, "y" * 300_000, "s", 3), (4, " ".join(words[29_900:] + words[:100]), "s", 4)]
+    df = spark.createDataFrame([(a, b, c, d, d, c) for a, b, c, d in rows], "doc_id long, text string, spans string, rid int, id int, `row` string")
+    got = fm_index.substring_dedup(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words([r[:3] for r in rows])
+    got = bwt_merge.suffix_dedup(df).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes([r[:3] for r in rows])
+    kept = bwt_merge.cut_rows(df).select("row.*").columns
+    assert kept == ["doc_id", "spans", "rid", "id", "row"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOCS)
     assert fm_index.substring_dedup(df).count() == 0
