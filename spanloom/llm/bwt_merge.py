@@ -13,7 +13,7 @@ repeated strings.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,45 +25,73 @@ from spanloom.llm.fm_index import NO_OWNER, spans_of
 from spanloom.llm.repeats import BYTES, SPAN, identified, lone, marked, repeats
 
 
-def rotation_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the rotations of a shard's text by their first ``depth`` symbols (prefix doubling)."""
-    rank, step = text.astype(np.int64), 1
-    while step * 2 <= depth:
-        rank = np.unique(rank * (int(rank.max()) + 1) + np.roll(rank, -step), return_inverse=True)[1]
-        step *= 2
-    if step < depth:
-        rank = rank * (int(rank.max()) + 1) + np.roll(rank, step - depth)
-    return np.argsort(rank, kind="stable")
+def numbered(code: np.ndarray) -> np.ndarray:
+    """Numbers codes from 0 in their order; codes leave room for a position in 63 bits."""
+    shift = max(1, len(code).bit_length())
+    packed = np.sort((code << shift) | np.arange(len(code)))
+    order, value = packed & ((1 << shift) - 1), packed >> shift
+    new = np.zeros(len(code), np.int64)
+    new[1:] = value[1:] != value[:-1]
+    out = np.empty(len(code), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def left_codes(text: np.ndarray, order: np.ndarray, bits: int, stride: int) -> np.ndarray:
-    """The ``stride`` symbols to the left of each suffix as one number, in the order of the suffixes."""
-    code = np.zeros(len(text), np.uint64)
-    for k in range(stride, 0, -1):
-        code = (code << np.uint64(bits)) | np.roll(text, k).astype(np.uint64)
-    return code[order]
+def paired(number: np.ndarray, step: int, turned: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Numbers the strings of a position's string and the one ``step`` places on."""
+    return numbered(number * (int(number.max()) + 1) + turned(number, step))
 
 
-def merge_shards(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def extended(number: np.ndarray, length: int, depth: int, turned: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Numbers the strings of ``depth`` symbols at each position, from those of ``length`` (prefix doubling)."""
+    while length < depth:
+        step = min(length, depth - length)
+        number, length = paired(number, step, turned), length + step
+    return number
+
+
+def merge_shards(shards: list[np.ndarray], depth: int, stride: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Merged order of all suffixes of the shards by ``depth`` symbols.
 
     shards: texts of dense symbols. Returns for each place of the merged order the position in the
     concatenation of the texts, and the number of its block of suffixes that share ``depth`` symbols.
+    A round of the refinement takes up to ``stride`` symbols, so strings of that length are numbered
+    first; each shard sorts its own suffixes from these numbers.
     """
-    total = sum(map(len, shards))
-    bits = max(1, int(max(int(t.max()) for t in shards)).bit_length())
-    stride = min(depth, 63 // bits)
-    orders = [rotation_order(t, depth) for t in shards]
-    first = np.concatenate(([0], np.cumsum([len(t) for t in shards])))
+    total, text = sum(map(len, shards)), np.concatenate(shards)
+    shift = max(1, total.bit_length())
+    lengths = np.array([len(t) for t in shards])
+    first = np.concatenate(([0], np.cumsum(lengths)))
+    base, size, place = np.repeat(first[:-1], lengths), np.repeat(lengths, lengths), np.arange(total)
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        """The value k places on in the own shard, round its end."""
+        return x[base + (place - base + k) % size]
+
+    bits = max(1, int(text.max()).bit_length())
+    length = base_length = min(depth, (62 - shift) // bits)
+    code = np.zeros(total, np.int64)
+    for k in range(length):
+        code = (code << bits) | turned(text, k)
+    numbers = {length: numbered(code)}
+    while length * 2 <= min(stride, depth):
+        numbers[length * 2] = paired(numbers[length], length, turned)
+        length *= 2
+    orders = [np.argsort(extended(numbers[length][a : a + n], length, depth, lambda x, k: np.roll(x, -k)), kind="stable") for a, n in zip(first, lengths, strict=False)]
     suffix = np.concatenate([o + a for o, a in zip(orders, first, strict=False)])
-    strides = [stride] * (depth // stride) + [depth % stride] * (depth % stride > 0)
-    codes = {s: np.unique(np.concatenate([left_codes(t, o, bits, s) for t, o in zip(shards, orders, strict=True)]), return_inverse=True)[1].astype(np.int64) for s in set(strides)}
-    shift, place = max(1, total.bit_length()), np.arange(total)
+    rest = depth % length
+    if 0 < rest < base_length:
+        numbers[rest] = numbered(code >> (bits * (base_length - rest)))
+    elif rest:
+        short = max(k for k in numbers if k <= rest)
+        numbers[rest] = extended(numbers[short], short, rest, turned)
+    strides = [length] * (depth // length) + [rest] * (rest > 0)
+    columns = {s: turned(numbers[s], -s)[suffix] for s in set(strides)}  # what stands to the left of each suffix
     mask = (1 << shift) - 1
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(t) for t in shards])
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), lengths)
     taken, block = place.copy(), np.zeros(total, np.int64)  # taken: which suffix, by shard and local rank, stands at a place
     for s in strides:
-        moved = np.sort((codes[s][taken] << shift) | place)
+        moved = np.sort((columns[s][taken] << shift) | place)
         order, code = moved & mask, moved >> shift
         shard, block = shard[order], block[order]
         new = np.ones(total, bool)

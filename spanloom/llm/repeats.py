@@ -140,9 +140,11 @@ def route(docs: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
 def repeated_segments(docs: DataFrame, staged: Staged, units: Units, window: int, gram: int) -> DataFrame:
     """Segments whose key occurs more than once."""
     rows = staged.write(route(docs, units, window, gram), "segments")
-    counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    found = staged.write(rows.join(counts.select("key"), "key", "left_semi"), "repeated")
+    # staged, so both sides of the join are plain exchanges and a hot key's rows can be split
+    counts = staged.write(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "counts")
+    found = staged.write(rows.join(counts, "key", "left_semi"), "repeated")
     staged.drop("segments")
+    staged.drop("counts")
     return found
 
 
