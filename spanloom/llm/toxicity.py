@@ -105,17 +105,21 @@ def train(sample: DataFrame, alpha: float = 2.0, beta: float = 1.0, l1: float =
     return hashes[order], got.weight.to_numpy(float)[:-1][order] if len(got) else np.zeros(0), bias
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int) -> tuple[DataFrame, float]:
-    """A sample (text, toxic) of labelled rows, at most ``positives`` and ``negatives`` of either class, and the odds of class 1 among all of them.
+def training_sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int, longest: int) -> tuple[DataFrame, float]:
+    """A sample (text, toxic) of labelled rows, at most ``positives`` and ``negatives`` of either class, and how the log-odds of class 1 among all of them differ from the sample's.
 
     Rows whose crc32(doc_id as text) leaves 2 modulo 4 are held out. The rows of lowest hash are
-    taken, so reruns agree. The ids are broadcast: the two parameters bound their number.
+    taken, so reruns agree. The ids are broadcast: the two parameters bound their number. Each id
+    gives one row, of those of up to ``longest`` characters, so the texts are bounded as well.
     """
     usable = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
     n = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [lowest(usable.where(F.col("toxic") == k), "doc_id", most, n.get(k, 0)) for k, most in ((1, positives), (0, negatives))]
     ids = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), n.get(1, 0) / max(1, n.get(0, 0))
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    shares = [max(1, n.get(k, 0)) / max(1, min(n.get(k, 0), most)) for k, most in ((1, positives), (0, negatives))]
+    return some, float(np.log(shares[0] / shares[1]))
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -145,16 +149,19 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: t
     return rows.mapInArrow(run, f"{kinds}, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positives: int = 4000, negatives: int = 8000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positives: int = 4000, negatives: int = 8000, longest: int = 50_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Scores every whole text for toxicity after learning from the labelled rows that aren't held out.
 
     Returns (keep..., held_out, score, predicted), a row for each row of docs. Null and empty texts
     get the score of no features. Without rows of both classes all scores are near 0. Ids without a
-    document, null labels and labels other than 0 and 1 are ignored, as are other columns; of
-    several labels of one id the highest counts.
+    document, null labels and labels other than 0 and 1 are ignored, as are other columns, whatever
+    their names; of several labels of one id the highest counts. Where the bounds of the sample
+    (``positives``, ``negatives``; texts of up to ``longest`` characters) change the share of class
+    1, the bias is set back to the share among all usable labels. Texts of any length are scored
+    whole. An empty table of documents gives no rows.
     """
     ship(docs.sparkSession)
-    sample, odds = training_sample(docs, labels, positives, negatives)
+    sample, shift = training_sample(docs, labels, positives, negatives, longest)
     hashes, weights, bias = train(sample)
-    scored = scores(docs, (hashes, weights, bias), keep)
+    scored = scores(docs, (hashes, weights, bias + shift), keep)
     return scored.select(*keep, F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
