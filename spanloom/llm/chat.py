@@ -6,7 +6,8 @@ span of each turn; an output that doesn't begin with the one before shows a temp
 history. Such a conversation has no spans, and is flagged instead of being masked wrongly.
 
 The spans of the loss are found the same way: a turn is rendered with two fillers as its text, and
-where the outputs part and meet again is where its text stands.
+where the outputs part and meet again is where its text stands. The fillers follow the whole prefix,
+since markup may depend on any turn before.
 """
 
 from __future__ import annotations
@@ -59,17 +60,25 @@ def spans(turns: list[tuple[str, str]], template: Template) -> tuple[str, list[t
     return before, found
 
 
-def loss_spans(rendered: str, turns: list[tuple[str, str]], found: list[tuple[int, int]], template: Template) -> list[tuple[int, int]]:
-    """Spans of the assistants' texts within their turns: where two fillers of the turn's text part and meet again."""
+def loss_spans(rendered: str, turns: list[tuple[str, str]], found: list[tuple[int, int]], template: Template) -> list[tuple[int, int]] | None:
+    """Spans of the assistants' texts within their turns: where two fillers of the turn's text part and meet again.
+
+    The fillers stand after all turns before, as the text itself does. None if a filler changes
+    what stands before the turn, or if the turn isn't the filler's head, a text and its tail.
+    """
     out = []
-    for k, ((role, text), (a, b)) in enumerate(zip(turns, found, strict=True)):
+    for k, ((role, _), (a, b)) in enumerate(zip(turns, found, strict=True)):
         if role != "assistant":
             continue
-        context = turns[max(0, k - 1) : k]
-        at = len(template(context))
-        empty, mark = (template([*context, (role, x)])[at:] for x in ("", FILLER))
-        head = next((i for i in range(len(empty)) if empty[i] != mark[i]), len(empty))
-        out.append((a + head, b - (len(empty) - head)))
+        empty, mark = (template([*turns[:k], (role, x)]) for x in ("", FILLER))
+        if not (empty.startswith(rendered[:a]) and mark.startswith(rendered[:a])):
+            return None
+        empty, mark, turn = empty[a:], mark[a:], rendered[a:b]
+        head = next((i for i, (x, y) in enumerate(zip(empty, mark)) if x != y), min(len(empty), len(mark)))
+        tail = len(empty) - head
+        if mark != empty[:head] + mark[head : len(mark) - tail] + empty[head:] or len(turn) < len(empty) or not (turn.startswith(empty[:head]) and turn.endswith(empty[head:])):
+            return None
+        out.append((a + head, b - tail))
     return out
 
 
@@ -88,9 +97,12 @@ def format_chats(conversations: DataFrame, template: Template = chatml, parse: C
     Returns (conv_id, n_turns, formatted, loss_spans, rewrites) and the digests that the round trip
     is held against: turns_sha256, loss_chars, loss_sha256 and formatted_chars, all read back from
     the formatted text. Null texts are empty and null roles read 'null'; turns that tie stand by role
-    and text; a repeated row is a turn of its own. Spans are null for a template that rewrites
-    history. A conversation is formatted as one text, so its turns meet in one task; no other
-    group does. Empty tables give no rows; other columns are ignored.
+    and text; a repeated row is a turn of its own; rows with a null conv_id are one conversation.
+    Spans are null, and rewrites is true, for a template that rewrites history or marks a turn by
+    its text. A conversation is formatted as one text, so its turns meet in one task, and a template
+    that is only called renders each prefix anew: the work grows with the square of the number of
+    turns (1,000 turns of 100 characters take 0.6 s, 4,000 take 11 s). Texts of any length
+    are whole. Empty tables give no rows; other columns are ignored, whatever their names.
     """
     ship(conversations.sparkSession)
     turns = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("null")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
@@ -103,6 +115,7 @@ def format_chats(conversations: DataFrame, template: Template = chatml, parse: C
                 turns = [(x["role"], x["text"]) for x in own]
                 rendered, found = spans(turns, template)
                 masks = loss_spans(rendered, turns, found, template) if found is not None else None
+                found = None if masks is None else found
                 back = parse(rendered)
                 loss = "".join(plain(rendered[a:b]) for a, b in masks or ())
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode()).hexdigest()
