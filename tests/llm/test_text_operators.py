@@ -1,5 +1,12 @@
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import xxhash
 
 from spanloom.llm import chat, decontaminate, licenses, mixing, toxicity, url_rules
 
@@ -119,11 +126,148 @@ def test_url_rules(spark):
 
 def test_license_notices(spark):
     plain = [(i, f"word{i} other words here and there\nsecond line of the text {i}") for i in range(40)]
-    docs = [*plain, (100, "intro\nReleased under the MIT License."), (101, "Licensed under CC BY-NC 4.0. and more text follows"), (102, "x\n\nThis work is licensed under the GNU General Public License, version 3."), (103, "Licensed under the Meadow Software License 5."), (104, None), (105, ""), (100, "intro\nReleased under the MIT License.")]
-    got = licenses.license_scan(spark.createDataFrame(docs, DOCS).selectExpr("*", "'f' as family")).collect()
-    found = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in got}
-    assert found == {(100, 1): ("MIT", True), (101, 0): ("CC-BY-NC-4.0", True), (102, 2): ("GPL-3.0", True), (103, 0): ("unknown", False)}
-    assert len(got) == 5
+    wrapped = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n#  of this software and associated documentation files (the Software), to deal\n# in the Software without restriction."
+    docs = [
+        *plain, (100, "intro\nReleased under the MIT License."), (101, "Licensed under CC BY-NC 4.0. and more text follows"), (102, "x\n\nThis work is licensed under the GNU General Public License, version 3."),
+        (103, "Licensed under the Meadow Software License 5."), (104, None), (105, ""), (100, "intro\nReleased under the MIT License."), (106, f"code\n\n{wrapped}\n\nmore"), (107, "Licensed under the GNU General Public License, version 4."),
+        (108, "This work is licensed under the GNU Lesser General Public License, version 3."), (109, "Licensed under CC BY-ND 4.0."), (110, "Released under the MIT License. Licensed under CC BY 4.0."), (111, "plain words " * 30_000 + "\nReleased under the MIT License.\n" + "plain words " * 30_000),
+    ]
+    got = licenses.license_scan(spark.createDataFrame(docs, DOCS).selectExpr("*", "'f' as family", "1 as line")).collect()
+    found = {(r.doc_id, r.paragraph, r.line, r.family): r.confirmed for r in got}
+    sure = {(100, 0, 1, "MIT"), (101, 0, 0, "CC-BY-NC-4.0"), (102, 1, 2, "GPL-3.0"), (106, 1, 2, "MIT"), (108, 0, 0, "LGPL-3.0"), (109, 0, 0, "CC-BY-ND-4.0"), (110, 0, 0, "MIT"), (110, 0, 0, "CC-BY-4.0"), (111, 0, 1, "MIT")}
+    assert found == dict.fromkeys(sure, True) | {(103, 0, 0, "unknown"): False, (107, 0, 0, "unknown"): False}
+    assert len(got) == 12
     row = next(r for r in got if r.doc_id == 102)
     assert docs[42][1].encode()[row.start : row.end].decode() == "This work is licensed under the GNU General Public License, version 3."
+    row = next(r for r in got if r.doc_id == 106)
+    assert docs[47][1][row.start : row.end] == wrapped + "\n"
     assert licenses.license_scan(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_license_notices_of_the_test_table(spark):
+    """Against a plain search for the notices, on all documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    flat = lambda t: " " + " ".join(re.findall("[a-z0-9]+", (t or "").lower())) + " "
+    texts = {r.doc_id: flat(r.text) for r in docs.collect()}
+    want = {(i, f) for i, t in texts.items() for f, notices in licenses.TEMPLATES.items() for n in notices if flat(n) in t}
+    got = {(r.doc_id, r.family) for r in licenses.license_scan(docs).collect()}
+    assert got == want and len(want) > 30
+
+
+def reference_features(text):
+    """The documented features, as strings."""
+    words = re.findall(rb"[0-9A-Za-z'\x80-\xff]+", (text or "").encode().lower())
+    out = {("w", w) for w in words} | {("2", *p) for p in zip(words, words[1:])} | {("skip", *p) for p in zip(words, words[2:])}
+    return out | {("stem", k, w[:k]) for w in words for k in (4, 5, 6) if len(w) > k}
+
+
+def reference_model(rows, alpha=2.0, beta=1.0, l1=5.0, epochs=8, least=3):
+    """FTRL-proximal over dictionaries; rows (text, label) in the order of training."""
+    sets = [reference_features(t) for t, _ in rows]
+    count = Counter(f for s in sets for f in s)
+    sets = [{f for f in s if count[f] >= least} for s in sets]
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else (math.copysign(l1, z[f]) - z[f]) / ((beta + math.sqrt(n[f])) / alpha)
+    shuffle = np.random.default_rng(7)
+    for _ in range(epochs):
+        for d in shuffle.permutation(len(rows)):
+            w = {f: weight(f) for f in sets[d]}
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + bias)))) - rows[d][1]
+            for f in sets[d]:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * bias
+            bn += g * g
+    # the bias of a round is that before its last update, as in training
+    return {f: weight(f) for f in z if weight(f)}, bias
+
+
+def test_toxicity_against_a_plain_model(spark):
+    rng = random.Random(8)
+    words = [f"wörd{k}" for k in range(40)]
+    rows = []
+    for i in range(260):
+        body = [rng.choice(words) for _ in range(rng.randint(3, 25))]
+        if i % 3 == 0:
+            body.insert(rng.randrange(len(body)), rng.choice(["vileness", "Vileword's"]))
+        rows.append((i, " ".join(body) + "."))
+    rows += [(500, None), (501, ""), (502, "vileness " * 5000)]
+    labels = {i: int(i % 3 == 0) for i in range(260)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    use = sorted(((t, labels[i]) for i, t in rows if i in labels and not held(i)), key=lambda r: (np.uint64(xxhash.xxh64_intdigest(r[0].encode(), 42)).view(np.int64), r[1], r[0]))
+    weights, bias = reference_model(use)
+    assert len(weights) > 5
+    got = toxicity.toxicity(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, t) for i, t in labels.items()], "doc_id long, toxic int"))
+    for r in got.collect():
+        total = bias + sum(weights.get(f, 0.0) for f in reference_features(dict(rows)[r.doc_id]))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-35, min(35, total))))) < 1e-6 and r.held_out == held(r.doc_id)
+
+
+def test_toxicity_undoes_the_shares_of_its_sample(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(20)) + (" vileness" if i % 10 == 0 else "")) for i in range(800)]
+    docs += docs[:10]  # an id counts once
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(800)], "doc_id long, toxic int")
+    sample, shift = toxicity.training_sample(spark.createDataFrame(docs, DOCS), labels, 1000, 60, 10_000)
+    shares = {r.toxic: r.n for r in sample.groupBy("toxic").count().withColumnRenamed("count", "n").collect()}
+    usable = [sum(1 for i in range(800) if (i % 10 == 0) == k and zlib.crc32(str(i).encode()) % 4 != 2) for k in (False, True)]
+    assert shares == {0: 60, 1: usable[1]} and abs(shift - math.log(60 / usable[0])) < 1e-9
+    assert toxicity.toxicity(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def folded_words(text):
+    """Case-folded words as the verbatim windows see them."""
+    lower = (text or "").encode().lower().decode()
+    return re.findall(r"[0-9a-z'\x80-\U0010ffff]+", re.sub("[À-ÖØ-Þ]", lambda m: m[0].lower(), lower))
+
+
+def test_verbatim_items_against_brute_force(spark):
+    rng = random.Random(10)
+    vocabulary = ["al", "Be", "cé", "DÜ", "éo", "fi", "gu", "12", "7", "ho's"]
+    say = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    items = [(k, say(rng.choice([1, 3, 7, 8, 9, 20, 60]))) for k in range(30)] + [(99, None), (98, "?!")]
+    docs = []
+    for d in range(60):
+        text = say(rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items)[1] or ""
+            parts = item.split()
+            a = rng.randint(0, max(0, len(parts) - 8))
+            text += " " + " ".join(parts[a : a + rng.randint(6, 60)]).upper() + " " + say(3)
+        docs.append((d, text))
+    docs += [(70, None), (71, ""), (72, say(20_000))]
+    want = set()
+    for i, item in items:
+        words = folded_words(item)
+        size = min(8, len(words))
+        pos = [tuple(words[k : k + size]) for k in range(len(words) - size + 1)] if words else []
+        for d, text in docs:
+            own = folded_words(text)
+            seen = {}
+            for k in range(len(own) - size + 1 if size else 0):
+                seen.setdefault(tuple(own[k : k + size]), []).append(k)
+            match = [k for k, w in enumerate(pos) if w in seen]
+            runs = any(all(a + j in seen.get(pos[p + j], ()) for j in range(13)) for p in range(len(pos) - 12) for a in seen.get(pos[p], ()))
+            if pos and (len(match) / len(pos) >= 0.3 or runs):
+                want.add((d, i))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS).selectExpr("*", "'x' as rid", "0 as hash"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got} and len(want) > 30
+
+
+def test_numbering_templates_get_right_masks():
+    numbered = lambda turns: "".join(f"[{k}] {r}: {chat.escape(t)}\n" for k, (r, t) in enumerate(turns, 1))
+    turns = [(("user", "assistant")[k % 2], f"answer {k}") for k in range(30)]
+    rendered, found = chat.spans(turns, numbered)
+    assert [rendered[a:b] for a, b in chat.loss_spans(rendered, turns, found, numbered)] == [t for r, t in turns if r == "assistant"]
+    by_text = lambda turns: "".join(f"{len(t)} {r}: {t}\n" for r, t in turns)
+    rendered, found = chat.spans(turns, by_text)
+    assert chat.loss_spans(rendered, turns, found, by_text) is None
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_rules.url_verdicts(pages, url_rules.default_rules(spark)).count() == 0
+    assert decontaminate.contaminated(spark.createDataFrame([(1, "a b")], DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
