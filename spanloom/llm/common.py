@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     if not conf.get("spark.master", "").startswith("local"):
-        return conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/") + "/_staged"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     where = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -176,12 +176,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def components(spark: SparkSession, edges: DataFrame, staged: Staged, limit: int = 40) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, staged: Staged, limit: int = 100) -> DataFrame:
     """Smallest reachable id of each node of the edges (a, b): alternating star contraction.
 
     Large-star links every larger neighbour of a node to its smallest neighbour, small-star
     links the smaller ones; the edges become stars around the smallest ids in a number of
-    rounds logarithmic in the longest path. Ids stay in tables, a round is two groupings.
+    rounds logarithmic in the longest path. Ids stay in tables, a round is two groupings. Raises an
+    error if the edges still change after ``limit`` rounds.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct()
     now = staged.write(pairs, "edges0")
@@ -200,4 +201,6 @@ def components(spark: SparkSession, edges: DataFrame, staged: Staged, limit: int
         if sign == last or not sign.n:
             break
         last = sign
+    else:
+        raise RuntimeError(f"components unfinished after {limit} rounds")
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
