@@ -308,7 +308,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
         need = f"{least / (1 + least)!r} * ({x}.n + {y}.n) - 1e-6"
         return f"least({x}.n, {y}.n) >= {least!r} * greatest({x}.n, {y}.n) - 1e-6 and {x}.n - {x}.p >= {need} and {y}.n - {y}.p >= {need}"
 
-    first = entries.groupBy("key").agg(F.min(F.struct("id", "n", "p")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    first = entries.groupBy("key").agg(F.min(F.struct("p", "id", "n")).alias("x"), F.count("*").alias("c")).where("c > 1")
     near = entries.alias("y").join(first, "key").where(f"x.id <> y.id and {may('x', 'y')}")
     links = verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "first")
     linked = staged.write(components(spark, links, staged), "linked")
