@@ -10,6 +10,7 @@ from spanloom.operators import boxes
 from spanloom.operators.intervals import overlap_join
 
 
+# Fixed values in zone and accepted: the edges of zones, the letter class and the lengths of reads.
 def zone(x: Column, y: Column) -> Column:
     """Zone of a box's centre, given as shares of the frame: the subtitle band or one of nine fields."""
     down = F.when(y < 0.28, "top").when(y > 0.72, "bottom").otherwise("middle")
@@ -23,7 +24,7 @@ def accepted(text: Column, confidence: Column, where: Column, least: float, bann
     return (n >= 2) & ((confidence >= least) | ((confidence >= banner) & where.startswith("top-") & (n >= 12)))
 
 
-def priority(explicit: Column, reason: Column, ranks: tuple[str, ...] = ("high", "medium", "low", "context")) -> Column:
+def priority(explicit: Column, reason: Column, ranks: tuple[str, ...] = ("high", "context", "normal")) -> Column:
     named = F.lower(explicit)
     return F.when(named.isin(*ranks), named).when(F.coalesce(F.lower(reason), F.lit("")).contains("high"), "high").otherwise("context")
 
@@ -101,3 +102,19 @@ def disjoint(rows: DataFrame, key: str) -> DataFrame:
     """Pairs of neighbours of a key that overlap: a check that is empty if the segments are disjoint."""
     order = W.partitionBy(key).orderBy("start", "end")
     return rows.withColumn("before", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))).where(F.col("start") < F.col("before"))
+
+
+def recalled(asked: DataFrame, memory: DataFrame, identity: str, most: int) -> DataFrame:
+    """The most similar record (label, record, bits) of each row (identity, bits) within ``most`` differing bits of 64: (identity, memory, similarity).
+
+    64 bits fall into most + 1 blocks, one of which is equal in any two rows that near, so rows meet
+    records by an equi-join on blocks. Of equally similar records the one of smallest number wins.
+    """
+    edges = [64 * k // (most + 1) for k in range(most + 2)]
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("bits", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    left = asked.select(identity, "bits", F.explode(blocks).alias("b")).select(identity, "bits", "b.*")
+    right = memory.select("label", "record", F.col("bits").alias("own"), F.explode(blocks).alias("b")).select("label", "record", "own", "b.*")
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("own")))
+    best = left.join(right, ["block", "value"]).withColumn("apart", apart).where(F.col("apart") <= most).groupBy(identity).agg(F.min(F.struct("apart", "record", "label")).alias("m"))
+    found = best.select(identity, F.col("m.label").alias("memory"), (1 - F.col("m.apart") / F.lit(64.0)).alias("similarity"))
+    return asked.select(identity).join(found, identity, "left")

@@ -1,4 +1,4 @@
-"""Order-dependent merges that windows can't express, folded over natural runs of a key.
+"""Order-dependent merges: by windows where they can express them, else folded over natural runs of a key.
 
 A fold's state never crosses a pause longer than its gap, so a key is first cut into runs at such
 pauses with a window; each run, not each key, is one group of the fold.
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators import boxes
 from spanloom.sources.shipping import ship
 
 
@@ -33,7 +34,7 @@ def bounded_sessions(rows: DataFrame, gap: float, span: float) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for r in pdf.sort_values(["start", "end"]).itertuples():
+        for r in pdf.sort_values(["start", "end", "suggestion"], kind="stable").itertuples():
             last = out[-1] if out else None
             clash = last and last[4] and r.suggestion and last[4] != r.suggestion
             if last and r.start - last[3] <= gap and max(r.end, last[3]) - last[2] <= span and not clash:
@@ -54,11 +55,12 @@ def tracks(detections: DataFrame, absence: float, least_iou: float) -> DataFrame
     Detections (source, t, confidence, x1, y1, x2, y2) of one moment are matched to open tracks by
     falling confidence, each to the free track of highest overlap with its last box, at least
     ``least_iou``; a track ends after ``absence`` seconds without a sighting. The box is the union.
+    Tracks of a source are numbered from 0 by start, box and end.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         done, open_ = [], []
-        for t, moment in pdf.sort_values(["t", "confidence"], ascending=[True, False]).groupby("t", sort=True):
+        for t, moment in pdf.sort_values(["t", "confidence", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True]).groupby("t", sort=True):
             done += [k for k in open_ if t - k["end"] > absence]
             open_ = [k for k in open_ if t - k["end"] <= absence]
             free = list(open_)
@@ -71,12 +73,13 @@ def tracks(detections: DataFrame, absence: float, least_iou: float) -> DataFrame
                     best.update(end=t, last=box, n=best["n"] + 1, union=(min(u[0], box[0]), min(u[1], box[1]), max(u[2], box[2]), max(u[3], box[3])))
                 else:
                     open_.append({"source": d.source, "start": t, "end": t, "last": box, "union": box, "n": 1})
-        rows = sorted(done + open_, key=lambda k: (k["start"], k["union"]))
-        return pd.DataFrame([(k["source"], i, k["start"], k["end"], k["n"], *k["union"]) for i, k in enumerate(rows)], columns=["source", "track", "start", "end", "observations", "x1", "y1", "x2", "y2"])
+        return pd.DataFrame([(k["source"], k["start"], k["end"], k["n"], *k["union"]) for k in done + open_], columns=["source", "start", "end", "observations", "x1", "y1", "x2", "y2"])
 
     cut = runs(detections.withColumn("until", F.col("t")), "source", "t", "until", absence)
     kind = detections.schema["source"].dataType.simpleString()
-    return cut.groupBy("source", "run").applyInPandas(fold, f"source {kind}, track long, start double, end double, observations long, x1 double, y1 double, x2 double, y2 double")
+    found = cut.groupBy("source", "run").applyInPandas(fold, f"source {kind}, start double, end double, observations long, x1 double, y1 double, x2 double, y2 double")
+    number = F.row_number().over(W.partitionBy("source").orderBy("start", "x1", "y1", "x2", "y2", "end", "observations")) - 1
+    return found.withColumn("track", number.cast("long"))
 
 
 def _iou(a, b) -> float:
@@ -85,63 +88,51 @@ def _iou(a, b) -> float:
     return common / total if total > 0 else 0.0
 
 
-RANKS = {"high": 0, "medium": 1, "low": 2, "context": 2}
+# The order of priorities.
+PRIORITIES = ["high", "context", "normal"]
 
 
 def merge_cards(cards: DataFrame, gap: float, least_iou: float = 0.5) -> DataFrame:
-    """Merges a card into the one before it of its source and category.
+    """Merges cards of one source, category and kind that follow each other and don't contradict.
 
     cards: (source, category, start, end, max_score, priority, kind, suggestion, refs, x1, y1, x2,
-    y2). It joins if it begins at most ``gap`` after the other's end, both are of one kind, their
-    suggestions don't clash and their boxes overlap by ``least_iou``, a missing box fits any. The
-    merged card has the later end, the higher score and priority, the refs of all in order, once.
+    y2, card_id). In the order of start, end and card_id a card opens a new group if it begins more
+    than ``gap`` after all before have ended, if its suggestion differs from the last one known, or
+    if its box overlaps the last one known by less than ``least_iou``. A group has the earliest start
+    and latest end, the highest score and priority, the first suggestion and box, and all refs once,
+    in order.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in pdf.sort_values(["start", "end", "max_score"]).to_dict("records"):
-            box = None if pd.isna(r["x1"]) else (r["x1"], r["y1"], r["x2"], r["y2"])
-            r = {**r, "box": box, "refs": list(r["refs"]), "n": 1}
-            last = out[-1] if out else None
-            if last and r["start"] <= last["end"] + gap and r["kind"] == last["kind"] and not (r["suggestion"] and last["suggestion"] and r["suggestion"] != last["suggestion"]) and (not box or not last["box"] or _iou(box, last["box"]) >= least_iou):
-                last.update(end=max(last["end"], r["end"]), max_score=max(last["max_score"], r["max_score"]), n=last["n"] + 1)
-                last["priority"] = min(last["priority"], r["priority"], key=lambda p: RANKS.get(p, 2))
-                last["suggestion"] = last["suggestion"] or r["suggestion"]
-                last["refs"] = list(dict.fromkeys(last["refs"] + r["refs"]))
-                last["box"] = last["box"] or box
-            else:
-                out.append(r)
-        names = ["source", "category", "start", "end", "max_score", "priority", "kind", "suggestion", "refs", "n"]
-        return pd.DataFrame([[r[k] for k in names] + list(r["box"] or [None] * 4) for r in out], columns=[*names, "x1", "y1", "x2", "y2"])
-
-    keyed = cards.withColumn("k", F.concat_ws("|", F.col("source").cast("string"), "category"))
-    cut = runs(keyed, "k", "start", "end", gap)
-    kind = cards.schema["source"].dataType.simpleString()
-    return cut.groupBy("k", "run").applyInPandas(fold, f"source {kind}, category string, start double, end double, max_score double, priority string, kind string, suggestion string, refs array<string>, n long, x1 double, y1 double, x2 double, y2 double")
+    order = W.partitionBy("source", "category", "kind").orderBy("start", "end", "card_id")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    box = F.when(F.col("x1").isNotNull(), F.struct("x1", "y1", "x2", "y2"))
+    known = F.last(box, ignorenulls=True).over(before)
+    rows = cards.withColumn("known", known).withColumns({f"k_{c}": F.col(f"known.{c}") for c in ("x1", "y1", "x2", "y2")})
+    late = F.col("start") - F.max("end").over(before) > gap
+    clash = F.col("suggestion") != F.last("suggestion", ignorenulls=True).over(before)
+    apart = boxes.iou("", "k_") < least_iou
+    opens = F.greatest(*[F.coalesce(c.cast("int"), F.lit(0)) for c in (late, clash, F.col("x1").isNotNull() & F.col("known").isNotNull() & apart)])
+    grouped = rows.withColumn("opens", opens).withColumn("group", F.sum("opens").over(upto))
+    place = F.struct("start", "end", "card_id")
+    rank = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), place))
+    refs = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "refs"))), lambda x: x["refs"])))
+    return grouped.groupBy("source", "category", "kind", "group").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("max_score").alias("max_score"), F.min_by("priority", rank).alias("priority"), first("suggestion").alias("suggestion"),
+        refs.alias("refs"), F.count("*").alias("n"), *[first(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
+    ).drop("group")
 
 
 def merge_suggestions(rows: DataFrame, share: float = 0.5) -> DataFrame:
-    """Greedy clusters of suggestions (segment, tier, start, end, decision, decided_at) by common time.
+    """Clusters of suggestions (segment, tier, start, end, decision, decided_at) by common time.
 
-    A row joins the first cluster of its segment and tier with which it shares ``share`` of the
-    shorter time. The cluster keeps its first row's times and the latest decision.
+    In the order of start, the longer first, a suggestion stays with the one before it if they share
+    ``share`` of the shorter one's time. A cluster has its first row's times and the latest decision.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.assign(length=pdf.end - pdf.start).sort_values(["start", "length", "decided_at"], ascending=[True, False, True]).itertuples():
-            for c in out:
-                common = min(c[3], r.end) - max(c[2], r.start)
-                shorter = min(c[3] - c[2], r.end - r.start)
-                if shorter > 0 and common >= share * shorter:
-                    c[6] += 1
-                    if r.decided_at >= c[5]:
-                        c[4], c[5] = r.decision, r.decided_at
-                    break
-            else:
-                out.append([r.segment, r.tier, r.start, r.end, r.decision, r.decided_at, 1])
-        return pd.DataFrame(out, columns=["segment", "tier", "start", "end", "decision", "decided_at", "n"])
-
-    keyed = rows.withColumn("k", F.concat_ws("|", F.col("segment").cast("string"), "tier"))
-    kind = rows.schema["segment"].dataType.simpleString()
-    return runs(keyed, "k", "start", "end", 0.0).groupBy("k", "run").applyInPandas(fold, f"segment {kind}, tier string, start double, end double, decision string, decided_at double, n long")
+    order = W.partitionBy("segment", "tier").orderBy("start", F.col("end").desc(), "decided_at")
+    common = F.least("end", F.lag("end").over(order)) - F.col("start")
+    shorter = F.least(F.col("end") - F.col("start"), F.lag("end").over(order) - F.lag("start").over(order))
+    stays = F.coalesce((shorter > 0) & (common >= share * shorter), F.lit(False))
+    grouped = rows.withColumn("opens", (~stays).cast("int")).withColumn("cluster", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min(F.struct(F.col("start"), (-F.col("end")).alias("e")))
+    out = grouped.groupBy("segment", "tier", "cluster").agg(first.alias("f"), F.max(F.struct("decided_at", "decision")).alias("d"), F.count("*").alias("n"))
+    return out.select("segment", "tier", F.col("f.start").alias("start"), (-F.col("f.e")).alias("end"), "d.decision", "d.decided_at", "n")

@@ -103,6 +103,21 @@ def covered(targets: DataFrame, intervals: DataFrame, key: str, width: float) ->
     return targets.join(length, [key, "t_start", "t_end"], "left").select(key, "t_start", "t_end", F.coalesce(share, F.lit(0.0)).alias("covered"))
 
 
+def covered_windows(intervals: DataFrame, key: str, width: float) -> DataFrame:
+    """Covered share of the windows of ``width`` seconds from a key's first to its last: (key, t_start, t_end, covered).
+
+    Each island is dealt to the windows it spans and summed there, so nothing is joined on time.
+    """
+    merged = islands(intervals, key)
+    window = lambda c: F.floor(F.col(c) / width)
+    dealt = merged.select(key, "start", "end", F.explode(F.sequence(window("start"), window("end"))).alias("w"))
+    part = F.greatest(F.lit(0.0), F.least("end", (F.col("w") + 1) * width) - F.greatest("start", F.col("w") * width))
+    filled = dealt.groupBy(key, "w").agg(F.sum(part).alias("seconds"))
+    every = filled.groupBy(key).agg(F.explode(F.sequence(F.min("w"), F.max("w"))).alias("w"))
+    out = every.join(filled, [key, "w"], "left")
+    return out.select(key, (F.col("w") * width).alias("t_start"), (F.col("w") * width + width).alias("t_end"), (F.coalesce("seconds", F.lit(0.0)) / width).alias("covered"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
     """Pairs of a key that overlap in time (touching is no overlap), by buckets of ``width`` seconds.
 

@@ -66,9 +66,7 @@ SELECT d.source, t_start, t_start + 86400.0::DOUBLE AS t_end, round(coalesce(sum
 FROM d LEFT JOIN islands i ON d.source = i.source AND a < t_start + 86400.0 AND b > t_start GROUP BY 1, 2""")
 def coverage_daily(spark, sf_dir):
     spans = sessions(spark, sf_dir).select("source", "start", "end")
-    days = spans.groupBy("source").agg(F.explode(F.sequence(F.floor(F.min("start") / DAY), F.floor(F.max("end") / DAY))).alias("d"))
-    targets = days.select("source", (F.col("d") * DAY).alias("t_start"), (F.col("d") * DAY + DAY).alias("t_end"))
-    return intervals.covered(targets, spans, "source", DAY).withColumn("covered", F.round("covered", 6))
+    return intervals.covered_windows(spans, "source", DAY).withColumn("covered", F.round("covered", 6))
 
 
 @query(ISLANDS + """, n AS (SELECT source, b AS s, lead(a) OVER (PARTITION BY source ORDER BY a) AS e FROM islands)
@@ -183,14 +181,14 @@ def probabilistic_union(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("source").agg(F.round(1 - rest, 6).alias("any_probability"))
 
 
-TAGS = f"""WITH s AS ({S}), p AS (SELECT source, label, least(1.0, max(score) / 1200) AS p FROM s WHERE sample_id % 3 = 0 GROUP BY ALL),
+TAGS = f"""WITH s AS ({S}), p AS (SELECT source, label, least(1.0, max(score) / 1200) AS p FROM s GROUP BY ALL),
 g AS (SELECT source, 1 - product(1 - p) FILTER (label IN ('error', 'click')) AS score, 1 - product(1 - p) FILTER (label IN ('view', 'signup')) AS context, count(*) FILTER (label IN ('error', 'click') AND p >= 0.3) AS n,
 1 - product(1 - p) AS every, count(*) FILTER (p >= 0.3) AS together FROM p GROUP BY source),
 r AS (SELECT source, coalesce(score, 0) AS score, coalesce(context, 0) AS context, n, every, together FROM g)"""
 
 
 def _tags(spark, sf_dir) -> DataFrame:
-    per_label = samples(spark, sf_dir).where("sample_id % 3 = 0").groupBy("source", "label").agg(F.least(F.lit(1.0), F.max("score") / 1200).alias("p"))
+    per_label = samples(spark, sf_dir).groupBy("source", "label").agg(F.least(F.lit(1.0), F.max("score") / 1200).alias("p"))
     return per_label.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("label", "p"))).alias("tags"))
 
 
@@ -251,14 +249,13 @@ def text_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold_alnum(t)).alias("folded_md5"), F.md5(text.clean(t)).alias("clean_md5"))
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS a, left(lower(split_part(p_name, ' ', 1)), 2) AS k FROM part)
-SELECT x.a AS first_word, y.a AS second_word, levenshtein(x.a, y.a) AS edits FROM n x JOIN n y ON x.k = y.k AND x.a < y.a AND abs(length(x.a) - length(y.a)) <= 1 WHERE levenshtein(x.a, y.a) <= 1""")
+@query("""WITH n AS (SELECT DISTINCT s_name AS a FROM supplier) SELECT x.a AS first_name, y.a AS second_name, levenshtein(x.a, y.a) AS edits FROM n x JOIN n y ON x.a < y.a AND levenshtein(x.a, y.a) <= 1""")
 def edit_distance_match(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("a")).distinct().withColumn("k", F.substring("a", 1, 2))
+    names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("a")).distinct().select("a", F.explode(text.deletions(F.col("a"))).alias("k"))
     x, y = names.alias("x"), names.alias("y")
-    near = (F.col("x.k") == F.col("y.k")) & (F.col("x.a") < F.col("y.a")) & (F.abs(F.length("x.a") - F.length("y.a")) <= 1)
-    edits = F.levenshtein("x.a", "y.a")
-    return x.join(y, near).where(edits <= 1).select(F.col("x.a").alias("first_word"), F.col("y.a").alias("second_word"), edits.cast("long").alias("edits"))
+    edits = F.levenshtein("first_name", "second_name")
+    met = x.join(y, F.expr("x.k = y.k and x.a < y.a")).select(F.col("x.a").alias("first_name"), F.col("y.a").alias("second_name")).distinct()
+    return met.withColumn("edits", edits.cast("long")).where("edits <= 1")
 
 
 @query("SELECT sha256(text) AS content_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -269,16 +266,14 @@ def dedup_by_content(spark, sf_dir):
 HASHED = "h AS (SELECT vec_id, label, list_reduce(list_prepend(0::BIGINT, list_transform(embedding, lambda x: (x > 0)::BIGINT)), lambda a, x: ((a & 4611686018427387903) * 2) | x) AS bits, embedding FROM embeddings)"
 
 
-@query(f"WITH {HASHED} SELECT q.vec_id, arg_max(m.label, (1 - bit_count(xor(q.bits, m.bits)) / 64.0, -m.vec_id)) AS memory, max(1 - bit_count(xor(q.bits, m.bits)) / 64.0) AS similarity FROM h q JOIN h m ON m.vec_id < 10 AND q.vec_id >= 10 GROUP BY q.vec_id")
+@query(f"""WITH {HASHED}, m AS (SELECT label, min(vec_id) AS record, arg_min(bits, vec_id) AS bits FROM h GROUP BY label),
+n AS (SELECT q.vec_id, arg_max(m.label, (64 - bit_count(xor(q.bits, m.bits)), -m.record)) AS memory, max(1 - bit_count(xor(q.bits, m.bits)) / 64.0) AS similarity FROM h q JOIN m ON bit_count(xor(q.bits, m.bits)) <= 15 GROUP BY q.vec_id)
+SELECT vec_id, memory, similarity FROM h LEFT JOIN n USING (vec_id)""")
 def nearest_memory(spark, sf_dir):
     bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda a, x: F.shiftleft(a.bitwiseAND(F.lit((1 << 62) - 1)), 1).bitwiseOR((x > 0).cast("long")))
     hashed = table(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("bits"))
-    # the remembered records are the ten rows of ids 0 to 9, whatever the table's size
-    memory = hashed.where("vec_id < 10").groupBy().agg(F.collect_list(F.struct("vec_id", "label", "bits")).alias("m"))
-    asked = hashed.where("vec_id >= 10").join(F.broadcast(memory), F.lit(True))
-    similar = F.transform("m", lambda m: F.struct(scores.hamming_similarity(F.col("bits"), m["bits"]).alias("s"), (-m["vec_id"]).alias("n"), m["label"].alias("label")))
-    best = F.array_max(similar)
-    return asked.select("vec_id", best["label"].alias("memory"), best["s"].alias("similarity"))
+    memory = hashed.groupBy("label").agg(F.min("vec_id").alias("record"), F.min_by("bits", "vec_id").alias("bits"))
+    return cards.recalled(hashed.select("vec_id", "bits"), memory, "vec_id", 15)
 
 
 @query("""SELECT a.vec_id, b.vec_id AS other, round(list_max(list_transform(list_zip(a.embedding, b.embedding), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS chebyshev
@@ -504,12 +499,12 @@ def golden_metrics(spark, sf_dir):
     return evaluation.label_metrics(evaluation.score_labels(*_golden(spark, sf_dir)))
 
 
-@query(f"""WITH {SESSIONS}, x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "start") AS n FROM sessions), y AS (SELECT source, source * 100000 + n AS span_id, "start", "end" FROM x)
+@query(f"""WITH {SESSIONS}, x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "start") AS n FROM sessions), y AS (SELECT source, source || ':' || n AS span_id, "start", "end" FROM x)
 SELECT y.source, y.span_id, least(y."start", coalesce(min(s.t), y."start")) AS "start", greatest(y."end", coalesce(max(s.t), y."end")) AS "end" FROM y
 LEFT JOIN s ON s.source = y.source AND s.score >= 60 AND s.t < y."end" + 14400 AND s.t + 1e-6 > y."start" - 14400 GROUP BY y.source, y.span_id, y."start", y."end" """)
 def sequence_context(spark, sf_dir):
     n = F.row_number().over(W.partitionBy("source").orderBy("start"))
-    spans = sessions(spark, sf_dir).select("source", (F.col("source") * 100000 + n).alias("span_id"), "start", "end")
+    spans = sessions(spark, sf_dir).select("source", F.concat_ws(":", F.col("source").cast("string"), n.cast("string")).alias("span_id"), "start", "end")
     return review.with_context(spans, samples(spark, sf_dir), "source", 4 * HOUR, 60.0)
 
 
@@ -627,7 +622,12 @@ def consensus_boxes(spark, sf_dir):
     return out.withColumn("low_x1", F.when(F.col("n") >= 10, F.col("low_x1")).otherwise(F.col("least"))).withColumn("high_x2", F.when(F.col("n") >= 10, F.col("high_x2")).otherwise(F.col("most"))).drop("least", "most")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE s AS ({S}), b AS (SELECT source, label AS category, t AS a, t + 600 AS b, CASE WHEN sample_id % 3 = 0 THEN 'BLUR' WHEN sample_id % 7 = 0 THEN 'CUT' END AS sug FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, category ORDER BY a, b, sug) AS n FROM b),
+f AS (SELECT source, category, n, 1 AS grp, a AS low, b AS high, sug FROM r WHERE n = 1 UNION ALL
+SELECT source, category, n, CASE WHEN stays THEN grp ELSE grp + 1 END AS grp, CASE WHEN stays THEN low ELSE a END, CASE WHEN stays THEN greatest(high, b) ELSE b END, CASE WHEN stays THEN coalesce(known, sug) ELSE sug END
+FROM (SELECT r.*, f.grp, f.low, f.high, f.sug AS known, r.a - f.high <= 43200 AND greatest(r.b, f.high) - f.low <= 129600 AND NOT coalesce(f.sug <> r.sug, false) AS stays FROM f JOIN r ON r.source = f.source AND r.category = f.category AND r.n = f.n + 1))
+SELECT source, category, min(low) AS "start", max(high) AS "end", arg_max(sug, n) AS suggestion, count(*) AS n FROM f GROUP BY source, category, grp""")
 def bounded_sessions(spark, sf_dir):
     t = F.col("t")
     rows = samples(spark, sf_dir).select("source", F.col("label").alias("category"), t.alias("start"), (t + 600).alias("end"), F.when(F.col("sample_id") % 3 == 0, "BLUR").when(F.col("sample_id") % 7 == 0, "CUT").alias("suggestion"))
@@ -661,7 +661,7 @@ def accepted_reads(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", where.alias("zone"), cards.accepted(F.col("p_name"), (k % 50) / F.lit(49.0), where, 0.5, 0.3).alias("accepted"), cards.trimmed_height(F.col("p_size") * 3).alias("height"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN lower(split_part(o_orderpriority, '-', 2)) IN ('high', 'medium', 'low', 'context') THEN lower(split_part(o_orderpriority, '-', 2)) WHEN o_orderkey % 4 = 0 THEN 'high' ELSE 'context' END AS priority FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN lower(split_part(o_orderpriority, '-', 2)) IN ('high', 'context', 'normal') THEN lower(split_part(o_orderpriority, '-', 2)) WHEN o_orderkey % 4 = 0 THEN 'high' ELSE 'context' END AS priority FROM orders""")
 def card_priorities(spark, sf_dir):
     reason = F.when(F.col("o_orderkey") % 4 == 0, "Very HIGH score").otherwise("plain")
     return table(spark, sf_dir, "orders").select("o_orderkey", cards.priority(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)), reason).alias("priority"))
@@ -677,14 +677,14 @@ def corroborated_cards(spark, sf_dir):
 
 
 @query(f"""WITH s AS ({S}), w AS (SELECT source, sample_id AS window_id, t AS a, t + 18000 AS b FROM s WHERE label = 'purchase'), r AS (SELECT source, t AS a, t + 60 AS b, CASE WHEN sample_id % 3 > 0 THEN label END AS token FROM s),
-c AS (SELECT source, floor(t / 86400) * 86400 AS a, floor(t / 86400) * 86400 + 86400.0 AS b FROM s WHERE label = 'view' AND sample_id % 2 = 0)
+c AS (SELECT source, floor(t / 86400) * 86400 AS a, floor(t / 86400) * 86400 + 86400.0 AS b FROM s WHERE label = 'view')
 SELECT w.source, w.window_id, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.source = w.source AND c.a <= w.a AND c.b >= w.b) THEN coalesce((SELECT string_agg(DISTINCT token, ',' ORDER BY token) FROM r WHERE r.source = w.source AND r.a < w.b AND w.a < r.b), '') END AS tokens FROM w""")
 def window_evidence_tokens(spark, sf_dir):
     t, day = F.col("t"), F.floor(F.col("t") / DAY) * DAY
     rows = samples(spark, sf_dir)
     windows = rows.where("label = 'purchase'").select("source", F.col("sample_id").alias("window_id"), t.alias("start"), (t + 18000).alias("end"))
     reads = rows.select("source", t.alias("start"), (t + 60).alias("end"), F.when(F.col("sample_id") % 3 > 0, F.col("label")).alias("token"))
-    scans = rows.where("label = 'view' and sample_id % 2 = 0").select("source", day.alias("start"), (day + DAY).alias("end")).distinct()
+    scans = rows.where("label = 'view'").select("source", day.alias("start"), (day + DAY).alias("end")).distinct()
     found = cards.window_evidence_tokens(windows, reads, scans, "source", 12 * HOUR)
     return found.select("source", "window_id", F.array_join("tokens", ",").alias("tokens"))
 
@@ -701,11 +701,11 @@ def linked_cards(spark, sf_dir):
     return cards.best_owner(own, owners, "source", 6 * HOUR, 0.5)
 
 
-@query("""WITH e AS (SELECT md5(left(d.text, 40)) AS image, d.lang, d.doc_id, l.quality = 1 AS expected FROM documents d JOIN labels l USING (doc_id)),
+@query("""WITH e AS (SELECT md5(d.text) AS image, d.lang, d.doc_id, l.quality = 1 AS expected FROM documents d JOIN labels l USING (doc_id)),
 f AS (SELECT image, arg_min(expected, (lang, doc_id)) AS expected, min((lang, doc_id)) AS k FROM e GROUP BY image),
 r AS (SELECT image, expected, k[1] AS lang, k[2] AS doc_id, row_number() OVER (PARTITION BY expected ORDER BY k, image) AS n FROM f) SELECT image, lang, doc_id, expected FROM r WHERE n <= 24""")
 def balanced_manifest(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.md5(F.left("text", F.lit(40))).alias("image"), "lang", "doc_id", (F.col("quality") == 1).alias("expected"))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.md5("text").alias("image"), "lang", "doc_id", (F.col("quality") == 1).alias("expected"))
     return cards.balanced(rows, "image", "expected", ["lang", "doc_id"], 24)
 
 
@@ -751,12 +751,19 @@ def overlapping_segments(spark, sf_dir):
     return cards.disjoint(rows, "source").drop("end")
 
 
-@query(r"""SELECT page_id, md5(array_to_string(list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(url, '(?i)\b(?:https?|www)\b'), list_transform(regexp_extract_all(url, '(?i)\b[a-z0-9][a-z0-9-]*\s?[.,]\s?(?:com|net|org|tv|io|info|site|online|app)\b'), lambda x: trim(x))), []::VARCHAR[]), lambda x: x <> '')).list_sort(), ',')) AS tokens_md5,
-CASE WHEN length(regexp_replace(regexp_replace(lower(url), '^\s*(?:https?:/*)?(?:www\.)?', ''), '[^0-9a-z]', '', 'g')) >= 24 THEN regexp_replace(regexp_replace(lower(url), '^\s*(?:https?:/*)?(?:www\.)?', ''), '[^0-9a-z]', '', 'g') END AS memory_key FROM pages""")
+def _ad_sql(c: str) -> str:
+    found = [f"list_transform(regexp_extract_all({c}, '{p}'), lambda x: trim(regexp_replace(x, '^[ >(]', '')))" for p in text.AD_SHAPES.values()]
+    return f"list_distinct(list_concat({', '.join(found)}))"
+
+
+CALLS = "url || ' +' || (5550000000 + page_id) || ' (@user_' || page_id || ' mail' || page_id || '@example.org ' || html"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, {CALLS} AS t FROM pages) SELECT page_id, md5(array_to_string(list_sort({_ad_sql('t')}), ',')) AS tokens_md5, len({_ad_sql('t')}) AS n,
+CASE WHEN length(regexp_replace(regexp_replace(lower(url), '^\\s*(?:https?:/*)?(?:www\\.)?', ''), '[^0-9a-z]', '', 'g')) >= 24 THEN regexp_replace(regexp_replace(lower(url), '^\\s*(?:https?:/*)?(?:www\\.)?', ''), '[^0-9a-z]', '', 'g') END AS memory_key FROM p""")
 def ad_text_tokens(spark, sf_dir):
-    # urls hold no phone numbers or handles, whose patterns look behind and so have no SQL twin
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", text.ad_tokens(F.regexp_replace("url", r"[\d@]{8,}", "")).alias("t"))
-    return pages.select("page_id", F.md5(F.array_join(F.array_sort("t"), ",")).alias("tokens_md5"), text.memory_key(F.col("url"), 24).alias("memory_key"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", text.ad_tokens(F.expr(CALLS)).alias("t"))
+    return pages.select("page_id", F.md5(F.array_join(F.array_sort("t"), ",")).alias("tokens_md5"), F.size("t").cast("long").alias("n"), text.memory_key(F.col("url"), 24).alias("memory_key"))
 
 
 @query("""WITH names(name) AS (VALUES ('bluework'), ('redsteel'), ('almond'), ('lavender'), ('brand12'), ('economy')), t AS (SELECT p_partkey, lower(p_name || ' ' || p_brand) AS s FROM part),
@@ -764,12 +771,12 @@ k AS (SELECT p_partkey, regexp_extract_all(s, '[a-z0-9]+') AS w, list_transform(
 c AS (SELECT DISTINCT p_partkey, unnest(list_concat(list_concat(w, chunks), list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || w[i + 1]))) AS cand FROM k)
 SELECT p_partkey, name, min(levenshtein(cand, name)) AS edits FROM c JOIN names ON abs(length(cand) - length(name)) <= 1 AND levenshtein(cand, name) <= 1 GROUP BY 1, 2""")
 def platform_names(spark, sf_dir):
-    # a stated list of six names, broadcast
     names = spark.createDataFrame([(n,) for n in ("bluework", "redsteel", "almond", "lavender", "brand12", "economy")], "name string")
+    known = names.select("name", F.explode(text.deletions(F.col("name"))).alias("k"))
     found = table(spark, sf_dir, "part").select("p_partkey", F.explode(text.latin_candidates(F.lower(F.concat_ws(" ", "p_name", "p_brand")))).alias("cand"))
-    edits = F.levenshtein("cand", "name")
-    near = found.join(F.broadcast(names), (F.abs(F.length("cand") - F.length("name")) <= 1) & (edits <= 1))
-    return near.groupBy("p_partkey", "name").agg(F.min(edits).cast("long").alias("edits"))
+    edits = F.levenshtein("cand", "name").cast("long")
+    near = found.select("p_partkey", "cand", F.explode(text.deletions(F.col("cand"))).alias("k")).join(known, "k").withColumn("edits", edits).where("edits <= 1")
+    return near.groupBy("p_partkey", "name").agg(F.min("edits").alias("edits"))
 
 
 @query("""WITH o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY 1)
@@ -786,18 +793,29 @@ def candidate_budgets(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", budget.cast("long").alias("budget"), scores.on_grid(k * 40000, [1_000_000, 120_000]).alias("on_grid"))
 
 
-@query(None)
+@query(f"""WITH s AS ({S}), c AS (SELECT source, label AS category, t AS a, t + 1800 AS b, score, CASE WHEN sample_id % 9 = 0 THEN 'high' WHEN sample_id % 4 = 0 THEN 'normal' ELSE 'context' END AS priority, CASE WHEN sample_id % 2 = 0 THEN 'logo' ELSE 'overlay' END AS kind,
+CASE WHEN sample_id % 5 = 0 THEN 'BLUR' WHEN sample_id % 7 = 0 THEN 'CUT' END AS sug, sample_id AS id, CASE WHEN sample_id % 4 > 0 THEN {{'x1': sample_id % 40, 'y1': sample_id % 30, 'x2': sample_id % 40 + 80, 'y2': sample_id % 30 + 60}} END AS box FROM s),
+l AS (SELECT *, max(b) OVER w AS latest, last_value(sug IGNORE NULLS) OVER w AS known, last_value(box IGNORE NULLS) OVER w AS old FROM c WINDOW w AS (PARTITION BY source, category, kind ORDER BY a, b, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, greatest(0, least(box.x2, old.x2) - greatest(box.x1, old.x1)) * greatest(0, least(box.y2, old.y2) - greatest(box.y1, old.y1)) AS common FROM l),
+o AS (SELECT *, coalesce(a - latest > 86400, false) OR coalesce(sug <> known, false) OR (box IS NOT NULL AND old IS NOT NULL AND common / (2 * 80 * 60 - common) < 0.5) AS opens FROM i),
+g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY source, category, kind ORDER BY a, b, id ROWS UNBOUNDED PRECEDING) AS grp FROM o)
+SELECT source, category, kind, min(a) AS "start", max(b) AS "end", max(score) AS max_score, arg_min(priority, CASE priority WHEN 'high' THEN 0 WHEN 'context' THEN 1 ELSE 2 END) AS priority, first(sug ORDER BY a, b, id) FILTER (sug IS NOT NULL) AS suggestion,
+string_agg(id::VARCHAR, ',' ORDER BY a, b, id) AS refs, count(*) AS n, first(box.x1 ORDER BY a, b, id) FILTER (box IS NOT NULL) AS x1, first(box.y2 ORDER BY a, b, id) FILTER (box IS NOT NULL) AS y2 FROM g GROUP BY source, category, kind, grp""")
 def merged_cards(spark, sf_dir):
     i, t = F.col("sample_id"), F.col("t")
     boxed = {"x1": i % 40, "y1": i % 30, "x2": i % 40 + 80, "y2": i % 30 + 60}
     rows = samples(spark, sf_dir).select(
-        "source", F.col("label").alias("category"), t.alias("start"), (t + 1800).alias("end"), F.col("score").alias("max_score"), F.when(i % 9 == 0, "high").otherwise("context").alias("priority"), F.when(i % 2 == 0, "logo").otherwise("overlay").alias("kind"),
-        F.when(i % 5 == 0, "BLUR").when(i % 7 == 0, "CUT").alias("suggestion"), F.array(i.cast("string")).alias("refs"), *[F.when(i % 4 > 0, c.cast("double")).alias(n) for n, c in boxed.items()],
+        "source", F.col("label").alias("category"), t.alias("start"), (t + 1800).alias("end"), F.col("score").alias("max_score"), F.when(i % 9 == 0, "high").when(i % 4 == 0, "normal").otherwise("context").alias("priority"), F.when(i % 2 == 0, "logo").otherwise("overlay").alias("kind"),
+        F.when(i % 5 == 0, "BLUR").when(i % 7 == 0, "CUT").alias("suggestion"), F.array(i.cast("string")).alias("refs"), i.alias("card_id"), *[F.when(i % 4 > 0, c).alias(n) for n, c in boxed.items()],
     )
-    return folds.merge_cards(rows, 24 * HOUR)
+    return folds.merge_cards(rows, 24 * HOUR).withColumn("refs", F.array_join("refs", ",")).drop("y1", "x2")
 
 
-@query(None)
+@query(f"""WITH s AS ({S}), r AS (SELECT source AS segment, CASE WHEN sample_id % 2 = 0 THEN 'dense' ELSE 'review' END AS tier, t AS a, t + 7200 + 30 * score AS b, ['KEEP', 'CUT', 'BLUR'][(sample_id % 3)::INT + 1] AS decision, sample_id::DOUBLE AS moment FROM s),
+l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM r WINDOW w AS (PARTITION BY segment, tier ORDER BY a, b DESC, moment)),
+o AS (SELECT *, coalesce(least(b - a, pb - pa) > 0 AND least(b, pb) - a >= 0.5 * least(b - a, pb - pa), false) AS stays FROM l),
+g AS (SELECT *, sum((NOT stays)::INT) OVER (PARTITION BY segment, tier ORDER BY a, b DESC, moment ROWS UNBOUNDED PRECEDING) AS grp FROM o)
+SELECT segment, tier, min(a) AS "start", first(b ORDER BY a, b DESC) AS "end", arg_max(decision, moment) AS decision, max(moment) AS decided_at, count(*) AS n FROM g GROUP BY segment, tier, grp""")
 def merged_suggestions(spark, sf_dir):
     i, t = F.col("sample_id"), F.col("t")
     decision = F.element_at(F.array(*map(F.lit, ("KEEP", "CUT", "BLUR"))), (i % 3 + 1).cast("int"))

@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import text
 from spanloom.functions.similarity import fragment_ratio, matching_ratio
-from spanloom.operators import folds
+from spanloom.operators import cards, folds
 from spanloom.operators.graph import connected
 from spanloom.streaming import sessions
 
@@ -62,3 +64,57 @@ def test_settled_files_are_told_once(spark, tmp_path):
     run = sessions.settled(df, 10).writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r.path, r["size"]) for r in spark.table("settled").collect()) == [("f", 20), ("f", 21)]
+
+
+def plain_merge(cards, gap, least_iou):
+    """merge_cards row by row over one group's cards: dicts in order."""
+    out, latest, suggestion, box = [], None, None, None
+    for c in cards:
+        opens = not out or c["start"] - latest > gap or (c["suggestion"] and suggestion and c["suggestion"] != suggestion) or (c["box"] and box and folds._iou(c["box"], box) < least_iou)
+        if opens:
+            out.append([])
+        out[-1].append(c)
+        latest = max(c["end"], latest or c["end"])
+        suggestion, box = c["suggestion"] or suggestion, c["box"] or box
+    return out
+
+
+def test_merged_cards_against_a_plain_merge(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        start = float(rng.randrange(0, 300))
+        x = rng.randrange(0, 40)
+        box = (x, 0, x + 40, 20) if rng.random() < 0.7 else None
+        rows.append({"source": rng.randrange(2), "category": rng.choice("ab"), "start": start, "end": start + rng.randrange(1, 20), "max_score": rng.random(), "priority": rng.choice(["high", "context", "normal"]), "kind": rng.choice(["logo", "text"]), "suggestion": rng.choice([None, None, "BLUR", "CUT"]), "refs": [f"r{i % 50}"], "card_id": i, "box": box})
+    want = set()
+    for key in {(r["source"], r["category"], r["kind"]) for r in rows}:
+        own = sorted((r for r in rows if (r["source"], r["category"], r["kind"]) == key), key=lambda r: (r["start"], r["end"], r["card_id"]))
+        for g in plain_merge(own, 3.0, 0.5):
+            box = next((c["box"] for c in g if c["box"]), None)
+            refs = tuple(dict.fromkeys(r for c in g for r in c["refs"]))
+            want.add((*key, min(c["start"] for c in g), max(c["end"] for c in g), max(c["max_score"] for c in g), min((c["priority"] for c in g), key=["high", "context", "normal"].index), next((c["suggestion"] for c in g if c["suggestion"]), None), refs, len(g), box and box[0]))
+    schema = "source long, category string, start double, end double, max_score double, priority string, kind string, suggestion string, refs array<string>, card_id long, x1 long, y1 long, x2 long, y2 long"
+    df = spark.createDataFrame([(r["source"], r["category"], r["start"], float(r["end"]), r["max_score"], r["priority"], r["kind"], r["suggestion"], r["refs"], r["card_id"], *(r["box"] or (None,) * 4)) for r in rows], schema)
+    got = {(r.source, r.category, r.kind, r.start, r.end, r.max_score, r.priority, r.suggestion, tuple(r.refs), r.n, r.x1) for r in folds.merge_cards(df, 3.0).collect()}
+    assert got == want and len(want) > 50
+
+
+def test_letters_with_marks_fold(spark):
+    df = spark.createDataFrame([("Điện Ảnh ƠƯẠ ả ầ ž ő ẽ ỹ ß",)], "t string")
+    assert df.select(text.fold(F.col("t"))).first()[0] == "dien anh oua a a z o e y ß"
+
+
+def test_priorities(spark):
+    rows = [("High", None), ("normal", "very high"), ("context", "high"), ("low", "a HIGH score"), (None, None), ("medium", "x")]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, r string").select(cards.priority(F.col("p"), F.col("r"))).collect()]
+    assert got == ["high", "normal", "context", "high", "context", "context"]
+
+
+def test_words_within_one_edit_share_a_deletion(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 6))) for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", text.deletions(F.col("w")).alias("k"))
+    keys = {r.w: set(r.k) for r in df.collect()}
+    near = spark.createDataFrame([(a, b) for a in keys for b in keys], "a string, b string").where(F.levenshtein("a", "b") <= 1).collect()
+    assert len(near) > 60 and all(keys[r.a] & keys[r.b] for r in near)
