@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,83 @@ def padded(p: str, by: int, width: int, height: int) -> list[Column]:
     """The box with a margin, clamped to the frame."""
     low = [F.greatest(F.lit(0), _c(p, n) - by).alias(n) for n in ("x1", "y1")]
     return low + [F.least(F.lit(m), _c(p, n) + by).alias(n) for n, m in (("x2", width), ("y2", height))]
+
+
+def from_region(p: str) -> list[Column]:
+    """Corners of a region given by x, y, width and height under the prefix; null unless both sizes are positive."""
+    fits = (_c(p, "width") > 0) & (_c(p, "height") > 0)
+    ends = {"x1": _c(p, "x"), "y1": _c(p, "y"), "x2": _c(p, "x") + _c(p, "width"), "y2": _c(p, "y") + _c(p, "height")}
+    return [F.when(fits, c.cast("double")).alias(n) for n, c in ends.items()]
+
+
+def to_pixels(p: str, width: Column, height: Column) -> list[Column]:
+    """Pixels of a region given by shares of the frame (x, y, width, height), at least one and inside it; half pixels go to the even one."""
+    x1 = F.greatest(F.lit(0), F.least(width - 1, F.bround(_c(p, "x") * width)))
+    y1 = F.greatest(F.lit(0), F.least(height - 1, F.bround(_c(p, "y") * height)))
+    x2 = F.greatest(x1 + 1, F.least(width, F.bround((_c(p, "x") + _c(p, "width")) * width)))
+    y2 = F.greatest(y1 + 1, F.least(height, F.bround((_c(p, "y") + _c(p, "height")) * height)))
+    return [c.cast("long").alias(n) for n, c in (("x", x1), ("y", y1), ("width", x2 - x1), ("height", y2 - y1))]
+
+
+def _side(p: str, a: str, b: str) -> Column:
+    return _c(p, b) - _c(p, a)
+
+
+def _gap(a: str, b: str, low: str, high: str) -> Column:
+    """Distance of two boxes along an axis, negative where they overlap."""
+    return F.greatest(_c(a, low), _c(b, low)) - F.least(_c(a, high), _c(b, high))
+
+
+# Fixed values in the rules below: the shares, ratios and pixels that decide them.
+def same_region(a: str, b: str) -> Column:
+    """Boxes that overlap by a fifth, or whose centres are near for the first one's size."""
+    off = lambda low, high: F.abs((_c(a, low) + _c(a, high)) - (_c(b, low) + _c(b, high))) / 2
+    reach = lambda least, share, low, high: F.greatest(F.lit(float(least)), share * F.greatest(F.lit(1), _side(a, low, high)))
+    near = (off("x1", "x2") <= reach(24, 0.45, "x1", "x2")) & (off("y1", "y2") <= reach(18, 0.55, "y1", "y2"))
+    return (iou(a, b) >= 0.20) | near
+
+
+def touches_overlay(footprint: str, box: str) -> Column:
+    """A footprint at most half its height away from an overlay's box, and not 2.5 times as tall."""
+    height = F.greatest(F.lit(1), _side(footprint, "y1", "y2"))
+    near = (_gap(footprint, box, "x1", "x2") <= height / 2) & (_gap(footprint, box, "y1", "y2") <= height / 2)
+    return near & (height <= 2.5 * F.greatest(F.lit(1), _side(box, "y1", "y2")))
+
+
+def lines_adjacent(a: str, b: str) -> Column:
+    """Lines of text at most three times the lower one's height apart; a missing box is next to any."""
+    return F.coalesce(_gap(a, b, "y1", "y2") <= 3.0 * F.least(_side(a, "y1", "y2"), _side(b, "y1", "y2")), F.lit(True))
+
+
+def same_band(a: str, b: str) -> Column:
+    return -_gap(a, b, "y1", "y2") >= 0.5 * F.least(_side(a, "y1", "y2"), _side(b, "y1", "y2"))
+
+
+def same_blur_target(a: str, b: str) -> Column:
+    """Areas within twice each other, seven tenths of the smaller in common."""
+    sizes = [F.greatest(F.lit(1), area(p)) for p in (a, b)]
+    return (F.greatest(*sizes) / F.least(*sizes) <= 2.0) & (over_smaller(a, b) >= 0.70)
+
+
+def joins_logo(text: str, logo: str) -> Column:
+    """A logo that belongs to a line of text: not inside it already, under or over half its width, close and not much taller."""
+    columns = -_gap(text, logo, "x1", "x2") >= 0.5 * _side(logo, "x1", "x2")
+    close = _gap(text, logo, "y1", "y2") <= F.greatest(F.lit(8.0), 0.5 * _side(logo, "y1", "y2"))
+    inside = intersection(text, logo) >= 0.95 * area(logo)
+    return ~inside & columns & close & (_side(logo, "y1", "y2") <= 2.5 * _side(text, "y1", "y2"))
+
+
+def consensus(boxes: DataFrame, key: str) -> DataFrame:
+    """The stable footprint of each key's boxes (x1, y1, x2, y2): (key, n, inliers, x1, y1, x2, y2).
+
+    From four boxes on, those of about the median size that lie in the median box make it, unless
+    they are fewer than three or than 55 % of all; then all do.
+    """
+    wide, tall = (F.greatest(F.lit(1), F.col(b) - F.col(a)) for a, b in (("x1", "x2"), ("y1", "y2")))
+    middle = boxes.groupBy(key).agg(F.count("*").alias("n"), F.percentile(wide, F.lit(0.5)).alias("mw"), F.percentile(tall, F.lit(0.5)).alias("mh"), *[F.bround(F.percentile(c, F.lit(0.5))).alias(f"m_{c}") for c in ("x1", "y1", "x2", "y2")])
+    fits = (F.col("x2") - F.col("x1")).between(0.55 * F.col("mw"), 1.80 * F.col("mw")) & (F.col("y2") - F.col("y1")).between(0.55 * F.col("mh"), 1.80 * F.col("mh")) & (over_smaller("", "m_") >= 0.70)
+    rows = boxes.join(middle, key).withColumn("fits", fits)
+    ends = {"x1": F.min, "y1": F.min, "x2": F.max, "y2": F.max}
+    both = rows.groupBy(key).agg(F.first("n").alias("n"), F.count_if("fits").alias("inliers"), *[f(c).alias(f"all_{c}") for c, f in ends.items()], *[f(F.when(F.col("fits"), F.col(c))).alias(f"in_{c}") for c, f in ends.items()])
+    use = (F.col("n") >= 4) & (F.col("inliers") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.55)))
+    return both.select(key, "n", "inliers", *[F.when(use, F.col(f"in_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in ends])

@@ -821,3 +821,6 @@ def merged_suggestions(spark, sf_dir):
     decision = F.element_at(F.array(*map(F.lit, ("KEEP", "CUT", "BLUR"))), (i % 3 + 1).cast("int"))
     rows = samples(spark, sf_dir).select(F.col("source").alias("segment"), F.when(i % 2 == 0, "dense").otherwise("review").alias("tier"), t.alias("start"), (t + 7200 + 30 * F.col("score")).alias("end"), decision.alias("decision"), i.cast("double").alias("decided_at"))
     return folds.merge_suggestions(rows)
+
+
+from spanloom.plans import review_catalog  # noqa: E402, F401  registers its queries beside these
