@@ -6,6 +6,9 @@ pauses with a window; each run, not each key, is one group of the fold.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +27,24 @@ def runs(rows: DataFrame, key: str, start: str, end: str, gap: float) -> DataFra
     return marked.withColumn("run", F.sum("opens").over(W.partitionBy(key).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0))).drop("opens")
 
 
+def folded(rows: DataFrame, keys: list[str], order: list, fold: Callable[[Iterator], Iterator[tuple]], schema: str) -> DataFrame:
+    """Folds the rows of each key in order: ``fold`` takes an iterator of them and yields result rows.
+
+    Rows stream through the sorted partitions, so a fold holds its own state only, and many short
+    runs cost no more than one long one.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (r for batch in batches for r in batch.astype(object).where(batch.notna(), None).itertuples(index=False))
+        groups = itertools.groupby(each, key=lambda r: tuple(getattr(r, k) for k in keys))
+        told = itertools.chain.from_iterable(fold(own) for _, own in groups)
+        while some := list(itertools.islice(told, 10_000)):
+            yield pd.DataFrame(some, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def bounded_sessions(rows: DataFrame, gap: float, span: float) -> DataFrame:
     """Groups rows (source, category, start, end, suggestion) by gap, total span and compatible suggestions.
 
@@ -32,21 +53,22 @@ def bounded_sessions(rows: DataFrame, gap: float, span: float) -> DataFrame:
     (source, category, start, end, suggestion, n).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.sort_values(["start", "end", "suggestion"], kind="stable").itertuples():
-            last = out[-1] if out else None
+    def fold(run: Iterator) -> Iterator[tuple]:
+        last = None
+        for r in run:
             clash = last and last[4] and r.suggestion and last[4] != r.suggestion
             if last and r.start - last[3] <= gap and max(r.end, last[3]) - last[2] <= span and not clash:
                 last[3], last[4], last[5] = max(r.end, last[3]), last[4] or r.suggestion, last[5] + 1
             else:
-                out.append([r.source, r.category, r.start, r.end, r.suggestion, 1])
-        return pd.DataFrame(out, columns=["source", "category", "start", "end", "suggestion", "n"])
+                if last:
+                    yield tuple(last)
+                last = [r.source, r.category, r.start, r.end, r.suggestion, 1]
+        yield tuple(last)
 
     keyed = rows.withColumn("k", F.concat_ws("|", F.col("source").cast("string"), "category"))
     cut = runs(keyed, "k", "start", "end", gap)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("source", "category", "suggestion")}
-    return cut.groupBy("k", "run").applyInPandas(fold, f"source {kinds['source']}, category string, start double, end double, suggestion string, n long")
+    return folded(cut, ["k", "run"], ["start", "end", "suggestion"], fold, f"source {kinds['source']}, category string, start double, end double, suggestion string, n long")
 
 
 def tracks(detections: DataFrame, absence: float, least_iou: float) -> DataFrame:
@@ -58,13 +80,14 @@ def tracks(detections: DataFrame, absence: float, least_iou: float) -> DataFrame
     Tracks of a source are numbered from 0 by start, box and end.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, open_ = [], []
-        for t, moment in pdf.sort_values(["t", "confidence", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True]).groupby("t", sort=True):
-            done += [k for k in open_ if t - k["end"] > absence]
+    def fold(run: Iterator) -> Iterator[tuple]:
+        told = lambda k: (k["source"], k["start"], k["end"], k["n"], *k["union"])
+        open_: list[dict] = []
+        for t, moment in itertools.groupby(run, key=lambda d: d.t):
+            yield from (told(k) for k in open_ if t - k["end"] > absence)
             open_ = [k for k in open_ if t - k["end"] <= absence]
             free = list(open_)
-            for d in moment.itertuples():
+            for d in moment:
                 box = (d.x1, d.y1, d.x2, d.y2)
                 best = max(free, key=lambda k: _iou(k["last"], box), default=None)
                 if best is not None and _iou(best["last"], box) >= least_iou:
@@ -73,11 +96,11 @@ def tracks(detections: DataFrame, absence: float, least_iou: float) -> DataFrame
                     best.update(end=t, last=box, n=best["n"] + 1, union=(min(u[0], box[0]), min(u[1], box[1]), max(u[2], box[2]), max(u[3], box[3])))
                 else:
                     open_.append({"source": d.source, "start": t, "end": t, "last": box, "union": box, "n": 1})
-        return pd.DataFrame([(k["source"], k["start"], k["end"], k["n"], *k["union"]) for k in done + open_], columns=["source", "start", "end", "observations", "x1", "y1", "x2", "y2"])
+        yield from map(told, open_)
 
     cut = runs(detections.withColumn("until", F.col("t")), "source", "t", "until", absence)
     kind = detections.schema["source"].dataType.simpleString()
-    found = cut.groupBy("source", "run").applyInPandas(fold, f"source {kind}, start double, end double, observations long, x1 double, y1 double, x2 double, y2 double")
+    found = folded(cut, ["source", "run"], ["t", F.col("confidence").desc(), "x1", "y1", "x2", "y2"], fold, f"source {kind}, start double, end double, observations long, x1 double, y1 double, x2 double, y2 double")
     number = F.row_number().over(W.partitionBy("source").orderBy("start", "x1", "y1", "x2", "y2", "end", "observations")) - 1
     return found.withColumn("track", number.cast("long"))
 
