@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id reachable from each id of the undirected edges (a, b).
 
     Labels move to neighbours and jump along labels, so rounds grow with the logarithm of the
-    longest path. checkpoint() cuts the lineage in the folder that the cluster names.
+    longest path; an error is raised if they don't suffice. checkpoint() cuts the lineage in the folder that the cluster names.
     """
     spark = edges.sparkSession
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -28,4 +28,6 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if total == before:
             break
         before = total
+    else:
+        raise RuntimeError(f"components unfinished after {rounds} rounds")
     return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))

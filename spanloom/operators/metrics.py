@@ -9,11 +9,35 @@ from pyspark.sql import functions as F
 from spanloom.functions.scores import ratio
 
 
+def quantiles(rows: DataFrame, key: str, value: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """Exact linear quantiles of each key: (key, share, quantile).
+
+    The ranks are found in counts of ``bins`` bins of equal width first; only the values of the bins
+    that hold one are counted each, so no key's values meet in one task. Null and NaN values are left out.
+    """
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, F.col(value).cast("double").alias("v"))
+    ends = rows.groupBy(key).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins))).otherwise(0)
+    binned = rows.join(ends.select(key, "low", "high"), key).select(key, "v", at.cast("int").alias("bin"))
+    order = W.partitionBy(key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    counts = binned.groupBy(key, "bin").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
+    wanted = ends.select(key, "n", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("at", F.col("share") * (F.col("n") - 1))
+    ranks = wanted.select(key, "share", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    placed = ranks.join(counts, key).where("rank >= before and rank < before + c").select(key, "share", "at", "rank", "bin", "before")
+    few = binned.join(placed.select(key, "bin").distinct(), [key, "bin"], "left_semi").groupBy(key, "bin", "v").agg(F.count("*").alias("m"))
+    upto = few.withColumn("upto", F.sum("m").over(W.partitionBy(key, "bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+    found = placed.join(upto, [key, "bin"]).where("before + upto > rank and before + upto - m <= rank")
+    part = F.col("at") - F.floor("at")
+    ends = found.groupBy(key, "share").agg(F.min_by("v", "rank").alias("lower"), F.max_by("v", "rank").alias("upper"), F.first(part).alias("part"))
+    return ends.select(key, "share", (F.col("lower") + F.col("part") * (F.col("upper") - F.col("lower"))).alias("quantile"))
+
+
 def score_summary(samples: DataFrame, key: str, score: str) -> DataFrame:
     """Minimum, mean, linear quantiles and maximum of each key's scores."""
-    q = F.percentile(score, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    cut = samples.groupBy(key).agg(F.min(score).alias("minimum"), F.avg(score).alias("mean"), q.alias("q"), F.max(score).alias("maximum"))
-    return cut.select(key, "minimum", F.round("mean", 6).alias("mean"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "maximum")
+    names = {0.5: "p50", 0.9: "p90", 0.95: "p95", 0.99: "p99"}
+    cut = samples.groupBy(key).agg(F.min(score).alias("minimum"), F.round(F.avg(score), 6).alias("mean"), F.max(score).alias("maximum"))
+    found = quantiles(samples, key, score, list(names)).groupBy(key).agg(*[F.round(F.max(F.when(F.col("share") == q, F.col("quantile"))), 6).alias(n) for q, n in names.items()])
+    return cut.join(found, key, "left").select(key, "minimum", "mean", *names.values(), "maximum")
 
 
 def top_k_mean(samples: DataFrame, key: str, score: str, identity: str, k: int) -> DataFrame:

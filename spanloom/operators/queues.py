@@ -44,3 +44,18 @@ def unique_ids(df: DataFrame, parts: list[str], order: str) -> DataFrame:
     n = F.row_number().over(W.partitionBy("base").orderBy(order))
     named = df.withColumn("base", base).withColumn("n", n)
     return named.withColumn("item_key", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))).drop("base", "n")
+
+
+def places(rows: DataFrame, key: str, first: Column, number: str, bins: int = 4096) -> DataFrame:
+    """Adds ``place``, the rank of each row of a key by ``first`` and then by the whole number ``number``.
+
+    Rows are ranked in bins of the number; what stands before a bin is summed over bins, so a key's
+    rows don't meet in one task.
+    """
+    ends = rows.groupBy(key).agg(F.min(number).alias("low"), F.max(number).alias("high"))
+    bin_ = F.floor((F.col(number) - F.col("low")) * F.lit(bins) / (F.col("high") - F.col("low") + 1))
+    dealt = rows.join(ends, key).withColumns({"first": first, "bin": bin_}).drop("low", "high")
+    order = W.partitionBy(key).orderBy("first", "bin").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy(key, "first", "bin").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).drop("c")
+    own = F.row_number().over(W.partitionBy(key, "first", "bin").orderBy(number))
+    return dealt.withColumn("own", own).join(before, [key, "first", "bin"]).withColumn("place", (F.col("before") + F.col("own")).cast("long")).drop("first", "bin", "before", "own")

@@ -310,8 +310,8 @@ def latest_per_group(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority ORDER BY nullif(o_orderstatus, 'O') NULLS LAST, o_orderkey) AS place FROM orders""")
 def queue_order(spark, sf_dir):
-    rank = F.row_number().over(W.partitionBy("o_orderpriority").orderBy(F.nullif("o_orderstatus", F.lit("O")).asc_nulls_last(), "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", rank.cast("long").alias("place"))
+    status = F.coalesce(F.nullif("o_orderstatus", F.lit("O")), F.lit("\U0010ffff"))  # null last
+    return queues.places(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderpriority", status, "o_orderkey")
 
 
 @query("""SELECT o.o_orderkey, count(l_linenumber) AS members, count(*) FILTER (l_returnflag = 'R') AS returned, coalesce(round(sum(l_quantity), 2), 0) AS quantity,
