@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import triage
-from spanloom.plans.catalog import query
-from spanloom.sources.tables import table
+from spanloom.operators import shots, triage
+from spanloom.plans.catalog import HOUR, SESSIONS, query, sessions
+from spanloom.sources.tables import samples, table
 
 # The lines of an order are the intervals of its report, the order is the card that cites some of them.
 IV = "iv AS (SELECT l_orderkey AS k, l_linenumber - 1 AS n, min(l_quantity) AS q, min(l_discount) AS d, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS f, min(l_tax) AS x FROM lineitem GROUP BY 1, 2)"
@@ -115,3 +115,25 @@ def report_cards(spark, sf_dir):
         F.when(d > 0.05, "blur").when(d > 0.02, "cut").otherwise("later").alias("suggestion"), (k % 3 == 0).alias("boundary_window"), F.lit(None).cast("string").alias("boundary_state"), (d * 10).alias("full_frame_score"), proposals.alias("proposals"),
     )
     return triage.report_cards(rows).withColumns({"labels": F.array_join("labels", ","), "region": F.coalesce(F.array_join("region", ","), F.lit("full"))})
+
+
+SIDE = """SELECT e.*, (SELECT count(*) FROM s WHERE s.source = e.source AND score >= 150 AND t >= e.low AND t < e.high AND NOT at_limit) AS hits FROM e"""
+
+
+@query(f"""WITH {SESSIONS}, iv AS (SELECT source, "start" AS a, "end" AS b, max("end") OVER (PARTITION BY source) AS duration FROM sessions),
+e AS (SELECT *, true AS opens, a AS edge, a + 3600 AS anchor, a - 28800 AS low, a + 3600 + 72000 AS high, a <= 1e-6 AS at_limit FROM iv UNION ALL SELECT *, false, b, b - 3600, b - 3600 - 72000, b + 28800, b >= duration - 1e-6 FROM iv),
+h AS ({SIDE}), cuts AS (SELECT source, t FROM s WHERE label = 'error'),
+c AS (SELECT *, CASE WHEN NOT at_limit AND hits >= 2 THEN CASE WHEN opens THEN (SELECT max(t) FROM cuts WHERE cuts.source = h.source AND t >= edge - 28800 - 1e-6 AND t <= anchor + 1e-6 AND t >= greatest(0.0, low - 1800))
+ELSE (SELECT min(t) FROM cuts WHERE cuts.source = h.source AND t > anchor AND t <= edge + 28800 + 1e-6 AND t <= least(duration, high + 1800)) END END AS cut FROM h),
+i AS (SELECT *, CASE WHEN opens THEN cut ELSE coalesce((SELECT max(t) FROM cuts WHERE cuts.source = c.source AND t >= anchor - 72000 - 1e-6 AND t <= anchor + 1e-6), anchor - 72000) END AS x,
+CASE WHEN opens THEN coalesce((SELECT min(t) FROM cuts WHERE cuts.source = c.source AND t > anchor AND t <= anchor + 72000 + 1e-6 AND t <= duration), anchor + 72000) ELSE cut END AS y, CASE WHEN opens THEN cut >= edge - 1e-6 ELSE cut <= edge + 1e-6 END AS within FROM c),
+n AS (SELECT *, (SELECT count(*) FROM s WHERE s.source = i.source AND t >= x AND t < y AND NOT within) AS n, (SELECT count(*) FROM s WHERE s.source = i.source AND t >= x AND t < y AND score >= 150) AS n_seeds, (SELECT count(*) FROM s WHERE s.source = i.source AND t >= x AND t < y AND score >= 50) AS n_context FROM i),
+v AS (SELECT *, CASE WHEN at_limit THEN CASE WHEN opens THEN 'at_video_start' ELSE 'at_video_end' END WHEN hits < 2 THEN 'too_few_seeds_nearby' WHEN cut IS NULL THEN 'no_cut_within_reach' WHEN within THEN 'cut_inside_interval' WHEN n > 0 AND n_seeds >= 2 AND n_context / n >= 0.4 THEN 'extended' ELSE 'evidence_gate_failed' END AS status FROM n),
+m AS (SELECT *, round(CASE WHEN status = 'extended' THEN CASE WHEN opens THEN cut ELSE least(duration, cut) END ELSE edge END, 3) AS moved FROM v)
+SELECT source || '|' || (round(a * 1000)::BIGINT)::VARCHAR AS interval_id, max(moved) FILTER (opens) AS "start", max(moved) FILTER (NOT opens) AS "end", max(status) FILTER (opens) AS start_status, max(status) FILTER (NOT opens) AS end_status FROM m GROUP BY 1""")
+def shot_context(spark, sf_dir):
+    rows = samples(spark, sf_dir)
+    spans = sessions(spark, sf_dir).select("source", "start", "end")
+    ends = spans.groupBy("source").agg(F.max("end").alias("duration"))
+    named = spans.join(ends, "source").withColumn("interval_id", F.concat_ws("|", "source", F.round(F.col("start") * 1000).cast("long").cast("string")))
+    return shots.shot_context(named, rows.select("source", "t", "score"), rows.where("label = 'error'").select("source", "t"), "source", 150.0, 50.0, HOUR, 8 * HOUR, 20 * HOUR, 2, 0.4, 0.5 * HOUR)
