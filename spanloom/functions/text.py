@@ -39,6 +39,44 @@ def web_addresses(text: Column) -> Column:
     return F.array_distinct(found)
 
 
+# Endings of addresses, endings trusted without a dot, words that end like those, endings that are words too.
+DOTTED_ENDINGS = "com net org vn tv me io xyz cc co info top club link live online site biz asia pro app fun vip bet win us to ly gg".split()
+DOTLESS_ENDINGS = "COM NET ORG VN TV".split()
+DOTLESS_WORDS = "SITCOM TELECOM INTERCOM DOTCOM INTERNET CABINET PLANET MAGNET GARNET SONNET BONNET HORNET CORNET SIGNET BAYONET CLARINET DRAGNET CYBORG".split()
+WORD_ENDINGS = "me to us pro top fun win live link club site app bet vip co cc io ly gg info online".split()
+
+
+def _read_shapes() -> dict[str, str]:
+    """What an address looks like in a read, also with its dot lost; (?U) makes \\w and \\s those of Unicode."""
+    opens, closes = r"(?<![\w.@-])", r"(?![\w])"
+    dotted, dotless = "|".join(DOTTED_ENDINGS), "|".join(DOTLESS_ENDINGS)
+    label, name, longer = "[A-Za-z0-9][A-Za-z0-9-]", "[A-Z0-9][A-Z0-9-]{2,62}", "[A-Z0-9][A-Z0-9-]{3,62}"
+    return {
+        "scheme": rf"(?Ui)https?://|{opens}www{closes}",
+        "dotted": rf"(?U){opens}(?:{label}{{0,62}}\.)*{label}{{1,62}}\.(?i:{dotted}){closes}",
+        "spaced": rf"(?U){opens}{name}(?:\s+\.\s*|\.\s+)(?:{dotless}){closes}",
+        "comma": rf"(?U){opens}{name}\s*,\s*(?:COM|NET|ORG){closes}",
+        "joined": rf"(?U){opens}{name}(?:{dotless}){closes}",
+        "apart": rf"(?U){opens}(?:{name}\sCOM|{longer}\s(?:NET|ORG)){closes}",
+    }
+
+
+READ_SHAPES = _read_shapes()
+
+
+def read_addresses(text: Column) -> Column:
+    """Web addresses in a read, by shape and then in order of appearance, each once.
+
+    Left out are ordinary words that end like an address, and ends of sentences whose next word is
+    written on without a space (Wait.Me). A null text has none.
+    """
+    found = F.concat(*[F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(shape), F.lit(0)) for shape in READ_SHAPES.values()])
+    ending = lambda x: F.regexp_extract(x, r"\.([A-Za-z]+)$", 1)
+    word = lambda x: F.regexp_replace(F.upper(x), "[^A-Z]", "").isin(DOTLESS_WORDS)
+    sentence = lambda x: F.lower(ending(x)).isin(WORD_ENDINGS) & ending(x).rlike("^[A-Z][a-z]+$")
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: ~word(x) & ~sentence(x)))
+
+
 def slug_key(name: Column, digest: Column) -> Column:
     slug = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.concat(F.substring(slug, 1, 48), F.lit("-"), F.substring(digest, 1, 8))

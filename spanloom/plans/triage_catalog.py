@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import shots, triage
+from spanloom.functions import text
+from spanloom.operators import addresses, shots, triage
 from spanloom.plans.catalog import HOUR, SESSIONS, query, sessions
 from spanloom.sources.tables import samples, table
 
@@ -137,3 +138,29 @@ def shot_context(spark, sf_dir):
     ends = spans.groupBy("source").agg(F.max("end").alias("duration"))
     named = spans.join(ends, "source").withColumn("interval_id", F.concat_ws("|", "source", F.round(F.col("start") * 1000).cast("long").cast("string")))
     return shots.shot_context(named, rows.select("source", "t", "score"), rows.where("label = 'error'").select("source", "t"), "source", 150.0, 50.0, HOUR, 8 * HOUR, 20 * HOUR, 2, 0.4, 0.5 * HOUR)
+
+
+def _page_tracks(spark, sf_dir):
+    """Pages as tracks with two reads, and the hosts of all pages as the memory."""
+    pages = table(spark, sf_dir, "pages")
+    routing = F.get(F.array(*map(F.lit, ("REVIEW_AD_LIKELY", "REVIEW_LOW_AD", "", "REVIEW_SCROLLING_TEXT"))), (F.col("page_id") % 4).cast("int"))
+    tracks = pages.select(
+        F.col("page_id").alias("track_id"), F.when(F.col("page_id") % 9 == 0, "scrolling_text").alias("candidate"), routing.alias("routing"), F.lit("context").alias("priority"), F.lit(None).cast("string").alias("suggestion"), (F.col("page_id") % 11 == 0).alias("named"), F.array("url", "html").alias("texts")
+    )
+    host = text.fold_alnum(F.regexp_extract("url", "://([^/?#]*)", 1))
+    return tracks, pages.select(host.alias("key")).where(F.length("key") >= 6).distinct()
+
+
+@query(f"""WITH h AS (SELECT DISTINCT regexp_replace(translate(lower(regexp_extract(url, '://([^/?#]*)', 1)), '{text.MARKED}', '{text.PLAIN}'), '[^0-9a-z]', '', 'g') AS key FROM pages),
+r AS (SELECT page_id, unnest([url, html]) AS read FROM pages), f AS (SELECT DISTINCT page_id, regexp_replace(translate(lower(read), '{text.MARKED}', '{text.PLAIN}'), '[^0-9a-z]', '', 'g') AS read FROM r),
+m AS (SELECT DISTINCT page_id, key FROM f JOIN h ON length(key) >= 6 AND contains(read, key)) SELECT page_id AS track_id, string_agg(key, ',' ORDER BY key) AS remembered FROM m GROUP BY page_id""")
+def remembered_tracks(spark, sf_dir):
+    tracks, memory = _page_tracks(spark, sf_dir)
+    return addresses.remembered_in(tracks, memory).withColumn("remembered", F.array_join("remembered", ","))
+
+
+@query(None)
+def promoted_addresses(spark, sf_dir):
+    """Six shapes of addresses look around their matches, which the other engine's patterns can't: see tests/test_addresses.py."""
+    tracks, memory = _page_tracks(spark, sf_dir)
+    return addresses.promoted(tracks, memory).withColumns({c: F.array_join(c, ",") for c in ("tokens", "remembered")})
