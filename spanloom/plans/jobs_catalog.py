@@ -17,7 +17,7 @@ def _pick(values, i):
 CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 80 + 10 END AS w, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 100 + 10 END AS h FROM orders),
 m AS (SELECT *, unnest(CASE WHEN discrete THEN [0, 1] ELSE [2] END) AS i FROM c WHERE decision <> 'KEEP'),
 o AS (SELECT source, 'op-' || k || CASE i WHEN 0 THEN '-01' WHEN 1 THEN '-02' ELSE '' END AS op_id, lower(decision) AS type, 'c' || k % 2 AS category, s + CASE i WHEN 1 THEN 20 ELSE 0 END AS a, least(480.0, s + CASE i WHEN 0 THEN 10 WHEN 1 THEN 25 ELSE 30 END) AS b,
-coalesce(note, 'a, b' || k % 3) AS reason, 'review-' || k AS card_id, CASE WHEN decision = 'BLUR' THEN greatest(28, coalesce(round_even(least(w, h) * 0.6, 0), 28))::INT END AS sigma, CASE WHEN decision = 'BLUR' THEN CASE WHEN h IS NULL THEN 0 ELSE least(4, greatest(2, h // 24)) END END AS feather FROM m),
+coalesce(note, 'a, b' || k % 3) AS reason, 'review-' || k AS card_id, CASE WHEN decision = 'BLUR' THEN greatest(28, coalesce(round_even(least(w, h) * 0.6, 0), 28))::INT END AS sigma, CASE WHEN decision = 'BLUR' THEN CASE WHEN h IS NULL THEN 0 ELSE least(4, greatest(2, h // 24)) END END::INT AS feather FROM m),
 p AS (SELECT *, coalesce((a > max(b) OVER (PARTITION BY source ORDER BY a, op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS opens FROM o WHERE type = 'cut'), g AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY a, op_id ROWS UNBOUNDED PRECEDING) AS grp FROM p)
 SELECT source, op_id, type, category, a AS "start", b AS "end", reason, card_id AS card_ids, sigma, feather FROM o WHERE type <> 'cut' UNION ALL
 SELECT source, arg_min(op_id, (a, op_id)), 'cut', arg_min(category, (a, op_id)), min(a), max(b), list_reduce(list(reason ORDER BY a, op_id), lambda x, r: CASE WHEN x = r THEN x ELSE x || '; ' || r END), string_agg(card_id, ',' ORDER BY a, op_id), NULL, NULL FROM g GROUP BY source, grp""")

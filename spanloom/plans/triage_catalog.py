@@ -88,7 +88,7 @@ def tag_evidence(spark, sf_dir):
     return triage.tag_evidence(_cards(spark, sf_dir, "gore", "animation"), _tagged(spark, sf_dir))
 
 
-@query(f"""WITH {IV}, a AS (SELECT *, CASE k % 4 WHEN 0 THEN 'adult' WHEN 3 THEN 'text' ELSE 'visual_logo' END AS category, n * 5.0 AS a, n * 5.0 + q / 2 AS b, ['opening_promotion', 'branded_end_card', 'opening_boundary', 'persistent_overlay', NULL, 'other'][(p % 6)::INT + 1] AS cand FROM iv),
+@query(f"""WITH {IV}, a AS (SELECT *, CASE k % 4 WHEN 0 THEN 'adult' WHEN 3 THEN 'text' ELSE 'visual_logo' END AS category, n * 5.0::DOUBLE AS a, n * 5.0 + q / 2 AS b, ['opening_promotion', 'branded_end_card', 'opening_boundary', 'persistent_overlay', NULL, 'other'][(p % 6)::INT + 1] AS cand FROM iv),
 o AS (SELECT *, category = 'visual_logo' AND p % 6 IN (0, 4) AND a < 30 AND b <= 30 AND k % 3 = 0 AND d * 10 >= 0.65 AS opening FROM a),
 h AS (SELECT *, CASE WHEN opening THEN 'opening_promotion' ELSE cand END AS candidate, opening OR p % 6 = 1 AS cut, p % 6 = 2 AS forced, [x FOR x IN range(p % 3) IF x = 0 OR s % 5 <> 0] AS offers FROM o),
 e AS (SELECT *, unnest(CASE WHEN cut OR forced OR len(offers) = 0 THEN [NULL] ELSE offers END) AS i FROM h),
