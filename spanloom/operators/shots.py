@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
 
 
-def points_in(windows: DataFrame, points: DataFrame, key: str, width: float) -> DataFrame:
-    """Pairs of a key's windows (low, high, both included) and points (t), by buckets of ``width``."""
+def counted_in(windows: DataFrame, points: DataFrame, key: str, width: float, *counts: Column) -> DataFrame:
+    """Windows (key, low, high, both included, ...) with aggregates over the points (key, t, ...) in them, by buckets of ``width``.
+
+    t is null in the aggregates where a window holds no point; a window without bounds stays too.
+    """
     bucket = lambda c: F.floor(F.col(c) / width)
-    dealt = windows.where("low <= high").withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high"))))
-    return dealt.join(points.withColumn("bucket", bucket("t")), [key, "bucket"]).where("t between low and high").drop("bucket")
+    dealt = windows.withColumn("bucket", F.explode_outer(F.sequence(bucket("low"), bucket("high"))))
+    met = dealt.join(points.withColumn("bucket", bucket("t")), [key, "bucket"], "left")
+    return met.withColumn("t", F.when(F.col("t").between(F.col("low"), F.col("high")), F.col("t"))).groupBy(*windows.columns).agg(*counts)
 
 
 def shot_context(intervals: DataFrame, samples: DataFrame, cuts: DataFrame, key: str, seed: float, context: float, padding: float, longest: float = 8.0, reach: float = 20.0, seeds: int = 5, share: float = 0.4, margin: float = 0.5) -> DataFrame:
@@ -35,33 +39,27 @@ def shot_context(intervals: DataFrame, samples: DataFrame, cuts: DataFrame, key:
         "high": F.when(opens, anchor + reach).otherwise(edge + longest),
         "limit": F.when(opens, edge <= EPSILON).otherwise(edge >= F.col("duration") - EPSILON),
     })
-    ids, width = ["interval_id", "opens"], longest + reach
-    near = points_in(edges.where("not limit"), samples.where(F.col("score") >= seed).select(key, "t"), key, width).where("t < high")
-    edges = edges.join(near.groupBy(*ids).agg(F.count("*").alias("hits")), ids, "left")
-    pending = edges.where(~F.col("limit") & (F.col("hits") >= seeds))
-    seen = pending.withColumns({"low": F.greatest(F.lit(0.0), F.col("low") - margin), "high": F.least("duration", F.col("high") + margin)})
-    t = F.col("t")
+    t, width = F.col("t"), longest + reach
+    edges = counted_in(edges, samples.where(F.col("score") >= seed).select(key, "t"), key, width, F.count_if(t < F.col("high")).alias("hits"))
+    seen = edges.withColumns({"low": F.greatest(F.lit(0.0), F.col("low") - margin), "high": F.least("duration", F.col("high") + margin)})
     before = t <= anchor + EPSILON
     outside = F.when(opens, (t >= edge - longest - EPSILON) & before).otherwise((t > anchor) & (t <= edge + longest + EPSILON))
     inside = F.when(opens, (t > anchor) & (t <= anchor + reach + EPSILON)).otherwise((t >= anchor - reach - EPSILON) & before)
-    found = points_in(seen, cuts.select(key, "t"), key, width).groupBy(*ids).agg(
-        F.max(F.when(opens & outside, t)).alias("o1"), F.min(F.when(~opens & outside, t)).alias("o2"), F.min(F.when(opens & inside, t)).alias("i1"), F.max(F.when(~opens & inside, t)).alias("i2")
-    )
-    cut = F.when(opens, F.col("o1")).otherwise(F.col("o2"))
-    edges = edges.join(found, ids, "left").withColumn("cut", cut)
+    o1, o2 = F.max(F.when(opens & outside, t)), F.min(F.when(~opens & outside, t))
+    i1, i2 = F.min(F.when(opens & inside, t)), F.max(F.when(~opens & inside, t))
+    edges = counted_in(seen, cuts.select(key, "t"), key, width, F.coalesce(o1, o2).alias("cut"), F.coalesce(i1, i2).alias("other"))
     within = F.when(opens, F.col("cut") >= edge - EPSILON).otherwise(F.col("cut") <= edge + EPSILON)
-    shots = edges.where(~within).withColumns({
-        "low": F.when(opens, F.col("cut")).otherwise(F.coalesce("i2", anchor - reach)),
-        "high": F.when(opens, F.coalesce("i1", anchor + reach)).otherwise(F.col("cut")),
-    })
-    held = points_in(shots.select(key, *ids, "low", "high"), samples.select(key, "t", "score"), key, width).where("t < high").groupBy(*ids).agg(
-        (F.count_if(F.col("score") >= seed) >= seeds).alias("sure"), (F.count_if(F.col("score") >= context) / F.count("*") >= share).alias("full")
-    )
-    edges = edges.join(held, ids, "left")
+    moves = ~F.col("limit") & (F.col("hits") >= seeds) & ~within
+    low = F.when(opens, F.col("cut")).otherwise(F.coalesce("other", anchor - reach))
+    high = F.when(opens, F.coalesce("other", anchor + reach)).otherwise(F.col("cut"))
+    shots = edges.withColumns({"low": F.when(moves, low), "high": F.when(moves, high)})
+    held = lambda least: F.count_if((t < F.col("high")) & (F.col("score") >= least))
+    full = F.try_divide(held(context), F.count_if(t < F.col("high"))) >= share
+    edges = counted_in(shots, samples.select(key, "t", "score"), key, width, (held(seed) >= seeds).alias("sure"), full.alias("full"))
     passes = F.coalesce(F.col("sure") & F.col("full"), F.lit(False))
     status = (
         F.when(F.col("limit"), F.when(opens, "at_video_start").otherwise("at_video_end"))
-        .when(F.coalesce("hits", F.lit(0)) < seeds, "too_few_seeds_nearby")
+        .when(F.col("hits") < seeds, "too_few_seeds_nearby")
         .when(F.col("cut").isNull(), "no_cut_within_reach")
         .when(within, "cut_inside_interval")
         .when(passes, "extended")
