@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bwt_merge, chat, decontaminate, embeddings, fm_index, licenses, mixing, simhash, toxicity, url_rules
+from spanloom.llm import bwt_merge, chat, decontaminate, embeddings, fm_index, lexical, licenses, mixing, sharding, simhash, toxicity, url_rules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_licenses": op10_licenses,
+    "op11_sharding": op11_sharding,
+    "op12_lexical": op12_lexical,
+    "op13_whitening": op13_whitening,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_mixing": mixing.ORACLE, "op7_url_rules": url_rules.ORACLE}
+ORACLES = {"op4_mixing": mixing.ORACLE, "op7_url_rules": url_rules.ORACLE, "op11_sharding": sharding.ORACLE, "op12_lexical": lexical.ORACLE}
