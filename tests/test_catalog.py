@@ -41,9 +41,9 @@ def test_tracks_count_every_detection(spark):
     assert len({(r.source, r.track) for r in got}) == len(got)
 
 
-def test_only_tracks_and_addresses_have_no_sql():
-    """Both are held against brute force instead: test_folds_and_streams.py, test_addresses.py."""
-    assert set(QUERIES) - set(ORACLES) == {"box_tracks", "promoted_addresses"}
+def test_only_what_sql_cannot_say_has_no_sql():
+    """They are held against brute force or cases instead: test_folds_and_streams.py, test_addresses.py, test_scrolling.py."""
+    assert set(QUERIES) - set(ORACLES) == {"box_tracks", "promoted_addresses", "scrolling_lines"}
 
 
 def test_no_query_is_empty_or_a_nested_loop(spark):
