@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import scrolling
+from spanloom.operators import scrolling, watermarks
 from spanloom.plans.catalog import query
-from spanloom.sources.tables import table
+from spanloom.sources.tables import samples, table
 
 STEP, SHOWN = 20, 40
 
@@ -39,3 +39,52 @@ def scrolling_lines(spark, sf_dir):
     lines = scrolling.scrolling_lines(line_pieces(spark, sf_dir), scrolling.Scan(640, 360, 2.0))
     joined = {c: F.array_join(c, "|") for c in ("texts", "policy_hits", "addresses")}
     return lines.withColumn("line", F.floor(F.col("track_id") / 100000)).withColumns(joined | {"grouped_track_ids": F.array_join(F.transform("grouped_track_ids", lambda x: x.cast("string")), ",")})
+
+
+def mark_tracks(spark, sf_dir):
+    """Pages as tracks of a film for each of their top domains, read one after the other; the place moves by a few pixels and jumps by the length of the page."""
+    pages = table(spark, sf_dir, "pages")
+    i, n = F.col("page_id"), F.coalesce(F.length("html"), F.lit(0))
+    x, y = (n % 4) * 160.0 + i % 7, F.floor(n / 4) % 2 * 200.0 + i % 5
+    domain = F.coalesce(F.regexp_extract("url", "://[^/?#]*[.]([a-z]+)", 1), F.lit(""))
+    routing = F.when(i % 13 == 12, "LIKELY_TITLE_OVERLAY").when(i % 3 == 0, "REVIEW_LOW_AD").otherwise("LIKELY_SCENE_TEXT")
+    return pages.select(
+        domain.alias("source"), i.alias("track_id"), (i * 40.0).alias("start"), (i * 40.0 + 10).alias("end"), (i * 40.0 + 10.5).alias("blur_end"), x.alias("x1"), y.alias("y1"), (x + 120 + n % 3 * 10).alias("x2"), (y + 40 + n % 5).alias("y2"),
+        F.array("url").alias("texts"), routing.alias("routing"), F.when(i % 17 == 16, "scrolling_text").alias("candidate"), (i % 19 == 18).alias("fixed"), (n % 9 + 1).cast("long").alias("observations"), (n % 100 / 100.0).alias("confidence"), (n % 50 / 50.0).alias("ad_probability"),
+        F.array(F.element_at(F.array(F.lit("ad"), F.lit("link")), (n % 2 + 1).cast("int"))).alias("policy_hits"), (i % 23 == 22).alias("persistent"),
+    )
+
+
+@query(None)
+def repeated_marks(spark, sf_dir):
+    """The moving median decides in order of time, and keys are alike by a ratio of matching runs: see tests/test_watermarks.py."""
+    memory = spark.createDataFrame([], "key string")
+    out = watermarks.repeated_marks(mark_tracks(spark, sf_dir), memory, 3.0, 0.0, 40.0 * 3000)
+    joined = {c: F.array_join(c, "|") for c in ("texts", "policy_hits", "tokens", "remembered", "previous_routings")}
+    return out.withColumns(joined | {"grouped_track_ids": F.array_join(F.transform("grouped_track_ids", lambda x: x.cast("string")), ","), "moments": F.to_json("moments")})
+
+
+@query("""WITH RECURSIVE v AS (SELECT *, floor(value * 100)::BIGINT AS v, epoch_us(ts) / 1e6 AS t FROM events),
+s AS (SELECT user_id AS source, event_id AS id, t AS a, t + value * 3 AS b, (v % 4) * 150 + (v // 7) % 9 AS x1, (v // 11) % 3 * 100 + (v // 13) % 7 AS y1, 80 + (v // 17) % 20 AS w, 40 + (v // 19) % 10 AS h, event_type FROM v),
+r AS (SELECT *, x1 + w AS x2, y1 + h AS y2, row_number() OVER (PARTITION BY source ORDER BY a - b, a, id) AS place FROM s),
+f(source, place, heads) AS (SELECT source, place, [{'place': place, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] FROM r WHERE place = 1 UNION ALL
+SELECT r.source, r.place, CASE WHEN len(list_filter(heads, lambda k: greatest(0, least(k.x2, x2) - greatest(k.x1, x1)) * greatest(0, least(k.y2, y2) - greatest(k.y1, y1)) >= 0.8 * least((k.x2 - k.x1) * (k.y2 - k.y1), w * h))) > 0 THEN heads
+ELSE list_append(heads, {'place': r.place, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) END FROM f JOIN r ON r.source = f.source AND r.place = f.place + 1),
+e AS (SELECT source, arg_max(heads, place) AS heads FROM f GROUP BY source),
+l AS (SELECT r.*, list_filter(heads, lambda k: k.place <= r.place AND greatest(0, least(k.x2, x2) - greatest(k.x1, x1)) * greatest(0, least(k.y2, y2) - greatest(k.y1, y1)) >= 0.8 * least((k.x2 - k.x1) * (k.y2 - k.y1), w * h))[1].place AS leader FROM r JOIN e USING (source)),
+g AS (SELECT source, leader, round(min(a), 3) AS "start", round(max(b), 3) AS "end", max(b) - min(a) AS span, string_agg(id, ',' ORDER BY id) AS suggestion_ids, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS labels,
+bool_or(event_type = 'purchase') AS prior_blur, arg_min({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}, place) AS box, arg_max({'x1': x1 + 1, 'y1': y1 + 2, 'x2': x2 + 1, 'y2': y2 + 2}, (id::VARCHAR, place)) FILTER (event_type = 'purchase') AS decided FROM l GROUP BY source, leader),
+o AS (SELECT *, CASE WHEN prior_blur THEN decided ELSE box END AS k, list_slice(string_split(labels, ','), 1, 4) AS few FROM g WHERE span >= 60)
+SELECT source, k.x1, k.y1, k.x2, k.y2, "start", "end", suggestion_ids, array_to_string(few, ',') AS labels, prior_blur FROM o""")
+def film_marks(spark, sf_dir):
+    v = F.floor(F.col("score") * 100)
+    t = F.col("t")
+    x, y = v % 4 * 150 + F.floor(v / 7) % 9, F.floor(v / 11) % 3 * 100 + F.floor(v / 13) % 7
+    right, bottom = x + 80 + F.floor(v / 17) % 20, y + 40 + F.floor(v / 19) % 10
+    rows = samples(spark, sf_dir).select(
+        "source", F.col("sample_id").alias("suggestion_id"), t.alias("start"), (t + F.col("score") * 3).alias("end"), *[c.alias(n) for n, c in (("x1", x), ("y1", y), ("x2", right), ("y2", bottom))],
+        F.array("label", F.lit("Persistent external logo"), F.lit("a candidate")).alias("labels"), F.when(F.col("label") == "purchase", "BLUR").alias("decision"), F.col("sample_id").cast("string").alias("decided_at"),
+        *[F.when(F.col("label") == "purchase", c).alias(n) for n, c in (("dx1", x + 1), ("dy1", y + 2), ("dx2", right + 1), ("dy2", bottom + 2))],
+    )
+    out = watermarks.film_marks(rows)
+    return out.withColumns({"suggestion_ids": F.array_join(F.transform("suggestion_ids", lambda x: x.cast("string")), ","), "labels": F.array_join("labels", ",")})
