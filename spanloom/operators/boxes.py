@@ -106,6 +106,18 @@ def same_blur_target(a: str, b: str) -> Column:
     return (F.greatest(*sizes) / F.least(*sizes) <= 2.0) & (over_smaller(a, b) >= 0.70)
 
 
+def line_fragment(part: str, whole: str) -> Column:
+    """A box that is clearly less of the line of text that another box reads on, by half the height of the text or more."""
+    flat = _side(whole, "x1", "x2") >= _side(whole, "y1", "y2")
+
+    def along(low: str, high: str, across: tuple[str, str]) -> Column:
+        beyond = F.greatest(_c(part, low) - _c(whole, low), _c(whole, high) - _c(part, high))
+        thin = _side(whole, *across) <= 1.5 * _side(part, *across)
+        return thin & (_side(part, low, high) <= 0.85 * _side(whole, low, high)) & (beyond >= 0.5 * _side(part, *across))
+
+    return F.when(flat, along("x1", "x2", ("y1", "y2"))).otherwise(along("y1", "y2", ("x1", "x2")))
+
+
 def joins_logo(text: str, logo: str) -> Column:
     """A logo that belongs to a line of text: not inside it already, under or over half its width, close and not much taller."""
     columns = -_gap(text, logo, "x1", "x2") >= 0.5 * _side(logo, "x1", "x2")

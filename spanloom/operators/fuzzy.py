@@ -9,6 +9,7 @@ is left is compared letter by letter.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -37,6 +38,79 @@ def alike(least: float):
     return of
 
 
+def within(least: float):
+    @F.pandas_udf(BooleanType())
+    def of(short: pd.Series, long: pd.Series) -> pd.Series:
+        """Whether a stretch of the long text, as long as the short one, is alike; common letters bound the ratio."""
+
+        def one(x: str, y: str) -> bool:
+            n, letters = len(x), Counter(x)
+            if x in y or (Counter(y) & letters).total() < least * n:
+                return x in y
+            m = SequenceMatcher(None, autojunk=False)
+            m.set_seq1(x)
+            for k in range(max(1, len(y) - n + 1)):
+                part = y[k : k + n]
+                if (Counter(part) & letters).total() >= least * n:
+                    m.set_seq2(part)
+                    if m.ratio() >= least:
+                        return True
+            return False
+
+        return pd.Series([one(x, y) for x, y in zip(short, long, strict=True)], dtype=bool)
+
+    return of
+
+
+def fragments(words: DataFrame, scope: list[str], least: float = 0.75) -> DataFrame:
+    """(*scope, a, b): all pairs of different texts of which a is like a stretch of b as long as a is.
+
+    a is no longer than b; of two texts of one length both orders are looked at. At a ratio of
+    r, runs of two letters are certain from 1 / (3 r - 2) letters on; shorter texts are left out.
+    """
+    if least <= 2 / 3:
+        raise ValueError("texts of a ratio of two thirds or less need not share any pair of letters")
+    ship(words.sparkSession)
+    own = words.select(*scope, "word").where(F.length("word") > 1 / (3 * least - 2)).distinct()
+    cut = own.withColumn("gram", F.explode(grams(F.col("word"), 2)))
+    a, b = cut.withColumnRenamed("word", "a"), cut.withColumnRenamed("word", "b")
+    # m matched letters in r runs hold m - r pairs of letters, so this many are shared at least
+    shared = F.ceil((3 * least - 2) * F.length("a")) - 1
+    repeats = F.length("a") - 1 - F.size(grams(F.col("a"), 2))
+    pairs = a.join(b, [*scope, "gram"]).where("a <> b and length(a) <= length(b)").groupBy(*scope, "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= shared - repeats).drop("n")
+    told = pairs.select("a", "b").distinct().where(within(least)("a", "b"))
+    return pairs.join(told, ["a", "b"]).select(*scope, "a", "b")
+
+
+def known(reads: DataFrame, memory: DataFrame, scope: list[str], least: float = 0.8, missing: int = 1) -> DataFrame:
+    """(*scope, read): the reads (scope, read) that repeat a text of the memory (scope, word), both of letters and digits alone.
+
+    A read of fewer than two letters is noise and known; one is known if it equals a text, lies in it (from three letters), or is
+    alike with at most ``missing`` letters of its own unmatched.
+    """
+    ship(reads.sparkSession)
+    short = int(2 / (3 * least - 2))
+    own, texts = reads.select(*scope, "read").where("read is not null").distinct(), memory.select(*scope, "word").where("length(word) > 0").distinct()
+    cut = lambda rows, c: rows.withColumn("gram", F.explode(F.when(F.length(c) < short, F.concat(grams(F.col(c), 1), grams(F.col(c), 2))).otherwise(grams(F.col(c), 2))))
+
+    @F.pandas_udf(BooleanType())
+    def repeats(read: pd.Series, word: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> bool:
+            m = SequenceMatcher(None, x, y, autojunk=False)
+            return m.quick_ratio() >= least and m.ratio() >= least and len(x) - sum(b.size for b in m.get_matching_blocks()) <= missing
+
+        return pd.Series([one(x, y) for x, y in zip(read, word, strict=True)], dtype=bool)
+
+    pairs = cut(own.where("length(read) > 1"), "read").join(cut(texts, "word"), [*scope, "gram"]).select(*scope, "read", "word").distinct()
+    same = (F.col("read") == F.col("word")) | ((F.length("read") >= 3) & F.contains("word", "read"))
+    near = 2 * F.least(F.length("read"), F.length("word")) >= least * (F.length("read") + F.length("word"))
+    held = pairs.where(same).select(*scope, "read")
+    close = pairs.where(near).join(held.distinct(), [*scope, "read"], "left_anti")
+    told = close.select("read", "word").distinct().where(repeats("read", "word"))
+    alike_ = close.join(told, ["read", "word"]).select(*scope, "read")
+    return own.where("length(read) < 2").unionByName(held).unionByName(alike_).distinct()
+
+
 def similar(words: DataFrame, scope: str, least: float = 0.75) -> DataFrame:
     """(scope, a, b): all ordered pairs of different texts (scope, word) one of which holds the other or is alike by ``least``.
 

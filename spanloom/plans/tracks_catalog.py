@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import scrolling, watermarks
+from spanloom.functions import text
+from spanloom.operators import fixed_text, fuzzy, scrolling, watermarks
 from spanloom.plans.catalog import query
 from spanloom.sources.tables import samples, table
 
@@ -88,3 +89,40 @@ def film_marks(spark, sf_dir):
     )
     out = watermarks.film_marks(rows)
     return out.withColumns({"suggestion_ids": F.array_join(F.transform("suggestion_ids", lambda x: x.cast("string")), ","), "labels": F.array_join("labels", ",")})
+
+
+def sentence_tracks(spark, sf_dir):
+    """Each benchmark item as a film whose sentences are lines that are read nine times each, whole or by halves; lines of odd number stand under the picture."""
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    lines = items.select("item_id", F.posexplode(F.split("text", "[.][ \\n]*")).alias("line", "words")).where("length(words) > 0")
+    k, n = F.col("k"), F.length("words")
+    half = F.floor(n / 2).cast("int")
+    shown = F.when(k % 3 == 0, F.col("words")).when(k % 3 == 1, F.substring("words", F.lit(1), half)).otherwise(F.substring("words", half + 1, n))
+    rows = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    start = F.when(F.col("line") % 3 == 2, k * 10.0).otherwise(k * 100.0) + F.col("line")
+    top = F.when(F.col("line") % 2 == 1, 300.0).otherwise(F.col("line") * 40.0)
+    persistent = (F.col("line") == 0) & (k == 0)
+    return rows.select(
+        F.col("item_id").alias("source"), (F.col("line") * 100 + k).cast("long").alias("track_id"), start.alias("start"), F.when(persistent, start + 700).otherwise(start + 3).alias("end"), F.when(persistent, start + 700).otherwise(start + 3.5).alias("blur_end"),
+        (200.0 + k).alias("x1"), (top + k % 2).alias("y1"), (440.0 - k).alias("x2"), (top + 24).alias("y2"), F.array(shown).alias("texts"), F.when((n % 11 == 0) & (k == 4), "REVIEW_AD_LIKELY").otherwise("LIKELY_SCENE_TEXT").alias("routing"), F.lit(None).cast("string").alias("candidate"),
+        persistent.alias("persistent"), F.when(persistent, 260).otherwise(n % 3 + 1).cast("long").alias("observations"), (n % 50 / 100.0).alias("ad_probability"), F.lit(None).cast("string").alias("platform"),
+    )
+
+
+@query(None)
+def fixed_overlays(spark, sf_dir):
+    """Pieces are like stretches of longer readings by a ratio of matching runs: see tests/test_fixed_text.py."""
+    out = fixed_text.fixed_overlays(sentence_tracks(spark, sf_dir), fixed_text.Film(640.0, 360.0, 3.0, 0.0, 900.0, 900.0))
+    return out.withColumns({"texts": F.array_join("texts", "|"), "evidence": F.array_join("evidence", "|"), "grouped_track_ids": F.array_join(F.transform("grouped_track_ids", lambda x: x.cast("string")), ",")})
+
+
+@query(None)
+def known_reads(spark, sf_dir):
+    """The hosts of pages that repeat the name of another page's host, but for one misread letter: see tests/test_fixed_text.py."""
+    pages = table(spark, sf_dir, "pages")
+    host = text.normalize_read(F.regexp_extract("url", "://([^/?#]*)", 1))
+    domain = F.regexp_extract("url", "://[^/?#]*[.]([a-z]+)", 1)
+    reads = pages.select(domain.alias("scope"), host.alias("read"), F.col("page_id"))
+    memory = reads.groupBy("scope", "read").agg(F.count("*").alias("n")).where("n > 1").select("scope", F.col("read").alias("word"))
+    told = fuzzy.known(reads, memory, ["scope"]).withColumn("known", F.lit(True))
+    return reads.join(told, ["scope", "read"], "left").select("page_id", "read", F.coalesce("known", F.lit(False)).alias("known"))

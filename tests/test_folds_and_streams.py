@@ -4,7 +4,6 @@ import random
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.functions.similarity import fragment_ratio, matching_ratio
 from spanloom.operators import cards, folds
 from spanloom.operators.graph import connected
 from spanloom.streaming import sessions
@@ -30,19 +29,6 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(21), 0), 90: 90, 95: 90, 100: 90}
 
 
-def test_similarity(spark):
-    df = spark.createDataFrame([("abcd", "bcde"), (None, "x"), ("shop", "the sh0p here")], "a string, b string")
-    got = [tuple(round(v, 3) for v in r) for r in df.select(matching_ratio("a", "b"), fragment_ratio("a", "b")).collect()]
-    assert got == [(0.75, 0.75), (0.0, 0.0), (0.353, 0.75)]
-
-
-def stream(spark, tmp_path, rows, schema):
-    """A stream that reads each row's file in order."""
-    for k, part in enumerate(rows):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-
-
 def test_session_stream_agrees_with_the_table(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     at = lambda s: t0 + dt.timedelta(seconds=s)
