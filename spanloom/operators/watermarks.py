@@ -11,7 +11,7 @@ contest of first claims.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -198,11 +198,11 @@ def compatible(a: str, b: str, share: float) -> Column:
     return boxes.intersection(a, b) >= share * F.least(boxes.area(a), boxes.area(b))
 
 
-def leaders(rows: DataFrame, key: str, order: list, share: float = SAME_BOX, tile: int = 64) -> DataFrame:
+def leaders(rows: DataFrame, key: str, order: list, fits: Callable[[str, str], Column], tile: int = 64) -> DataFrame:
     """Groups boxes (key, x1, y1, x2, y2, ...) by first fit: adds ``leader``, the place in order of the box that leads the group.
 
-    In order, a box joins the first leader of its key that has ``share`` of the smaller box in common, or leads
-    itself. A box leads if no leader before it fits, which is a contest of first claims among the
+    In order, a box joins the first leader of its key that it fits, or leads itself. Boxes that fit
+    overlap, and a box fits itself. A box leads if no leader before it fits, which is a contest of first claims among the
     different boxes of a key; the others go to the first leader that fits. Boxes meet on the tiles that they touch.
     """
     same = W.partitionBy(key).orderBy(*order)
@@ -212,7 +212,7 @@ def leaders(rows: DataFrame, key: str, order: list, share: float = SAME_BOX, til
     span = lambda low, high: F.sequence(F.floor(F.col(low) / tile), F.floor(F.greatest(F.col(low), F.col(high)) / tile))
     tiled = distinct.withColumn("tx", F.explode(span("x1", "x2"))).withColumn("ty", F.explode(span("y1", "y2")))
     a, b = (tiled.select(key, "tx", "ty", *[F.col(c).alias(f"{p}_{c}") for c in (*SIDES, "first")]) for p in "ab")
-    pairs = a.join(b, [key, "tx", "ty"]).where("a_first < b_first").where(compatible("a_", "b_", share)).select(key, "a_first", "b_first").distinct().checkpoint()
+    pairs = a.join(b, [key, "tx", "ty"]).where("a_first < b_first").where(fits("a_", "b_")).select(key, "a_first", "b_first").distinct().checkpoint()
     node = lambda c: F.struct(key, F.col(c).alias("place"))
     led = fallen(pairs.select(node("a_first").alias("a"), node("b_first").alias("b"))).select("id.*")
     heads = distinct.select(key, F.col("first").alias("place")).join(led, [key, "place"], "left_anti")
@@ -229,7 +229,7 @@ def film_marks(suggestions: DataFrame, tile: int = 64) -> DataFrame:
     dx1, dy1, dx2, dy2), with the box of an earlier decision to blur. The longest come first, by start and id; a mark that spans less than
     LEAST_SPAN seconds is left out. The latest decided box stands for the first member's.
     """
-    led = leaders(suggestions.where("x1 is not null"), "source", [(F.col("start") - F.col("end")), "start", "suggestion_id"], tile=tile)
+    led = leaders(suggestions.where("x1 is not null"), "source", [(F.col("start") - F.col("end")), "start", "suggestion_id"], lambda a, b: compatible(a, b, SAME_BOX), tile)
     plain = F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: ~F.contains(x, F.lit("Persistent")) & ~F.contains(x, F.lit("candidate")))
     blur = (F.col("decision") == "BLUR") & F.col("dx1").isNotNull()
     first = F.struct((F.col("start") - F.col("end")).alias("d"), "start", "suggestion_id")
