@@ -140,3 +140,22 @@ def consensus(boxes: DataFrame, key: str) -> DataFrame:
     both = rows.groupBy(key).agg(F.first("n").alias("n"), F.count_if("fits").alias("inliers"), *[f(c).alias(f"all_{c}") for c, f in ends.items()], *[f(F.when(F.col("fits"), F.col(c))).alias(f"in_{c}") for c, f in ends.items()])
     use = (F.col("n") >= 4) & (F.col("inliers") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.55)))
     return both.select(key, "n", "inliers", *[F.when(use, F.col(f"in_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in ends])
+
+
+# Readings of a track that is an overlay by itself, the share of it inside the common box from which it adds nothing.
+ANCHOR_READS, ANCHOR_COVERED = 10, 0.95
+
+
+def with_anchors(members: DataFrame, core: DataFrame, key: str, least_span: float) -> DataFrame:
+    """The box of a group widened by members that are overlays of their own: (key, x1, y1, x2, y2, n_anchors, n_joined).
+
+    A common box (key, x1, y1, x2, y2) gives each member one vote, so a mark read all the time beside a line read in pieces has
+    little say. A member (key, track_id, start, end, observations, x1, y1, x2, y2) that is read often, lasts ``least_span`` and sticks out is an anchor, and joins the box if it touches it.
+    """
+    own = members.where((F.col("observations") >= ANCHOR_READS) & (F.col("end") - F.col("start") >= least_span) & F.col("x1").isNotNull())
+    met = own.select(key, *[F.col(s).alias(f"f_{s}") for s in ("x1", "y1", "x2", "y2")]).join(core, key)
+    size = F.greatest(F.lit(1), _side("f_", "x1", "x2")) * F.greatest(F.lit(1), _side("f_", "y1", "y2"))
+    out = met.where(intersection("f_", "") / size < ANCHOR_COVERED).withColumn("joined", touches_overlay("f_", ""))
+    wider = out.groupBy(key).agg(F.count("*").alias("n"), F.count_if("joined").alias("n_joined"), *[(F.min if s in ("x1", "y1") else F.max)(F.when(F.col("joined"), F.col(f"f_{s}"))).alias(f"w_{s}") for s in ("x1", "y1", "x2", "y2")])
+    grown = [(F.least if s in ("x1", "y1") else F.greatest)(s, f"w_{s}").alias(s) for s in ("x1", "y1", "x2", "y2")]
+    return core.join(wider, key, "left").select(key, *grown, F.coalesce("n", F.lit(0)).alias("n_anchors"), F.coalesce("n_joined", F.lit(0)).alias("n_joined"))

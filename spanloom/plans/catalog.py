@@ -823,4 +823,4 @@ def merged_suggestions(spark, sf_dir):
     return folds.merge_suggestions(rows)
 
 
-from spanloom.plans import jobs_catalog, review_catalog, tracks_catalog, triage_catalog  # noqa: E402, F401  register their queries beside these
+from spanloom.plans import jobs_catalog, review_catalog, selection_catalog, tracks_catalog, triage_catalog  # noqa: E402, F401  register their queries beside these
