@@ -8,6 +8,7 @@ from spanloom.functions import text
 from spanloom.operators import fixed_text, fuzzy, scrolling, watermarks
 from spanloom.plans.catalog import query
 from spanloom.sources.tables import samples, table
+from spanloom.streaming import tracks
 
 STEP, SHOWN = 20, 40
 
@@ -126,3 +127,18 @@ def known_reads(spark, sf_dir):
     memory = reads.groupBy("scope", "read").agg(F.count("*").alias("n")).where("n > 1").select("scope", F.col("read").alias("word"))
     told = fuzzy.known(reads, memory, ["scope"]).withColumn("known", F.lit(True))
     return reads.join(told, ["scope", "read"], "left").select("page_id", "read", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(None)
+def text_tracks(spark, sf_dir):
+    """Which track a reading goes on with depends on those before it: see tests/test_text_tracks.py. Every turn of a conversation stands in one of two zones for a minute and is read each two seconds, a word less each time."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    words = F.split("text", " ")
+    rows = turns.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    shown = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.size(words) - F.col("k"))), " ")
+    x = F.length("text") % 50 + F.col("k")
+    readings = rows.select(
+        F.col("conv_id").alias("source"), (F.col("turn") * 4 + F.col("k") * 2).cast("double").alias("t"), (F.length(shown) % 100 / 100.0).alias("confidence"), x.cast("double").alias("x1"), F.lit(300.0).alias("y1"), (x + 200).cast("double").alias("x2"), F.lit(330.0).alias("y2"),
+        F.when(F.col("turn") % 2 == 0, "subtitle").otherwise("bottom-left").alias("zone"), shown.alias("text"),
+    )
+    return tracks.text_tracks(readings, 2.0)
