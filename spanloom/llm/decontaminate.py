@@ -131,8 +131,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, sh
     word as a name, and of words as they are; figures are of those with the largest coverage. n_changed counts item values that stand for others; kind is 'exact' without any, else
     'reparameterised'. rid is xxhash64(doc_id, text). Template windows
     with fewer than four literal words can't be told from chance and are not searched; such items
-    are found where they stand verbatim, however short they are. Null texts hold nothing; repeated
-    items and documents are reported as often as they differ in id. Other columns are ignored.
+    are found where they stand verbatim, however short they are. Null texts hold nothing; a null
+    item_id or doc_id is an id like any other; repeated items and documents are reported as often as
+    they differ in id. Texts of any length are searched whole; an empty table of documents or items
+    gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     staged = Staged(spark)
@@ -162,8 +164,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, sh
     steps = run_windows - 1
     in_row = F.expr(f"size(sorted) > {steps} and exists(sequence({steps}, greatest({steps}, size(sorted) - 1)), i -> get(sorted, i) - get(sorted, i - {steps}) = {steps})")
     found = consistent.groupBy("rid", "doc_id", "item_id", "variant").agg(F.max(in_row).alias("in_row"), F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.min(F.expr("size(filter(pairs, x -> x.a <> x.b))")).alias("n_changed"))
-    sizes = items.groupBy("item_id", "variant").agg(F.countDistinct("pos").cast("long").alias("n_windows"))
-    out = found.join(sizes, ["item_id", "variant"]).withColumn("n_matched", F.size("places").cast("long")).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    sizes = items.groupBy(F.col("item_id").alias("of"), F.col("variant").alias("way")).agg(F.countDistinct("pos").cast("long").alias("n_windows"))
+    out = found.join(sizes, F.expr("item_id <=> of and variant = way")).drop("of", "way").withColumn("n_matched", F.size("places").cast("long")).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     out = out.where((F.col("coverage") >= share) | F.col("in_row"))
     out = out.groupBy("rid", "doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("n_changed")).alias("same"), (-F.col("variant")).alias("order"), "n_windows", "n_matched", "n_changed")).alias("best")).select("rid", "doc_id", "item_id", "best.*")
     return out.select("rid", "doc_id", "item_id", "n_windows", "n_matched", "coverage", F.col("n_changed").cast("long").alias("n_changed"), F.when(F.col("n_changed") == 0, "exact").otherwise("reparameterised").alias("kind"))

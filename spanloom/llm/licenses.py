@@ -59,12 +59,10 @@ NEEDS = {
     "MPL-2.0": (["mozilla", "2"], []),
     "Unlicense": ([], []),
 }
-# One of these stands in every notice.
-ANCHORS = "license licensed licence licenced licenses bsd mit apache gnu mozilla cc cc0 creative permission redistribution redistribute copyright waived unencumbered".split()
 OPENINGS = ["Licensed under the", "Released under the", "This work is licensed under the", "Distributed under the terms of the", "Subject to the terms of the", "Use is governed by the"]
-ENDINGS = ["License", "Public License", "Software License, version {n}", "Community License {n}", "Source License, Version {n}.0", "Documentation License", "Data License, version {n}", "proprietary license, all rights reserved"]
+ENDINGS = ["License", "Public License", "Software License, version {n}", "Community License {n}", "Source License, Version {n}.0", "Documentation License", "Data License, version {n}", "proprietary license"]
 GAP = 6
-LEAST_PAIRS = 2
+NOTICE_PAIRS = 4
 _PARTS = np.ones(256, bool)
 _PARTS[128:] = False
 _PARTS[np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8)] = False
@@ -109,15 +107,15 @@ def examples(others: list[str], copies: int, seed: int) -> list[tuple[np.ndarray
 class Model:
     """Sorted feature hashes, a column of weights for each class, biases and the temperature."""
 
-    def __init__(self, others: list[str], copies: int = 12, epochs: int = 150, rate: float = 0.5, l2: float = 1e-4):
+    def __init__(self, others: list[str], copies: int = 12, epochs: int = 150, rate: float = 0.5, l2: float = 1e-4, prior: float = 0.01):
         self.classes = ["none", "unknown", *sorted(TEMPLATES)]
         known = [_words(t) for texts in TEMPLATES.values() for t in texts] + [_words(f"{o} {e.format(n=1)}") for o in OPENINGS for e in ENDINGS]
         self.hashes = np.unique(np.concatenate([_grams(w) for w in known]))
         self.pairs = np.unique(np.concatenate([_pairs(w) for w in known]))
-        half = len(others) // 2
+        half = 3 * len(others) // 4
         kept_out = others[half:]
-        train = [*examples(others[:half], copies, 1), *((_grams(_words(t)), "none") for t in others[:half])]
-        check = [*examples(kept_out, max(2, copies // 4), 2), *((_grams(_words(t)), "none") for t in kept_out)]
+        train = [*examples(others[:half], copies, 1), *((g, "none") for g in self._ordinary(others[:half]))]
+        check = [*examples(kept_out, max(2, copies // 4), 2), *((g, "none") for g in self._ordinary(kept_out))]
         x, y = self._matrix(train)
         w, b = np.zeros((len(self.hashes), len(self.classes))), np.zeros(len(self.classes))
         b[0] = 1.0  # a passage without any of the words is none of them
@@ -142,9 +140,18 @@ class Model:
             return float(-(s[np.arange(len(y)), y] - np.log(np.exp(s).sum(axis=1))).mean())
 
         self.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+        # classes weigh the same in training; of the passages that are looked at few are notices
+        self.prior = np.zeros(len(self.classes))
+        self.prior[1:] = np.log(prior / (1 - prior))
         self.templates = {f: [_grams(_words(t)) for t in texts] for f, texts in TEMPLATES.items()}
         self.needs = {f: tuple(np.array([_words(w)[0] for w in side], np.uint64) for side in sides) for f, sides in NEEDS.items()}
 
+    def _ordinary(self, lines: list[str]) -> list[np.ndarray]:
+        """N-grams of ordinary lines, and of the passages that are looked at in them; lines that may be notices themselves are left out."""
+        lines = [t for t in lines if np.isin(_pairs(_words(t)), self.pairs).sum() < NOTICE_PAIRS]
+        found = passages(*utf8(pa.array(lines, pa.string())), self.pairs, sieve_of(self.pairs)) if lines else []
+        return [_grams(_words(t)) for t in lines] + [x[-1] for x in found]
+
     def _matrix(self, rows: list[tuple[np.ndarray, str]]) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(rows), len(self.hashes)))
         for i, (h, _) in enumerate(rows):
@@ -152,7 +159,7 @@ class Model:
         return x, np.array([self.classes.index(c) for _, c in rows])
 
     def probabilities(self, own: np.ndarray) -> np.ndarray:
-        z = (self.weights[np.isin(self.hashes, own)].sum(axis=0) + self.bias) * self.temperature
+        z = (self.weights[np.isin(self.hashes, own)].sum(axis=0) + self.bias) * self.temperature + self.prior
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -163,16 +170,28 @@ class Model:
             return 0.0
         return max(float(np.isin(t, own).mean()) for t in self.templates[family])
 
-    def families(self, own: np.ndarray, alike: float) -> list[tuple[str, float]]:
-        """Confirmed families of a passage, the most alike first; what one accounts for isn't another's."""
+    def families(self, own: np.ndarray, sure: float, alike: float, least: float) -> list[tuple[str, float, float, bool]]:
+        """(family, probability, similarity, confirmed) of a passage, as the classifier names them.
+
+        Each class of at least ``least`` is a candidate, the likeliest first; its templates confirm or refute
+        it. The n-grams of a confirmed one are taken out, and the classifier is asked again about the
+        rest, as a passage may hold several notices. A passage that is a notice by ``sure``, but of which no candidate is
+        confirmed, is unknown.
+        """
         out, left = [], own
-        while True:
-            found = max(((self.similarity(f, left), f) for f in sorted(TEMPLATES)), key=lambda x: x[0])
-            if found[0] < alike:
-                return out
-            out.append((found[1], found[0]))
-            best = max(self.templates[found[1]], key=lambda t: np.isin(t, left).mean())
+        while len(left):
+            p = self.probabilities(left)
+            ranked = [k for k in np.argsort(-p, kind="stable") if p[k] >= least and k > 1]
+            found = next(((self.classes[k], float(p[k]), s) for k in ranked for s in [self.similarity(self.classes[k], left)] if s >= alike), None) if 1 - p[0] >= least else None
+            if found is None:
+                break
+            out.append((*found, True))
+            best = max(self.templates[found[0]], key=lambda t: np.isin(t, left).mean())
             left = left[~np.isin(left, best)]
+        p = self.probabilities(own)
+        if not out and 1 - p[0] >= sure:
+            out.append(("unknown", float(1 - p[0]), max(self.similarity(f, own) for f in TEMPLATES), False))
+        return out
 
 
 def sieve_of(known: np.ndarray) -> np.ndarray:
@@ -182,7 +201,7 @@ def sieve_of(known: np.ndarray) -> np.ndarray:
     return sieve
 
 
-def passages(data: np.ndarray, offs: np.ndarray, known: np.ndarray, anchors: np.ndarray, sieve: np.ndarray, anchored: np.ndarray) -> list[tuple[int, int, int, int, int, np.ndarray]]:
+def passages(data: np.ndarray, offs: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> list[tuple[int, int, int, int, int, np.ndarray]]:
     """(row, paragraph, line, start, end, n-grams) of the passages of all rows; start and end are byte places of whole lines."""
     low = _LOWER[data]
     starts, ends, rows = word_spans(low, offs, _PARTS)
@@ -204,18 +223,12 @@ def passages(data: np.ndarray, offs: np.ndarray, known: np.ndarray, anchors: np.
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(hit) > GAP) | (block[hit[1:]] != block[hit[:-1]])
     first, last = hit[new], np.append(hit[np.flatnonzero(new)[1:] - 1], hit[-1]) + 1
-    sure = np.flatnonzero(anchored[(words >> _U(44)).astype(np.int64)])
-    near = np.searchsorted(sure, last + 3) > np.searchsorted(sure, first - 2)
-    some = near & (np.diff(np.append(np.flatnonzero(new), len(hit))) >= LEAST_PAIRS)
-    first, last = first[some], last[some]
     out = []
     breaks = np.flatnonzero(data == 10)
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         r = int(row[a])
         low_word, high_word = max(a - 2, int(np.searchsorted(block, block[a]))), min(b + 3, int(np.searchsorted(block, block[a], side="right")))
         own = words[low_word:high_word]
-        if len(np.unique(pairs[a:b][np.isin(pairs[a:b], known)])) < LEAST_PAIRS or not np.isin(own, anchors).any():
-            continue
         before = np.searchsorted(breaks, starts[a])
         start = max(int(offs[r]), int(breaks[before - 1]) + 1 if before else 0)
         after = np.searchsorted(breaks, ends[b] - 1)
@@ -232,34 +245,28 @@ def sample_paragraphs(docs: DataFrame, documents: int, most: int) -> list[str]:
     return [r.p for r in lines.orderBy(F.xxhash64("p"), "p").limit(most).collect()]
 
 
-def license_scan(docs: DataFrame, documents: int = 300, most: int = 1000, sure: float = 0.5, alike: float = 0.7) -> DataFrame:
+def license_scan(docs: DataFrame, documents: int = 1000, most: int = 4000, sure: float = 0.5, alike: float = 0.7, least: float = 0.05) -> DataFrame:
     """License notices in the paragraphs of every whole text.
 
     Returns (doc_id, paragraph, line, start, end, family, probability, similarity, confirmed), a row
     for each family of each passage that is taken for a notice: the number of the paragraph (lines
     with words up to one without), of the passage's first line and the byte range of its lines in the
-    text, the family or 'unknown', the calibrated probability of a notice, the share of the closest
-    template's n-grams that the passage has, and whether that confirms the family (``alike`` or
-    more). Null and empty texts give no rows, nor does an empty table; repeated rows each give
+    text, the family or 'unknown', the calibrated probability of the family (of any notice, if it is unknown), the share
+    of its closest template's n-grams that the passage has, and whether that confirms the family (``alike`` or
+    more). The classifier names the families, its classes of ``least`` or more; templates only confirm or refute them. A null doc_id is kept. Null and empty texts give no rows, nor does an empty table; repeated rows each give
     theirs. Texts of any length are searched whole. ``documents`` and ``most`` bound the sample of
     ordinary lines that the classifier is trained on. Other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     model = Model(sample_paragraphs(docs, documents, most))
-    anchors = np.unique(np.concatenate([_words(w) for w in ANCHORS]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, anchored = sieve_of(model.pairs), sieve_of(anchors)
+        sieve = sieve_of(model.pairs)
         for whole in batches:
             for batch in chunks(whole, "text"):
                 out = []
-                for r, paragraph, line, start, end, own in passages(*utf8(batch.column("text")), model.pairs, anchors, sieve, anchored):
-                    p = model.probabilities(own)
-                    found = model.families(own, alike)
-                    if 1 - p[0] < sure and not found:
-                        continue
-                    for family, similarity in found or [("unknown", max(model.similarity(f, own) for f in TEMPLATES))]:
-                        out.append((r, paragraph, line, start, end, family, float(1 - p[0]), similarity, bool(found)))
+                for r, paragraph, line, start, end, own in passages(*utf8(batch.column("text")), model.pairs, sieve):
+                    out += [(r, paragraph, line, start, end, *found) for found in model.families(own, sure, alike, least)]
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
                 names = ["paragraph", "line", "start", "end", "family", "probability", "similarity", "confirmed"]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k + 1] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", *names])

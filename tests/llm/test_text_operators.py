@@ -144,6 +144,33 @@ def test_license_notices(spark):
     assert licenses.license_scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+# notices in other words, none of whose templates is there by seven tenths: what the classifier takes them for
+HELD_OUT = {
+    "Permission to deal in the software without restriction is granted, free of charge, to whoever obtains a copy, provided that this permission notice is kept.": True,
+    "You may redistribute and modify this program under the GNU General Public License as published by the Free Software Foundation.": True,
+    "Redistributions in binary form must reproduce the copyright notice; the software is provided by the copyright holders as it is.": True,
+    "The committee met on the second day of the month and talked about the bridge.": False,
+    "Use of the kitchen is free for all members of the club in the evening.": False,
+    "This is the only version of the story that was told without any restriction.": False,
+}
+
+
+def test_the_classifier_decides(spark, monkeypatch):
+    """Held-out wordings are notices by the classifier alone, and without its say templates find nothing."""
+    rows = [(i, t) for i, t in enumerate(HELD_OUT)] + [(90, "Released under the MIT License."), (91, "plain"), *((100 + i, f"ordinary line number {i} of the text that was written in the year {i}") for i in range(60))]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert set(got) == {i for i, yes in enumerate(HELD_OUT.values()) if yes} | {90}
+    assert all(got[i].similarity < 0.7 and not got[i].confirmed and got[i].probability >= 0.5 for i in got if i != 90) and got[90].confirmed
+    model = licenses.Model([t for _, t in rows[-60:]])
+    own = licenses._grams(licenses._words("Released under the MIT License."))
+    assert [x[0] for x in model.families(own, 0.5, 0.7, 0.05)] == ["MIT"]
+    monkeypatch.setattr(model, "prior", model.prior - 1000)
+    assert model.families(own, 0.5, 0.7, 0.05) == []
+    monkeypatch.setattr(model, "prior", np.where(np.array(model.classes) == "GPL-3.0", 1000.0, 0.0))
+    assert [x[::3] for x in model.families(own, 0.5, 0.7, 0.05)] == [("unknown", False)]
+
+
 def test_license_notices_of_the_test_table(spark):
     """Against a plain search for the notices, on all documents of sf0.01."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -271,3 +298,12 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.url_verdicts(pages, url_rules.default_rules(spark)).count() == 0
     assert decontaminate.contaminated(spark.createDataFrame([(1, "a b")], DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_null_ids_of_items_and_documents_are_ids(spark):
+    text = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    docs = spark.createDataFrame([(None, f"before {text} after", 5), (2, f"{text} and more", 5), (3, "nothing of the kind", 5), (4, None, 5)], "doc_id long, text string, n_windows int")
+    items = spark.createDataFrame([(None, text, 1), (7, text, 1), (None, None, 1), (8, "", 1)], "item_id long, text string, pos int")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(d, i) for d in (None, 2) for i in (None, 7)}
+    assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
