@@ -163,14 +163,14 @@ class Model:
         p = np.exp(z - z.max())
         return p / p.sum()
 
-    def similarity(self, family: str, own: np.ndarray) -> float:
-        """Share of the closest template's n-grams that are there; 0 without the words that the family needs."""
+    def similarity(self, family: str, own: np.ndarray, core: np.ndarray) -> float:
+        """Share of the closest template's n-grams that are there; 0 without the words that the family needs, or with a relative's among the words of the notice itself (core)."""
         needs, bars = self.needs[family]
-        if not np.isin(needs, own).all() or np.isin(bars, own).any():
+        if not np.isin(needs, own).all() or np.isin(bars, core).any():
             return 0.0
         return max(float(np.isin(t, own).mean()) for t in self.templates[family])
 
-    def families(self, own: np.ndarray, sure: float, alike: float, least: float) -> list[tuple[str, float, float, bool]]:
+    def families(self, own: np.ndarray, core: np.ndarray, sure: float, alike: float, least: float) -> list[tuple[str, float, float, bool]]:
         """(family, probability, similarity, confirmed) of a passage, as the classifier names them.
 
         Each class of at least ``least`` is a candidate, the likeliest first; its templates confirm or refute
@@ -182,7 +182,7 @@ class Model:
         while len(left):
             p = self.probabilities(left)
             ranked = [k for k in np.argsort(-p, kind="stable") if p[k] >= least and k > 1]
-            found = next(((self.classes[k], float(p[k]), s) for k in ranked for s in [self.similarity(self.classes[k], left)] if s >= alike), None) if 1 - p[0] >= least else None
+            found = next(((self.classes[k], float(p[k]), s) for k in ranked for s in [self.similarity(self.classes[k], left, core)] if s >= alike), None) if 1 - p[0] >= least else None
             if found is None:
                 break
             out.append((*found, True))
@@ -190,7 +190,7 @@ class Model:
             left = left[~np.isin(left, best)]
         p = self.probabilities(own)
         if not out and 1 - p[0] >= sure:
-            out.append(("unknown", float(1 - p[0]), max(self.similarity(f, own) for f in TEMPLATES), False))
+            out.append(("unknown", float(1 - p[0]), max(self.similarity(f, own, core) for f in TEMPLATES), False))
         return out
 
 
@@ -201,8 +201,8 @@ def sieve_of(known: np.ndarray) -> np.ndarray:
     return sieve
 
 
-def passages(data: np.ndarray, offs: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> list[tuple[int, int, int, int, int, np.ndarray]]:
-    """(row, paragraph, line, start, end, n-grams) of the passages of all rows; start and end are byte places of whole lines."""
+def passages(data: np.ndarray, offs: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> list[tuple]:
+    """(row, paragraph, line, start, end, words, n-grams with those of the words beside it) of the passages of all rows; start and end are byte places of whole lines."""
     low = _LOWER[data]
     starts, ends, rows = word_spans(low, offs, _PARTS)
     if len(starts) < 2:
@@ -234,7 +234,7 @@ def passages(data: np.ndarray, offs: np.ndarray, known: np.ndarray, sieve: np.nd
         after = np.searchsorted(breaks, ends[b] - 1)
         end = min(int(offs[r + 1]), int(breaks[after]) + 1 if after < len(breaks) else len(data))
         base = int(offs[r])
-        out.append((r, int(block[a] - block[rows[r]]), int(line[a] - newlines[base]), start - base, end - base, _grams(own)))
+        out.append((r, int(block[a] - block[rows[r]]), int(line[a] - newlines[base]), start - base, end - base, words[a : b + 1], _grams(own)))
     return out
 
 
@@ -265,8 +265,8 @@ def license_scan(docs: DataFrame, documents: int = 1000, most: int = 4000, sure:
         for whole in batches:
             for batch in chunks(whole, "text"):
                 out = []
-                for r, paragraph, line, start, end, own in passages(*utf8(batch.column("text")), model.pairs, sieve):
-                    out += [(r, paragraph, line, start, end, *found) for found in model.families(own, sure, alike, least)]
+                for r, paragraph, line, start, end, core, own in passages(*utf8(batch.column("text")), model.pairs, sieve):
+                    out += [(r, paragraph, line, start, end, *found) for found in model.families(own, core, sure, alike, least)]
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
                 names = ["paragraph", "line", "start", "end", "family", "probability", "similarity", "confirmed"]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k + 1] for x in out], kind) for k, kind in enumerate(kinds))], ["doc_id", *names])

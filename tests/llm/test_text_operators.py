@@ -164,11 +164,11 @@ def test_the_classifier_decides(spark, monkeypatch):
     assert all(got[i].similarity < 0.7 and not got[i].confirmed and got[i].probability >= 0.5 for i in got if i != 90) and got[90].confirmed
     model = licenses.Model([t for _, t in rows[-60:]])
     own = licenses._grams(licenses._words("Released under the MIT License."))
-    assert [x[0] for x in model.families(own, 0.5, 0.7, 0.05)] == ["MIT"]
+    assert [x[0] for x in model.families(own, own, 0.5, 0.7, 0.05)] == ["MIT"]
     monkeypatch.setattr(model, "prior", np.where(np.array(model.classes) == "none", 1000.0, 0.0))
-    assert model.families(own, 0.5, 0.7, 0.05) == []
+    assert model.families(own, own, 0.5, 0.7, 0.05) == []
     monkeypatch.setattr(model, "prior", np.where(np.array(model.classes) == "GPL-3.0", 1000.0, 0.0))
-    assert [x[::3] for x in model.families(own, 0.5, 0.7, 0.05)] == [("unknown", False)]
+    assert [x[::3] for x in model.families(own, own, 0.5, 0.7, 0.05)] == [("unknown", False)]
 
 
 def test_license_notices_of_the_test_table(spark):
