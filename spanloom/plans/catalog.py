@@ -378,13 +378,13 @@ def integrity_checks(spark, sf_dir):
     return twice.unionByName(empty).unionByName(unknown)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 10000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000000000 + l_partkey * 100000 + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS b FROM lineitem),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, seen) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.seen = u.a)
 SELECT id, min(seen) AS component FROM r GROUP BY id""")
 def connected_components(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select("l_orderkey", "l_suppkey")
-    edges = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return connected(edges.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b")))
+    """Orders that ship the same part on the same day hang together."""
+    shipped = 1000000000000 + F.col("l_partkey") * 100000 + F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date"))
+    return connected(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), shipped.alias("b")))
 
 
 @query("""SELECT p_partkey AS ref, count(l_orderkey) AS represented, count(l_orderkey) = 0 AS missing FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON p_partkey = l_partkey GROUP BY 1""")
