@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.operators import fixed_text, fuzzy, scrolling, watermarks
+from spanloom.operators import fixed_text, fuzzy, scenes, scrolling, watermarks
 from spanloom.plans.catalog import query
 from spanloom.sources.tables import samples, table
 from spanloom.streaming import tracks
@@ -142,3 +142,16 @@ def text_tracks(spark, sf_dir):
         F.when(F.col("turn") % 2 == 0, "subtitle").otherwise("bottom-left").alias("zone"), shown.alias("text"),
     )
     return tracks.text_tracks(readings, 2.0)
+
+
+@query(None)
+def safety_cards(spark, sf_dir):
+    """Whether an item joins depends on what the card before it has become: see tests/test_scenes.py."""
+    rows = samples(spark, sf_dir)
+    category = F.when(F.col("label") == "error", "violence").when(F.col("label") == "click", "gore").when(F.col("label") == "view", "adult").otherwise("text")
+    start, whole = (F.col("t") - 1704067200.0) / 900, F.floor("score")
+    items = rows.select(
+        "source", F.col("sample_id").alias("item_id"), category.alias("category"), start.alias("start"), (start + F.col("score") / 30).alias("end"), "score", F.when(whole % 3 == 0, "high").when(whole % 3 == 1, "context").otherwise("normal").alias("priority"), F.when(whole % 5 == 1, "CUT").when(whole % 5 == 2, "BLUR").alias("suggestion"),
+        F.when(whole % 17 == 0, "KEEP").alias("decision"), F.when(whole % 2 == 0, "discrete_detected_intervals").alias("policy"), F.when(whole % 2 == 0, F.array(F.struct(start.alias("start"), (start + 0.5).alias("end")))).alias("detected"), F.array("label").alias("labels"), F.array(F.col("sample_id").cast("string")).alias("refs"),
+    )
+    return scenes.safety_cards(items).withColumns({"labels": F.array_join("labels", ","), "refs": F.array_join("refs", ","), "moments": F.to_json("moments")})
