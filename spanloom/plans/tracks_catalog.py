@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.operators import fixed_text, fuzzy, scenes, scrolling, watermarks
+from spanloom.operators import fixed_text, fuzzy, scenes, scrolling, subtitles, watermarks
 from spanloom.plans.catalog import query
 from spanloom.sources.tables import samples, table
 from spanloom.streaming import tracks
@@ -155,3 +155,19 @@ def safety_cards(spark, sf_dir):
         F.when(whole % 17 == 0, "KEEP").alias("decision"), F.when(whole % 2 == 0, "discrete_detected_intervals").alias("policy"), F.when(whole % 2 == 0, F.array(F.struct(start.alias("start"), (start + 0.5).alias("end")))).alias("detected"), F.array("label").alias("labels"), F.array(F.col("sample_id").cast("string")).alias("refs"),
     )
     return scenes.safety_cards(items).withColumns({"labels": F.array_join("labels", ","), "refs": F.array_join("refs", ","), "moments": F.to_json("moments")})
+
+
+@query(None)
+def subtitle_lines(spark, sf_dir):
+    """Addresses are told by patterns that look around their matches, beyond SQL: see tests/test_subtitles.py. The sentences of all turns are tracks of one film for each conversation."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    rows = turns.select("conv_id", "turn", F.posexplode(F.split("text", "[.][ \\n]*")).alias("line", "words")).where("length(words) > 0")
+    n = F.length("words")
+    left = 320.0 - F.least(n * 4, F.lit(300)) + n % 40
+    tracks_ = rows.select(
+        F.col("conv_id").alias("source"), (F.col("turn") * 10000 + F.col("line")).alias("track_id"), F.when(n % 6 == 0, "top-left").otherwise("subtitle").alias("zone"), F.lit(True).alias("review_candidate"), F.when(n % 5 == 0, "REVIEW_AD_LIKELY").otherwise("REVIEW_UNCERTAIN").alias("routing"),
+        F.lit(None).cast("string").alias("candidate"), (n % 17 == 0).alias("persistent"), F.lit(False).alias("fixed"), F.lit(False).alias("named"), (n % 3 + 1).cast("long").alias("observations"), left.alias("x1"), F.lit(300.0).alias("y1"), (left + F.least(n * 8, F.lit(600))).alias("x2"), F.lit(330.0).alias("y2"),
+        F.array("words").alias("texts"), F.lit(None).cast("array<string>").alias("policy_hits"), F.lit("dialogue").alias("top_label"), (n % 50 / 100.0).alias("ad_probability"),
+    )
+    out = subtitles.moved_lines(tracks_, spark.createDataFrame([], "key string"), 640.0)
+    return out.select("source", "track_id", "subtitle_line", "review_candidate", "previous_routing")
