@@ -35,7 +35,7 @@ def normalize_read(text: Column) -> Column:
 
 def web_addresses(text: Column) -> Column:
     """Distinct host-like tokens in order of appearance, lower-cased."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:[a-z0-9-]+\.)+(?:com|net|org|edu|gov|info)\b"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:[a-z0-9-]++\.)+(?:com|net|org|edu|gov|info)\b"), F.lit(0))
     return F.array_distinct(found)
 
 
