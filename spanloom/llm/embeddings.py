@@ -79,7 +79,8 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
     Returns (vec_id, n_links, component_id, kept), a row for each row of vectors. Null and zero
     vectors, and those with null or non-finite components, link with nothing; vectors of different
     lengths don't link with each other. Repeated rows link with each other. A null vec_id is
-    counted for others and has no component. Labels and other columns are ignored. ``grid_dims``,
+    counted for others and has no component. Of equal vectors, and of any tie, the smallest vec_id
+    names the component; an empty table gives no rows. Labels and other columns are ignored. ``grid_dims``,
     4 at most, is the number of coordinates of a block that make its grid.
     """
     spark = vectors.sparkSession

@@ -59,8 +59,9 @@ def mix_sources(docs: DataFrame, labels: DataFrame | None = None, keep: tuple[st
     the number of words (null text: 0). taken is in [0, CAP * size]: whole epochs, and for the rest
     of the budget the first documents by key, the last of them in part. Labelled rows of quality 1
     weigh 2, all others 1. A null source is a source of its own, the last. Rows with one doc_id
-    share a key and stand by size and text, so reruns agree; a null id is keyed as 'null'. An empty
-    table gives no rows.
+    share a key and stand by size and text, so reruns agree; a null id is keyed as 'null', so
+    all such rows of a source stand in one bin, in one task. Texts of any length count whole. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     staged = Staged(spark)

@@ -160,7 +160,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFra
 
     Returns (doc_id, fingerprint, component_id), a row for each row of docs. Null and empty texts
     have fingerprint zero and link like any other. component_id is the smallest doc_id of the
-    component (null where it has none). Repeated rows stay; other columns are ignored.
+    component (null where it has none). Repeated rows stay, and rows of equal fingerprints are one
+    component. Texts of any length count whole; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     staged = Staged(docs.sparkSession)
     prints = staged.write(fingerprints(docs, shingle), "prints")

@@ -33,7 +33,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
 
     A rule fits its host and all subdomains of it if the path starts with the rule's path. Returns
     (page_id, host, path, rule, verdict), a row for each row of pages; rule is null and verdict
-    ``default`` where none fits. Of rules of one length block wins over allow; a rule that is there
+    ``default`` where none fits. Repeated pages each have their row, urls of any length are judged
+    whole, an empty table of pages gives no rows and one of rules the default for all. Of rules of one length block wins over allow; a rule that is there
     twice counts once. Null urls and those without ``://`` have empty host and path. Other columns
     of pages are ignored.
     """

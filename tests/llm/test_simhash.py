@@ -97,3 +97,12 @@ def test_a_dominating_run_or_a_repeated_passage_does_not_decide(spark):
     assert all(jaccard(rows[k][1], rows[k + 1][1]) > 0.95 for k in range(4, 12, 2)) and jaccard(rows[0][1], rows[1][1]) < 0.05
     kept = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {0, 1, 2, 3, 10, 11, 12, 13}
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    long = " ".join(f"w{i % 977} x{i % 13}" for i in range(120_000))
+    docs = spark.createDataFrame([(5, long, "f", 1), (3, long.upper(), "f", 1), (9, None, "f", 1), (8, "", "f", 1), (None, "other words of a text", "f", 1)], "doc_id long, text string, fingerprint string, fp int")
+    got = {r.doc_id: r for r in simhash.simhash_dedup(docs).collect()}
+    assert got[5].component_id == got[3].component_id == 3 and got[5].fingerprint == got[3].fingerprint
+    assert got[9].component_id == got[8].component_id == 8 and got[9].fingerprint == "0" * 16 and got[None].component_id is None
+    assert simhash.simhash_dedup(docs.limit(0)).count() == 0

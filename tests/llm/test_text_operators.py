@@ -307,3 +307,11 @@ def test_null_ids_of_items_and_documents_are_ids(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(d, i) for d in (None, 2) for i in (None, 7)}
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_very_long_urls_and_empty_pages(spark):
+    deep = "https://" + "a." * 2000 + "example.org/es/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, deep, "v"), (1, deep, "v"), (2, "https://" + "h" * 100_000, "v")], "page_id long, url string, verdict string")
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in url_rules.url_verdicts(pages, url_rules.default_rules(spark)).collect())
+    assert got == [(1, "example.org/es/", "block")] * 2 + [(2, "", "allow")]
+    assert url_rules.url_verdicts(pages.limit(0), url_rules.default_rules(spark)).count() == 0
