@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.operators import absorption, boxes, selection
+from spanloom.operators import absorption, boxes, quality, selection
 from spanloom.plans.catalog import DAY, S, query
 from spanloom.sources.tables import samples
 
@@ -107,3 +107,27 @@ def reconciled_cards(spark, sf_dir):
 def refined_regions(spark, sf_dir):
     """Reads of a box are grouped by leaders in order of size: see tests/test_absorption.py."""
     return absorption.refined_regions(_cards(spark, sf_dir))
+
+
+@query(f"""WITH s AS ({S}), v AS (SELECT *, floor(score * 100)::BIGINT AS v, floor(score)::BIGINT AS w, (t - {SINCE}) / 86400 * 20 AS a FROM s),
+i AS (SELECT source, sample_id AS id, a, a + CASE WHEN label = 'purchase' THEN 200 ELSE score / 50 END AS b, CASE WHEN label IN ('click', 'view') THEN 'visual_logo' ELSE 'text' END AS category, label, w % 9 = 0 AS named, ['CUT', 'BLUR', 'KEEP', NULL][w % 4 + 1] AS decision, w % 6 = 0 AS ident, w % 3 > 0 AS trusted,
+v % 2 * 300 + (v // 7) % 12 + CASE WHEN label = 'purchase' THEN 0 ELSE 20 END AS x1, (v // 13) % 8 + CASE WHEN label = 'purchase' THEN 0 ELSE 10 END AS y1, v, w FROM v),
+j AS (SELECT *, x1 + CASE WHEN label = 'purchase' THEN 120 ELSE 50 + (v // 17) % 40 END AS x2, y1 + CASE WHEN label = 'purchase' THEN 60 ELSE 30 + (v // 19) % 10 END AS y2 FROM i),
+k AS (SELECT *, x2 - x1 - CASE WHEN w % 5 < 2 THEN 50 ELSE 0 END AS dw, y2 - y1 AS dh, (label = 'error' OR named) AND a < 30 AS promo FROM j),
+x AS (SELECT p.source, p.id, p.dw * p.dh AS blur, (p.x2 - p.x1) * (p.y2 - p.y1) AS box, count(*) AS n, (max(o.x2) - min(o.x1)) * (max(o.y2) - min(o.y1)) AS tight FROM k p JOIN k o ON o.source = p.source AND o.id <> p.id AND o.trusted AND o.a < p.b AND o.b > p.a AND (o.x2 - o.x1) * (o.y2 - o.y1) <= 0.6 * (p.x2 - p.x1) * (p.y2 - p.y1)
+AND greatest(0, least(p.x2, o.x2) - greatest(p.x1, o.x1)) * greatest(0, least(p.y2, o.y2) - greatest(p.y1, o.y1)) >= 0.7 * (o.x2 - o.x1) * (o.y2 - o.y1) WHERE p.label = 'purchase' AND p.decision = 'BLUR' GROUP BY ALL HAVING count(*) >= 2),
+y AS (SELECT source, id, CASE WHEN tight / box < 0.45 AND blur / box < 0.55 THEN 'blur_too_small' WHEN tight / box < 0.45 AND blur / box > 0.9 THEN 'blur_untrimmed' WHEN tight / box >= 0.45 AND blur > 1.5 * tight THEN 'blur_too_wide' END AS finding FROM x)
+SELECT source, id AS item_id, 'opening_not_cut' AS finding, NULL::BIGINT AS other_id FROM k WHERE promo AND decision <> 'CUT' AND NOT (decision = 'KEEP' AND ident)
+UNION ALL SELECT p.source, p.id, 'opening_shows_on', min(o.id) FROM k p JOIN k o ON o.source = p.source AND o.id <> p.id AND o.a < 30 AND o.category = 'visual_logo' AND o.decision = 'BLUR' AND o.a - p.b BETWEEN 0 AND 1 WHERE p.promo AND p.decision = 'CUT' GROUP BY ALL
+UNION ALL SELECT source, id, finding, NULL FROM y WHERE finding IS NOT NULL""")
+def quality_findings(spark, sf_dir):
+    v, w, label = F.floor(F.col("score") * 100), F.floor("score"), F.col("label")
+    start, lasting = (F.col("t") - SINCE) / 86400 * 20, label == "purchase"
+    x, y = v % 2 * 300 + F.floor(v / 7) % 12 + F.when(lasting, 0).otherwise(20), F.floor(v / 13) % 8 + F.when(lasting, 0).otherwise(10)
+    right, bottom = x + F.when(lasting, 120).otherwise(50 + F.floor(v / 17) % 40), y + F.when(lasting, 60).otherwise(30 + F.floor(v / 19) % 10)
+    items = samples(spark, sf_dir).select(
+        "source", F.col("sample_id").alias("item_id"), F.when(label.isin("click", "view"), "visual_logo").otherwise("text").alias("category"), F.when(label == "error", "opening_promotion").when(lasting, "persistent_overlay").alias("candidate"), start.alias("start"), (start + F.when(lasting, 200.0).otherwise(F.col("score") / 50)).alias("end"),
+        F.array("label").alias("labels"), F.when(w % 9 == 0, F.array(F.lit("A Branded Intro"))).alias("reasons"), F.get(F.array(F.lit("CUT"), F.lit("BLUR"), F.lit("KEEP"), F.lit(None)), (w % 4).cast("int")).alias("decision"), (w % 6 == 0).alias("ident"), (w % 3 > 0).alias("trusted"),
+        x.alias("x1"), y.alias("y1"), right.alias("x2"), bottom.alias("y2"), x.alias("dx1"), y.alias("dy1"), (right - F.when(w % 5 < 2, 50).otherwise(0)).alias("dx2"), bottom.alias("dy2"),
+    )
+    return quality.findings(items)
