@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from spanloom.functions import text
+from spanloom.operators.dealing import dealt
 from spanloom.sources.shipping import ship
 
 
@@ -134,3 +136,17 @@ def similar(words: DataFrame, scope: str, least: float = 0.75) -> DataFrame:
     rest = pairs.where(~inside)
     told = rest.select("a", "b").distinct().where(alike(least)("a", "b"))
     return held.unionByName(rest.join(told, ["a", "b"]).select(scope, "a", "b")).distinct()
+
+
+def named_in(rows: DataFrame, names: DataFrame, key: str, said: str) -> DataFrame:
+    """The names within one edit of a candidate of a folded text: (key, name, edits), the least edits.
+
+    rows: (key, said); names: (name). Equal texts are taken apart once and equal candidates compared
+    once; what a candidate becomes without a letter meets only what names become.
+    """
+    texts = dealt(rows.select(said).distinct(), said).select(said, F.explode(text.latin_candidates(F.col(said))).alias("cand"))
+    known = names.select("name", F.explode(text.deletions(F.col("name"))).alias("k"))
+    short = dealt(texts.select("cand").distinct(), "cand").select("cand", F.explode(text.deletions(F.col("cand"))).alias("k"))
+    near = short.join(known, "k").select("cand", "name").distinct().withColumn("edits", F.levenshtein("cand", "name").cast("long")).where("edits <= 1")
+    held = texts.join(near, "cand").groupBy(said, "name").agg(F.min("edits").alias("edits"))
+    return rows.select(key, said).join(held, said).groupBy(key, "name").agg(F.min("edits").alias("edits"))
