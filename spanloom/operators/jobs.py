@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators import boxes
+from spanloom.operators.dealing import dealt
+from spanloom.operators.graph import checkpointed
 from spanloom.operators.intervals import islands, overlap_join
 from spanloom.operators.queues import places
 
@@ -116,23 +118,43 @@ def representatives(windows: DataFrame, keys: list[str], most: int = 2) -> DataF
     return ranked.withColumn("place", F.row_number().over(within.orderBy("kind", down("score"), "start"))).where(F.col("place") <= most).drop("a", "b", "kind")
 
 
-def grounding_fallback(found: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+def grounding_fallback(found: DataFrame, regions: DataFrame, key: str, tile: int = 128, first: int = 64) -> DataFrame:
     """The box of each image that best supports what is there already, unless it only repeats a region.
 
     found: (key, id, x1, y1, x2, y2, label, score, width, height, focused), width and height those of
     the image, focused whether its centre is in the focus region; regions: (key, x1, y1, x2, y2).
+    Boxes meet regions in tiles. No overlap is above 1, so where one of the ``first`` boxes by all else
+    that ranks them has that, or an image has no region, the others can't be better and aren't compared.
     """
     share = boxes.area("l_") / F.greatest(F.lit(1), F.col("l_width") * F.col("l_height"))
-    left = found.select(key, *[F.col(c).alias(f"l_{c}") for c in found.columns if c != key]).withColumn("share", share).where("share between 0.0001 and 0.35")
-    right = regions.select(key, *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")])
-    there = F.col("r_x1").isNotNull()
-    repeats = there & (boxes.iou("l_", "r_") >= 0.75) & (boxes.area("l_") <= boxes.area("r_") * 1.2)
-    met = left.join(right, key, "left").groupBy(key, "l_id", "l_label", "l_score", "l_focused", "share").agg(
-        F.count("r_x1").alias("n"), F.coalesce(F.max(F.when(there, boxes.over_smaller("l_", "r_"))), F.lit(0.0)).alias("overlap"), F.coalesce(F.bool_or(repeats), F.lit(False)).alias("repeats")
-    )
     named = F.lit(False)
     for part in MARK_LABELS:
         named |= F.contains(F.lower(F.coalesce("l_label", F.lit(""))), F.lit(part))
-    rank = F.struct("overlap", F.col("l_focused").cast("int"), named.cast("int").alias("named"), F.coalesce("l_score", F.lit(0.0)).alias("score"), (-F.col("share")).alias("small"), (-F.col("l_id")).alias("first"))
-    best = met.where((F.col("n") == 0) | (F.col("overlap") >= 0.5) | F.col("l_focused")).groupBy(key).agg(F.max_by(F.struct("l_id", "repeats", "overlap"), rank).alias("b"))
-    return best.where("not b.repeats").select(key, F.col("b.l_id").alias("id"), F.col("b.overlap").alias("overlap"))
+    second = F.struct(F.col("l_focused").cast("int"), named.cast("int").alias("named"), F.coalesce("l_score", F.lit(0.0)).alias("score"), (-F.col("share")).alias("small"), (-F.col("l_id")).alias("first"))
+    there = regions.where("x1 is not null")
+    left = found.select(key, *[F.col(c).alias(f"l_{c}") for c in found.columns if c != key]).withColumn("share", share).where("share between 0.0001 and 0.35").withColumn("second", second)
+    left = left.join(there.groupBy(key).agg(F.count("*").alias("n")), key, "left")
+    right = _tiled(there.select(F.col(key).alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")]).distinct(), "r_", tile)
+    repeats = F.col("r_x1").isNotNull() & (boxes.iou("l_", "r_") >= 0.75) & (boxes.area("l_") <= boxes.area("r_") * 1.2)
+
+    def best(rows: DataFrame) -> DataFrame:
+        corner = (F.col("l_tx") == F.floor(F.greatest("l_x1", "r_x1") / tile)) & (F.col("l_ty") == F.floor(F.greatest("l_y1", "r_y1") / tile))
+        same = (F.col(key) == F.col("r_key")) & (F.col("l_tx") == F.col("r_tx")) & (F.col("l_ty") == F.col("r_ty"))
+        # of the tiles that both touch the first one counts
+        met = dealt(_tiled(rows, "l_", tile), key, "l_tx", "l_ty").join(right, same & corner, "left").groupBy(key, "l_id", "l_label", "l_score", "l_focused", "second", "n").agg(
+            F.coalesce(F.max(F.when(F.col("r_x1").isNotNull(), boxes.over_smaller("l_", "r_"))), F.lit(0.0)).alias("overlap"), F.coalesce(F.bool_or(repeats), F.lit(False)).alias("repeats")
+        )
+        supports = F.col("n").isNull() | (F.col("overlap") >= 0.5) | F.col("l_focused")
+        return met.where(supports).groupBy(key).agg(F.max_by(F.struct("l_id", "repeats", "overlap", "n"), F.struct("overlap", "second")).alias("b"))
+
+    leading = left.withColumn("place", F.rank().over(W.partitionBy(key).orderBy(F.col("second").desc()))).where(F.col("place") <= first).drop("place")
+    checkpointed(found.sparkSession)
+    sure = best(leading).where("b.overlap = 1 or b.n is null").checkpoint()
+    rest = left.join(sure.select(F.col(key).alias("sure_key")), F.col(key).eqNullSafe(F.col("sure_key")), "left_anti")
+    return sure.unionByName(best(rest)).where("not b.repeats").select(key, F.col("b.l_id").alias("id"), F.col("b.overlap").alias("overlap"))
+
+
+def _tiled(rows: DataFrame, p: str, tile: int) -> DataFrame:
+    """A row for each tile that a box touches."""
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / tile), F.floor(F.greatest(F.col(low), F.col(high)) / tile))
+    return rows.withColumn(f"{p}tx", F.explode(span(f"{p}x1", f"{p}x2"))).withColumn(f"{p}ty", F.explode(span(f"{p}y1", f"{p}y2")))

@@ -110,4 +110,4 @@ def grounding_fallback(spark, sf_dir):
         (k % 53).alias("image"), k.alias("id"), (k % 97).alias("x1"), (k % 89).alias("y1"), (k % 97 + 5 + k % 31).alias("x2"), (k % 89 + 5 + k % 17).alias("y2"), F.when(k % 6 == 0, "a Channel watermark").otherwise("logo").alias("label"), (F.col("p_size") / 50.0).alias("score"), F.lit(100).alias("width"), F.lit(100).alias("height"), (k % 8 == 0).alias("focused")
     )
     regions = table(spark, sf_dir, "supplier").select((s % 53).alias("image"), (s % 97).alias("x1"), (s % 89).alias("y1"), (s % 97 + 20).alias("x2"), (s % 89 + 10).alias("y2"))
-    return jobs.grounding_fallback(found, regions, "image").withColumn("overlap", F.round("overlap", 6))
+    return jobs.grounding_fallback(found, regions, "image", 16).withColumn("overlap", F.round("overlap", 6))

@@ -1,8 +1,6 @@
 """Work that must not grow with what repeats: counted on small tables."""
 
-from pyspark.sql import functions as F
-
-from spanloom.operators import fuzzy
+from spanloom.operators import fuzzy, graph, jobs
 from spanloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -15,3 +13,33 @@ def test_texts_that_repeat_are_read_once_and_by_many_tasks(spark, tmp_path):
     assert {(r.id, r.name, r.edits) for r in got.collect()} == {(i, "almond", 1) for i in range(300)} | {(i, "brand12", int(i % 3 != 1)) for i in range(300)}
     plan = QUERIES["platform_names"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_only_what_hangs_together_takes_part_in_rounds(spark, monkeypatch):
+    """Ids of one neighbour stay out of the rounds, and may still name the component."""
+    held, real = [], graph.joined_up
+    monkeypatch.setattr(graph, "joined_up", lambda edges, rounds: held.append(edges.count()) or real(edges, rounds))
+    pairs = [(100 + i, 1000 + 10 * i + j) for i in range(20) for j in range(5)] + [(101, 1000), (103, 7), (1000, 5000), (5000, 104), (9, 9)]
+    got = {r.id: r.component for r in graph.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    left, want = {x for p in pairs if p[0] != p[1] for x in p}, {}
+    while left:
+        part, new = set(), {min(left)}
+        while new:
+            part |= new
+            new = {y for p in pairs for x, y in (p, p[::-1]) if x in part} - part
+        want |= dict.fromkeys(part, min(part))
+        left -= part
+    assert got == want and held[0] <= 6
+
+
+def test_boxes_that_cannot_win_are_not_compared(spark, monkeypatch):
+    """One image is decided by its leading boxes, one has no region, in one the best is none of the leading ones."""
+    rows = [(1, i, i, 0, i + 10, 10, "x", 0.5, 100, 100, True) for i in range(40)] + [(2, 50, 0, 0, 10, 10, "x", 0.5, 100, 100, False), (2, 51, 0, 0, 10, 10, "x", 0.9, 100, 100, False)]
+    rows += [(3, 60 + i, 80, 80, 90, 90, "x", 0.9, 100, 100, True) for i in range(5)] + [(3, 70, 0, 0, 20, 6, "x", 0.1, 100, 100, False)]
+    found = spark.createDataFrame(rows, "image int, id int, x1 int, y1 int, x2 int, y2 int, label string, score double, width int, height int, focused boolean")
+    regions = spark.createDataFrame([(1, 0, 0, 60, 20), (3, 0, 0, 12, 8)], "image int, x1 int, y1 int, x2 int, y2 int")
+    tiled, real = [], jobs._tiled
+    monkeypatch.setattr(jobs, "_tiled", lambda df, p, tile: (tiled.append(df.count()) if p == "l_" else None) or real(df, p, tile))
+    got = {(r.image, r.id, round(r.overlap, 3)) for r in jobs.grounding_fallback(found, regions, "image", 16, 3).collect()}
+    assert got == {(1, 0, 1.0), (2, 51, 0.0), (3, 70, 0.75)}
+    assert tiled[1] == 6  # only the third image is compared whole
