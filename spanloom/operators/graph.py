@@ -16,11 +16,28 @@ def checkpointed(spark: SparkSession) -> None:
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, component): the smallest id reachable from each id of the undirected edges (a, b).
 
-    Labels move to neighbours and jump along labels, so rounds grow with the logarithm of the
-    longest path; an error is raised if they don't suffice. checkpoint() cuts the lineage in the folder
-    that the cluster names. Ids may be of any type that can be ordered, structs as well.
+    Each b hangs on the smallest of its a's. What is left to join are those of its a's that aren't
+    this one, and each b that is an a too; a b that is neither only takes the label of what it hangs on,
+    and takes no part in the rounds. checkpoint() cuts the lineage in the folder that the cluster
+    names. Ids may be of any type that can be ordered, structs as well.
     """
     checkpointed(edges.sparkSession)
+    edges = edges.select("a", "b").where("a <> b").checkpoint()
+    seen = edges.groupBy("a").agg(F.min("b").alias("l")).select("a", F.least("a", "l").alias("l"))
+    hung = edges.groupBy("b").agg(F.min("a").alias("m"), F.max("a").alias("last")).join(seen.select(F.col("a").alias("b"), F.lit(True).alias("both")), "b", "left")
+    apart = edges.join(hung.where("m < last").select("b", "m"), "b").where("a <> m").select("a", F.col("m").alias("b"))
+    core = joined_up(apart.unionByName(hung.where("both").select(F.col("b").alias("a"), F.col("m").alias("b"))), rounds)
+    # the smallest id of a component may be one that hangs
+    least = core.join(seen, core.id == seen.a).groupBy("component").agg(F.min("l").alias("least"))
+    known = core.join(least, "component").select(F.col("id").alias("a"), "least").checkpoint()
+    labels = seen.join(known, "a", "left").select("a", F.coalesce("least", "l").alias("component"))
+    hanging = hung.where("both is null").select("b", F.col("m").alias("a")).join(labels, "a").select(F.col("b").alias("id"), "component")
+    return labels.withColumnRenamed("a", "id").unionByName(hanging)
+
+
+def joined_up(edges: DataFrame, rounds: int) -> DataFrame:
+    """(id, component) as above. Labels move to neighbours and jump along labels, so rounds grow with the
+    logarithm of the longest path; an error is raised if they don't suffice."""
     both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")).checkpoint()
     before = None
