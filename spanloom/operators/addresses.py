@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
+from spanloom.sources.shipping import ship
 
 # Routings of the main list, the routing of an address, the candidate that keeps its own, the letters of a key.
 MAIN_LIST = ["REVIEW_AD_LIKELY", "REVIEW_PERSISTENT_OVERLAY", "REVIEW_POLICY_OVERRIDE", "REVIEW_SCROLLING_TEXT"]
 ADDRESS_ROUTING, SCROLLING = "REVIEW_WEB_ADDRESS", "scrolling_text"
 LETTERS = 6
+SIEVE_BITS = 22
 
 
 def track_addresses(texts: Column) -> Column:
@@ -24,19 +30,68 @@ def card_keys(shown: Column, labels: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(tokens, lambda x: text.memory_key(x, LETTERS))))
 
 
+def anchor_hashes(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of all runs of 6, 12 and 24 letters, by length, at the places where they begin."""
+
+    def joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
+        n = max(0, len(right) - shift)
+        x = (left[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (right[shift:] + np.uint64(0x7F4A7C15))
+        return x ^ (x >> np.uint64(29))
+
+    one = codes.astype(np.uint64) + np.uint64(1)
+    two = joined(one, one, 1)
+    four = joined(two, two, 2)
+    six = joined(four, two, 4)
+    twelve = joined(six, six, 6)
+    return {6: six, 12: twelve, 24: joined(twelve, twelve, 12)}
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int32)
+
+
 def remembered_in(tracks: DataFrame, memory: DataFrame) -> DataFrame:
     """The remembered keys that a track's folded reads hold: (track_id, remembered), sorted; tracks without one are left out.
 
-    tracks: (track_id, texts); memory: (key) of six letters or more. Equal reads are looked up once;
-    a read meets a key on the six letters that the key begins with.
+    tracks: (track_id, texts); memory: (key) of six letters or more. A key's anchor is its first 24,
+    12 or 6 letters, as many as it has. A sieve of 2^22 bits, however many keys there are, tells where
+    a read may hold an anchor; only these places leave it, with as much as the longest key has, and meet
+    the keys on the anchor.
     """
-    reads = tracks.select("track_id", F.explode("texts").alias("read")).select("track_id", text.fold_alnum(F.col("read")).alias("read"))
-    reads = reads.where(F.length("read") >= LETTERS).distinct()
-    places = F.sequence(F.lit(1), F.length("read") - (LETTERS - 1))
-    grams = reads.select("read").distinct().select("read", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("read"), i, LETTERS)))).alias("gram"))
-    keys = memory.where(F.length("key") >= LETTERS).select("key", F.substring("key", 1, LETTERS).alias("gram")).distinct()
-    held = grams.join(keys, "gram").where(F.contains("read", "key")).select("read", "key")
-    return reads.join(held, "read").groupBy("track_id").agg(F.array_sort(F.collect_set("key")).alias("remembered"))
+    ship(tracks.sparkSession)
+    keys = memory.where(F.length("key") >= LETTERS).select("key").distinct()
+    keys = keys.withColumn("anchor", F.expr("substring(key, 1, case when length(key) >= 24 then 24 when length(key) >= 12 then 12 else 6 end)"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_marks(anchor_hashes(np.frombuffer(x.encode(), np.uint8))[len(x)][:1]) for x in batch.column("anchor").to_pylist()]
+            sizes = [len(x) for x in batch.column("anchor").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))], ["n", "m"])
+
+    marks = keys.select("anchor").distinct().mapInArrow(marked, "n int, m int").distinct().toPandas()
+    longest = keys.agg(F.max(F.length("key"))).first()[0] or 0
+    sieves = {}
+    for n, m in marks.groupby("n").m:
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve[m.to_numpy()] = True
+        sieves[n] = np.packbits(sieve)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = {n: np.unpackbits(x).astype(bool) for n, x in sieves.items()}
+        for batch in batches:
+            who, anchors, ahead = [], [], []
+            for i, read in enumerate(batch.column("read").to_pylist()):
+                hashes = anchor_hashes(np.frombuffer(read.encode(), np.uint8))
+                some = {(n, read[at : at + longest]) for n, sieve in open_.items() for at in np.flatnonzero(sieve[_marks(hashes[n])]).tolist()}
+                who += [i] * len(some)
+                anchors += [x[:n] for n, x in some]
+                ahead += [x for _, x in some]
+            yield pa.RecordBatch.from_arrays([batch.column("track_id").take(pa.array(who, pa.int64())), pa.array(anchors, pa.string()), pa.array(ahead, pa.string())], ["track_id", "anchor", "ahead"])
+
+    reads = tracks.select("track_id", F.explode("texts").alias("read")).select("track_id", text.fold_alnum(F.col("read")).alias("read")).where(F.length("read") >= LETTERS)
+    kind = reads.schema["track_id"].dataType.simpleString()
+    held = reads.mapInArrow(places, f"track_id {kind}, anchor string, ahead string").join(keys, "anchor").where(F.startswith("ahead", "key"))
+    return held.groupBy("track_id").agg(F.array_sort(F.collect_set("key")).alias("remembered"))
 
 
 def promoted(tracks: DataFrame, memory: DataFrame) -> DataFrame:

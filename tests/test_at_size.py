@@ -1,6 +1,6 @@
 """Work that must not grow with what repeats: counted on small tables."""
 
-from spanloom.operators import fuzzy, graph, jobs
+from spanloom.operators import addresses, fuzzy, graph, jobs
 from spanloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -43,3 +43,13 @@ def test_boxes_that_cannot_win_are_not_compared(spark, monkeypatch):
     got = {(r.image, r.id, round(r.overlap, 3)) for r in jobs.grounding_fallback(found, regions, "image", 16, 3).collect()}
     assert got == {(1, 0, 1.0), (2, 51, 0.0), (3, 70, 0.75)}
     assert tiled[1] == 6  # only the third image is compared whole
+
+
+def test_reads_are_not_shuffled_and_long_keys_meet_on_long_anchors(spark):
+    keys = ["examplecom", "exampl", "examplecom" * 3, "examplecom" * 3 + "x", "abcdefghijklmn", "short", "münchen"]
+    reads = [(1, ["www.example.com!", None, "x"]), (2, ["example.com" * 3 + "y"]), (3, ["Abc-defghijklmn", "exampl"]), (4, ["none of them"]), (5, None), (6, ["münchen short"])]
+    tracks = spark.createDataFrame(reads, "track_id int, texts array<string>")
+    out = addresses.remembered_in(tracks, spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert {r.track_id: r.remembered for r in out.collect()} == {1: ["exampl", "examplecom"], 2: ["exampl", "examplecom", "examplecom" * 3], 3: ["abcdefghijklmn", "exampl"]}
+    assert "hashpartitioning(read" not in out._jdf.queryExecution().executedPlan().toString()
+    assert addresses.remembered_in(tracks, spark.createDataFrame([], "key string")).count() == 0
