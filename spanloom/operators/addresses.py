@@ -103,7 +103,9 @@ def promoted(tracks: DataFrame, memory: DataFrame) -> DataFrame:
     """
     free = (F.coalesce(F.col("candidate") != SCROLLING, F.lit(True))) & ~F.coalesce("named", F.lit(False))
     nothing = F.array().cast("array<string>")
-    rows = tracks.join(remembered_in(tracks.where(free), memory), "track_id", "left").withColumn("tokens", F.when(free, F.coalesce(track_addresses(F.col("texts")), nothing)).otherwise(nothing))
+    # texts are read where they lie and stay there
+    told = tracks.withColumn("tokens", F.when(free, F.coalesce(track_addresses(F.col("texts")), nothing)).otherwise(nothing)).drop("texts")
+    rows = told.join(remembered_in(tracks.where(free), memory), "track_id", "left")
     moves = (F.size("tokens") > 0) | F.col("remembered").isNotNull()
     five = lambda c: F.slice(F.coalesce(c, nothing), 1, 5)
     routing = F.when(F.col("routing").isin(MAIN_LIST), F.col("routing")).otherwise(ADDRESS_ROUTING)
