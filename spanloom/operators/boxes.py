@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.dealing import dealt
+
 
 def _c(p: str, name: str) -> Column:
     return F.col(f"{p}{name}")
@@ -75,6 +79,22 @@ def _gap(a: str, b: str, low: str, high: str) -> Column:
     return F.greatest(_c(a, low), _c(b, low)) - F.least(_c(a, high), _c(b, high))
 
 
+def overlapping(rows: DataFrame, keys: list[str], least: float, tile: int) -> DataFrame:
+    """Pairs of rows (id, keys, x1, y1, x2, y2) of equal keys with an IoU of at least ``least`` (above 0), once each: all columns under l_ and r_, l_id < r_id.
+
+    What two such boxes have in common is ``least`` of either's side at least, so its low corner lies
+    that far below both boxes' high ends; they meet in the tile of that corner.
+    """
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / tile), F.floor(F.greatest(F.col(low), F.col(high) - least * (F.col(high) - F.col(low)) + 1e-6) / tile))
+    tiled = rows.where("x2 > x1 and y2 > y1").withColumn("tx", F.explode(span("x1", "x2"))).withColumn("ty", F.explode(span("y1", "y2")))
+    l, r = (tiled.select(*[F.col(c).alias(f"{p}_{c}") for c in tiled.columns]) for p in "lr")
+    l = dealt(l, *[f"l_{c}" for c in (*keys, "tx", "ty")])
+    same = reduce(lambda x, y: x & y, [F.col(f"l_{c}") == F.col(f"r_{c}") for c in (*keys, "tx", "ty")])
+    corner = (F.col("l_tx") == F.floor(F.greatest("l_x1", "r_x1") / tile)) & (F.col("l_ty") == F.floor(F.greatest("l_y1", "r_y1") / tile))
+    met = l.join(r, same & (F.col("l_id") < F.col("r_id")) & corner)
+    return met.where(iou("l_", "r_") >= least).drop("l_tx", "l_ty", "r_tx", "r_ty")
+
+
 # Fixed values in the rules below: the shares, ratios and pixels that decide them.
 def same_region(a: str, b: str) -> Column:
     """Boxes that overlap by a fifth, or whose centres are near for the first one's size."""

@@ -294,12 +294,8 @@ def box_iou_join(spark, sf_dir):
     k = F.col("p_partkey")
     x1, y1 = (k % 97).cast("int"), (k % 89).cast("int")
     rows = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_size").alias("kind"), x1.alias("x1"), y1.alias("y1"), (x1 + 5 + (k % 11).cast("int")).alias("x2"), (y1 + 5 + (k % 7).cast("int")).alias("y2"))
-    # tiles of 16 pixels: a pair meets in the tile of its common corner
-    tiles = F.explode(F.expr("flatten(transform(sequence(x1 div 16, x2 div 16), i -> transform(sequence(y1 div 16, y2 div 16), j -> i * 1000 + j)))")).alias("tile")
-    l, r = (rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns], tiles).withColumnRenamed("tile", f"{p}_tile") for p in "lr")
-    corner = F.expr("(greatest(l_x1, r_x1) div 16) * 1000 + greatest(l_y1, r_y1) div 16")
-    met = l.join(r, (F.col("l_kind") == F.col("r_kind")) & (F.col("l_tile") == F.col("r_tile")) & (F.col("l_id") < F.col("r_id")) & (F.col("l_tile") == corner))
-    return met.where(boxes.iou("l_", "r_") >= 0.3).select("l_id", "r_id", F.round(boxes.iou("l_", "r_"), 6).alias("iou"), F.round(boxes.over_smaller("l_", "r_"), 6).alias("over_smaller"))
+    met = boxes.overlapping(rows, ["kind"], 0.3, 8)
+    return met.select("l_id", "r_id", F.round(boxes.iou("l_", "r_"), 6).alias("iou"), F.round(boxes.over_smaller("l_", "r_"), 6).alias("over_smaller"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")

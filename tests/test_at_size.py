@@ -1,6 +1,6 @@
 """Work that must not grow with what repeats: counted on small tables."""
 
-from spanloom.operators import addresses, fuzzy, graph, jobs
+from spanloom.operators import addresses, boxes, fuzzy, graph, jobs
 from spanloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -53,3 +53,17 @@ def test_reads_are_not_shuffled_and_long_keys_meet_on_long_anchors(spark):
     assert {r.track_id: r.remembered for r in out.collect()} == {1: ["exampl", "examplecom"], 2: ["exampl", "examplecom", "examplecom" * 3], 3: ["abcdefghijklmn", "exampl"]}
     assert "hashpartitioning(read" not in out._jdf.queryExecution().executedPlan().toString()
     assert addresses.remembered_in(tracks, spark.createDataFrame([], "key string")).count() == 0
+
+
+def test_boxes_meet_in_many_tasks_and_in_the_tile_of_what_they_share(spark):
+    rows = [(i, i % 2, i * 7 % 40, i * 5 % 30, i * 7 % 40 + 5 + i % 11, i * 5 % 30 + 5 + i % 7) for i in range(150)] + [(900, 0, 3, 3, 3, 9)]
+    out = boxes.overlapping(spark.createDataFrame(rows, "id int, kind int, x1 int, y1 int, x2 int, y2 int"), ["kind"], 0.3, 8)
+
+    def share(a, b):
+        common = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        return common / max(1, (a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - common)
+
+    got = [(r.l_id, r.r_id) for r in out.collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and share(a, b) >= 0.3}
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
