@@ -8,7 +8,10 @@ longest chain of owners that wait for each other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators import boxes
@@ -25,6 +28,8 @@ BRANDS = ["external_brand", "external_brand_candidate"]
 OWN_CARDS = ["opening_promotion", "branded_end_card", "promotional_segment", "scene_text", "subtitle", "title_overlay", "repeated_watermark"]
 PERSISTENT, TITLE = "persistent_overlay", "title_overlay"
 SIDES = ["x1", "y1", "x2", "y2"]
+# Rounds after which what owners have taken is put together.
+MERGED = 16
 
 
 def _tiled(rows: DataFrame, tile: int) -> DataFrame:
@@ -33,9 +38,12 @@ def _tiled(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def _beside(a: DataFrame, b: DataFrame, tile: int) -> DataFrame:
-    """(source, a, b): pairs of rows of one source whose boxes share a tile, once each."""
+    """(source, a, b): pairs of rows of one source whose boxes share a tile, once each.
+
+    The file that rows come from says little about their size in tiles, so neither side is collected to be broadcast.
+    """
     pack = lambda rows, name: _tiled(rows, tile).select("source", "tx", "ty", F.struct(*[c for c in rows.columns if c != "source"]).alias(name))
-    met = pack(a, "a").join(pack(b, "b"), ["source", "tx", "ty"])
+    met = pack(a, "a").hint("merge").join(pack(b, "b"), ["source", "tx", "ty"])
     # of the tiles that both touch the first one counts
     first = (F.col("tx") == F.floor(F.greatest("a.x1", "b.x1") / tile)) & (F.col("ty") == F.floor(F.greatest("a.y1", "b.y1") / tile))
     return met.where(first & (F.col("a.item_id") != F.col("b.item_id"))).drop("tx", "ty")
@@ -90,7 +98,9 @@ def claims(items: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     whole = items.where(F.col("x1").isNotNull()).withColumn("approved", approved)
     owners = whole.where(F.col("category").isin("visual_logo", "text") & (F.col("candidate") == PERSISTENT)).withColumn("rank", F.struct(rank.alias("r"), F.col("item_id").alias("i")))
     cards = whole.where(F.col("category").isin("visual_logo", "text"))
-    pairs = _beside(owners, cards, tile).withColumnsRenamed({"a": "o", "b": "i"}).withColumn("share", boxes.over_smaller("o.", "i."))
+    own, other = ["approved", "dialogue", "rank"], ["candidate", "kind", "approved", "absorbable", "classification", "suggestion"]
+    both = ["source", "item_id", "category", "start", "end", *SIDES, "decision"]
+    pairs = _beside(owners.select(*both, *own), cards.select(*both, *other), tile).withColumnsRenamed({"a": "o", "b": "i"}).withColumn("share", boxes.over_smaller("o.", "i."))
     text = (F.col("o.category") == "visual_logo") & (F.col("i.category") == "text") & F.coalesce(F.col("i.candidate") == PERSISTENT, F.lit(False)) & (F.col("share") >= F.when(F.col("o.approved"), APPROVED_TRACK).otherwise(TRACK)) & (F.col("i.start") < F.col("o.end")) & (F.col("i.end") > F.col("o.start"))
     kept = F.coalesce(F.col("i.candidate").isin(OWN_CARDS), F.lit(False)) | F.coalesce(F.col("i.kind") == TITLE, F.lit(False))
     covered = ~F.col("i.approved") | F.col("o.approved") | (boxes.coverage("i.", "o.") >= APPROVED)
@@ -112,39 +122,35 @@ def absorbed(items: DataFrame, duration: float, tile: int = 128, rounds: int = 1
     """
     checkpointed(items.sparkSession)
     owners, may = claims(items, tile)
-    may = may.checkpoint()
-    # owners compete if one may absorb the other, or both the same card
-    want = may.select("source", F.col("o.item_id").alias("owner"), F.col("o.rank").alias("rank"), F.col("i.item_id").alias("item_id"))
+    at = lambda c, *names: F.struct(*[f"{c}.{n}" for n in names]).alias(c)
+    may = may.select("source", F.col("o.item_id").alias("owner"), F.col("o.rank").alias("rank"), F.col("i.item_id").alias("item_id"), at("o", "start", "end"), at("i", "item_id", "start", "end", "suggestion", *SIDES), "text", "card", "inside")
+    # owners compete if one may absorb the other, or both the same card: an owner claims itself as well
     self_ = owners.select("source", F.col("item_id").alias("owner"), "rank", "item_id")
-    every = want.unionByName(self_)
-    a, b = (every.select("source", F.col("owner").alias(f"{p}_owner"), F.col("rank").alias(f"{p}_rank"), "item_id") for p in "ab")
-    waits = a.join(b, ["source", "item_id"]).where("a_rank < b_rank").select("source", "a_owner", "b_owner").distinct().checkpoint()
-    open_ = self_.select("source", "owner").checkpoint()
-    out = None
+    left = may.unionByName(self_, allowMissingColumns=True).checkpoint()
+    out = []
     for _ in range(rounds):
-        if open_.isEmpty():
+        if left.isEmpty():
             break
-        held = waits.join(open_.withColumnRenamed("owner", "a_owner"), ["source", "a_owner"], "left_semi").select("source", F.col("b_owner").alias("owner")).distinct()
-        ready = open_.join(held, ["source", "owner"], "left_anti")
-        # a card that acts now may only have been taken before; what is taken now is wanted by no other ready owner
-        turn = may.withColumn("owner", F.col("o.item_id")).join(ready, ["source", "owner"], "left_semi")
-        if out is not None:
-            turn = turn.withColumn("item_id", F.col("i.item_id")).join(out.select("source", "item_id"), ["source", "item_id"], "left_anti")
-        taken = _turn(turn, duration).checkpoint()
-        out = taken if out is None else out.unionByName(taken).checkpoint()
-        done = ready.unionByName(taken.select("source", F.col("item_id").alias("owner")))
-        open_ = open_.join(done, ["source", "owner"], "left_anti").checkpoint()
+        # ready are those who come first for all that they claim; what they take now no other ready owner claims
+        first = F.min("rank").over(W.partitionBy("source", "item_id"))
+        ready = left.withColumn("first", first).groupBy("source", "owner").agg(F.bool_and(F.col("rank") == F.col("first")).alias("ready")).where("ready").select("source", "owner").checkpoint()
+        taken = _turn(left.where("i is not null").join(ready, ["source", "owner"], "left_semi"), duration).checkpoint()
+        # claims on what is gone hold nobody up
+        gone = taken.select("source", "item_id")
+        done = ready.unionByName(gone.withColumnRenamed("item_id", "owner"))
+        left = left.join(done, ["source", "owner"], "left_anti").join(gone, ["source", "item_id"], "left_anti").checkpoint()
+        out.append(taken)
+        if len(out) == MERGED:
+            out = [reduce(DataFrame.unionByName, out).checkpoint()]
     else:
         raise RuntimeError(f"owners unfinished after {rounds} rounds")
-    if out is None:
-        return _turn(may.limit(0), duration)
-    return out
+    return reduce(DataFrame.unionByName, out) if out else _turn(left.where("i is not null"), duration)
 
 
 def _turn(turn: DataFrame, duration: float) -> DataFrame:
     """What owners take when it is their turn, from what they may still have."""
     key = ["source", "owner"]
-    rows = turn.withColumn("owner", F.col("o.item_id"))
+    rows = turn
     track = rows.where("text").groupBy(*key).agg(F.min_by("i", "i.item_id").alias("t"))
     rows = rows.join(track, key, "left")
     joined = F.col("t").isNotNull()

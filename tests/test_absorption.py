@@ -119,3 +119,13 @@ def test_trimmed_boxes(spark):
     got = {r.source: (r.method, r.support, tuple(r[s] for s in ("x1", "y1", "x2", "y2"))) for r in absorption.refined_regions(frame(spark, cards)).where("item_id = 1").collect()}
     assert got == {name: want for name, _, want in TRIMS if want}
     assert absorption.refined_regions(frame(spark, [])).count() == 0
+
+
+def test_cards_in_tiles_are_not_broadcast(spark, tmp_path):
+    """The size of a small file says little about its rows in tiles, which a driver can't hold."""
+    frame(spark, crowd(random.Random(5), 40)).write.parquet(f"{tmp_path}/cards")
+    cards = spark.read.parquet(f"{tmp_path}/cards")
+    _, may = absorption.claims(cards, 128)
+    plan = may._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert "labels" not in plan and "refs" not in plan
