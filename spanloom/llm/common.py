@@ -18,6 +18,9 @@ from spanloom.sources.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
+# Parquet looks at sizes after 100 rows at first.
+WIDE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _U = np.uint64
@@ -47,9 +50,14 @@ class Staged:
         ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/staged-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+        """Writes a table and reads it again. The rows of a ``wide`` one have megabytes: writers look at the size
+        of what they hold after each row, and readers, who take a row group at once, find few rows in one."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        how = df.write.mode("overwrite").option("compression", "zstd")
+        for option, value in WIDE_ROWS.items() if wide else ():
+            how = how.option(option, value)
+        how.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -111,7 +111,7 @@ def postings(docs: DataFrame, staged: Staged, shard_bytes: int = SHARD_BYTES) ->
         if waiting:
             yield from made()
 
-    return staged.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, POSTINGS), "postings")
+    return staged.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, POSTINGS), "postings", wide=True)
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def build_index(docs: DataFrame, staged: Staged, shard_bytes: int = SHARD_BYTES)
                     doc = np.concatenate((doc[~one], doc[one]))
                 yield as_row({"shard": row.column("shard")[0].as_py(), "doc_ids": row.column("doc_ids")[0].values, "terms": terms, "offs": offs, "impacts": value.astype(np.int32), "bits": b"".join(bits), "zeros": zeros}, names)
 
-    shards = staged.write(lists.mapInArrow(run, INDEX), "index")
+    shards = staged.write(lists.mapInArrow(run, INDEX), "index", wide=True)
     staged.drop("postings")
     return Index(shards, seen.s, n_docs, n_terms)
 
@@ -308,25 +308,31 @@ def search(index: Index, items: DataFrame, staged: Staged, k: int = 50) -> DataF
     lots = max(1, -(-index.n_shards // LOT_SHARDS))
     blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
 
-    def run(shards: pa.Table, asking: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards of a lot as they come, each with the items of the block; one is held at a time."""
         none = np.zeros(0, np.int64)
-        found, n = (none, none, none), len(asking)
-        asking = asking.combine_chunks()
-        terms = asking.column("terms").combine_chunks() if n else None
-        if n:
-            query = np.repeat(np.arange(n), np.diff(terms.offsets.to_numpy()))
-            hashes, weights = terms.flatten().to_numpy().view(np.uint64), asking.column("weights").combine_chunks().flatten().to_numpy()
-            for row in shards.to_batches(max_chunksize=1):
+        found, asking = (none, none, none), None
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                if asking is None:
+                    asking = pa.RecordBatch.from_struct_array(row.column("asking").flatten())
+                    # a copy: the slices would hold the batch with its shards
+                    asking = asking.take(pa.array(np.arange(len(asking))))
+                    query = np.repeat(np.arange(len(asking)), np.diff(asking.column("terms").offsets.to_numpy()))
+                    hashes, weights = asking.column("terms").flatten().to_numpy().view(np.uint64), asking.column("weights").flatten().to_numpy()
                 values = {c: row.column(c)[0].as_py() for c in ("terms", "offs", "impacts", "bits", "zeros")}
                 values["doc_ids"] = row.column("doc_ids")[0].values.fill_null(NO_ID).to_numpy()
-                found = search_shard(Tree(values), query, hashes, weights, found, k, n)
-        which = pa.array(found[0])
-        doc = pa.array(found[2], mask=found[2] == NO_ID)
-        return pa.table([asking.column("item_id").take(which), asking.column("digest").take(which), doc, pa.array(found[1])], ["item_id", "digest", "doc_id", "score"])
+                found = search_shard(Tree(values), query, hashes, weights, found, k, len(asking))
+        if asking is not None:
+            which = pa.array(found[0])
+            doc = pa.array(found[2], mask=found[2] == NO_ID)
+            yield pa.RecordBatch.from_arrays([asking.column("item_id").take(which), asking.column("digest").take(which), doc, pa.array(found[1])], ["item_id", "digest", "doc_id", "score"])
 
     dealt = index.shards.withColumn("lot", F.pmod(F.xxhash64("shard"), F.lit(lots))).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    wanted = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "digest"), F.lit(blocks))).withColumn("lot", F.explode(F.expr(f"sequence(0L, {lots - 1}L)")))
-    hits = dealt.groupBy("lot", "block").cogroup(wanted.groupBy("lot", "block")).applyInArrow(run, "item_id long, digest string, doc_id long, score long")
+    wanted = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "digest"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("item_id", "digest", "terms", "weights")).alias("asking"))
+    wanted = wanted.withColumn("lot", F.explode(F.expr(f"sequence(0L, {lots - 1}L)")))
+    hits = dealt.join(wanted, ["lot", "block"]).groupBy("lot", "block").applyInArrow(run, "item_id long, digest string, doc_id long, score long")
     order = W.partitionBy("item_id", "digest").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

@@ -122,3 +122,30 @@ def test_bounds_leave_most_of_a_shard_unopened(spark, monkeypatch):
     found = lexical.search_shard(tree, np.zeros(2, np.int64), word, np.array([9000, 1]), (none, none, none), 10, 1)
     assert len(found[0]) == 10 and all(d % 50 == 0 for d in found[2])
     assert sum(seen) < 4 * 2000  # about 16,000 with all nodes, for both terms at both ends
+
+
+def test_few_shards_are_held_at_once(spark, tmp_path):
+    """Row groups of few shards, and lots that come to the search in parts."""
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 31 + j * 7) % 5000}" for j in range(400))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    staged = Staged(spark)
+    index = lexical.build_index(docs, staged, 300_000)
+    files = [f for f in spark.read.parquet(f"{staged.root}/index").inputFiles()]
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert index.n_shards > 20 and sum(g.num_rows for g in groups) == index.n_shards
+
+    def noise(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng(i).bytes(9_000_000)])], ["b"])
+
+    staged.write(spark.range(0, 12, 1, 1).mapInArrow(noise, "b binary"), "large", wide=True)
+    (large,) = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in spark.read.parquet(f"{staged.root}/large").inputFiles()]
+    assert max(large.row_group(i).num_rows for i in range(large.num_row_groups)) <= 3
+    items = spark.createDataFrame([(1, "w1 w8 w4321"), (2, "w77 nothing")], "item_id long, text string")
+    hits = lexical.search(index, items, staged, 10)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
+    few = lexical.ranked(docs, items, 10)  # one shard
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, few.collect()))
