@@ -23,7 +23,8 @@ from spanloom.llm.common import Staged, components
 from spanloom.llm.simhash import stars
 
 SLACK = 1e-9
-CELL_ROWS = 16_000
+CELL_ROWS = 64_000
+LEAST_ROWS = 2_000
 CELL_BITS = 12
 
 
@@ -73,7 +74,7 @@ def dealt(asked: DataFrame, staged: Staged, most: int) -> DataFrame:
     return asking.unionByName(living)
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, grid_dims: int = 2) -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 2, grid_dims: int = 1) -> DataFrame:
     """Links of vectors with a cosine of at least ``cosine`` and their components.
 
     Returns (vec_id, n_links, component_id, kept), a row for each row of vectors. Null and zero
@@ -112,11 +113,13 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
 
     vector = good.schema["v"].dataType.simpleString()
     asked = staged.write(good.select("row", "copies", "v").mapInArrow(place, f"row long, dims int, cell long, home boolean, copies long, v {vector}"), "asked")
+
     def join(table: pa.Table) -> pa.Table:
         dims, block = table.column("dims")[0].as_py(), table.column("cell")[0].as_py() >> 48
         row, home = table.column("row").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
-        x = unit_rows(table.column("v").combine_chunks(), dims)
-        turned = x @ rotation(dims)
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        unit = lambda at: unit_rows(pa.FixedSizeListArray.from_arrays(pa.array(v[at].ravel()), dims), dims)
+        turn = rotation(dims)
         n_blocks = min(blocks, dims)
         edges = [round(dims * k / n_blocks) for k in range(n_blocks + 1)]
         budget = [reach_all * (edges[k + 1] - edges[k]) / dims + SLACK for k in range(n_blocks)]
@@ -127,22 +130,26 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
         nodes, place_of = np.unique(row, return_inverse=True)
         label = np.arange(len(nodes))
         own = slice(edges[block], edges[block + 1])
-        square = (turned[:, own] ** 2).sum(axis=1, keepdims=True)
         # one product gives |x|^2 + |y|^2 - 2xy; single precision only proposes, with room for its error
-        left = np.concatenate((turned[:, own], square, np.ones_like(square)), axis=1)[asks].astype(np.float32)
-        right = np.concatenate((-2 * turned[:, own], np.ones_like(square), square), axis=1)[here].astype(np.float32).T.copy()
-        for low in range(0, len(asks), 256):  # bounds the table of distances
-            some = asks[low : low + 256]
-            i, j = np.divmod(np.flatnonzero((left[low : low + 256] @ right <= budget[block] + 1e-4).ravel()), len(here))
+        near_by = np.empty((len(row), edges[block + 1] - edges[block] + 1), np.float32)
+        for low in range(0, len(row), 4096):  # doubles of some rows at a time
+            turned = unit(slice(low, low + 4096)) @ turn[:, own]
+            near_by[low : low + 4096] = np.concatenate((turned, (turned**2).sum(axis=1, keepdims=True)), axis=1)
+        right = np.concatenate((-2 * near_by[here, :-1], np.ones((len(here), 1), np.float32), near_by[here, -1:]), axis=1).T.copy()
+        for low in range(0, len(asks), 128):  # bounds the table of distances
+            some = asks[low : low + 128]
+            left = np.concatenate((near_by[some], np.ones((len(some), 1), np.float32)), axis=1)
+            i, j = np.divmod(np.flatnonzero((left @ right <= budget[block] + 1e-4).ravel()), len(here))
             a, b = some[i], here[j]
             keep = row[a] != row[b]
             a, b, i = a[keep], b[keep], i[keep]
             true = np.zeros(len(a), bool)
             for at in range(0, len(a), 20_000):
-                p, q = a[at : at + 20_000], b[at : at + 20_000]
-                near = (x[p] * x[q]).sum(axis=1) >= cosine
+                x, y = unit(a[at : at + 20_000]), unit(b[at : at + 20_000])
+                near = (x * y).sum(axis=1) >= cosine
+                gaps = ((x - y) @ turn) ** 2
                 for k in range(block + 1):  # this block selects it, and no earlier one, which would have counted it
-                    gap = ((turned[p, edges[k] : edges[k + 1]] - turned[q, edges[k] : edges[k + 1]]) ** 2).sum(axis=1)
+                    gap = gaps[:, edges[k] : edges[k + 1]].sum(axis=1)
                     near &= (gap <= budget[k]) if k == block else (gap > budget[k])
                 true[at : at + 20_000] = near
             np.add.at(links, low + i[true], copies[b[true]])
@@ -151,7 +158,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.95, blocks: int = 8, g
         out, some = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(links)
         return pa.table({"row": pa.array(np.concatenate((row[asks[some]], nodes[out]))), "links": pa.array(np.concatenate((links[some], np.zeros(len(out), np.int64)))), "to": pa.array(np.concatenate((row[asks[some]], nodes[label[out]])))})
 
-    found = staged.write(dealt(asked, staged, CELL_ROWS).groupBy("dims", "cell", "part", "door").applyInArrow(join, "row long, links long, to long"), "found")
+    # smaller blocks for fewer rows, so that many tasks share them
+    most = min(CELL_ROWS, max(LEAST_ROWS, good.count() // 6))
+    found = staged.write(dealt(asked, staged, most).groupBy("dims", "cell", "part", "door").applyInArrow(join, "row long, links long, to long"), "found")
     linked = components(spark, found.where("row <> to").select(F.col("row").alias("a"), F.col("to").alias("b")), staged)
     count = found.groupBy("row").agg(F.sum("links").alias("n_links"))
     members = good.join(linked, F.col("row") == F.col("id"), "left").select("row", "v", "copies", "first", F.coalesce("component", "row").alias("component"))

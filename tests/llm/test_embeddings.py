@@ -47,3 +47,11 @@ def test_blocks_of_a_full_cell_are_bounded_on_both_sides(spark):
     asks, lives = dealt.where("not home").select("row", "part", "door"), dealt.where("home").select(F.col("row").alias("other"), "part", "door")
     met = asks.join(lives, ["part", "door"]).groupBy("row", "other").count()
     assert met.count() == 2000 * 1000 and met.where("count > 1").count() == 0
+
+
+def test_a_vector_stands_in_few_cells(spark, monkeypatch):
+    held, real = [], embeddings.dealt
+    monkeypatch.setattr(embeddings, "dealt", lambda asked, staged, most: held.append(asked.count()) or real(asked, staged, most))
+    x = np.random.default_rng(3).normal(size=(500, 64)).astype(np.float32)
+    assert embeddings.near_embeddings(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).count() == 500
+    assert held[0] < 6 * 500
