@@ -113,8 +113,11 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_links(values: DataFrame, budget: int, staged: Staged, node_rows: int = 20_000) -> DataFrame:
-    """Links (a, b) that join all values (fp, distinct) within ``budget`` bits of each other."""
+def trie_links(values: DataFrame, budget: int, staged: Staged, node_rows: int = 20_000, direct: bool = False) -> DataFrame:
+    """Links (a, b) that join all values (fp, distinct) within ``budget`` bits of each other.
+
+    With ``direct``, a is linked to the first b that is itself within the budget, not to the first that is reachable.
+    """
     blocks = budget + 2
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     turned = []
@@ -137,7 +140,11 @@ def trie_links(values: DataFrame, budget: int, staged: Staged, node_rows: int =
         fp, node, rest = (table.column(c).to_numpy() for c in ("fp", "node", "rest"))
         order = np.lexsort((rest, node))
         a, b = near_pairs(node[order], rest[order].view(np.uint64), width, budget)
-        label = stars(len(order), a, b)
+        if direct:
+            label = np.arange(len(order))
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        else:
+            label = stars(len(order), a, b)
         out = np.flatnonzero(label != np.arange(len(order)))
         return pa.table({"a": pa.array(fp[order][out]), "b": pa.array(fp[order][label[out]])})
 
@@ -257,14 +264,14 @@ def prefixes(firsts: DataFrame, shingle: int, least: float) -> DataFrame:
     return shared.groupBy("to").applyInArrow(places, "key long, id long, n long, p long, short boolean")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, budget: int = 3) -> DataFrame:
     """One document of each group of copies and near copies: the rows of docs that stay.
 
     Near copies share at least ``least`` of their distinct word shingles (Jaccard); all pairs of them
-    are found. Texts with the same distinct shingles are one set. Sets are joined on the rarest of
-    their shingles (``prefixes``), filtered by size and place, and verified on all of them: first each
-    with one set of a shingle, so that a large group becomes one component, then all pairs of
-    different components. The row of smallest (doc_id, text) of a component stays; of rows that are
+    are found. Texts with the same distinct shingles are one set. Sets are linked by the trie self-join of their
+    fingerprints first, within ``budget`` bits, and each link is verified on the shingles. What is further apart than 64
+    bits can tell is joined on the rarest shingles (``prefixes``), filtered by size and place, and verified too: first each
+    with one set of a shingle, then all pairs of components that are different still. The row of smallest (doc_id, text) of a component stays; of rows that are
     the same in all columns one does. Documents without words are copies of each other.
     """
     spark = docs.sparkSession
@@ -277,12 +284,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
             for batch in chunks(whole, "text", 1 << 22):
                 sets = shingle_sets(batch.column("text"), shingle)
                 ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids.view(np.int64)), pa.array([len(x) for x in sets], pa.int64())], ["row", "id", "n"])
+                # the fingerprint of the distinct shingles, so that a set has one
+                fp = np.array([majority(x[:, None])[0] if len(x) else 0 for x in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp.view(np.int64))], ["row", "id", "n", "fp"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    prints = rows.mapInArrow(digest, f"row {kind}, id long, n long")
+    prints = rows.mapInArrow(digest, f"row {kind}, id long, n long, fp long")
     order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("d"), F.xxhash64("row.text").alias("t"))
-    firsts = staged.write(prints.groupBy("id").agg(F.first("n").alias("n"), F.min_by("row", order).alias("row")), "firsts")
+    firsts = staged.write(prints.groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min_by("row", order).alias("row")), "firsts")
     texts = firsts.select("id", "n", F.col("row.text").alias("text"))
     entries = staged.write(prefixes(texts, shingle, least), "entries")
 
@@ -309,9 +318,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
         need = f"{least / (1 + least)!r} * ({x}.n + {y}.n) - 1e-6"
         return f"least({x}.n, {y}.n) >= {least!r} * greatest({x}.n, {y}.n) - 1e-6 and {x}.n - {x}.p >= {need} and {y}.n - {y}.p >= {need}"
 
-    first = entries.groupBy("key").agg(F.min(F.struct("p", "id", "n")).alias("x"), F.count("*").alias("c")).where("c > 1")
-    near = entries.alias("y").join(first, "key").where(f"x.id <> y.id and {may('x', 'y')}")
-    links = verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "first")
+    held = staged.write(firsts.groupBy("fp").agg(F.min("id").alias("id")), "held")
+    close = trie_links(held.select("fp"), budget, staged, direct=True)
+    ids = lambda c: held.select(F.col("fp").alias(c), F.col("id").alias(f"{c}_id"))
+    close = close.join(ids("a"), "a").join(ids("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    same = firsts.join(held.select("fp", F.col("id").alias("b")), "fp").where("id <> b").select(F.col("id").alias("a"), "b")
+    links = verified(close.union(same), "trie")
+    told = staged.write(components(spark, links, staged), "told")
+    known = staged.write(entries.join(told, "id", "left").select(*entries.columns, F.coalesce("component", "id").alias("part")), "known")
+    first = known.groupBy("key").agg(F.min(F.struct("p", "id", "n", "part")).alias("x"), F.count("*").alias("c")).where("c > 1")
+    near = known.alias("y").join(first, "key").where(f"x.part <> y.part and {may('x', 'y')}")
+    links = staged.write(links.union(verified(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "first")), "links")
     linked = staged.write(components(spark, links, staged), "linked")
     placed = entries.join(linked, "id", "left").select("key", "id", "n", "p", "short", F.coalesce("component", "id").alias("component"))
     placed = staged.write(placed, "placed")

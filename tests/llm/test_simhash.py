@@ -106,3 +106,15 @@ def test_very_long_texts_and_empty_tables(spark):
     assert got[5].component_id == got[3].component_id == 3 and got[5].fingerprint == got[3].fingerprint
     assert got[9].component_id == got[8].component_id == 8 and got[9].fingerprint == "0" * 16 and got[None].component_id is None
     assert simhash.simhash_dedup(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_linked_by_the_trie_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base + ["end"]), " ".join(f"v{rng.randrange(10**6)}" for _ in range(400))]
+    seen, real = [], simhash.trie_links
+    monkeypatch.setattr(simhash, "trie_links", lambda *a, **b: seen.append(out := real(*a, **b)) or out)
+    kept = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    fp = [int(np.array([simhash.majority(np.unique(simhash.shingle_hashes(t.encode(), 5))[:, None])[0]], np.uint64).view(np.int64)[0]) for t in texts]
+    assert len(seen) == 1 and {frozenset(r) for r in seen[0].collect()} == {frozenset(fp[:2])}
