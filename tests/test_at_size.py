@@ -67,3 +67,13 @@ def test_boxes_meet_in_many_tasks_and_in_the_tile_of_what_they_share(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and share(a, b) >= 0.3}
     assert len(got) == len(set(got)) and set(got) == want and want
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_pairs_of_a_kind_are_made_in_cells(spark):
+    """One kind has nearly all rows; each pair comes once, and no task is given a kind whole."""
+    rows = [(i, int(i % 50 == 0), i * 7 % 40) for i in range(300)]
+    out = boxes.paired(spark.createDataFrame(rows, "id int, kind int, x int"), "kind", 3)
+    got = [tuple(r) for r in out.select("l_id", "r_id", "l_kind", "r_kind", "l_x", "r_x").collect()]
+    assert sorted(got) == sorted((a[0], b[0], a[1], b[1], a[2], b[2]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1])
+    plan = QUERIES["box_relations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
