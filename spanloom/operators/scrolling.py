@@ -5,8 +5,7 @@ overlapping stretches of its text. Pieces of one band that follow each other are
 their readings show the same stretch; components that crossed from edge to edge, or whose reading
 moved on, are crossings; crossings that meet are one; other pieces in the band meanwhile go with it.
 
-Pieces meet by equi-joins on source, band and time bucket, readings only if they share a run of four
-letters, which any alignment needs. Of crossings that want each other's pieces the earlier one has
+Pieces meet by equi-joins on source, band and time bucket; their readings are aligned by many tasks. Of crossings that want each other's pieces the earlier one has
 them; that is settled by rounds over the conflicts alone.
 """
 
@@ -23,6 +22,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from spanloom.functions import text
 from spanloom.operators.addresses import track_addresses
+from spanloom.operators.dealing import dealt
 from spanloom.operators.folds import folded
 from spanloom.operators.graph import connected, fallen
 from spanloom.sources.shipping import ship
@@ -63,7 +63,10 @@ def line_up(a: str, b: str) -> tuple[bool, bool]:
     run = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
     shift = run.a - run.b
     low, high = max(0, shift), min(len(a), shift + len(b))
-    if run.size < RUN or high - low < LETTERS or SequenceMatcher(None, a[low:high], b[low - shift : high - shift], autojunk=False).ratio() < ALIKE:
+    if run.size < RUN or high - low < LETTERS:
+        return False, False
+    x, y = a[low:high], b[low - shift : high - shift]
+    if x != y and SequenceMatcher(None, x, y, autojunk=False).ratio() < ALIKE:
         return False, False
     ahead = shift + len(b) - len(a)
     return True, high - low >= LONG and abs(shift) >= SLID and abs(ahead) >= SLID and (shift > 0) == (ahead > 0)
@@ -111,9 +114,9 @@ def links(own: DataFrame, scan: Scan) -> DataFrame:
     each = near.select("source", "side", F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), F.explode("a.readings").alias("first"), F.col("b.readings").alias("others"))
     each = each.select("source", "side", "a", "b", "first", F.explode("others").alias("second"))
     same = each.where("first = second").select("source", "side", "a", "b")
-    other = each.where("first <> second").where(F.arrays_overlap(runs_of_letters(F.col("first")), runs_of_letters(F.col("second"))))
-    alike = other.select("first", "second").distinct().where(lined_up("first", "second")["related"])
-    return same.unionByName(other.join(alike, ["first", "second"]).select("source", "side", "a", "b")).distinct()
+    # pieces that meet in a bucket are few bytes and much work
+    alike = dealt(each.where("first <> second"), "source", "side", "a").where(lined_up("first", "second")["related"]).select("source", "side", "a", "b")
+    return same.unionByName(alike).distinct()
 
 
 def crossed(scan: Scan) -> Column:
@@ -129,19 +132,22 @@ def slid(members: DataFrame, scan: Scan) -> DataFrame:
     """(source, side, component) of those with a wide reading that is an earlier one moved on.
 
     Each different reading of a component is one row with its first and last place, so readings that
-    repeat don't multiply; two of them meet only where they share a run of letters.
+    repeat don't multiply. Most that moved show it in two readings that follow each other; only components
+    that don't are compared whole, where two readings meet if they share a run of letters.
     """
+    key = ["source", "side", "component"]
     wide = members.where(F.col("p.x2") - F.col("p.x1") >= WIDE * scan.width)
-    each = wide.select("source", "side", "component", F.col("p.start").alias("start"), F.posexplode("p.readings").alias("pos", "reading"))
-    place = F.struct("start", "pos", "reading")
-    each = each.groupBy("source", "side", "component", "reading").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    grams = each.withColumn("gram", F.explode(runs_of_letters(F.col("reading"))))
-    a = grams.select("source", "side", "component", "gram", F.col("reading").alias("x"), F.col("first").alias("first_at"))
-    b = grams.select("source", "side", "component", "gram", F.col("reading").alias("y"), F.col("last").alias("last_at"))
     # moved on by six letters and twelve in common: shorter readings can't have
-    pairs = a.join(b, ["source", "side", "component", "gram"]).where(F.col("x") != F.col("y")).where("first_at < last_at").where((F.length("x") >= LONG + SLID) & (F.length("y") >= LONG + SLID))
-    pairs = pairs.select("source", "side", "component", "x", "y").distinct()
-    return pairs.where(lined_up("x", "y")["moved"]).select("source", "side", "component").distinct()
+    each = wide.select(*key, F.col("p.start").alias("start"), F.posexplode("p.readings").alias("pos", "reading")).where(F.length("reading") >= LONG + SLID)
+    place = F.struct("start", "pos", "reading")
+    each = each.groupBy(*key, "reading").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    next_to = each.withColumn("before", F.lag("reading").over(W.partitionBy(*key).orderBy("first"))).where("before is not null")
+    told = dealt(next_to, *key, "reading").where(lined_up("before", "reading")["moved"]).select(*key).distinct().checkpoint()
+    grams = each.join(told, key, "left_anti").withColumn("gram", F.explode(runs_of_letters(F.col("reading"))))
+    a = grams.select(*key, "gram", F.col("reading").alias("x"), F.col("first").alias("first_at"))
+    b = grams.select(*key, "gram", F.col("reading").alias("y"), F.col("last").alias("last_at"))
+    pairs = a.join(b, [*key, "gram"]).where(F.col("x") != F.col("y")).where("first_at < last_at").select(*key, "x", "y").distinct()
+    return told.unionByName(dealt(pairs, *key, "x").where(lined_up("x", "y")["moved"]).select(*key).distinct())
 
 
 def joined(moving: DataFrame, scan: Scan) -> DataFrame:

@@ -157,3 +157,17 @@ def test_query_finds_the_lines_it_was_given(spark):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     long = turns.where(F.length(F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")) > 60).where("turn % 5 <> 4")
     assert got.select("source", "line").distinct().count() >= 0.9 * long.count()
+
+
+def test_components_that_moved_are_mostly_told_by_readings_that_follow_each_other(spark, monkeypatch):
+    """One moved between readings that aren't neighbours, one only stands still; the rest isn't compared whole."""
+    line = "watchnewfilmseverydayonourfreesitewithoutanywaitingatall"
+    other = "aquitedifferentsentenceabouttheweather"
+    told = {1: [line[:36], line[12:48], line[20:]], 2: [line[:36], other, line[12:48]], 3: [line[:36]] * 3, 4: [line[:17], line[8:25]]}
+    rows = [("s", "top", c, (2.0 * k, 0.0, 960.0, [r])) for c, each in told.items() for k, r in enumerate(each)]
+    members = spark.createDataFrame(rows, "source string, side string, component long, p struct<start: double, x1: double, x2: double, readings: array<string>>")
+    graph.checkpointed(spark)
+    held, dealing = [], scrolling.dealt
+    monkeypatch.setattr(scrolling, "dealt", lambda df, *by: held.append(df) or dealing(df, *by))
+    assert sorted(r.component for r in scrolling.slid(members, SCAN).collect()) == [1, 2]
+    assert {r.component for r in held[0].collect()} == {1, 2} and {r.component for r in held[1].collect()} == {2}
