@@ -104,9 +104,11 @@ def context_frames(segments: DataFrame, key: str, fps: float | None = None) -> D
     high = F.least(F.col("count") - 1, F.floor((F.col("before") + length + SLACK) / F.col("width") - 0.5))
     inside = rows.withColumns({"low": low.cast("long"), "high": high.cast("long")}).where("low <= high").withColumn("nth_frame", F.explode(F.sequence("low", "high")))
     offset = F.col("start") + F.least((F.col("nth_frame") + 0.5) * F.col("width") - F.col("before"), length)
-    times = inside.select(key, _snapped(offset, F.col("start"), F.col("end"), fps).alias("t"))
-    empty = segments.where("end >= start").groupBy(key).agg(F.min("start").alias("t")).join(rows.select(key).distinct(), key, "left_anti")
-    return times.unionByName(empty.select(key, F.round("t", 3).alias("t"))).distinct()
+    times = inside.select(key, _snapped(offset, F.col("start"), F.col("end"), fps).alias("t"), F.lit(True).alias("shown"))
+    starts = segments.where("end >= start").groupBy(key).agg(F.round(F.min("start"), 3).alias("t")).withColumn("shown", F.lit(False))
+    # a key has sixteen times at most, so its first start stands beside them and no join looks for keys without any
+    told = times.unionByName(starts).groupBy(key).agg(F.collect_set(F.when(F.col("shown"), F.col("t"))).alias("times"), F.min(F.when(~F.col("shown"), F.col("t"))).alias("first"))
+    return told.select(key, F.explode(F.when(F.size("times") > 0, F.col("times")).otherwise(F.array("first"))).alias("t"))
 
 
 def planned_clips(windows: DataFrame, keyframes: DataFrame, duration: float) -> DataFrame:

@@ -47,6 +47,14 @@ def test_frames_at_equal_measure(spark):
     assert [r.t for r in selection.context_frames(spark.createDataFrame([("s", 10.1, 10.2)], "k string, start double, end double"), "k", 2.0).orderBy("t").collect()][0] == 10.106
 
 
+def test_frames_read_what_is_covered_once(spark):
+    df = spark.createDataFrame([("a", 0.0, 4.0), ("b", 2.0, 2.0)], "k string, start double, end double")
+    out = selection.context_frames(df, "k")
+    assert sorted(r.t for r in out.where("k = 'b'").collect()) == [2.0] and out.count() == 9
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [max(") == 1
+
+
 def test_clips_between_keyframes(spark):
     keys = spark.createDataFrame([("f", float(t), t % 240 == 0) for t in range(0, 2000, 60)], "source string, t double, grid boolean")
     windows = spark.createDataFrame(
