@@ -29,19 +29,22 @@ def shot_context(intervals: DataFrame, samples: DataFrame, cuts: DataFrame, key:
     move outward. Samples and cuts are counted by time buckets, never collected.
     """
     both = F.explode(F.array(
-        F.struct(F.lit(True).alias("opens"), F.col("start").alias("edge"), (F.col("start") + padding).alias("anchor")),
-        F.struct(F.lit(False).alias("opens"), F.col("end").alias("edge"), (F.col("end") - padding).alias("anchor")),
+        F.struct(F.lit(True).alias("opens"), F.col("start").alias("edge")),
+        F.struct(F.lit(False).alias("opens"), F.col("end").alias("edge")),
     ))
     edges = intervals.select(key, "interval_id", "duration", both.alias("e")).select(key, "interval_id", "duration", "e.*")
-    opens, edge, anchor = F.col("opens"), F.col("edge"), F.col("anchor")
-    edges = edges.withColumns({
-        "low": F.when(opens, edge - longest).otherwise(anchor - reach),
-        "high": F.when(opens, anchor + reach).otherwise(edge + longest),
-        "limit": F.when(opens, edge <= EPSILON).otherwise(edge >= F.col("duration") - EPSILON),
-    })
+    opens, edge = F.col("opens"), F.col("edge")
+    # told from the edge at each step, so that they aren't shuffled
+    anchor = F.when(opens, edge + padding).otherwise(edge - padding)
+    limit = F.when(opens, edge <= EPSILON).otherwise(edge >= F.col("duration") - EPSILON)
+    first, last = F.when(opens, edge - longest).otherwise(anchor - reach), F.when(opens, anchor + reach).otherwise(edge + longest)
+    # an edge that is settled has no bounds and is copied to no bucket
+    free = ~F.coalesce(limit, F.lit(False))
+    edges = edges.withColumns({"low": F.when(free, first), "high": F.when(free, last)})
     t, width = F.col("t"), longest + reach
     edges = counted_in(edges, samples.where(F.col("score") >= seed).select(key, "t"), key, width, F.count_if(t < F.col("high")).alias("hits"))
-    seen = edges.withColumns({"low": F.greatest(F.lit(0.0), F.col("low") - margin), "high": F.least("duration", F.col("high") + margin)})
+    open_ = free & (F.col("hits") >= seeds)
+    seen = edges.withColumns({"low": F.when(open_, F.greatest(F.lit(0.0), first - margin)), "high": F.when(open_, F.least("duration", last + margin))})
     before = t <= anchor + EPSILON
     outside = F.when(opens, (t >= edge - longest - EPSILON) & before).otherwise((t > anchor) & (t <= edge + longest + EPSILON))
     inside = F.when(opens, (t > anchor) & (t <= anchor + reach + EPSILON)).otherwise((t >= anchor - reach - EPSILON) & before)
@@ -49,16 +52,16 @@ def shot_context(intervals: DataFrame, samples: DataFrame, cuts: DataFrame, key:
     i1, i2 = F.min(F.when(opens & inside, t)), F.max(F.when(~opens & inside, t))
     edges = counted_in(seen, cuts.select(key, "t"), key, width, F.coalesce(o1, o2).alias("cut"), F.coalesce(i1, i2).alias("other"))
     within = F.when(opens, F.col("cut") >= edge - EPSILON).otherwise(F.col("cut") <= edge + EPSILON)
-    moves = ~F.col("limit") & (F.col("hits") >= seeds) & ~within
+    moves = ~limit & open_ & ~within
     low = F.when(opens, F.col("cut")).otherwise(F.coalesce("other", anchor - reach))
     high = F.when(opens, F.coalesce("other", anchor + reach)).otherwise(F.col("cut"))
-    shots = edges.withColumns({"low": F.when(moves, low), "high": F.when(moves, high)})
+    shots = edges.withColumns({"low": F.when(moves, low), "high": F.when(moves, high)}).drop("other")
     held = lambda least: F.count_if((t < F.col("high")) & (F.col("score") >= least))
     full = F.try_divide(held(context), F.count_if(t < F.col("high"))) >= share
     edges = counted_in(shots, samples.select(key, "t", "score"), key, width, (held(seed) >= seeds).alias("sure"), full.alias("full"))
     passes = F.coalesce(F.col("sure") & F.col("full"), F.lit(False))
     status = (
-        F.when(F.col("limit"), F.when(opens, "at_video_start").otherwise("at_video_end"))
+        F.when(limit, F.when(opens, "at_video_start").otherwise("at_video_end"))
         .when(F.col("hits") < seeds, "too_few_seeds_nearby")
         .when(F.col("cut").isNull(), "no_cut_within_reach")
         .when(within, "cut_inside_interval")

@@ -1,6 +1,6 @@
 """Work that must not grow with what repeats: counted on small tables."""
 
-from spanloom.operators import addresses, boxes, fuzzy, graph, jobs
+from spanloom.operators import addresses, boxes, fuzzy, graph, jobs, shots
 from spanloom.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -77,3 +77,16 @@ def test_all_pairs_of_a_kind_are_made_in_cells(spark):
     assert sorted(got) == sorted((a[0], b[0], a[1], b[1], a[2], b[2]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1])
     plan = QUERIES["box_relations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
+
+
+def test_edges_that_are_settled_are_not_copied_to_buckets(spark, monkeypatch):
+    """Of three intervals two edges are at the limits and three have no seeds nearby; one looks for a cut."""
+    spans = spark.createDataFrame([("a", 1, 0.0, 10.0, 900.0), ("a", 2, 100.0, 110.0, 900.0), ("a", 3, 500.0, 900.0, 900.0)], "k string, interval_id int, start double, end double, duration double")
+    samples = spark.createDataFrame([("a", 100.0 + i / 2, 1.0) for i in range(5)], "k string, t double, score double")
+    cuts = spark.createDataFrame([("a", 96.0), ("a", 104.0)], "k string, t double")
+    bounded, real = [], shots.counted_in
+    monkeypatch.setattr(shots, "counted_in", lambda windows, *rest: bounded.append(windows.where("low is not null")) or real(windows, *rest))
+    got = {r.interval_id: tuple(r)[1:] for r in shots.shot_context(spans, samples, cuts, "k", 0.9, 0.5, 1.0, seeds=5).collect()}
+    assert got[1] == (0.0, 10.0, "at_video_start", "too_few_seeds_nearby") and got[3] == (500.0, 900.0, "too_few_seeds_nearby", "at_video_end")
+    assert got[2][0] == 96.0 and got[2][2] == "extended"
+    assert [w.count() for w in bounded][0] == 4 and bounded[1].where("interval_id <> 2").count() == 0
