@@ -79,6 +79,31 @@ def test_all_pairs_of_a_kind_are_made_in_cells(spark):
     assert "REPARTITION_BY_NUM" in plan and "Broadcast" not in plan
 
 
+def test_blocks_of_pairs_are_bounded_and_odd_ids_are_paired(spark, monkeypatch):
+    """Ids lie unevenly, repeat or are missing; a key gets as many blocks as its rows need."""
+    monkeypatch.setattr(boxes, "BLOCK", 20)
+    monkeypatch.setattr(boxes, "STRIP", 8)
+    rows = [(i**3 - 9000, 0, i * 7 % 13) for i in range(200)] + [(5, 1, i) for i in range(3)] + [(6, 1, 0), (None, 1, 1), (8, None, 2), (9, None, 3), (1, 2, 1)]
+    out = boxes.paired(spark.createDataFrame(rows, "id long, kind int, x int"), "kind", 2, (["x"], ["x"]))
+    got = [tuple(r) for r in out.select("l_id", "r_id", "l_kind", "r_kind", "l_x", "r_x").collect()]
+    known = [r for r in rows if None not in r]
+    assert sorted(got) == sorted((a[0], b[0], a[1], b[1], a[2], b[2]) for a in known for b in known if a[0] < b[0] and a[1] == b[1])
+    assert out.schema["l_id"].dataType.simpleString() == "bigint" and boxes.paired(spark.createDataFrame([], "id long, kind int, x int"), "kind").count() == 0
+    seen, real = [], boxes.dealt
+    monkeypatch.setattr(boxes, "dealt", lambda rows, *by: seen.append(rows) or real(rows, *by))
+    boxes.paired(spark.createDataFrame(rows, "id long, kind int, x int"), "kind", 2)
+    cells = [len(r.l_rows) for r in seen[0].collect()]
+    assert 0 < max(cells) <= 2 * boxes.BLOCK
+
+
+def test_pairs_are_written_in_few_bytes(spark, tmp_path):
+    """The result is the square of its input, so what a written row takes decides whether it fits the disk."""
+    spark.range(1200).selectExpr("id AS p_partkey", "7 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    QUERIES["box_relations"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1200 * 1199 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3.3 * 1200 * 1199 / 2
+
+
 def test_edges_that_are_settled_are_not_copied_to_buckets(spark, monkeypatch):
     """Of three intervals two edges are at the limits and three have no seeds nearby; one looks for a cut."""
     spans = spark.createDataFrame([("a", 1, 0.0, 10.0, 900.0), ("a", 2, 100.0, 110.0, 900.0), ("a", 3, 500.0, 900.0, 900.0)], "k string, interval_id int, start double, end double, duration double")
