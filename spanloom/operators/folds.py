@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators import boxes
+from spanloom.operators.dealing import dealt
 from spanloom.sources.shipping import ship
 
 
@@ -27,11 +28,11 @@ def runs(rows: DataFrame, key: str, start: str, end: str, gap: float) -> DataFra
     return marked.withColumn("run", F.sum("opens").over(W.partitionBy(key).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0))).drop("opens")
 
 
-def folded(rows: DataFrame, keys: list[str], order: list, fold: Callable[[Iterator], Iterator[tuple]], schema: str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list, fold: Callable[[Iterator], Iterator[tuple]], schema: str, deal: bool = False) -> DataFrame:
     """Folds the rows of each key in order: ``fold`` takes an iterator of them and yields result rows.
 
     Rows stream through the sorted partitions, so a fold holds its own state only, and many short
-    runs cost no more than one long one.
+    runs cost no more than one long one. ``deal``: a fold that works long on few bytes goes to many tasks.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -42,7 +43,7 @@ def folded(rows: DataFrame, keys: list[str], order: list, fold: Callable[[Iterat
         while some := list(itertools.islice(told, 10_000)):
             yield pd.DataFrame(some, columns=names)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return (dealt(rows, *keys) if deal else rows.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def bounded_sessions(rows: DataFrame, gap: float, span: float) -> DataFrame:

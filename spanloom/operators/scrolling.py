@@ -5,12 +5,15 @@ overlapping stretches of its text. Pieces of one band that follow each other are
 their readings show the same stretch; components that crossed from edge to edge, or whose reading
 moved on, are crossings; crossings that meet are one; other pieces in the band meanwhile go with it.
 
-Pieces meet by equi-joins on source, band and time bucket; their readings are aligned by many tasks. Of crossings that want each other's pieces the earlier one has
+A band is cut at pauses that no link can cross. Nearly every run between two pauses is short, and one fold of it
+links its pieces and tells which of its components moved; only runs of many readings go through equi-joins on source, band and
+time bucket and through rounds of components. Of crossings that want each other's pieces the earlier one has
 them; that is settled by rounds over the conflicts alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -24,7 +27,7 @@ from spanloom.functions import text
 from spanloom.operators.addresses import track_addresses
 from spanloom.operators.dealing import dealt
 from spanloom.operators.folds import folded
-from spanloom.operators.graph import connected, fallen
+from spanloom.operators.graph import checkpointed, connected, fallen
 from spanloom.sources.shipping import ship
 
 # Share of the height of a band, overlap that pieces need, seconds a piece lasts at most, letters of a
@@ -32,6 +35,8 @@ from spanloom.sources.shipping import ship
 # gained by a reading that moved, width of the pieces that show it, height of a piece without links, width that a last reading may still have.
 BAND, OVERLAP, LONGEST, LETTERS, RUN, ALIKE = 0.25, 0.5, 45.0, 6, 4, 0.75
 LONG, EDGE, SLID, WIDE, HEIGHT, TAIL, SLACK = 12, 0.05, 6, 0.5, 0.5, 0.3, 0.001
+# Readings of a run that is folded by one task, longer ones are joined by many; crossings that a run can number.
+SHORT, NUMBERS = 500, 1 << 32
 FIXED_ROUTINGS = ["REVIEW_PERSISTENT_OVERLAY", "LIKELY_TITLE_OVERLAY", "REVIEW_POLICY_OVERRIDE"]
 FIXED_CANDIDATES = ["persistent_overlay", "title_overlay"]
 SUBTITLE = "LIKELY_SUBTITLE"
@@ -55,15 +60,24 @@ class Scan:
         return LONGEST + self.gap + 1
 
 
+def longest_run(a: str, b: str) -> tuple[int, int, int]:
+    """The longest run of letters that two texts share, the first one in a and then in b: (place in a, place in b, length), as difflib finds it."""
+    at = size = 0
+    for i in range(len(a)):
+        while i + size < len(a) and a[i : i + size + 1] in b:
+            at, size = i, size + 1
+    return at, b.find(a[at : at + size]), size
+
+
 def line_up(a: str, b: str) -> tuple[bool, bool]:
     """Whether two readings show one stretch of a line, and whether the second is the first moved on.
 
     Their longest common run says how they lie against each other; what both cover must be alike.
     """
-    run = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-    shift = run.a - run.b
+    at, where, size = longest_run(a, b)
+    shift = at - where
     low, high = max(0, shift), min(len(a), shift + len(b))
-    if run.size < RUN or high - low < LETTERS:
+    if size < RUN or high - low < LETTERS:
         return False, False
     x, y = a[low:high], b[low - shift : high - shift]
     if x != y and SequenceMatcher(None, x, y, autojunk=False).ratio() < ALIKE:
@@ -150,6 +164,100 @@ def slid(members: DataFrame, scan: Scan) -> DataFrame:
     return told.unionByName(dealt(pairs, *key, "x").where(lined_up("x", "y")["moved"]).select(*key).distinct())
 
 
+def cut(own: DataFrame, scan: Scan) -> DataFrame:
+    """Adds ``part`` to pieces: the number of the run of their band between pauses, and ``weight``: readings in it, more than ``SHORT`` if a box isn't a number."""
+    odd = [F.isnan(f"p.{c}") for c in ("x1", "y1", "x2", "y2")]
+    one = F.when(F.coalesce(F.greatest(*odd), F.lit(False)), SHORT + 1).otherwise(F.greatest(F.lit(1), F.coalesce(F.size("p.texts"), F.lit(1)))).cast("long")
+    band = W.partitionBy("source", "side").orderBy("p.start", "track_id")
+    opens = F.coalesce((F.col("p.start") > F.max("p.end").over(band.rowsBetween(W.unboundedPreceding, -1)) + scan.gap).cast("long"), F.lit(1))
+    parted = own.where("source is not null and track_id is not null").withColumn("opens", opens).withColumn("part", F.sum("opens").over(band.rowsBetween(W.unboundedPreceding, 0)))
+    return parted.withColumn("weight", F.sum(one).over(W.partitionBy("source", "side", "part"))).drop("opens")
+
+
+def moved_in_run(scan: Scan) -> Callable[[Iterator], Iterator[tuple]]:
+    """A fold of one run's pieces in order: the members of its crossings, numbered. What ``links``, ``connected``, ``crossed``, ``slid`` and ``joined`` tell, for a run that fits a task."""
+    edge = EDGE * scan.width
+
+    def level(a, b) -> bool:
+        return max(0.0, min(a.y2, b.y2) - max(a.y1, b.y1)) / max(1.0, min(a.y2 - a.y1, b.y2 - b.y1)) >= OVERLAP
+
+    def meet(a, b) -> bool:
+        return max(a.start, b.start) <= min(a.end, b.end) + scan.gap and level(a, b)
+
+    def related(a, b) -> bool:
+        return level(a, b) and any(x == y or line_up(x, y)[0] for x in a.readings for y in b.readings)
+
+    def crosses(members: list) -> bool:
+        boxed = [r for r in members if r.x1 is not None and r.x2 is not None]
+        right = [r.start for r in boxed if r.x2 >= scan.width - edge and r.x1 > edge]
+        left = [r.start for r in boxed if r.x1 <= edge and r.x2 < scan.width - edge]
+        return bool(right and left) and (min(right) < max(left) or min(left) < max(right))
+
+    def slides(members: list) -> bool:
+        first, last = {}, {}
+        for r in members:
+            if r.x1 is not None and r.x2 is not None and r.x2 - r.x1 >= WIDE * scan.width:
+                for place in ((r.start, i, x) for i, x in enumerate(r.readings) if len(x) >= LONG + SLID):
+                    first[place[2]], last[place[2]] = min(place, first.get(place[2], place)), max(place, last.get(place[2], place))
+        order = sorted(first, key=first.get)
+        return any(line_up(x, y)[1] for x, y in zip(order, order[1:])) or any(x != y and first[x] < last[y] and line_up(x, y)[1] for x in order for y in order)
+
+    def fold(rows: Iterator) -> Iterator[tuple]:
+        own, root, live = list(rows), [], []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, b in enumerate(own):
+            root.append(i)
+            live = [j for j in live if b.start <= own[j].end + scan.gap]
+            for j in reversed(live):  # the nearest first, since what already hangs together needn't be aligned
+                if top(j) != top(i) and related(own[j], b):
+                    root[top(i)] = top(j)
+            live.append(i)
+        parts: dict[int, list] = {}
+        for i, r in enumerate(own):
+            parts.setdefault(top(i), []).append(r)
+        # in the order of their first pieces, as the pieces are
+        told = [m for m in parts.values() if max(r.letters for r in m) >= LONG and (crosses(m) or slides(m))]
+        run = 0
+        for no, members in enumerate(told, 1):
+            met = next((k for k in range(no - 1, 0, -1) if any(meet(a, b) for a in told[k - 1] for b in members)), 0)
+            run = run if run and met >= run else no
+            yield from ((r.source, r.side, r.track_id, r.part * NUMBERS + run) for r in members)
+
+    return fold
+
+
+def moved(own: DataFrame, scan: Scan) -> DataFrame:
+    """(source, side, track_id, run) of the pieces of crossings, numbered in order of time."""
+    key = ["source", "side", "component"]
+    parts = cut(own, scan)
+    read = parts.where("p.letters > 0").where(F.col("weight") <= SHORT)
+    flat = read.select("source", "side", "part", "track_id", *[f"p.{c}" for c in ("start", "end", "x1", "y1", "x2", "y2", "readings", "letters")])
+    kinds = {c: own.schema[c].dataType.simpleString() for c in ("source", "track_id")}
+    short = folded(flat, ["source", "side", "part"], ["start", "track_id"], moved_in_run(scan), f"source {kinds['source']}, side string, track_id {kinds['track_id']}, run long", deal=True)
+    # few bytes by now: small partitions are put together again before each later step writes one file for each
+    short = short.repartition("source", "side", "track_id")
+    checkpointed(own.sparkSession)
+    long = parts.where(F.col("weight") > SHORT).select("source", "side", "part").distinct().checkpoint()
+    if long.isEmpty():
+        return short
+    own = parts.join(long, ["source", "side", "part"], "left_semi").drop("weight")
+    edges = links(own.drop("part"), scan)
+    node = lambda c: F.struct("source", "side", F.col(c).alias("track_id"))
+    found = connected(edges.select(node("a").alias("a"), node("b").alias("b"))).select("id.*", F.col("component.track_id").alias("component"))
+    members = own.where("p.letters > 0").join(found, ["source", "side", "track_id"], "left").withColumn("component", F.coalesce("component", "track_id"))
+    told = members.groupBy(*key).agg(F.max("p.letters").alias("letters"), crossed(scan).alias("direction")).where(F.col("letters") >= LONG)
+    still = told.where("direction is null").select(*key)
+    gone = told.where("direction is not null").select(*key).unionByName(slid(members.join(still, key, "left_semi"), scan)).checkpoint()
+    # no crossing goes beyond its part
+    crossings = joined(members.join(gone, key, "left_semi"), scan).withColumn("run", F.col("part") * NUMBERS + F.col("run"))
+    return short.unionByName(crossings.select("source", "side", "track_id", "run"))
+
+
 def joined(moving: DataFrame, scan: Scan) -> DataFrame:
     """Numbers the crossings: adds ``run`` to the pieces (source, side, component, track_id, p) of moving components.
 
@@ -207,15 +315,7 @@ def scrolling_lines(tracks: DataFrame, scan: Scan) -> DataFrame:
     """
     ship(tracks.sparkSession)
     own = pieces(tracks, scan)
-    edges = links(own, scan)
-    node = lambda c: F.struct("source", "side", F.col(c).alias("track_id"))
-    found = connected(edges.select(node("a").alias("a"), node("b").alias("b"))).select("id.*", F.col("component.track_id").alias("component"))
-    members = own.where("p.letters > 0").join(found, ["source", "side", "track_id"], "left").withColumn("component", F.coalesce("component", "track_id"))
-    key = ["source", "side", "component"]
-    told = members.groupBy(*key).agg(F.max("p.letters").alias("letters"), crossed(scan).alias("direction")).where(F.col("letters") >= LONG)
-    still = told.where("direction is null").select(*key)
-    moved = told.where("direction is not null").select(*key).unionByName(slid(members.join(still, key, "left_semi"), scan)).checkpoint()
-    crossings = joined(members.join(moved, key, "left_semi"), scan).checkpoint()
+    crossings = own.join(moved(own, scan), ["source", "side", "track_id"]).checkpoint()
     return described(absorbed(crossings, own, scan), scan)
 
 

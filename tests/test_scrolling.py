@@ -1,6 +1,7 @@
 """Scrolling lines: alignment, contests and whole crossings with the values that they must give."""
 
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,48 @@ def test_components_that_moved_are_mostly_told_by_readings_that_follow_each_othe
     monkeypatch.setattr(scrolling, "dealt", lambda df, *by: held.append(df) or dealing(df, *by))
     assert sorted(r.component for r in scrolling.slid(members, SCAN).collect()) == [1, 2]
     assert {r.component for r in held[0].collect()} == {1, 2} and {r.component for r in held[1].collect()} == {2}
+
+
+def test_the_longest_run_is_that_of_difflib():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 14))) for _ in range(2))
+        m = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
+        assert scrolling.longest_run(a, b) == (m.a, m.b, m.size)
+
+
+def scattered(seed=11, films=12):
+    """Films of pieces of few texts that meet, contest each other's pieces and pause, some without boxes, readings or letters."""
+    rng = random.Random(seed)
+    words = [LINE, "a quite different sentence about the weather in the mountains today", LINE[30:] + " and more of it"]
+    rows = []
+    for f in range(films):
+        t = 0.0
+        for i in range(1, 31):
+            t += rng.choice((0.0, 1.0, 2.0, 3.0, 3.0, 3.0, 5.0, 14.0))
+            line, at = rng.choice(words), rng.randint(0, 40)
+            texts = rng.choice(([line[at : at + 30]], [line[at : at + 30]], [line[at : at + 30], line[at + 8 : at + 40]], ["xx"], None))
+            left = rng.choice((0, 0, 300, 700))
+            box = (left, 30 + rng.choice((0, 2, 14, 30)), rng.choice((960, 960, left + 200)), 70 + rng.choice((0, 3, 20)))
+            row = track(i, t, t + rng.choice((1.0, 3.0, 6.0, 20.0)), texts, box, source=f"f{f}", routing=rng.choice(("LIKELY_SCENE_TEXT",) * 4 + ("LIKELY_SUBTITLE",)))
+            rows.append(row if i % 29 else (*row[:5], None, row[6], float("nan") if f % 2 else None, *row[8:]))
+    return rows
+
+
+def test_short_runs_are_folded_and_give_what_rounds_give(spark, monkeypatch):
+    """Runs of more than a few readings go through joins and rounds here, those below are folded; the lines are the same."""
+    df = spark.createDataFrame(scattered(), SCHEMA)
+    asked, real = [], scrolling.connected
+    monkeypatch.setattr(scrolling, "connected", lambda edges: asked.append(edges) or real(edges))
+    folded = sorted(map(repr, scrolling.scrolling_lines(df, SCAN).collect()))
+    before = len(asked)
+    monkeypatch.setattr(scrolling, "SHORT", 4)
+    mixed = sorted(map(repr, scrolling.scrolling_lines(df, SCAN).collect()))
+    assert folded == mixed and len(folded) > 12
+    assert len(asked) == before + 1
+
+
+def test_a_band_without_long_runs_needs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(scrolling, "connected", None)
+    (r,) = scrolling.scrolling_lines(spark.createDataFrame(crossing(100, 1), SCHEMA), SCAN).collect()
+    assert r.grouped_track_ids == [1, 2, 3]
